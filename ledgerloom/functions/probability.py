@@ -9,8 +9,8 @@ from .. import params
 
 
 def logit(p: Column) -> Column:
-    p = F.greatest(F.lit(1e-6), F.least(F.lit(1 - 1e-6), p))
-    return F.log(p / (1 - p))
+    inside = F.greatest(F.lit(1e-6), F.least(F.lit(1 - 1e-6), p))
+    return F.when(p.isNotNull(), F.log(inside / (1 - inside)))
 
 
 def sigmoid(x: Column) -> Column:

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from .. import params
 from ..functions.probability import shrunk_rate
+from ..sources.staging import staged
 from .asof import Running, running
 
 
@@ -126,14 +127,14 @@ def median_completed_amount(state: DataFrame) -> DataFrame:
 
 def decision_views(events: DataFrame) -> DataFrame:
     """One row per funding whose job and both parties are known by then."""
-    state = with_job_state(events)
+    state = staged(with_job_state(events))
     own = state.where("kind = 'JobFunded' and client is not null and provider is not null").select(
         "job_id", "provider", "client", F.col("block").alias("funding_block"), "log_index", F.col("ts").alias("funding_timestamp"), F.coalesce("amount", F.lit(0)).alias("amount"),
         "budget_set_count", (F.col("expired_at") - F.col("ts")).alias("expiry_window"), (F.col("block") - F.col("created_block")).alias("funding_delay"),
     )
     for part in (provider_asof(state), client_asof(state), pair_asof(state), median_completed_amount(state)):
         own = own.join(part, VIEW)
-    return own
+    return staged(own)
 
 
 def with_base_prediction(views: DataFrame) -> DataFrame:

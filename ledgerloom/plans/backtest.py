@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .. import params
 from ..operators import calibration, episodes, features, lifecycle, mining
+from ..sources.staging import staged
 
 
 @dataclass
@@ -22,11 +23,11 @@ class Backtest:
 def prepare(events: DataFrame, with_rules: bool = True) -> Backtest:
     """views have p0, p_final (p0 without rules); resolved has them too."""
     views = features.with_base_prediction(features.decision_views(events))
-    resolved = episodes.resolve(events, views)
+    resolved = staged(episodes.resolve(events, views))
     if not with_rules:
         return Backtest(views.withColumn("p_final", F.col("p0")), resolved.withColumn("p_final", F.col("p0")), None, None)
-    rules = mining.promoted_rules(mining.rule_candidates(mining.rule_observations(resolved)))
-    life = lifecycle.rule_lifecycle(views, resolved, rules)
+    rules = staged(mining.promoted_rules(mining.rule_candidates(mining.rule_observations(resolved))))
+    life = staged(lifecycle.rule_lifecycle(views, resolved, rules))
     return Backtest(lifecycle.with_rules(views, life), lifecycle.with_rules(resolved, life), rules, life)
 
 

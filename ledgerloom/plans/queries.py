@@ -11,6 +11,7 @@ from .. import params
 from ..functions import decode, text
 from ..operators import calibration, episodes, evidence, features, jobs, lifecycle, mining
 from ..sources import journal
+from ..sources.staging import staged
 from . import backtest
 from .marketplace import MARKET_SQL, PROMISE_SQL, marketplace, promises, table
 
@@ -28,7 +29,7 @@ def query(sql: str | None = None):
     return add
 
 
-def places(df: DataFrame, *columns: str, n: int = 6) -> DataFrame:
+def places(df: DataFrame, *columns: str, n: int = 9) -> DataFrame:
     return df.withColumns({c: F.round(c, n) for c in columns})
 
 
@@ -44,6 +45,11 @@ jm AS (SELECT job_id, bool_or(kind = 'JobCreated') AS created, bool_or(kind = 'J
 """
 
 
+def market(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events, staged for plans that read them more than once."""
+    return staged(marketplace(spark, sf_dir))
+
+
 def matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jobs.job_matrix(marketplace(spark, sf_dir))
 
@@ -67,7 +73,7 @@ def funnel(spark, sf_dir):
     return jobs.funnel(matrix(spark, sf_dir))
 
 
-@query(MATRIX_SQL + "SELECT funded, funded_completed, round(funded_completed / funded, 6) AS base_rate FROM (SELECT count(*) FILTER (funded) AS funded, count(*) FILTER (funded AND completed) AS funded_completed FROM jm)")
+@query(MATRIX_SQL + "SELECT funded, funded_completed, round(funded_completed / funded, 9) AS base_rate FROM (SELECT count(*) FILTER (funded) AS funded, count(*) FILTER (funded AND completed) AS funded_completed FROM jm)")
 def base_rate(spark, sf_dir):
     return places(jobs.base_rate(matrix(spark, sf_dir)), "base_rate")
 
@@ -80,7 +86,7 @@ def failure_modes(spark, sf_dir):
     return jobs.failure_modes(matrix(spark, sf_dir))
 
 
-@query(MATRIX_SQL + "SELECT provider, count(*) AS funded, count(*) FILTER (completed) AS completed, round(count(*) FILTER (completed) / count(*), 6) AS rate FROM jm WHERE funded GROUP BY provider HAVING count(*) >= 50")
+@query(MATRIX_SQL + "SELECT provider, count(*) AS funded, count(*) FILTER (completed) AS completed, round(count(*) FILTER (completed) / count(*), 9) AS rate FROM jm WHERE funded GROUP BY provider HAVING count(*) >= 50")
 def provider_table(spark, sf_dir):
     return places(jobs.provider_table(matrix(spark, sf_dir), support=50), "rate")
 
@@ -100,7 +106,7 @@ def evaluator_independence(spark, sf_dir):
 
 @query(MATRIX_SQL + "SELECT count(*) AS fees, count(*) FILTER (e.recipient = jm.client) AS to_creator FROM ev e LEFT JOIN jm USING (job_id) WHERE e.kind = 'EvaluatorFeePaid'")
 def fee_to_creator(spark, sf_dir):
-    events = marketplace(spark, sf_dir)
+    events = market(spark, sf_dir)
     return jobs.fee_to_creator(events, jobs.job_matrix(events))
 
 
@@ -112,7 +118,7 @@ def agent_activity(spark, sf_dir):
     return jobs.agent_activity(matrix(spark, sf_dir))
 
 
-@query(MATRIX_SQL + "SELECT sum(n)::BIGINT AS top_jobs, (SELECT count(*) FROM jm WHERE created) AS created, round(sum(n) / (SELECT count(*) FROM jm WHERE created), 6) AS share FROM (SELECT client, count(*) AS n FROM jm WHERE created GROUP BY 1 ORDER BY n DESC, client LIMIT 2)")
+@query(MATRIX_SQL + "SELECT sum(n)::BIGINT AS top_jobs, (SELECT count(*) FROM jm WHERE created) AS created, round(sum(n) / (SELECT count(*) FROM jm WHERE created), 9) AS share FROM (SELECT client, count(*) AS n FROM jm WHERE created GROUP BY 1 ORDER BY n DESC, client LIMIT 2)")
 def top_clients(spark, sf_dir):
     return places(jobs.top_clients(matrix(spark, sf_dir)), "share")
 
@@ -132,7 +138,7 @@ def response_funnel(spark, sf_dir):
 SELECT count(gap) AS gaps, quantile_cont(gap, 0.5)::DOUBLE AS median_gap, 2.0::DOUBLE AS seconds_per_block FROM g"""
 )
 def funding_gap_median(spark, sf_dir):
-    events = marketplace(spark, sf_dir)
+    events = market(spark, sf_dir)
     return jobs.funding_gaps(events, jobs.job_matrix(events))
 
 
@@ -147,13 +153,13 @@ def inflight_jobs(spark, sf_dir):
 
 @query(f"WITH {MARKET_SQL}, f AS (SELECT job_id, amount AS approved FROM ev WHERE kind = 'JobFunded') SELECT ev.job_id, ev.amount AS proposed, approved FROM ev JOIN f USING (job_id) WHERE kind = 'BudgetSet' AND ev.amount > approved")
 def over_budget(spark, sf_dir):
-    events = marketplace(spark, sf_dir)
+    events = market(spark, sf_dir)
     return jobs.over_budget(events, events.where("kind = 'JobFunded'").select("job_id", F.col("amount").alias("approved")))
 
 
 @query()
 def dataset_report(spark, sf_dir):
-    return jobs.dataset_report(marketplace(spark, sf_dir))
+    return jobs.dataset_report(market(spark, sf_dir))
 
 
 def _addressed(events: DataFrame) -> DataFrame:
@@ -213,7 +219,7 @@ res AS (SELECT v.*, CASE WHEN t[3] = 'JobCompleted' THEN 'success' WHEN t IS NOT
     CASE WHEN t IS NOT NULL THEN t[1] WHEN head_ts > funding_timestamp + expiry_window THEN head_block END AS resolved_at_block, t[2] AS resolved_log_index,
     t IS NULL AND head_ts > funding_timestamp + expiry_window AS inferred_expiry FROM views v LEFT JOIN cl1 USING (job_id), hd)
 """
-_R = "round(client_prior_funding_rate, 6) AS client_prior_funding_rate, round(p0, 6) AS p0"
+_R = "round(client_prior_funding_rate, 9) AS client_prior_funding_rate, round(p0, 9) AS p0"
 
 
 def _views(spark, sf_dir) -> DataFrame:
@@ -221,8 +227,8 @@ def _views(spark, sf_dir) -> DataFrame:
 
 
 def _resolved(spark, sf_dir) -> DataFrame:
-    events = marketplace(spark, sf_dir)
-    return episodes.resolve(events, features.with_base_prediction(features.decision_views(events)))
+    events = market(spark, sf_dir)
+    return staged(episodes.resolve(events, features.with_base_prediction(features.decision_views(events))))
 
 
 @query(STATE_SQL + f"SELECT * REPLACE ({_R}) FROM views")
@@ -242,7 +248,7 @@ def provider_asof(spark, sf_dir):
     return features.provider_asof(_state(spark, sf_dir))
 
 
-@query(STATE_SQL + "SELECT job_id, funding_block, log_index, client_prior_created, client_prior_funded, round(client_prior_funding_rate, 6) AS client_prior_funding_rate FROM views")
+@query(STATE_SQL + "SELECT job_id, funding_block, log_index, client_prior_created, client_prior_funded, round(client_prior_funding_rate, 9) AS client_prior_funding_rate FROM views")
 def client_asof(spark, sf_dir):
     return places(features.client_asof(_state(spark, sf_dir)), "client_prior_funding_rate")
 
@@ -265,7 +271,7 @@ def median_completed_amount(spark, sf_dir):
 # --- predictions and outcomes ----------------------------------------------------------------
 
 
-@query(STATE_SQL + "SELECT job_id, round(CASE WHEN provider_prior_funded > 0 THEN provider_prior_completed / provider_prior_funded END, 6) AS provider_prior_rate, round(p0, 6) AS p0, CASE WHEN p0 >= 0.5 THEN 'HIRE' ELSE 'DO NOT HIRE' END AS decision FROM views")
+@query(STATE_SQL + "SELECT job_id, round(CASE WHEN provider_prior_funded > 0 THEN provider_prior_completed / provider_prior_funded END, 9) AS provider_prior_rate, round(p0, 9) AS p0, CASE WHEN p0 >= 0.5 THEN 'HIRE' ELSE 'DO NOT HIRE' END AS decision FROM views")
 def predict_chain_only(spark, sf_dir):
     rows = _views(spark, sf_dir).withColumn("decision", F.when(F.col("p0") >= params.HIRE_AT, "HIRE").otherwise("DO NOT HIRE"))
     return places(rows.select("job_id", "provider_prior_rate", "p0", "decision"), "provider_prior_rate", "p0")
@@ -280,7 +286,7 @@ def _episodes(spark, sf_dir) -> DataFrame:
     return episodes.score(_resolved(spark, sf_dir), F.col("p0"))
 
 
-@query(EPISODES_SQL + "SELECT job_id, outcome, failure_kind, resolved_at_block, inferred_expiry, round(predicted, 6) AS predicted, correct, round(brier, 6) AS brier FROM eps")
+@query(EPISODES_SQL + "SELECT job_id, outcome, failure_kind, resolved_at_block, inferred_expiry, round(predicted, 9) AS predicted, correct, round(brier, 9) AS brier FROM eps")
 def resolved_episodes(spark, sf_dir):
     return places(_episodes(spark, sf_dir).select("job_id", "outcome", "failure_kind", "resolved_at_block", "inferred_expiry", "predicted", "correct", "brier"), "predicted", "brier")
 
@@ -297,7 +303,7 @@ def unresolved(spark, sf_dir):
 
 @query(
     EPISODES_SQL
-    + """SELECT job_id, provider, round(predicted, 6) AS predicted, y::DOUBLE AS actual, amount, repeat_pair, budget_set_count, provider_prior_funded,
+    + """SELECT job_id, provider, round(predicted, 9) AS predicted, y::DOUBLE AS actual, amount, repeat_pair, budget_set_count, provider_prior_funded,
 CASE WHEN y = 0 THEN 'overconfident' ELSE 'underconfident' END || CASE WHEN repeat_pair THEN '' ELSE ' on first-time pair' END AS note FROM eps WHERE abs(predicted - y) > 0.5"""
 )
 def error_patterns(spark, sf_dir):
@@ -307,7 +313,7 @@ def error_patterns(spark, sf_dir):
 
 @query(
     EPISODES_SQL
-    + """SELECT count(*) AS episodes, count(*) FILTER (inferred_expiry) AS inferred, round(avg(y), 6) AS success_rate, round(avg(correct::INT), 6) AS accuracy, round(avg(brier), 6) AS mean_brier,
+    + """SELECT count(*) AS episodes, count(*) FILTER (inferred_expiry) AS inferred, round(avg(y), 9) AS success_rate, round(avg(correct::INT), 9) AS accuracy, round(avg(brier), 9) AS mean_brier,
 count(*) FILTER (abs(predicted - y) > 0.5) AS error_patterns, (SELECT count(*) FROM res WHERE outcome IS NULL) AS unresolved FROM eps"""
 )
 def resolver_summary(spark, sf_dir):
@@ -322,14 +328,14 @@ bins AS (SELECT least(floor(predicted * 10), 9)::INT AS bin, count(*) AS n, coun
 
 @query(
     BINS_SQL
-    + """SELECT bin, n, hits, round((bin + 0.5) / 10, 6) AS midpoint, round(CASE WHEN n >= 20 THEN hits / n END, 6) AS observed_rate, printf('%.1f-%.1f', bin / 10, (bin + 1) / 10) AS band,
-round(CASE WHEN n >= 20 THEN ln(greatest(1e-6, least(1 - 1e-6, hits / n)) / (1 - greatest(1e-6, least(1 - 1e-6, hits / n)))) - ln(((bin + 0.5) / 10) / (1 - (bin + 0.5) / 10)) END, 6) AS shift FROM bins"""
+    + """SELECT bin, n, hits, round((bin + 0.5) / 10, 9) AS midpoint, round(CASE WHEN n >= 20 THEN hits / n END, 9) AS observed_rate, printf('%.1f-%.1f', bin / 10, (bin + 1) / 10) AS band,
+round(CASE WHEN n >= 20 THEN ln(greatest(1e-6, least(1 - 1e-6, hits / n)) / (1 - greatest(1e-6, least(1 - 1e-6, hits / n)))) - ln(((bin + 0.5) / 10) / (1 - (bin + 0.5) / 10)) END, 9) AS shift FROM bins"""
 )
 def calibration_bands(spark, sf_dir):
     return places(calibration.calibration_bands(_episodes(spark, sf_dir)), "midpoint", "observed_rate", "shift")
 
 
-@query(BINS_SQL + "SELECT sum(n)::BIGINT AS episodes, round(sum(((bin + 0.5) / 10 - hits / n) * ((bin + 0.5) / 10 - hits / n) * n) / sum(n), 6) AS binned_brier FROM bins")
+@query(BINS_SQL + "SELECT sum(n)::BIGINT AS episodes, round(sum(((bin + 0.5) / 10 - hits / n) * ((bin + 0.5) / 10 - hits / n) * n) / sum(n), 9) AS binned_brier FROM bins")
 def calibration_brier(spark, sf_dir):
     return places(calibration.calibration_brier(_episodes(spark, sf_dir)), "binned_brier")
 
@@ -363,7 +369,7 @@ def threshold_trajectory(spark, sf_dir):
     return calibration.threshold_trajectory(calibration.thresholds(_ledger(spark, sf_dir)))
 
 
-_CONFIG = """SELECT '{name}' AS config, count(*) AS episodes, round(avg(((p0 >= {bar}) = (y = 1))::INT), 6) AS accuracy, round(avg(brier), 6) AS brier, round(avg((0.7947 - y) * (0.7947 - y)), 6) AS base_brier,
+_CONFIG = """SELECT '{name}' AS config, count(*) AS episodes, round(avg(((p0 >= {bar}) = (y = 1))::INT), 9) AS accuracy, round(avg(brier), 9) AS brier, round(avg((0.7947 - y) * (0.7947 - y)), 9) AS base_brier,
 count(*) FILTER (NOT inferred_expiry AND (p0 >= {bar}) <> (p0 >= 0.5)) AS changed, count(*) FILTER (NOT inferred_expiry AND (p0 >= {bar}) <> (p0 >= 0.5) AND (p0 >= {bar}) = (y = 1)) AS changed_right,
 count(DISTINCT CASE WHEN NOT inferred_expiry AND (p0 >= {bar}) <> (p0 >= 0.5) THEN provider END) AS providers, count(*) FILTER (NOT inferred_expiry AND p0 < {bar} AND p0 >= 0.5) AS policy_rejected,
 count(*) FILTER (NOT inferred_expiry AND p0 < {bar} AND p0 >= 0.5 AND y = 0) AS policy_rejected_failed, count(*) FILTER (NOT inferred_expiry AND {bar} <> 0.5) AS memory_backed FROM eps JOIN bar ON bar.block = eps.funding_block"""
@@ -371,16 +377,16 @@ count(*) FILTER (NOT inferred_expiry AND p0 < {bar} AND p0 >= 0.5 AND y = 0) AS
 
 @query(LEDGER_SQL + _CONFIG.format(name="B", bar="hire_threshold") + " UNION ALL " + _CONFIG.format(name="D", bar="0.5"))
 def ablation_without_rules(spark, sf_dir):
-    return places(backtest.ablation(marketplace(spark, sf_dir), "BD"), "accuracy", "brier", "base_brier")
+    return places(backtest.ablation(market(spark, sf_dir), "BD"), "accuracy", "brier", "base_brier")
 
 
 @query()
 def ablation(spark, sf_dir):
-    return places(backtest.ablation(marketplace(spark, sf_dir)), "accuracy", "brier", "base_brier")
+    return places(backtest.ablation(market(spark, sf_dir)), "accuracy", "brier", "base_brier")
 
 
 def _reversed_calls(spark, sf_dir) -> DataFrame:
-    return episodes.reversals(backtest.scored(backtest.prepare(marketplace(spark, sf_dir)), "p_final", True))
+    return episodes.reversals(backtest.scored(backtest.prepare(market(spark, sf_dir)), "p_final", True))
 
 
 @query()
@@ -413,7 +419,7 @@ def _observations(spark, sf_dir) -> DataFrame:
     return mining.rule_observations(_resolved(spark, sf_dir))
 
 
-@query(STATE_SQL + "SELECT job_id, provider, outcome = 'success' AS completed, resolved_at_block AS block, resolved_log_index AS log_index, amount::DOUBLE AS amount, repeat_pair::INT::DOUBLE AS repeat_pair, budget_set_count::DOUBLE AS budget_set_count, round(client_prior_funding_rate, 6) AS client_prior_funding_rate, client_prior_created::DOUBLE AS client_prior_created, pair_prior_jobs::DOUBLE AS pair_prior_jobs, provider_concurrent_open::DOUBLE AS provider_concurrent_open, expiry_window::DOUBLE AS expiry_window FROM res WHERE outcome IS NOT NULL AND NOT inferred_expiry")
+@query(STATE_SQL + "SELECT job_id, provider, outcome = 'success' AS completed, resolved_at_block AS block, resolved_log_index AS log_index, amount::DOUBLE AS amount, repeat_pair::INT::DOUBLE AS repeat_pair, budget_set_count::DOUBLE AS budget_set_count, round(client_prior_funding_rate, 9) AS client_prior_funding_rate, client_prior_created::DOUBLE AS client_prior_created, pair_prior_jobs::DOUBLE AS pair_prior_jobs, provider_concurrent_open::DOUBLE AS provider_concurrent_open, expiry_window::DOUBLE AS expiry_window FROM res WHERE outcome IS NOT NULL AND NOT inferred_expiry")
 def rule_observations(spark, sf_dir):
     return places(_observations(spark, sf_dir), "client_prior_funding_rate")
 
@@ -431,7 +437,7 @@ def _rules(spark, sf_dir) -> DataFrame:
     return mining.promoted_rules(mining.rule_candidates(_observations(spark, sf_dir)))
 
 
-_RULE_ROUND = "round(delta_logit, 6) AS delta_logit, round(baseline_rate, 6) AS baseline_rate, round(conditional_rate, 6) AS conditional_rate"
+_RULE_ROUND = "round(delta_logit, 9) AS delta_logit, round(baseline_rate, 9) AS baseline_rate, round(conditional_rate, 9) AS conditional_rate"
 
 
 @query(RULES_SQL + f"SELECT * REPLACE ({_RULE_ROUND}) FROM rules")
@@ -453,20 +459,20 @@ def rule_matches(spark, sf_dir):
 
 @query()
 def rule_lifecycle(spark, sf_dir):
-    b = backtest.prepare(marketplace(spark, sf_dir))
+    b = backtest.prepare(market(spark, sf_dir))
     at_end = lifecycle.rules_at_end(b.rules, b.lifecycle)
     return at_end.select("rule_id", "subject", F.struct("field", "op", "value").alias("condition"), F.round("delta_logit", 4).alias("delta_logit"), "status", "applications", "hits")
 
 
 @query()
 def rule_summary(spark, sf_dir):
-    b = backtest.prepare(marketplace(spark, sf_dir))
+    b = backtest.prepare(market(spark, sf_dir))
     return lifecycle.rule_summary(lifecycle.rules_at_end(b.rules, b.lifecycle))
 
 
 @query()
 def predict_with_rules(spark, sf_dir):
-    b = backtest.prepare(marketplace(spark, sf_dir))
+    b = backtest.prepare(market(spark, sf_dir))
     why = F.transform("rules_applied", lambda r: F.concat_ws(" ", r["rule_id"], r["field"], F.format_number(r["delta"] * r["weight"], 4)))
     return places(b.views.select("job_id", "p0", "p_final", F.array_join(F.coalesce(why, F.array().cast("array<string>")), "; ").alias("rules_applied")), "p0", "p_final")
 
@@ -484,7 +490,7 @@ def provider_totals(spark, sf_dir):
 @query(
     STATE_SQL
     + """, snap AS (SELECT provider, sum(funded) AS f, sum(done) AS c FROM delta GROUP BY provider), rq AS (SELECT c_custkey AS request_id, 'p' || (c_custkey % 1200) AS provider, c_custkey % 7 AS funded, c_custkey % 3 AS completed FROM customer)
-SELECT request_id, rq.provider, round((completed + 7.947) / (funded + 10.0), 6) AS p_chain, round((coalesce(c, completed) + 7.947) / (coalesce(f, funded) + 10.0), 6) AS p_memory,
+SELECT request_id, rq.provider, round((completed + 7.947) / (funded + 10.0), 9) AS p_chain, round((coalesce(c, completed) + 7.947) / (coalesce(f, funded) + 10.0), 9) AS p_memory,
 CASE WHEN (completed + 7.947) / (funded + 10.0) >= 0.5 THEN 'HIRE' ELSE 'DO NOT HIRE' END AS chain_call, CASE WHEN (coalesce(c, completed) + 7.947) / (coalesce(f, funded) + 10.0) >= 0.5 THEN 'HIRE' ELSE 'DO NOT HIRE' END AS memory_call,
 round((completed + 7.947) / (funded + 10.0), 4) <> round((coalesce(c, completed) + 7.947) / (coalesce(f, funded) + 10.0), 4) AS probability_changed FROM rq LEFT JOIN snap USING (provider)"""
 )
@@ -510,7 +516,7 @@ def _records(spark, sf_dir) -> tuple[dict[str, DataFrame], DataFrame]:
     return p, evidence.response_reliability(p["observations"], p["declarations"], last)
 
 
-@query(EVIDENCE_SQL + "SELECT provider, declaration_type, observations, declared, round(acted, 6) AS acted, round(kept, 6) AS kept, round(reliability, 6) AS reliability, round(coverage, 6) AS coverage FROM rec")
+@query(EVIDENCE_SQL + "SELECT provider, declaration_type, observations, declared, round(acted, 9) AS acted, round(kept, 9) AS kept, round(reliability, 9) AS reliability, round(coverage, 9) AS coverage FROM rec")
 def response_reliability(spark, sf_dir):
     return places(_records(spark, sf_dir)[1], "acted", "kept", "reliability", "coverage")
 
@@ -539,7 +545,7 @@ def _p_complete():
 
 @query(
     GATE_SQL
-    + """SELECT provider, declaration_type, job_ref, requested_at_block, declared_status, p_complete, round(p_respond, 6) AS p_respond, p_complete >= 0.5 AS completion_gate, promised AND p_respond >= 0.4669 AS response_gate,
+    + """SELECT provider, declaration_type, job_ref, requested_at_block, declared_status, p_complete, round(p_respond, 9) AS p_respond, p_complete >= 0.5 AS completion_gate, promised AND p_respond >= 0.4669 AS response_gate,
 p_complete >= 0.5 AND promised AND p_respond >= 0.4669 AS proceed, p_complete >= 0.5 AND NOT (promised AND p_respond >= 0.4669) AS blocked_by_coordination FROM gt"""
 )
 def response_gate(spark, sf_dir):
@@ -549,7 +555,7 @@ def response_gate(spark, sf_dir):
 
 @query(
     GATE_SQL
-    + """SELECT *, proceed <> proceed_without AS changed FROM (SELECT provider, declaration_type, job_ref, round(p_respond, 6) AS p_respond, p_complete >= 0.5 AND promised AND p_respond >= 0.4669 AS proceed,
+    + """SELECT *, proceed <> proceed_without AS changed FROM (SELECT provider, declaration_type, job_ref, round(p_respond, 9) AS p_respond, p_complete >= 0.5 AND promised AND p_respond >= 0.4669 AS proceed,
 p_respond_without, p_complete >= 0.5 AND promised AS proceed_without FROM gt)"""
 )
 def gate_with_without_memory(spark, sf_dir):
@@ -561,7 +567,7 @@ def gate_with_without_memory(spark, sf_dir):
     f"""WITH {PROMISE_SQL}, e AS (SELECT min(block) AS b0, max(block) AS b1 FROM obs), grid AS (SELECT b0 + k * 43200 AS as_of FROM e, unnest(range(0, (b1 + 216000 - b0) // 43200 + 1)) u(k)),
 li AS (SELECT provider, declaration_type, as_of, confirmed, CASE WHEN as_of - block >= 216000 THEN 0.0::DOUBLE ELSE pow(0.5, (as_of - block) / 43200.0::DOUBLE) END AS w FROM obs JOIN grid ON block < as_of AND as_of - block <= 216000),
 su AS (SELECT provider, declaration_type, as_of, sum(w) AS acted, sum(CASE WHEN confirmed THEN w ELSE 0 END) AS kept FROM li GROUP BY 1, 2, 3)
-SELECT provider, declaration_type, as_of, round(acted, 6) AS acted, round(CASE WHEN acted = 0 THEN 0.4669 ELSE (kept + 5.0 * 0.4669) / (acted + 5.0) END, 6) AS reliability FROM su"""
+SELECT provider, declaration_type, as_of, round(acted, 9) AS acted, round(CASE WHEN acted = 0 THEN 0.4669 ELSE (kept + 5.0 * 0.4669) / (acted + 5.0) END, 9) AS reliability FROM su"""
 )
 def reliability_curve(spark, sf_dir):
     return places(evidence.reliability_curve(promises(spark, sf_dir)["observations"]), "acted", "reliability")
@@ -586,7 +592,7 @@ def stay_open_table(spark, sf_dir):
 
 
 def _journal(spark, sf_dir) -> DataFrame:
-    events = marketplace(spark, sf_dir)
+    events = market(spark, sf_dir)
     views = features.with_base_prediction(features.decision_views(events)).withColumn("p_final", F.col("p0"))
     eps = episodes.score(episodes.resolve(events, views), F.col("p_final"))
     return journal.decision_rows(views).unionByName(journal.episode_rows(eps))
