@@ -19,7 +19,10 @@ def flat(text: Column) -> Column:
 def extractive_summary(text: Column, sentences: int = 3, otherwise: int = 300) -> Column:
     """The first sentences joined by spaces, or the first characters of a text without any."""
     one_line = flat(text)
-    picked = F.array_join(F.slice(F.regexp_extract_all(one_line, F.lit("[^.!?]+[.!?]+"), 0), 1, sentences), " ")
+    # sentences follow each other, so each is read from the start: linear also in texts without an end of sentence
+    one = "[^.!?]++[.!?]++"
+    found = F.array(*[F.regexp_extract(one_line, f"^[.!?]*+(?:{one}){{{k}}}({one})", 1) for k in range(sentences)])
+    picked = F.array_join(F.filter(found, lambda x: x != ""), " ")
     return F.coalesce(F.nullif(F.trim(picked), F.lit("")), F.left(one_line, F.lit(otherwise)))
 
 

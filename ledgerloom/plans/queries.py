@@ -501,8 +501,8 @@ def score_requests(spark, sf_dir):
 
 # --- promises --------------------------------------------------------------------------------
 
-EVIDENCE_SQL = f"""WITH {PROMISE_SQL}, asof AS (SELECT max(block) AS b FROM pe),
-wt AS (SELECT provider, declaration_type, confirmed, CASE WHEN greatest(b - block, 0) >= 216000 THEN 0.0::DOUBLE ELSE pow(0.5, greatest(b - block, 0) / 43200.0::DOUBLE) END AS w FROM obs, asof),
+EVIDENCE_SQL = f"""WITH {PROMISE_SQL}, tip AS (SELECT max(block) AS b FROM pe),
+wt AS (SELECT provider, declaration_type, confirmed, CASE WHEN greatest(b - block, 0) >= 216000 THEN 0.0::DOUBLE ELSE pow(0.5, greatest(b - block, 0) / 43200.0::DOUBLE) END AS w FROM obs, tip),
 sn AS (SELECT provider, declaration_type, count(*) AS observations, sum(w) AS acted, sum(CASE WHEN confirmed THEN w ELSE 0 END) AS kept FROM wt GROUP BY 1, 2),
 dc AS (SELECT provider, declaration_type, count(*) AS declared, count(*) FILTER (status = 'available') AS available FROM decl GROUP BY 1, 2),
 rec AS (SELECT provider, declaration_type, coalesce(observations, 0) AS observations, coalesce(declared, 0) AS declared, coalesce(acted, 0) AS acted, coalesce(kept, 0) AS kept,
