@@ -461,7 +461,7 @@ def rule_matches(spark, sf_dir):
 def rule_lifecycle(spark, sf_dir):
     b = backtest.prepare(market(spark, sf_dir))
     at_end = lifecycle.rules_at_end(b.rules, b.lifecycle)
-    return at_end.select("rule_id", "subject", F.struct("field", "op", "value").alias("condition"), F.round("delta_logit", 4).alias("delta_logit"), "status", "applications", "hits")
+    return at_end.select("rule_id", "subject", F.to_json(F.struct("field", "op", "value")).alias("condition"), F.round("delta_logit", 4).alias("delta_logit"), "status", "applications", "hits")
 
 
 @query()
