@@ -286,9 +286,10 @@ def _episodes(spark, sf_dir) -> DataFrame:
     return episodes.score(_resolved(spark, sf_dir), F.col("p0"))
 
 
-@query(EPISODES_SQL + "SELECT job_id, outcome, failure_kind, resolved_at_block, inferred_expiry, round(predicted, 9) AS predicted, correct, round(brier, 9) AS brier FROM eps")
+@query(EPISODES_SQL + "SELECT job_id, outcome, failure_kind, resolved_at_block, inferred_expiry, round(predicted, 9) AS predicted, correct, round(brier, 8) AS brier FROM eps")
 def resolved_episodes(spark, sf_dir):
-    return places(_episodes(spark, sf_dir).select("job_id", "outcome", "failure_kind", "resolved_at_block", "inferred_expiry", "predicted", "correct", "brier"), "predicted", "brier")
+    rows = _episodes(spark, sf_dir).select("job_id", "outcome", "failure_kind", "resolved_at_block", "inferred_expiry", "predicted", "correct", "brier")
+    return places(places(rows, "predicted"), "brier", n=8)  # no square of a decimal lies halfway at an even place
 
 
 @query(STATE_SQL + "SELECT job_id, provider, resolved_at_block FROM res WHERE inferred_expiry")
