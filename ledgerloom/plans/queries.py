@@ -157,7 +157,14 @@ def over_budget(spark, sf_dir):
     return jobs.over_budget(events, events.where("kind = 'JobFunded'").select("job_id", F.col("amount").alias("approved")))
 
 
-@query()
+_REPORT = {"funnel": "funnel", "failures": "failure_modes", "agents": "agent_activity", "responses": "response_funnel", "fees": "fee_to_creator"}
+
+
+@query(
+    MATRIX_SQL.rstrip()
+    + "".join(f", {section} AS (SELECT COLUMNS(*)::BIGINT FROM ({ORACLE_SQL[name].removeprefix(MATRIX_SQL)}))" for section, name in _REPORT.items())
+    + " UNION ALL ".join(f" SELECT '{section}' AS section, name, value FROM {section} UNPIVOT INCLUDE NULLS (value FOR name IN (COLUMNS(*)))" for section in _REPORT)
+)
 def dataset_report(spark, sf_dir):
     return jobs.dataset_report(market(spark, sf_dir))
 
