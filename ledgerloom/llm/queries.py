@@ -75,6 +75,20 @@ QUERIES = {
 _GLOBS = " OR ".join(f"(host || path) LIKE '{g.replace('*', '%')}'" for g in urls.BLOCKED)
 _RULES = ", ".join(f"('{h}', '{p}', '{v}')" for h, p, v in urls.RULES)
 
+def _spans_sql() -> str:
+    """All spans of the secret rules: positions follow from the lengths of matches and of what lies between them."""
+    total = lambda x: f"coalesce(list_sum([length(s) for s in {x}]), 0)"
+    kinds = []
+    for k, (kind, (pattern, group, least)) in enumerate(secrets.RULES.items()):
+        p = "'" + pattern.decode().replace("'", "''") + "'"
+        kinds.append(f"""SELECT doc_id, '{kind}' AS kind, {k} AS k, {total("gap[:i]")} + {total("hit[:i - 1]")} AS a, length(hit[i]) AS n, length(part[i]) AS size, {least} AS least
+FROM (SELECT *, unnest(range(1, len(hit) + 1)) AS i FROM (SELECT doc_id, regexp_extract_all(t, {p}) AS hit, regexp_extract_all(t, {p}, {group}) AS part, string_split_regex(t, {p}) AS gap FROM d WHERE regexp_matches(t, {p})))""")
+    return " UNION ALL ".join(kinds)
+
+
+_BASE_KINDS = ", ".join(f"'{k}'" for k in secrets.BASE)
+_SPAN_COUNTS = ", ".join(f"(count(*) FILTER (kind = '{k}'))::BIGINT AS n_{k}" for k in secrets.BASE)
+
 ORACLE_SQL = {
     "op1_substring_dedup": r"""
 WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
@@ -114,5 +128,19 @@ r(h, p, v) AS (VALUES {_RULES}),
 m AS (SELECT page_id, arg_max(h || p, length(h || p)) AS rule, arg_max(v, length(h || p)) AS v
       FROM s JOIN r ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p) GROUP BY page_id)
 SELECT page_id, host, path, rule, coalesce(v, CASE WHEN {_GLOBS} THEN 'block' ELSE 'allow' END) AS verdict FROM s LEFT JOIN m USING (page_id)
+""",
+    "op6_secrets": f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+found AS (SELECT doc_id, kind, k, a, kind || ':' || a::BIGINT || ':' || (a + n)::BIGINT AS span FROM ({_spans_sql()}) WHERE size >= least),
+g AS (SELECT doc_id, {_SPAN_COUNTS}, string_agg(span, ',' ORDER BY a, k) FILTER (kind IN ({_BASE_KINDS})) AS base, string_agg(span, ',' ORDER BY a, k) AS spans FROM found GROUP BY doc_id)
+SELECT doc_id, {', '.join(f"coalesce(n_{k}, 0) AS n_{k}" for k in secrets.BASE)}, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM d LEFT JOIN g USING (doc_id)
+""",
+    "op10_embeddings": f"""
+WITH RECURSIVE e AS (SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings WHERE label IS NOT NULL AND len(embedding) > 0 AND len([x for x in embedding if x IS NULL OR NOT isfinite(x)]) = 0 AND len([x for x in embedding if x <> 0]) > 0),
+l AS MATERIALIZED (SELECT a.vec_id AS a, b.vec_id AS b FROM e a JOIN e b ON a.label = b.label AND len(a.v) = len(b.v) AND a.vec_id <> b.vec_id WHERE list_cosine_similarity(a.v, b.v) >= {embedding_dedup.COSINE}),
+reach AS (SELECT a, b FROM l UNION SELECT r.a, l.b FROM reach r JOIN l ON r.b = l.a),
+c AS (SELECT a AS vec_id, min(b) AS least FROM reach GROUP BY a),
+n AS (SELECT a AS vec_id, count(*) AS n FROM l GROUP BY a)
+SELECT vec_id, coalesce(n, 0)::BIGINT AS n_links, least(vec_id, coalesce(least, vec_id)) AS component_id, vec_id <= coalesce(least, vec_id) AS kept FROM embeddings LEFT JOIN c USING (vec_id) LEFT JOIN n USING (vec_id)
 """,
 }
