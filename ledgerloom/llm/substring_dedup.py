@@ -18,14 +18,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import SPACES
+from .common import SPACES, cut
 
-#: Bytes of text in a block on average.
-BLOCK_BYTES = 4 << 20
+#: Bytes of text in a block, at least and at most; between them they grow with the root of all bytes,
+#: so that a block's hashes of one bucket stay many.
+BLOCK_LEAST, BLOCK_MOST, BLOCK_GROWTH = 4 << 20, 64 << 20, 24
 #: Bytes of text hashed at once, unless one text is longer.
 SLAB_BYTES = 1 << 20
-#: Windows of a bucket on average, at most.
-BUCKET_WINDOWS = 1 << 20
+#: Distinct windows of a bucket on average, at most, for each byte of a block.
+BUCKET_SHARE = 1 / 4
+#: Blocks that rows without doc_id are dealt to.
+NAMELESS_BLOCKS = 1024
 _BYTE, _WORD = 0x9E3779B97F4A7C15 | 1, 0xD6E8FEB86659FD93 | 1
 _IS_SPACE = np.zeros(256, bool)
 _IS_SPACE[list(SPACES)] = True
@@ -102,6 +105,30 @@ def _ordered(block: pa.Table) -> tuple[list[int | None], list[bytes]]:
     return [ids[i] for i in order], [texts[i] for i in order]
 
 
+def block_bytes(size: int) -> int:
+    """Bytes of a block, for a corpus of so many bytes."""
+    return int(min(BLOCK_MOST, max(BLOCK_LEAST, BLOCK_GROWTH * math.sqrt(size))))
+
+
+def block_ends(lengths: DataFrame, target: int) -> np.ndarray:
+    """The last doc_id of each block but the final one, from rows (doc_id, bytes).
+
+    Every task goes through its range of doc_ids in order and closes a block at each ``target`` bytes,
+    so only the ends meet on the driver: 8 bytes a block.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        before = 0
+        for batch in batches:
+            passed = before + np.cumsum(batch.column("bytes").to_numpy(zero_copy_only=False))
+            closes = np.diff(passed // target, prepend=before // target) > 0
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").filter(pa.array(closes))], ["doc_id"])
+            before = int(passed[-1]) if len(passed) else before
+
+    ordered = lengths.where("doc_id is not null").repartitionByRange("doc_id").sortWithinPartitions("doc_id")
+    return np.unique(np.array([r.doc_id for r in ordered.mapInArrow(run, "doc_id long").toLocalIterator()], np.int64))
+
+
 def _send(bits: int, window: int):
     keep = 8 - bits // 8  # the bucket says the leading bytes
 
@@ -210,20 +237,19 @@ def substring_dedup(docs: DataFrame, window: int = 13) -> DataFrame:
     one with a probability of about n * n / 2 ** 65.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("bytes")).first()["bytes"]
-    blocks = max(1, math.ceil(size / BLOCK_BYTES))
-    bits = max(8, math.ceil(math.log2(max(1, size / 6 / BUCKET_WINDOWS))))
-    bounds = np.zeros(0, np.int64)
-    if blocks > 1:
-        shares = [i / blocks for i in range(1, blocks)]
-        found = docs.agg(F.percentile_approx("doc_id", shares, max(10_000, 20 * blocks)).alias("at")).first()["at"]
-        bounds = np.unique(np.array(found or [], np.int64))
+    lengths = cut(docs.select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("bytes")))
+    size = lengths.agg(F.coalesce(F.sum("bytes"), F.lit(0)).alias("bytes")).first()["bytes"]
+    target = block_bytes(size)
+    bits = max(8, math.ceil(math.log2(max(1, size / 6 / (target * BUCKET_SHARE)))))
+    ends = docs.sparkSession.sparkContext.broadcast(block_ends(lengths, target))
 
     @F.pandas_udf("long")
     def block_of(ids: pd.Series) -> pd.Series:
-        return pd.Series(np.searchsorted(bounds, ids.to_numpy()))
+        return pd.Series(np.searchsorted(ends.value, ids.to_numpy()))
 
-    blocked = docs.withColumn("block", block_of(F.coalesce("doc_id", F.lit(0))))
+    # rows without doc_id judge nobody and are judged by nobody, so any block will do
+    nameless = -1 - F.pmod(F.monotonically_increasing_id(), F.lit(NAMELESS_BLOCKS))
+    blocked = docs.withColumn("_nameless", nameless).withColumn("block", F.when(F.col("doc_id").isNull(), F.col("_nameless")).otherwise(block_of(F.coalesce("doc_id", F.lit(0))))).drop("_nameless")
     sent = blocked.groupBy("block").applyInArrow(_send(bits, window), "block long, bucket long, hashes binary")
     told = sent.groupBy("bucket").applyInArrow(_answer(bits), "block long, bucket long, seen binary")
     return blocked.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(_cut_out(bits, window), RESULT)

@@ -54,8 +54,9 @@ def rows_of(df):
 
 
 def test_substring_dedup(docs, none, monkeypatch):
-    for blocks in (substring_dedup.BLOCK_BYTES, 9_000):  # one block, and many
-        monkeypatch.setattr(substring_dedup, "BLOCK_BYTES", blocks)
+    for blocks in (substring_dedup.BLOCK_LEAST, 9_000):  # one block, and many
+        monkeypatch.setattr(substring_dedup, "BLOCK_LEAST", blocks)
+        monkeypatch.setattr(substring_dedup, "BLOCK_GROWTH", 0)
         monkeypatch.setattr(substring_dedup, "SLAB_BYTES", 3_000)
         first, data = {}, [(r[0], WORD.findall(r[1] or "")) for r in corpus()]
         for i, w in data:
@@ -75,6 +76,22 @@ def test_substring_dedup(docs, none, monkeypatch):
     assert substring_dedup.substring_dedup(none).count() == 0
 
 
+def test_block_ends(spark):
+    """Blocks follow doc_id, are closed in every range at each ``target`` bytes, and don't grow with ties or nulls."""
+    rows = [(k * 7 % 1001, 10 if k % 50 else 900) for k in range(1001)] + [(None, 10_000)] * 5
+    data = spark.createDataFrame(rows, "doc_id long, bytes long").repartition(6)
+    ends = substring_dedup.block_ends(data, 1_000)
+    held = Counter()
+    for i, n in rows:
+        if i is not None:
+            held[int(np.searchsorted(ends, i))] += n
+    total, ranges = sum(held.values()), int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert len(held) >= total // 1_000 - ranges and max(held.values()) <= 3 * 1_000 + 900
+    assert list(ends) == sorted(set(ends.tolist()))
+    assert len(substring_dedup.block_ends(data.limit(0), 1_000)) == 0
+    assert substring_dedup.block_bytes(0) == substring_dedup.BLOCK_LEAST and substring_dedup.block_bytes(10**14) == substring_dedup.BLOCK_MOST
+
+
 def test_quality(spark, none):
     r = random.Random(2)
     data = [(k, " ".join((f"word{r.randrange(99)}" if k % 4 else f"JUNK{r.randrange(9)}###") for _ in range(r.randrange(1, 60)))) for k in range(800)] + [(None, None), (9999, "")]
@@ -376,6 +393,7 @@ def test_embeddings(spark):
         rows.append((k, (np.array(rows[0][1]) + 0.08 * r.standard_normal(16)).tolist(), 0))
     for k in range(600, 660):
         rows.append((k, (np.array(rows[k - 500][1]) * 3 + 0.2 * r.standard_normal(16)).tolist(), rows[k - 500][2]))
+    rows += [(k, rows[0][1], 0) for k in range(660, 690)] + [(k, rows[7][1], 1) for k in range(690, 693)]  # equal vectors
     odd = [(700, None, 1), (701, [0.0] * 16, 1), (702, [float("nan")] + [1.0] * 15, 1), (703, [float("inf")] + [1.0] * 15, 1), (704, [None] + [1.0] * 15, 1), (705, rows[0][1], None), (706, rows[0][1][:8], 0), (707, [], 0), (None, rows[0][1], 0)]
     df = spark.createDataFrame([(i, v, x, 9) for i, v, x in rows + odd], T.StructType.fromDDL("vec_id long, embedding array<double>, label int, size int"))
     v = np.array([x / np.linalg.norm(x) for x in (np.array(e) for _, e, _ in rows)])
