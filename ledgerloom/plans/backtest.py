@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import params
+from ..functions.probability import bin_of
 from ..operators import calibration, episodes, features, lifecycle, mining
 from ..sources.staging import staged
 
@@ -21,53 +22,89 @@ class Backtest:
 
 
 def prepare(events: DataFrame, with_rules: bool = True) -> Backtest:
-    """views have p0, p_final (p0 without rules); resolved has them too."""
+    """views have p0, p_final (p0 without rules) and rules_applied; resolved has them too."""
     views = features.with_base_prediction(features.decision_views(events))
     resolved = staged(episodes.resolve(events, views))
     if not with_rules:
-        return Backtest(views.withColumn("p_final", F.col("p0")), resolved.withColumn("p_final", F.col("p0")), None, None)
+        none = {"p_final": F.col("p0"), "rules_applied": F.lit(None).cast("array<string>")}
+        return Backtest(views.withColumns(none), resolved.withColumns(none), None, None)
     rules = staged(mining.promoted_rules(mining.rule_candidates(mining.rule_observations(resolved))))
     life = staged(lifecycle.rule_lifecycle(views, resolved, rules))
-    return Backtest(lifecycle.with_rules(views, life), lifecycle.with_rules(resolved, life), rules, life)
+    return Backtest(staged(lifecycle.with_rules(views, life)), staged(lifecycle.with_rules(resolved, life)), rules, life)
 
 
-def scored(b: Backtest, p: str, learn_threshold: bool) -> DataFrame:
-    """Episodes under one configuration: probabilities of column p, threshold learned or fixed."""
-    if not learn_threshold:
-        return episodes.score(b.resolved, F.col(p))
-    done = b.resolved.where("outcome is not null")
-    ledger = calibration.ledger_asof(done, b.views.select(F.col("funding_block").alias("block")), p)
-    bars = calibration.thresholds(ledger).withColumnRenamed("block", "funding_block").withColumnRenamed("hire_threshold", "_bar")
-    return episodes.score(b.resolved.join(bars, "funding_block"), F.col(p), F.col("_bar")).drop("_bar")
+@dataclass(frozen=True)
+class Config:
+    """What a run may recall: rules, the ledger as a note beside the call, the ledger as the bar of the call."""
 
+    rules: bool
+    ledger: bool
+    threshold: bool
 
-# fixed values: configuration, probabilities, whether the threshold is learned
-CONFIGS = (("A", "p_final", True), ("B", "p0", True), ("C", "p_final", False), ("D", "p0", False))
+    @property
+    def p(self) -> str:
+        return "p_final" if self.rules else "p0"
 
 
-def summarise(config: str, eps: DataFrame) -> DataFrame:
-    """One configuration's row. Changed decisions, policy rejections and memory-backed decisions count scored episodes only."""
+# fixed values: the four configurations
+CONFIGS = {"A": Config(True, True, False), "B": Config(False, True, True), "C": Config(True, True, True), "D": Config(False, False, False)}
+
+
+def ledger(b: Backtest, p: str) -> DataFrame:
+    """The ledger of probabilities p just before every block with a decision."""
+    return calibration.ledger_asof(b.resolved.where("outcome is not null"), b.views.select(F.col("funding_block").alias("block")), p)
+
+
+def with_bar(rows: DataFrame, held: DataFrame | None) -> DataFrame:
+    """Rows with _bar, the threshold that the ledger teaches at their block; without a ledger the default."""
+    if held is None:
+        return rows.withColumn("_bar", F.lit(params.HIRE_AT))
+    bars = calibration.thresholds(held).select(F.col("block").alias("funding_block"), F.col("hire_threshold").alias("_bar"))
+    return rows.join(bars, "funding_block")
+
+
+def scored(b: Backtest, config: Config, held: DataFrame | None = None) -> DataFrame:
+    """Episodes under one configuration; held is its ledger if that is at hand."""
+    if config.threshold and held is None:
+        held = ledger(b, config.p)
+    return episodes.score(with_bar(b.resolved, held if config.threshold else None), F.col(config.p), F.col("_bar")).drop("_bar")
+
+
+def memory_backed(b: Backtest, config: Config, held: DataFrame | None) -> DataFrame:
+    """One row, memory_backed: the decisions, resolved or not, to which a rule, an observed band or a learned bar contributed."""
+    rows = b.views.select("funding_block", F.col(config.p).alias("p"), (F.col("rules_applied").isNotNull() & F.lit(config.rules)).alias("ruled"))
+    rows = with_bar(rows, held if config.threshold else None).withColumn("seen", F.lit(None).cast("long"))
+    if config.ledger:
+        known = held.select(F.col("block").alias("funding_block"), "bin", F.col("n").alias("seen"))
+        rows = rows.drop("seen").withColumn("bin", bin_of(F.col("p"))).join(known, ["funding_block", "bin"])
+    return rows.agg(F.count_if(F.col("ruled") | F.coalesce(F.col("seen") >= params.BIN_SUPPORT, F.lit(False)) | (F.col("_bar") != params.HIRE_AT)).alias("memory_backed"))
+
+
+def summarise(eps: DataFrame) -> DataFrame:
+    """One configuration's figures. Changed decisions and policy rejections count scored episodes only."""
     y = F.when(F.col("outcome") == "success", 1.0).otherwise(0.0)
     memory, chain, live = F.col("predicted") >= F.col("hire_threshold"), F.col("p0") >= params.HIRE_AT, ~F.col("inferred_expiry")
     naive = F.col("predicted") >= params.HIRE_AT
     changed = live & (memory != chain)
     rejected = live & ~memory & naive
-    backed = live & ((F.col("predicted") != F.col("p0")) | (F.col("hire_threshold") != params.HIRE_AT))
     base = F.lit(params.BASE_RATE)
     return eps.agg(
         F.count("*").alias("episodes"), F.avg(F.when(F.col("correct"), 1.0).otherwise(0.0)).alias("accuracy"), F.avg("brier").alias("brier"), F.avg((base - y) * (base - y)).alias("base_brier"),
         F.count_if(changed).alias("changed"), F.count_if(changed & (memory == (y == 1.0))).alias("changed_right"), F.countDistinct(F.when(changed, F.col("provider"))).alias("providers"),
-        F.count_if(rejected).alias("policy_rejected"), F.count_if(rejected & (y == 0.0)).alias("policy_rejected_failed"), F.count_if(backed).alias("memory_backed"),
-    ).withColumn("config", F.lit(config))
+        F.count_if(rejected).alias("policy_rejected"), F.count_if(rejected & (y == 0.0)).alias("policy_rejected_failed"),
+    )
 
 
 def ablation(events: DataFrame, configs: str = "ABCD") -> DataFrame:
-    b = prepare(events, with_rules=bool(set(configs) & {"A", "C"}))
+    """A row per configuration: rules only, threshold only, both, and nothing recalled."""
+    chosen = {name: CONFIGS[name] for name in configs}
+    b = prepare(events, with_rules=any(c.rules for c in chosen.values()))
+    ledgers = {p: staged(ledger(b, p)) for p in sorted({c.p for c in chosen.values() if c.ledger})}
     out = None
-    for name, p, learn in CONFIGS:
-        if name in configs:
-            row = summarise(name, scored(b, p, learn))
-            out = row if out is None else out.unionByName(row)
+    for name, c in chosen.items():
+        held = ledgers.get(c.p) if c.ledger else None
+        row = summarise(scored(b, c, held)).crossJoin(memory_backed(b, c, held)).withColumn("config", F.lit(name))  # one row each
+        out = row if out is None else out.unionByName(row)
     return out
 
 

@@ -284,9 +284,8 @@ def predict_chain_only(spark, sf_dir):
     return places(rows.select("job_id", "provider_prior_rate", "p0", "decision"), "provider_prior_rate", "p0")
 
 
-EPISODES_SQL = STATE_SQL.rstrip() + """,
-eps AS (SELECT *, p0 AS predicted, (p0 >= 0.5) = (outcome = 'success') AS correct, (p0 - (outcome = 'success')::INT) * (p0 - (outcome = 'success')::INT) AS brier, (outcome = 'success')::INT AS y FROM res WHERE outcome IS NOT NULL)
-"""
+_EPS_SQL = "eps AS (SELECT *, p0 AS predicted, (p0 >= 0.5) = (outcome = 'success') AS correct, (p0 - (outcome = 'success')::INT) * (p0 - (outcome = 'success')::INT) AS brier, (outcome = 'success')::INT AS y FROM res WHERE outcome IS NOT NULL)"
+EPISODES_SQL = f"{STATE_SQL.rstrip()}, {_EPS_SQL}\n"
 
 
 def _episodes(spark, sf_dir) -> DataFrame:
@@ -348,13 +347,16 @@ def calibration_brier(spark, sf_dir):
     return places(calibration.calibration_brier(_episodes(spark, sf_dir)), "binned_brier")
 
 
-LEDGER_SQL = EPISODES_SQL.rstrip() + """,
-asked AS (SELECT DISTINCT funding_block AS block FROM views),
-bb AS (SELECT resolved_at_block AS block, least(floor(predicted * 10), 9)::INT AS bin, count(*) AS n, count(*) FILTER (y = 1) AS hits FROM eps GROUP BY 1, 2),
-led AS (SELECT a.block, g.bin::INT AS bin, coalesce(sum(bb.n), 0)::BIGINT AS n, coalesce(sum(bb.hits), 0)::BIGINT AS hits FROM asked a CROSS JOIN range(10) g(bin) LEFT JOIN bb ON bb.bin = g.bin AND bb.block < a.block GROUP BY 1, 2),
-suf AS (SELECT *, sum(n) OVER w AS sn, sum(hits) OVER w AS sh FROM led WINDOW w AS (PARTITION BY block ORDER BY bin ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)),
-bar AS (SELECT block, coalesce(CASE WHEN sum(n) >= 200 THEN min(CASE WHEN sn >= 200 AND sh / sn >= 0.5 THEN bin END) END / 10, 0.5)::DOUBLE AS hire_threshold FROM suf GROUP BY block)
-"""
+def _ledger_sql(p: str, eps: str, mark: str = "") -> str:
+    """The ledger of column p before each block with a decision (led) and the bars that it teaches (bar), as further tables."""
+    return f"""bb{mark} AS (SELECT resolved_at_block AS block, least(floor({p} * 10), 9)::INT AS bin, count(*) AS n, count(*) FILTER (y = 1) AS hits FROM {eps} GROUP BY 1, 2),
+led{mark} AS (SELECT a.block, g.bin::INT AS bin, coalesce(sum(bb.n), 0)::BIGINT AS n, coalesce(sum(bb.hits), 0)::BIGINT AS hits FROM asked a CROSS JOIN range(10) g(bin) LEFT JOIN bb{mark} bb ON bb.bin = g.bin AND bb.block < a.block GROUP BY 1, 2),
+suf{mark} AS (SELECT *, sum(n) OVER w AS sn, sum(hits) OVER w AS sh FROM led{mark} WINDOW w AS (PARTITION BY block ORDER BY bin ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)),
+bar{mark} AS (SELECT block, coalesce(CASE WHEN sum(n) >= 200 THEN min(CASE WHEN sn >= 200 AND sh / sn >= 0.5 THEN bin END) END / 10, 0.5)::DOUBLE AS hire_threshold FROM suf{mark} GROUP BY block)"""
+
+
+_ASKED_SQL = "asked AS (SELECT DISTINCT funding_block AS block FROM views)"
+LEDGER_SQL = f"{EPISODES_SQL.rstrip()}, {_ASKED_SQL}, {_ledger_sql('p0', 'eps')}\n"
 
 
 def _ledger(spark, sf_dir) -> DataFrame:
@@ -377,36 +379,24 @@ def threshold_trajectory(spark, sf_dir):
     return calibration.threshold_trajectory(calibration.thresholds(_ledger(spark, sf_dir)))
 
 
-_CONFIG = """SELECT '{name}' AS config, count(*) AS episodes, round(avg(((p0 >= {bar}) = (y = 1))::INT), 9) AS accuracy, round(avg(brier), 9) AS brier, round(avg((0.7947 - y) * (0.7947 - y)), 9) AS base_brier,
-count(*) FILTER (NOT inferred_expiry AND (p0 >= {bar}) <> (p0 >= 0.5)) AS changed, count(*) FILTER (NOT inferred_expiry AND (p0 >= {bar}) <> (p0 >= 0.5) AND (p0 >= {bar}) = (y = 1)) AS changed_right,
-count(DISTINCT CASE WHEN NOT inferred_expiry AND (p0 >= {bar}) <> (p0 >= 0.5) THEN provider END) AS providers, count(*) FILTER (NOT inferred_expiry AND p0 < {bar} AND p0 >= 0.5) AS policy_rejected,
-count(*) FILTER (NOT inferred_expiry AND p0 < {bar} AND p0 >= 0.5 AND y = 0) AS policy_rejected_failed, count(*) FILTER (NOT inferred_expiry AND {bar} <> 0.5) AS memory_backed FROM eps JOIN bar ON bar.block = eps.funding_block"""
+def _config_sql(name: str, p: str, eps: str, bar: str, led: str | None, ruled: str = "false") -> str:
+    """One configuration's row, from episodes and views with column {p}, bars per block and the ledger."""
+    seen = f"EXISTS (FROM {led} l WHERE l.block = w.funding_block AND l.bin = least(floor(w.{p} * 10), 9) AND l.n >= 20)" if led else "false"
+    bars = f"JOIN {bar} b ON b.block = {{}}.funding_block" if bar else ""
+    at = "b.hire_threshold" if bar else "0.5"
+    call, chain = f"({p} >= {at})", "(p0 >= 0.5)"
+    return f"""SELECT '{name}' AS config, count(*) AS episodes, round(avg(({call} = (y = 1))::INT), 9) AS accuracy, round(avg(({p} - y) * ({p} - y)), 9) AS brier, round(avg((0.7947 - y) * (0.7947 - y)), 9) AS base_brier,
+count(*) FILTER (NOT inferred_expiry AND {call} <> {chain}) AS changed, count(*) FILTER (NOT inferred_expiry AND {call} <> {chain} AND {call} = (y = 1)) AS changed_right,
+count(DISTINCT CASE WHEN NOT inferred_expiry AND {call} <> {chain} THEN provider END) AS providers, count(*) FILTER (NOT inferred_expiry AND NOT {call} AND {p} >= 0.5) AS policy_rejected,
+count(*) FILTER (NOT inferred_expiry AND NOT {call} AND {p} >= 0.5 AND y = 0) AS policy_rejected_failed,
+(SELECT count(*) FROM (SELECT {ruled} AS ruled, {seen} AS seen, {at} <> 0.5 AS moved FROM {"wf" if ruled != "false" else "views"} w {bars.format("w")}) WHERE ruled OR seen OR moved) AS memory_backed FROM {eps} e {bars.format("e")}"""
 
 
-@query(LEDGER_SQL + _CONFIG.format(name="B", bar="hire_threshold") + " UNION ALL " + _CONFIG.format(name="D", bar="0.5"))
+@query(LEDGER_SQL + _config_sql("B", "p0", "eps", "bar", "led") + " UNION ALL " + _config_sql("D", "p0", "eps", "", None))
 def ablation_without_rules(spark, sf_dir):
     return places(backtest.ablation(market(spark, sf_dir), "BD"), "accuracy", "brier", "base_brier")
 
 
-@query()
-def ablation(spark, sf_dir):
-    return places(backtest.ablation(market(spark, sf_dir)), "accuracy", "brier", "base_brier")
-
-
-def _reversed_calls(spark, sf_dir) -> DataFrame:
-    return episodes.reversals(backtest.scored(backtest.prepare(market(spark, sf_dir)), "p_final", True))
-
-
-@query()
-def reversals(spark, sf_dir):
-    return places(_reversed_calls(spark, sf_dir), "chain_p", "memory_p")
-
-
-@query()
-def reversal_direction(spark, sf_dir):
-    return episodes.reversal_direction(_reversed_calls(spark, sf_dir))
-
-
 # --- rules -----------------------------------------------------------------------------------
 
 _LADDER_SQL = ", ".join(f"({k}, '{f}', '{op}', {v}::DOUBLE, coalesce({f}{'::INT' if f == 'repeat_pair' else ''} {'=' if op == '==' else op} {v}, false))" for k, (f, op, v) in enumerate(params.LADDER))
@@ -453,38 +443,105 @@ def rules_promoted(spark, sf_dir):
     return places(_rules(spark, sf_dir), "delta_logit", "baseline_rate", "conditional_rate")
 
 
+_HOLDS = "CASE r.rung " + " ".join(f"WHEN {k} THEN coalesce({f}{'::INT' if f == 'repeat_pair' else ''} {'=' if op == '==' else op} {v}, false)" for k, (f, op, v) in enumerate(params.LADDER)) + " END"
+
+
 @query(
     RULES_SQL
     + """SELECT v.job_id, r.rule_id, r.field FROM views v JOIN rules r ON r.subject = v.provider AND r.created_at_block < v.funding_block
-WHERE CASE r.rung """
-    + " ".join(f"WHEN {k} THEN coalesce({f}{'::INT' if f == 'repeat_pair' else ''} {'=' if op == '==' else op} {v}, false)" for k, (f, op, v) in enumerate(params.LADDER))
-    + " END"
+WHERE """
+    + _HOLDS
 )
 def rule_matches(spark, sf_dir):
     resolved = _resolved(spark, sf_dir)
     return mining.rule_matches(resolved, mining.promoted_rules(mining.rule_candidates(mining.rule_observations(resolved)))).select("job_id", "rule_id", "field")
 
 
-@query()
+_RULE = "{{'id': r.id, 'delta': r.delta, 'chance': r.chance, 'status': {status}, 'n': {n}, 'hits': {hits}, 'recent': {recent}}}"
+_RIGHT = "((r.delta < 0) <> completed)::INT"
+#: The trial of rules, a step at a time. Rules of one provider and field compete with each other alone, so those
+#: are the keys; st has their views and closings in order, fo the state after each, strongest rules first.
+FOLD_SQL = (RULES_SQL.rstrip() + f""",
+mt AS (SELECT v.provider, v.job_id, v.funding_block, v.log_index, r.field, r.rule_id FROM views v JOIN rules r ON r.subject = v.provider AND r.created_at_block < v.funding_block WHERE {_HOLDS}),
+st AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY provider, field ORDER BY block, phase, log_index, job_id) AS step FROM (
+   SELECT provider, field, job_id, funding_block AS block, 0 AS phase, log_index, list(rule_id) AS matched, NULL::BOOLEAN AS completed FROM mt GROUP BY ALL
+   UNION ALL SELECT DISTINCT provider, field, job_id, resolved_at_block, 1, resolved_log_index, NULL::VARCHAR[], outcome = 'success' FROM mt JOIN res USING (provider, job_id) WHERE outcome IS NOT NULL AND NOT inferred_expiry)),
+fo AS (SELECT subject AS provider, field, 0::BIGINT AS step, NULL::BIGINT AS job_id, 1 AS phase, NULL::BIGINT AS block, NULL::BIGINT AS log_index, NULL::VARCHAR AS used, []::STRUCT(job BIGINT, id VARCHAR)[] AS waiting,
+     list({{'id': rule_id, 'delta': delta_logit, 'chance': CASE WHEN delta_logit < 0 THEN 1 - baseline_rate ELSE baseline_rate END, 'status': 'provisional', 'n': 0, 'hits': 0, 'recent': []::INT[]}} ORDER BY abs(delta_logit) DESC, rule_id) AS rules FROM rules GROUP BY 1, 2
+   UNION ALL SELECT provider, field, step, job_id, phase, block, log_index, used,
+     CASE WHEN phase = 1 THEN [w for w in waiting if w.job <> job_id] WHEN used IS NULL THEN waiting ELSE list_append(waiting, {{'job': job_id, 'id': used}}) END,
+     [CASE WHEN phase = 1 AND r.id = used AND r.status <> 'demoted' AND r.n >= 10 THEN {_RULE.format(status="CASE WHEN list_sum(r.recent) / len(r.recent) > r.chance THEN 'graduated' ELSE 'demoted' END", n="r.n", hits="r.hits", recent="r.recent")} ELSE r END for r in tried]
+   FROM (SELECT *, CASE WHEN phase = 0 THEN rules ELSE [CASE WHEN r.id = used AND r.status <> 'demoted' THEN {_RULE.format(status="r.status", n="r.n + 1", hits=f"r.hits + {_RIGHT}", recent=f"list_append(r.recent, {_RIGHT})[-10:]")} ELSE r END for r in rules] END AS tried
+     FROM (SELECT f.provider, f.field, s.step, s.job_id, s.phase, s.block, s.log_index, s.completed, f.waiting, f.rules,
+        CASE WHEN s.phase = 0 THEN ([r.id for r in f.rules if list_contains(s.matched, r.id) AND r.status <> 'demoted'])[1] ELSE ([w.id for w in f.waiting if w.job = s.job_id])[1] END AS used
+        FROM fo f JOIN st s ON s.provider = f.provider AND s.field = f.field AND s.step = f.step + 1))),
+ap AS (SELECT job_id, block AS funding_block, log_index, used AS rule_id, field, r.delta AS delta, CASE r.status WHEN 'graduated' THEN 1.0 ELSE 0.5 END::DOUBLE AS weight
+       FROM (SELECT *, ([r for r in rules if r.id = used])[1] AS r FROM fo WHERE phase = 0 AND used IS NOT NULL)),
+ends AS (SELECT unnest(arg_max(rules, step)) AS r FROM fo GROUP BY provider, field),
+pushed AS (SELECT job_id, funding_block, log_index, sum(delta * weight) AS push, string_agg(rule_id || ' ' || field || ' ' || printf('%.4f', delta * weight), '; ' ORDER BY rule_id) AS rules_applied FROM ap GROUP BY 1, 2, 3),
+wf AS (SELECT v.*, rules_applied, CASE WHEN push IS NULL THEN p0 ELSE 1 / (1 + exp(-(ln(p0 / (1 - p0)) + push))) END AS pf FROM views v LEFT JOIN pushed USING (job_id, funding_block, log_index)),
+{_EPS_SQL},
+ef AS (SELECT e.*, pf FROM eps e JOIN wf USING (job_id, funding_block, log_index)),
+{_ASKED_SQL}, {_ledger_sql("p0", "eps")}, {_ledger_sql("pf", "ef", "f")}
+""").replace("WITH ", "WITH RECURSIVE ", 1)
+
+
+@query(FOLD_SQL + """SELECT rule_id, subject, '{"field":"' || field || '","op":"' || op || '","value":' || value || '}' AS condition, round(delta_logit, 4) AS delta_logit, r.status AS status, r.n::BIGINT AS applications, r.hits::BIGINT AS hits FROM rules JOIN ends ON r.id = rule_id""")
 def rule_lifecycle(spark, sf_dir):
     b = backtest.prepare(market(spark, sf_dir))
     at_end = lifecycle.rules_at_end(b.rules, b.lifecycle)
     return at_end.select("rule_id", "subject", F.to_json(F.struct("field", "op", "value")).alias("condition"), F.round("delta_logit", 4).alias("delta_logit"), "status", "applications", "hits")
 
 
-@query()
+@query(FOLD_SQL + "SELECT r.status AS status, count(*) AS rules, count(DISTINCT subject) AS providers, sum(r.n)::BIGINT AS applications, sum(r.hits)::BIGINT AS hits FROM rules JOIN ends ON r.id = rule_id GROUP BY 1")
 def rule_summary(spark, sf_dir):
     b = backtest.prepare(market(spark, sf_dir))
     return lifecycle.rule_summary(lifecycle.rules_at_end(b.rules, b.lifecycle))
 
 
-@query()
+@query(FOLD_SQL + "SELECT job_id, round(p0, 9) AS p0, round(pf, 9) AS p_final, coalesce(rules_applied, '') AS rules_applied FROM wf")
 def predict_with_rules(spark, sf_dir):
     b = backtest.prepare(market(spark, sf_dir))
     why = F.transform("rules_applied", lambda r: F.concat_ws(" ", r["rule_id"], r["field"], F.format_number(r["delta"] * r["weight"], 4)))
     return places(b.views.select("job_id", "p0", "p_final", F.array_join(F.coalesce(why, F.array().cast("array<string>")), "; ").alias("rules_applied")), "p0", "p_final")
 
 
+@query(
+    FOLD_SQL
+    + " UNION ALL ".join(
+        [
+            _config_sql("A", "pf", "ef", "", "ledf", "rules_applied IS NOT NULL"),
+            _config_sql("B", "p0", "eps", "bar", "led"),
+            _config_sql("C", "pf", "ef", "barf", "ledf", "rules_applied IS NOT NULL"),
+            _config_sql("D", "p0", "eps", "", None),
+        ]
+    )
+)
+def ablation(spark, sf_dir):
+    return places(backtest.ablation(market(spark, sf_dir)), "accuracy", "brier", "base_brier")
+
+
+_REVERSED_SQL = FOLD_SQL.rstrip() + """,
+rv AS (SELECT job_id, provider, amount, budget_set_count, repeat_pair, round(p0, 9) AS chain_p, round(pf, 9) AS memory_p, CASE WHEN p0 >= 0.5 THEN 'HIRE' ELSE 'DO NOT HIRE' END AS chain_call, CASE WHEN pf >= hire_threshold THEN 'HIRE' ELSE 'DO NOT HIRE' END AS memory_call,
+   CASE WHEN y = 1 THEN 'completed' ELSE 'failed' END AS outcome, (pf >= hire_threshold) = (y = 1) AS memory_right FROM ef JOIN barf b ON b.block = ef.funding_block WHERE NOT inferred_expiry AND (pf >= hire_threshold) <> (p0 >= 0.5))
+"""
+
+
+def _reversed_calls(spark, sf_dir) -> DataFrame:
+    """Calls that rules and threshold together turned."""
+    return episodes.reversals(backtest.scored(backtest.prepare(market(spark, sf_dir)), backtest.CONFIGS["C"]))
+
+
+@query(_REVERSED_SQL + "SELECT * FROM rv")
+def reversals(spark, sf_dir):
+    return places(_reversed_calls(spark, sf_dir), "chain_p", "memory_p")
+
+
+@query(_REVERSED_SQL + 'SELECT chain_call, memory_call, count(*) AS changed, count(*) FILTER (memory_right) AS "right" FROM rv GROUP BY 1, 2')
+def reversal_direction(spark, sf_dir):
+    return episodes.reversal_direction(_reversed_calls(spark, sf_dir))
+
+
 @query(
     RULES_SQL
     + """SELECT provider, count(*) AS observed, count(*) FILTER (completed) AS completed, max(blk) AS last_block,

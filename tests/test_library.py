@@ -195,7 +195,7 @@ def test_snapshots_roll_forward(spark):
     assert sorted(map(tuple, whole.collect())) == sorted(map(tuple, parts.collect()))
 
 
-QUICK = ["funnel", "provider_table", "rejector_roles", "fee_to_creator", "inflight_jobs", "client_asof", "median_completed_amount", "response_gate", "reliability_curve", "response_verdicts", "pending_requests", "validate_requirements", "requirement_texts"]
+QUICK = ["funnel", "provider_table", "rejector_roles", "fee_to_creator", "inflight_jobs", "client_asof", "median_completed_amount", "response_gate", "reliability_curve", "response_verdicts", "pending_requests", "validate_requirements", "requirement_texts", "rule_lifecycle", "ablation"]
 
 
 @pytest.mark.parametrize("name", QUICK)
