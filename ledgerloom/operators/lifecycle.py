@@ -7,8 +7,9 @@ per rung) and its open decisions, never the provider's whole history.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import asdict, dataclass, field
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -56,37 +57,62 @@ def strongest(matches: list[dict], rules: dict[str, Managed]) -> list[tuple[str,
     return sorted(x for _, x in best.values())
 
 
-def fold(rows: Iterator[dict], trial: int = params.TRIAL) -> Iterator[tuple]:
-    """Rows of one or more providers in order: views (with matches) and closings (with completed)."""
-    provider, rules, open_ = None, {}, {}
+@dataclass
+class Trials:
+    """One provider's rules and open decisions; the state of the fold, batch or stream."""
 
-    def states() -> Iterator[tuple]:
-        for rule_id, r in sorted(rules.items()):
-            yield ("rule", None, provider, None, None, rule_id, None, r.delta, params.WEIGHTS.get(r.status), r.status, r.applications, r.hits)
+    rules: dict[str, Managed] = field(default_factory=dict)
+    waiting: dict[int, list[str]] = field(default_factory=dict)
 
-    for row in rows:
-        if row["provider"] != provider:
-            yield from states()
-            provider, rules, open_ = row["provider"], {}, {}
+    def step(self, row: dict, trial: int = params.TRIAL) -> Iterator[tuple]:
+        """Take one view (phase 0, with matches) or closing (with completed); FOLD rows of kind applied."""
         if row["phase"] == 0:
-            applied = strongest(row["matches"], rules)
-            open_[row["job_id"]] = [r for r, *_ in applied]
+            applied = strongest(row["matches"], self.rules)
+            self.waiting[row["job_id"]] = [r for r, *_ in applied]
             for rule_id, name, delta, weight in applied:
-                yield ("applied", row["job_id"], provider, row["block"], row["log_index"], rule_id, name, delta, weight, rules[rule_id].status, None, None)
+                yield ("applied", row["job_id"], row["provider"], row["block"], row["log_index"], rule_id, name, delta, weight, self.rules[rule_id].status, None, None)
         else:
-            for rule_id in open_.pop(row["job_id"], []):
-                rules[rule_id].apply(row["completed"], trial)
-    yield from states()
+            for rule_id in self.waiting.pop(row["job_id"], []):
+                self.rules[rule_id].apply(row["completed"], trial)
 
+    def states(self, provider: str) -> Iterator[tuple]:
+        """FOLD rows of kind rule: where each rule stands."""
+        for rule_id, r in sorted(self.rules.items()):
+            yield ("rule", None, provider, None, None, rule_id, None, r.delta, params.WEIGHTS.get(r.status), r.status, r.applications, r.hits)
 
-def rule_lifecycle(views: DataFrame, resolved: DataFrame, rules: DataFrame, trial: int = params.TRIAL) -> DataFrame:
-    """FOLD rows: kind applied (a rule that moved a decision) and kind rule (a matched rule's end state)."""
+    def to_json(self) -> str:
+        return json.dumps({"rules": {k: asdict(r) for k, r in self.rules.items()}, "waiting": list(self.waiting.items())})
+
+    @classmethod
+    def from_json(cls, held: str) -> Trials:
+        found = json.loads(held)
+        return cls({k: Managed(**r) for k, r in found["rules"].items()}, dict(map(tuple, found["waiting"])))
+
+
+def fold(rows: Iterator[dict], trial: int = params.TRIAL) -> Iterator[tuple]:
+    """Rows of one or more providers in order: views (with matches) and closings (with completed)."""
+    provider, trials = None, Trials()
+    for row in rows:
+        if row["provider"] != provider:
+            yield from trials.states(provider)
+            provider, trials = row["provider"], Trials()
+        yield from trials.step(row, trial)
+    yield from trials.states(provider)
+
+
+def trial_rows(views: DataFrame, resolved: DataFrame, rules: DataFrame) -> DataFrame:
+    """What the fold takes: views that some rule matches, and the closings of their jobs."""
     match = F.struct("rule_id", "field", "delta_logit", "baseline_rate")
     decided = rule_matches(views, rules).groupBy("provider", "job_id", "funding_block", "log_index").agg(F.sort_array(F.collect_list(match)).alias("matches"))
     none = F.array().cast("array<struct<rule_id:string,field:string,delta_logit:double,baseline_rate:double>>")
     asked = decided.select("provider", F.col("funding_block").alias("block"), F.lit(0).alias("phase"), "log_index", "job_id", "matches", F.lit(None).cast("boolean").alias("completed"))
     closed = resolved.where("outcome is not null and not inferred_expiry").join(decided.select("job_id").distinct(), "job_id", "left_semi")
     ended = closed.select("provider", F.col("resolved_at_block").alias("block"), F.lit(1).alias("phase"), F.col("resolved_log_index").alias("log_index"), "job_id", none.alias("matches"), (F.col("outcome") == "success").alias("completed"))
+    return asked.unionByName(ended)
+
+
+def rule_lifecycle(views: DataFrame, resolved: DataFrame, rules: DataFrame, trial: int = params.TRIAL) -> DataFrame:
+    """FOLD rows: kind applied (a rule that moved a decision) and kind rule (a matched rule's end state)."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         def rows() -> Iterator[dict]:
@@ -102,7 +128,7 @@ def rule_lifecycle(views: DataFrame, resolved: DataFrame, rules: DataFrame, tria
         if held:
             yield pd.DataFrame(held, columns=COLUMNS)
 
-    dealt = asked.unionByName(ended).repartition("provider").sortWithinPartitions("provider", "block", "phase", "log_index", "job_id")
+    dealt = trial_rows(views, resolved, rules).repartition("provider").sortWithinPartitions("provider", "block", "phase", "log_index", "job_id")
     return dealt.mapInPandas(run, FOLD)
 
 

@@ -18,6 +18,8 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from .. import params
 from ..functions.decode import decode, schema
 from ..functions.probability import evidence_weight
+from ..operators.lifecycle import COLUMNS as FOLD_COLUMNS
+from ..operators.lifecycle import FOLD, Trials
 
 
 def settle(spark: SparkSession, landed: str, out: str, confirmations: int = params.CONFIRMATIONS):
@@ -31,14 +33,16 @@ def settle(spark: SparkSession, landed: str, out: str, confirmations: int = para
     def run(batch: DataFrame, number: int) -> None:
         decode(batch).write.mode("overwrite").parquet(f"{landed}/batch={number}")
         every = spark.read.parquet(landed).where(F.col("batch") <= number)
-        head = every.agg(F.max("block").alias("h")).first()["h"]
         try:
             done = spark.read.parquet(out).where(F.col("batch") < number).agg(F.max("block").alias("b")).first()["b"]
         except Exception as e:  # nothing settled yet
             if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
                 raise
             done = None
-        ready = every.where((F.col("block") <= (head if head is not None else 0) - confirmations) & (F.col("block") > (done if done is not None else -1)))
+        # the filter on block reaches the scan, so what is settled isn't read again
+        fresh = every.where(F.col("block") > (done if done is not None else -1))
+        head = fresh.agg(F.max("block").alias("h")).first()["h"]
+        ready = fresh.where(F.col("block") <= (head if head is not None else 0) - confirmations)
         ready.drop("batch").dropDuplicates(["block", "log_index"]).write.mode("overwrite").parquet(f"{out}/batch={number}")
 
     return run
@@ -48,16 +52,87 @@ def tail(logs: DataFrame, landed: str, out: str, checkpoint: str, confirmations:
     return logs.writeStream.foreachBatch(settle(logs.sparkSession, landed, out, confirmations)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-BALANCES = ("d_funded", "d_completed", "d_expired", "d_self", "d_open")
+BALANCES = ("d_created", "d_funded", "d_completed", "d_expired", "d_self", "d_open")
 
 
-def roll_forward(snapshot: DataFrame | None, state: DataFrame, key: str = "provider") -> DataFrame:
-    """The snapshot after a batch: opening balances plus the batch's changes (rows of with_job_state)."""
-    new = state.where(F.col(key).isNotNull()).groupBy(key).agg(*[F.sum(c).cast("long").alias(c) for c in BALANCES], F.max("acted_at").alias("acted_at"))
-    if snapshot is None:
-        return new
-    both = snapshot.unionByName(new)
-    return both.groupBy(key).agg(*[F.sum(c).cast("long").alias(c) for c in BALANCES], F.max("acted_at").alias("acted_at"))
+def roll_forward(snapshot: DataFrame | None, state: DataFrame, *keys: str) -> DataFrame:
+    """The snapshot after a batch: opening balances plus the batch's changes (rows of with_job_state).
+
+    keys: provider (the default), client, or both for pairs.
+    """
+    keys = keys or ("provider",)
+    sums = [F.sum(c).cast("long").alias(c) for c in BALANCES]
+    new = state.dropna(subset=list(keys)).groupBy(*keys).agg(*sums, F.max("acted_at").alias("acted_at"))
+    return new if snapshot is None else snapshot.unionByName(new).groupBy(*keys).agg(*sums, F.max("acted_at").alias("acted_at"))
+
+
+# fixed values: the counts of a view that open with a balance, by key
+OPENING = {
+    ("provider",): {"provider_prior_funded": "d_funded", "provider_prior_completed": "d_completed", "provider_prior_rejected_by_self": "d_self", "provider_prior_expired": "d_expired", "provider_concurrent_open": "d_open"},
+    ("client",): {"client_prior_created": "d_created", "client_prior_funded": "d_funded"},
+    ("client", "provider"): {"pair_prior_jobs": "d_funded", "pair_prior_completed": "d_completed"},
+}
+
+
+def with_opening(views: DataFrame, snapshot: DataFrame, *keys: str) -> DataFrame:
+    """Views of one batch, whose counts know that batch alone, with the history before it added."""
+    counts = OPENING[keys]
+    held = snapshot.select(*keys, *[F.col(c).alias(f"_{n}") for n, c in counts.items()])
+    return views.join(held, list(keys), "left").withColumns({n: F.col(n) + F.coalesce(f"_{n}", F.lit(0)) for n in counts}).drop(*[f"_{n}" for n in counts])
+
+
+def stream_rules(rows: DataFrame, trial: int = params.TRIAL) -> DataFrame:
+    """The trial of rules on a stream of trial_rows, whole blocks at a time; the state is that of the batch fold.
+
+    Every batch gives the rules that moved its decisions, and where each rule of its providers stands after it.
+    """
+
+    def update(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        trials = Trials.from_json(state.get[0]) if state.exists else Trials()
+        found = pd.concat(list(batches)).sort_values(["block", "phase", "log_index", "job_id"])
+        out = [x for row in found.to_dict("records") for x in trials.step(row, trial)]
+        state.update((trials.to_json(),))
+        yield pd.DataFrame([*out, *trials.states(key[0])], columns=FOLD_COLUMNS)
+
+    return rows.groupBy("provider").applyInPandasWithState(update, FOLD, "trials string", "append", GroupStateTimeout.NoTimeout)
+
+
+EPISODE = "job_id long, outcome string, failure_kind string, resolved_at_block long, inferred_expiry boolean"
+
+
+def stream_episodes(events: DataFrame) -> DataFrame:
+    """Outcomes of funded jobs as they become known; a pending decision waits in keyed state for its end or deadline.
+
+    events: decoded, with event_time (timestamp, watermarked). The first terminal event in a block not
+    before the first funding closes a job; a deadline that the watermark passes makes an
+    inferred failure, with the block of the funding as no event has closed it.
+    """
+
+    def update(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        done, deadline, funded = state.get if state.exists else (False, 0, -1)
+        out = []
+        if state.hasTimedOut:
+            done = True
+            out.append((key[0], "failure", "JobExpired", funded, True))
+        else:
+            rows = pd.concat(list(batches)).sort_values(["block", "log_index"])
+            made, paid = rows[rows["kind"] == "JobCreated"], rows[rows["kind"] == "JobFunded"]
+            if len(made) and pd.notna(made["expired_at"].iloc[-1]):
+                deadline = int(made["expired_at"].iloc[-1])
+            if funded < 0 and len(paid):
+                funded = int(paid["block"].iloc[0])
+            ends = rows[rows["kind"].isin(params.TERMINAL) & (rows["block"] >= funded)]
+            if not done and funded >= 0 and len(ends):
+                done, kind = True, ends["kind"].iloc[0]
+                won = kind == "JobCompleted"
+                out.append((key[0], "success" if won else "failure", None if won else kind, int(ends["block"].iloc[0]), False))
+        state.update((done, deadline, funded))
+        if not done and funded >= 0 and deadline > 0:
+            state.setTimeoutTimestamp(max(deadline * 1000, state.getCurrentWatermarkMs() + 1))
+        if out:
+            yield pd.DataFrame(out, columns=[c.split()[0] for c in EPISODE.split(", ")])
+
+    return events.groupBy("job_id").applyInPandasWithState(update, schema(EPISODE), "done boolean, deadline long, funded long", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 VERDICT = schema("job_id long, state string, block long")

@@ -195,6 +195,59 @@ def test_snapshots_roll_forward(spark):
     assert sorted(map(tuple, whole.collect())) == sorted(map(tuple, parts.collect()))
 
 
+def test_views_open_with_the_snapshot(spark):
+    state = features.with_job_state(spark.createDataFrame(random_events(7), decode.EVENT)).cache()
+    old, new = state.where("block <= 20"), state.where("block > 20")
+    for keys, asof in ((("provider",), features.provider_asof), (("client",), features.client_asof), (("client", "provider"), features.pair_asof)):
+        names = [*features.VIEW, *live.OPENING[keys]]
+        whole = asof(state).where("funding_block > 20").select(names)
+        part = asof(new).join(state.select("job_id", "client", "provider").where("client is not null and provider is not null").distinct(), "job_id")
+        got = live.with_opening(part, live.roll_forward(None, old, *keys), *keys).select(names)
+        assert whole.count() and sorted(map(tuple, got.collect())) == sorted(map(tuple, whole.collect()))
+
+
+def test_streamed_rules_stand_where_the_fold_leaves_them(spark, tmp_path):
+    r = random.Random(5)
+    rows, at = [], 0
+    for k in range(60):
+        match = [(f"R-{i}", r.choice(["amount", "repeat_pair"]) if i < 0 else ["amount", "repeat_pair"][i % 2], [-1.0, 1.5, -2.0][i], [0.5, 0.4, 0.6][i]) for i in range(3) if r.random() < 0.7]
+        provider = f"p{k % 2}"
+        rows.append((provider, at, 0, 0, k, match, None))
+        rows.append((provider, at + 1, 1, 0, k, [], r.random() < 0.4))
+        at += 2
+    schema = "provider string, block long, phase int, log_index long, job_id long, matches array<struct<rule_id:string,field:string,delta_logit:double,baseline_rate:double>>, completed boolean"
+    whole = spark.createDataFrame(rows, schema)
+    for k in range(3):
+        whole.where(f"block div 40 = {k}").coalesce(1).write.mode("append").json(str(tmp_path / "in"))
+    records = [x.asDict(recursive=True) for x in whole.orderBy("provider", "block", "phase").collect()]
+    want = list(lifecycle.fold(iter(records)))
+    files = sorted((f.stat().st_mtime_ns, json.loads(f.read_text().split("\n")[0])["block"], f) for f in (tmp_path / "in").glob("*.json"))
+    got = []
+    for k, (_, _, f) in enumerate(sorted(files, key=lambda x: x[1])):  # a file at a time, with a restart after each
+        (tmp_path / "src").mkdir(exist_ok=True)
+        (tmp_path / "src" / f"{k}.json").write_text(f.read_text())
+        stream = live.stream_rules(spark.readStream.schema(schema).json(str(tmp_path / "src")))
+        stream.writeStream.foreachBatch(lambda b, n: got.append([tuple(x) for x in b.collect()])).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start().awaitTermination()
+    applied = sorted(x for b in got for x in b if x[0] == "applied")
+    assert applied == sorted(x for x in want if x[0] == "applied")
+    last = {x[5]: x for b in got for x in b if x[0] == "rule" and x[2] == "p0"}
+    assert sorted(last.values(), key=lambda x: x[5]) == [x for x in want if x[0] == "rule" and x[2] == "p0"]
+
+
+def test_streamed_episodes(spark, tmp_path):
+    make = lambda kind, job, block, **x: {f.name: None for f in decode.EVENT} | dict(kind=kind, job_id=job, block=block, log_index=block, ts=2 * block) | x
+    rows = [make("JobCreated", j, 1, client="c", provider="p", expired_at=40) for j in range(4)] + [make("JobFunded", j, 3) for j in range(3)]
+    later = [make("JobCompleted", 0, 5), make("JobRejected", 0, 6), make("JobRejected", 1, 7), make("JobExpired", 3, 8), make("JobCreated", 9, 500, expired_at=5000)]
+    end = [make("JobCreated", 10, 600, expired_at=5000)]
+    got = []
+    (tmp_path / "in").mkdir()
+    for k, part in enumerate((rows, later, end, end)):
+        (tmp_path / "in" / f"{k}.json").write_text("\n".join(map(json.dumps, part)))
+        events = spark.readStream.schema(decode.EVENT).json(str(tmp_path / "in")).withColumn("event_time", F.timestamp_seconds("ts")).withWatermark("event_time", "1 second")
+        live.stream_episodes(events).writeStream.foreachBatch(lambda b, n: got.extend(map(tuple, b.collect()))).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start().awaitTermination()
+    assert sorted(got) == [(0, "success", None, 5, False), (1, "failure", "JobRejected", 7, False), (2, "failure", "JobExpired", 3, True)]
+
+
 QUICK = ["funnel", "provider_table", "rejector_roles", "fee_to_creator", "inflight_jobs", "client_asof", "median_completed_amount", "response_gate", "reliability_curve", "response_verdicts", "pending_requests", "validate_requirements", "requirement_texts", "rule_lifecycle", "ablation"]
 
 
