@@ -414,6 +414,32 @@ def test_embeddings(spark):
     assert embedding_dedup.embedding_dedup(df.limit(0)).count() == 0
 
 
+def test_embeddings_of_a_dense_label_lose_no_link(spark):
+    """Vectors of mutual cosine 0.8 with isolated pairs just above the limit, in blocks of several sizes."""
+    r = np.random.default_rng(5)
+    z = r.standard_normal((4000, 64))
+    z[:, 0] = 0
+    x = 0.2**0.5 * z / np.linalg.norm(z, axis=1)[:, None]
+    x[:, 0] = 0.8**0.5
+    for k in range(200):
+        y = r.standard_normal(64)
+        y -= (y @ x[2 * k]) * x[2 * k]
+        x[2 * k + 1] = 0.935 * x[2 * k] + (1 - 0.935**2) ** 0.5 * y / np.linalg.norm(y)
+    x = x[r.permutation(len(x))]
+    near = x @ x.T >= 0.93
+    np.fill_diagonal(near, False)
+    roots = list(range(len(x)))
+    for _ in range(len(x)):  # the least of all that links reach
+        least = [min([roots[k], *(roots[j] for j in np.flatnonzero(near[k]))]) for k in range(len(x))]
+        if least == roots:
+            break
+        roots = least
+    df = spark.createDataFrame([(k, v, 0) for k, v in enumerate(x.tolist())], "vec_id long, embedding array<double>, label int").repartition(4)
+    got = {q.vec_id: q for q in embedding_dedup.embedding_dedup(df).collect()}
+    assert [got[k].n_links for k in range(len(x))] == near.sum(axis=1).tolist() and near.sum() >= 400
+    assert [got[k].component_id for k in range(len(x))] == roots
+
+
 def test_names():
     assert [n for n in queries.QUERIES] == sorted(queries.QUERIES, key=lambda n: int(n[2:].split("_")[0]))
     assert {n[2:].split("_")[0] for n in queries.QUERIES} == {str(k) for k in range(1, 11)}
