@@ -9,11 +9,11 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerloom.llm import exact_dedup, mixing, packing, quality, simhash
-from ledgerloom.llm.common import cut, shared_folder, table
+from ledgerloom.llm.common import cut, join_by_size, shared_folder, table
 
 
 def wrapped(docs: DataFrame) -> DataFrame:
@@ -31,22 +31,39 @@ def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return unwrapped(scored.where("predicted = 1"), docs.columns)
 
 
+def row_key(sha: Column) -> Column:
+    return F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), sha).alias("_key")
+
+
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group of equal texts: that of the largest doc_id, any one of rows that tie in it."""
     found = exact_dedup.exact_dedup(docs)
-    key = lambda sha: F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), sha).alias("_key")
-    named = cut(found.where("group_size > 1").groupBy(key(F.col("text_sha256"))).agg(F.max("kept").alias("_kept"), F.count("*").alias("_ties")))
-    keyed = docs.withColumn("_key", key(F.sha2(F.coalesce("text", F.lit("")), 256)))
+    named = cut(found.where("group_size > 1").groupBy(row_key(F.col("text_sha256"))).agg(F.max("kept").alias("_kept"), F.count("*").alias("_ties")))
+    keyed = docs.withColumn("_key", row_key(F.sha2(F.coalesce("text", F.lit("")), 256)))
     single = keyed.join(named.where("not _kept or _ties > 1"), "_key", "left_anti")
     tied = keyed.join(named.where("_kept and _ties > 1"), "_key", "left_semi").dropDuplicates(["_key"])
     return single.unionByName(tied).select(*docs.columns)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates: that of the smallest doc_id."""
-    found = simhash.near_duplicates(docs)
-    gone = cut(found.where("doc_id <> component_id or (doc_id is null and component_id is not null)").select(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("_id")).distinct())
-    return docs.withColumn("_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)))).join(gone, "_id", "left_anti").select(*docs.columns)
+    """One row of each group of near duplicates: that of the smallest doc_id, then of the smallest sha256 of its text.
+
+    Null ids come last. Rows are told apart by both, so other texts of a doc_id that is dropped, or null, stay; of rows
+    that tie in both any one is kept.
+    """
+    keyed = docs.withColumn("_key", row_key(F.sha2(F.coalesce("text", F.lit("")), 256)))
+    found = cut(simhash.fingerprints(keyed, "_key"))
+    least = found.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "_key")).alias("least"))
+    fps = cut(simhash.rooted(found).join(least, "fp"))
+    groups = fps.groupBy("root").agg(F.min("least")["_key"].alias("_least"), F.count("*").alias("n_fps"), F.sum("n_rows").alias("n")).where("n > 1")
+    of = cut(join_by_size(fps.select("fp", "n_rows", "root"), groups, "root", "n_fps", fps.count()).select("fp", "n_rows", "_least"))
+    rows = join_by_size(found, of, "fp", "n_rows", found.count())
+    named = cut(rows.groupBy("_key").agg(F.max(F.col("_key") == F.col("_least")).alias("_kept"), F.count("*").alias("_ties")))
+    single = keyed.join(named.where("not _kept or _ties > 1"), "_key", "left_anti")
+    ties = named.where("_kept and _ties > 1")
+    if not ties.isEmpty():
+        single = single.unionByName(keyed.join(ties, "_key", "left_semi").dropDuplicates(["_key"]))
+    return single.select(*docs.columns)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -16,6 +16,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import components, cut, join_by_size, spread
 
@@ -46,15 +47,16 @@ def fingerprint(text: str | None) -> int:
     return int(((2 * ones > n).astype(np.uint64) << np.arange(64, dtype=np.uint64)).sum(dtype=np.uint64))
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
-    """doc_id and fp (the fingerprint as a signed long) of each row; null and empty texts give 0."""
+def fingerprints(docs: DataFrame, *also: str) -> DataFrame:
+    """doc_id, fp (the fingerprint as a signed long) and the columns ``also`` of each row; null and empty texts give 0."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *also)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = np.array([fingerprint(t) for t in batch.column("text").to_pylist()], np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(found.view(np.int64))], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(found.view(np.int64)), *map(batch.column, also)], ["doc_id", "fp", *also])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, fp long")
+    return rows.mapInArrow(run, T.StructType([*T.StructType.fromDDL("doc_id long, fp long"), *(rows.schema[c] for c in also)]))
 
 
 def trie_pairs(fps: np.ndarray, runs: np.ndarray, errors: int = ERRORS) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -179,6 +181,13 @@ def links(distinct: DataFrame, limit: int = SUBTRIE) -> DataFrame:
     return dealt.mapInArrow(_join, "a long, b long")
 
 
+def rooted(found: DataFrame) -> DataFrame:
+    """fp, first (the smallest doc_id), n_rows and root of each distinct fingerprint; those of one component have one root."""
+    distinct = cut(found.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count("*").alias("n_rows")))
+    roots = cut(components(links(distinct)))
+    return distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", "first", "n_rows", F.coalesce("root", "fp").alias("root"))
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """A row per input row: doc_id, fp (signed long) and component_id.
 
@@ -187,9 +196,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     are ignored; an empty table gives no rows.
     """
     found = cut(fingerprints(docs))
-    distinct = cut(found.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count("*").alias("n_rows")))
-    roots = cut(components(links(distinct)))
-    rooted = distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", "first", "n_rows", F.coalesce("root", "fp").alias("root"))
-    least = rooted.groupBy("root").agg(F.min("first").alias("component_id"), F.count("*").alias("n_fps"))
-    of = cut(join_by_size(rooted, least, "root", "n_fps", distinct.count()).select("fp", "n_rows", "component_id"))
+    fps = cut(rooted(found))
+    least = fps.groupBy("root").agg(F.min("first").alias("component_id"), F.count("*").alias("n_fps"))
+    of = cut(join_by_size(fps, least, "root", "n_fps", fps.count()).select("fp", "n_rows", "component_id"))
     return join_by_size(found, of, "fp", "n_rows", found.count()).select("doc_id", "fp", "component_id")

@@ -3,6 +3,7 @@
 import random
 import re
 from collections import Counter
+from hashlib import sha256
 
 import pytest
 
@@ -62,6 +63,30 @@ def test_stages(spark, sf):
     assert +words == +want
 
 
+def test_near_copies_are_dropped_by_row(spark):
+    """Null and reused doc_ids: one row of each component stays, and no row goes for its doc_id alone."""
+    r = random.Random(3)
+    text = lambda: " ".join(f"word{r.randrange(4000)}" for _ in range(120))
+    a, b, c, d, e, f, g = (text() for _ in range(7))
+    near = {t: t.upper() for t in (a, b, c, d)}  # words fold, so the fingerprints agree
+    rows = [(1, a), (None, near[a])]  # a named row and its nameless near copy
+    rows += [(None, t) for t in (e, f)]  # nameless, without copies
+    rows += [(None, b), (None, near[b])]  # nameless both
+    rows += [(7, c), (7, near[c]), (7, g)]  # one doc_id, two near copies and another text
+    rows += [(2, d), (9, near[d]), (9, text())]  # a dropped doc_id whose other text stays
+    rows += [(5, text())] * 3 + [(None, text())] * 2  # equal rows
+    docs = spark.createDataFrame([(i, t, "en") for i, t in rows], "doc_id long, text string, fp string").repartition(3)
+    roots = linked(len(rows), lambda i, j: (plain_simhash(rows[i][1]) ^ plain_simhash(rows[j][1])).bit_count() <= 3)
+    least = {}
+    for (i, t), root in zip(rows, roots):
+        at = (i is None, i or 0, sha256(t.encode()).hexdigest())
+        least[root] = min((at, (i, t)), least.get(root, (at, (i, t))))
+    want = sorted((x for _, x in least.values()), key=repr)
+    assert len(want) == 10 and {(None, e), (None, f), (7, g)} <= set(want)
+    out = corpus_pipeline.drop_near_copies(spark, docs, "")
+    assert out.columns == docs.columns and sorted(((q.doc_id, q.text) for q in out.collect()), key=repr) == want
+
+
 def test_empty_tables(spark, sf, tmp_path):
     for t in ("documents", "labels"):
         spark.read.parquet(f"{sf}/{t}.parquet").limit(0).write.parquet(f"{tmp_path}/{t}.parquet")
