@@ -57,7 +57,7 @@ def test_substring_dedup(docs, none, monkeypatch):
     for blocks in (substring_dedup.BLOCK_LEAST, 9_000):  # one block, and many
         monkeypatch.setattr(substring_dedup, "BLOCK_LEAST", blocks)
         monkeypatch.setattr(substring_dedup, "BLOCK_GROWTH", 0)
-        monkeypatch.setattr(substring_dedup, "SLAB_BYTES", 3_000)
+        monkeypatch.setattr(substring_dedup, "SLAB", 500)
         first, data = {}, [(r[0], WORD.findall(r[1] or "")) for r in corpus()]
         for i, w in data:
             for k in range(len(w) - 12 if i is not None else 0):
@@ -77,21 +77,90 @@ def test_substring_dedup(docs, none, monkeypatch):
 
 
 def test_block_ends(spark):
-    """Blocks follow doc_id, are closed in every range at each ``target`` bytes, and don't grow with ties or nulls."""
-    rows = [(k * 7 % 1001, 10 if k % 50 else 900) for k in range(1001)] + [(None, 10_000)] * 5
-    data = spark.createDataFrame(rows, "doc_id long, bytes long").repartition(6)
-    ends = substring_dedup.block_ends(data, 1_000)
-    held = Counter()
+    """Blocks follow doc_id and close at each ``target`` bytes, alike whatever the number of partitions."""
+    rows = [(k * 7 % 1001, 10 if k % 50 else 900) for k in range(1001)] + [(None, 10_000)] * 5 + [(500, 90)] * 40
+    size = Counter()
     for i, n in rows:
         if i is not None:
+            size[i] += n
+    total, target = sum(size.values()), 1_000
+    want, before = set(), 0
+    for i in sorted(size):
+        if size[i] > target:
+            want |= {i - 1, i}
+        if (before + size[i]) // target > before // target:
+            want.add(i)
+        before += size[i]
+    for parts in (1, 4, 211):
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        try:
+            ends, big, split = substring_dedup.block_ends(spark.createDataFrame(rows, "doc_id long, bytes long").repartition(6), target)
+        finally:
+            spark.conf.set("spark.sql.shuffle.partitions", 4)
+            spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+        assert ends.tolist() == sorted(want) and abs(len(ends) - total / target) <= 5
+        assert big.tolist() == [500] and split.tolist() == [-(-size[500] // target)]
+        held = Counter()
+        for i, n in size.items():
             held[int(np.searchsorted(ends, i))] += n
-    total, ranges = sum(held.values()), int(spark.conf.get("spark.sql.shuffle.partitions"))
-    assert len(held) >= total // 1_000 - ranges and max(held.values()) <= 3 * 1_000 + 900
-    assert list(ends) == sorted(set(ends.tolist()))
-    assert len(substring_dedup.block_ends(data.limit(0), 1_000)) == 0
+        assert max(n for b, n in held.items() if b != int(np.searchsorted(ends, 500))) <= target + 900
+    assert all(len(x) == 0 for x in substring_dedup.block_ends(spark.createDataFrame([], "doc_id long, bytes long"), 1_000))
     assert substring_dedup.block_bytes(0) == substring_dedup.BLOCK_LEAST and substring_dedup.block_bytes(10**14) == substring_dedup.BLOCK_MOST
 
 
+def brute_substring(rows):
+    first, data = {}, [(i, WORD.findall(t or "")) for i, t in rows]
+    for i, w in data:
+        for k in range(len(w) - 12 if i is not None else 0):
+            g = tuple(w[k : k + 13])
+            first[g] = min(first.get(g, i), i)
+    out = []
+    for i, w in data:
+        gone = {p for k in range(len(w) - 12) if i is not None and first[tuple(w[k : k + 13])] < i for p in range(k, k + 13)}
+        out.append((i, len(w), len(gone), " ".join(x for p, x in enumerate(w) if p not in gone)))
+    return sorted(out, key=repr)
+
+
+def test_substring_dedup_of_a_shared_doc_id(spark, monkeypatch):
+    """A doc_id with half of all text is dealt to several blocks, whose rows don't judge each other."""
+    monkeypatch.setattr(substring_dedup, "BLOCK_LEAST", 2_000)
+    monkeypatch.setattr(substring_dedup, "BLOCK_GROWTH", 0)
+    r = random.Random(6)
+    line = lambda n: " ".join(f"w{r.randrange(900)}" for _ in range(n))
+    shared = line(20)
+    rows = [(k, f"{line(40)} {shared if k % 9 == 0 else ''} {line(5)}") for k in range(3, 80)]
+    rows += [(50, f"{line(60)} {shared}")] * 30 + [(None, shared)] * 9 + [(-(2**63), shared), (2**63 - 1, shared + " tail")]
+    found = substring_dedup.substring_dedup(spark.createDataFrame(rows, "doc_id long, text string").repartition(5))
+    got = rows_of(found.select("doc_id", "n_words", "n_removed", "kept_text"))
+    assert got == brute_substring(rows) and sum(x[2] > 0 for x in got) > 30
+
+
+def test_substring_dedup_tells_words_apart(spark):
+    """Thue-Morse words defeat polynomials modulo 2 ** 64 over bytes, and their order those over two words."""
+    a = ["0"]
+    for _ in range(11):
+        a.append("".join("1" if c == "0" else "0" for c in "".join(a)))
+    morse = "".join(a)
+    other = morse.translate(str.maketrans("01", "10"))
+    around = [f"x{k}" for k in range(6)]
+    rows = [(1, " ".join([*around, morse, *around])), (2, " ".join([*around, other, *around]))]
+    rows += [(k + 10, " ".join("ab"[(m + k) % 2] for m in map(int, morse[:13]))) for k in range(2)]
+    rows += [(20, "\x1c ".join(f"y{k}" for k in range(30))), (21, "é\u00a0 ".join(f"y{k}" for k in range(30)) + "\x00 \u2003")]
+    found = substring_dedup.substring_dedup(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert rows_of(found.select("doc_id", "n_words", "n_removed", "kept_text")) == brute_substring(rows)
+
+
+def test_substring_dedup_of_long_texts(spark):
+    """A text of several MB beside a copy of its middle, and one word of several MB."""
+    r = random.Random(7)
+    long = [f"w{r.randrange(5000)}" for _ in range(600_000)]
+    rows = [(1, " ".join(long)), (2, " ".join(long[200_000:200_500])), (3, "z" * 5_000_000), (4, "z" * 5_000_000 + " a" * 12)]
+    got = {x.doc_id: x for x in substring_dedup.substring_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert {k: (x.n_words, x.n_removed) for k, x in got.items()} == {1: (600_000, 0), 2: (500, 500), 3: (1, 0), 4: (13, 0)}
+    assert [(s.start, s.end) for s in got[2].removed] == [(0, 500)] and got[1].kept_text == rows[0][1]
+
+
 def test_quality(spark, none):
     r = random.Random(2)
     data = [(k, " ".join((f"word{r.randrange(99)}" if k % 4 else f"JUNK{r.randrange(9)}###") for _ in range(r.randrange(1, 60)))) for k in range(800)] + [(None, None), (9999, "")]
