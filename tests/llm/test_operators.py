@@ -353,11 +353,122 @@ def test_pii(spark, none):
     assert pii.pii_spans(none).count() == 0
 
 
-def test_labelers_reliabilities():
-    counts = {((1, 1, 1, 2, 1), 0b001011): 300, ((1, 2, 1, 2, 2), 0b000101): 200, ((1, 2, 2, 0, 0), 0b101001): 800, ((2, 0, 2, 0, 0), 0b101000): 900}
-    model = pii.fit(counts)
-    assert all(a > b for a, b in model.reliability.values())
-    assert model.probability(0b001011) > 0.9 > 0.3 > model.probability(0b101000)
+def people():
+    """Letters with personal data of every added kind, and pages with what only looks like it."""
+    r = random.Random(11)
+    word = lambda: "".join(r.choices("abcdefghij", k=r.randrange(3, 8)))
+    line = lambda n: " ".join(word() for _ in range(n))
+    given = sorted(g.decode() for g in pii.GIVEN)
+    out = []
+    for k in range(150):
+        name, last = r.choice(given), word().title()
+        parts = [line(30), f"Signed {name} {last}, mail {word()}{k}@mail.example.com and phone +1 (555) 555-{1000 + k}.", line(4)]
+        if k % 2:
+            parts.append(f"His ssn {100 + k}-{10 + k % 80}-{2000 + k} and account {''.join(r.choices('123456789', k=16))}, or {word()} [at] {word()} [dot] com.")
+        if k % 3 == 0:
+            parts.append(f"Mail me: {word()} [at] gmail [dot] com, konto iban GB82WEST12345698765432; {line(3)}")
+        out.append(" ".join(parts))
+    for k in range(150):
+        out.append(f"{line(20)}. {word().title()} {word().title()} of version {r.choice(['000', '666', '900'])}-00-{1000 + k} order {''.join(r.choices('0123456789', k=13))}. The The look at {word()}.com @{word()}x {line(5)} AB12{'Q' * 12}")
+    return [None, "", *out, "Ünï " + out[1]]
+
+
+def plain_candidates(t):
+    """As pii.candidates, for each candidate alone and over characters of an ASCII text."""
+    base = plain_pii(t)
+    for kind in pii.ADDED:
+        places = [(m.start(), m.start() + len(m[0] + (m[1] if kind == "name" else ""))) for m in re.finditer(pii._CANDIDATES[kind].pattern.decode(), t)]
+        every = [t[a:b] for a, b in places]
+        for a, b in places:
+            text = t[a:b]
+            digits = [int(c) for c in text if c.isdigit()]
+            vote = dict.fromkeys(pii.LABELERS, 2)
+            if kind == "id" and text[0].isalpha():
+                vote["format"] = int(15 <= len(text) <= 34)
+                value = 0
+                for c in text[4:] + text[:4]:
+                    value = value * (100 if c.isalpha() else 10) + int(c, 36)
+                vote["checksum"] = int(15 <= len(text) <= 34 and value % 97 == 1)
+            elif kind == "id":
+                area, group, serial = text.split("-")
+                vote["format"] = int(area not in ("000", "666") and area < "900" and group != "00" and serial != "0000")
+            elif kind == "account":
+                shape = re.fullmatch(r"\d+|(\d{3,4}[ -])+\d{1,4}", text)
+                vote["format"] = int(len(digits) in (9, 10, 12, 15, 16, 17, 18, 19) and shape is not None)
+                if len(digits) >= 12:
+                    vote["checksum"] = int((sum(digits[-1::-2]) + sum(sum(divmod(2 * d, 10)) for d in digits[-2::-2])) % 10 == 0)
+                vote["gazetteer"] = 0 if len(set(digits)) < 3 else 2
+            elif kind == "contact" and text[0] != "@":
+                vote["format"] = 1 if "[" in text or "(" in text else 2
+                vote["gazetteer"] = 1 if set(re.findall("[a-z]+", text.lower()[text.lower().index("at") + 2 :])) & {h.decode() for h in pii.HOSTS} else 2
+            elif kind == "name":
+                one, two = text.split()
+                vote["format"] = 0 if one == two else 2
+                vote["gazetteer"] = 0 if {one.encode(), two.encode()} & pii.COMMON else 1 if one.encode() in pii.GIVEN else 2
+            before = t[max(0, a - 60) : a]
+            words = re.findall("[A-Za-z]+", before)[-3:]
+            cue, other = ({w.lower().encode() for w in words} & x != set() for x in (pii.CUES, pii.OTHERS))
+            vote["cue"], vote["other"] = 1 if cue else 2, 0 if other else 2
+            gaps = [max(x - b, a - y) for _, x, y in base if x >= b or y <= a]
+            near = any(g <= pii.NEAR for g in gaps)
+            vote["neighbour"] = 1 if near else 2 if gaps else 0
+            last, after = before[-1:], t[b : b + 1]
+            vote["embedding"] = 0 if (last and last not in " \n\t(:,") or (after and after in "=_/#<{\"") else 2
+            stripped = before.rstrip()[-1:]
+            seen = [len(text) > 13, all(c.isdigit() for c in text), " " in text or "-" in text, cue, other, stripped in ("", ".", "!", "?"), last in ("", "\n"), bool(words) and words[-1].isupper(), len(gaps) > 2, every.count(text) > 1, near, after in ("", " ", ".", ",", "\n", ")", ";")]
+            yield kind, a, b, [vote[x] for x in pii.LABELERS], [1.0, *map(float, seen)], not any(a < y and x < b for _, x, y in base)
+
+
+def plain_added(texts):
+    """Added spans of each text: the same estimates over single candidates instead of patterns."""
+    found = [[(i, *c) for i, t in enumerate(texts) for c in plain_candidates(t or "") if c[0] == kind] for kind in pii.ADDED]
+    out = defaultdict(list)
+    for rows in filter(None, found):
+        first = [[pii.START[name][truth] for name in pii.LABELERS] for truth in (0, 1)]
+        rates, prior = first, pii.PRIOR
+
+        def true_of(votes):
+            like = [math.prod(rates[truth][k][v] for k, v in enumerate(votes)) for truth in (0, 1)]  # noqa: B023
+            return prior * like[1] / (prior * like[1] + (1 - prior) * like[0])  # noqa: B023
+
+        for _ in range(50):
+            p = [true_of(r[4]) for r in rows]
+            weight = [[1 - x for x in p], p]
+            rates = [[[(sum(w for w, r in zip(weight[truth], rows) if r[4][k] == v) + pii.WEIGHT * first[truth][k][v]) / (sum(weight[truth]) + pii.WEIGHT) for v in range(3)] for k in range(len(pii.LABELERS))] for truth in (0, 1)]
+            prior = (sum(p) + pii.WEIGHT * pii.PRIOR) / (len(p) + pii.WEIGHT)
+        y, x = np.array([true_of(r[4]) for r in rows]), np.array([r[5] for r in rows])
+        w = np.array([-2.0] + [0.0] * (x.shape[1] - 1))
+        for _ in range(30):
+            p = 1 / (1 + np.exp(-x @ w))
+            w = w + np.linalg.inv((x.T * p * (1 - p)) @ x + np.eye(len(w))) @ (x.T @ (y - p) - w)
+        for r, s in zip(rows, 1 / (1 + np.exp(-x @ w))):
+            if s >= pii.THRESHOLD and r[4].count(1) >= 2 and r[4].count(1) > r[4].count(0) and r[6]:
+                out[r[0]].append(r[1:4])
+    return out
+
+
+def test_added_spans(spark):
+    texts = people()
+    plain = [t if t is None or t.isascii() else "    " + t[4:] for t in texts]  # the same places
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = {r.doc_id: [(s.kind, s.start, s.end) for s in r.spans] for r in pii.pii_spans(docs).collect()}
+    want = plain_added(plain)
+    assert {k: [s for s in v if s[0] in pii.ADDED] for k, v in got.items()} == {k: want[k] for k in got}
+    kinds = Counter(s[0] for v in got.values() for s in v)
+    assert all(kinds[k] > 20 for k in pii.ADDED), kinds
+    assert not any(got[k] for k in range(152, 302))  # nothing on the pages
+    model = pii.learn(docs)
+    for kind in pii.ADDED:
+        assert np.abs(model.reliability[kind] - pii.start()).max() > 0.1
+        agreed = model.reliability[kind][1, :, pii.FOR] - model.reliability[kind][0, :, pii.FOR]
+        assert agreed[pii.LABELERS.index("neighbour")] > 0.3
+
+
+def test_a_corpus_without_candidates(spark, none):
+    docs = spark.createDataFrame([(1, "plain words only"), (2, None), (3, "")], "doc_id long, text string")
+    model = pii.learn(docs)
+    assert all((model.reliability[k] == pii.start()).all() and model.prior[k] == pii.PRIOR for k in pii.ADDED)
+    assert [r.spans for r in pii.pii_spans(docs).collect()] == [[], [], []] and pii.pii_spans(none).count() == 0
 
 
 URLS = [
