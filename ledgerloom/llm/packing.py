@@ -14,6 +14,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import cut
 from .mixing import sizes
 
 MAX_WORDS, BUCKETS, BUDGET = 2048, 8, 16_384
@@ -59,12 +60,14 @@ def pack(docs: DataFrame, max_words: int = MAX_WORDS, buckets: int = BUCKETS, bu
     word is dropped. A piece is padded to its bucket's bound; a batch holds
     max(1, budget // padded_words) pieces of one bucket, so only a bucket's last batch can be
     short. Batches count from 0 within their bucket, slots within their batch. Within a bucket the
-    order is by shard of doc_id's hash, doc_id, piece; rows that tie in all of them are
-    interchangeable. Other columns are ignored; an empty table gives no rows.
+    order is by shard of a hash of doc_id, text and piece, then by doc_id, piece and text's hash; rows that tie in all
+    of them are interchangeable. So rows without doc_id, or of one doc_id, are numbered apart unless their texts are
+    equal too. Other columns are ignored; an empty table gives no rows.
     """
-    sized = docs.select(F.col("doc_id").cast("long").alias("doc_id"), sizes().alias("_n"))
+    # words are counted once; what follows reads three numbers a document
+    sized = cut(docs.select(F.col("doc_id").cast("long").alias("doc_id"), sizes().alias("_n"), F.xxhash64("text").alias("_text")))
     pieces = sized.withColumn("piece", F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.lit(0), F.ceil(F.col("_n") / max_words) - 1).cast("long"))))
-    pieces = pieces.select("doc_id", "piece", (F.col("piece") * max_words).alias("first_word"), F.least(F.lit(max_words).cast("long"), F.col("_n") - F.col("piece") * max_words).alias("n_words"))
+    pieces = pieces.select("doc_id", "piece", "_text", (F.col("piece") * max_words).alias("first_word"), F.least(F.lit(max_words).cast("long"), F.col("_n") - F.col("piece") * max_words).alias("n_words"))
     counts = {r.n_words: r.rows for r in pieces.groupBy("n_words").agg(F.count("*").alias("rows")).collect()}
     bounds = boundaries(counts, buckets) or [0]
     held = [sum(c for n, c in counts.items() if n <= b and (not k or n > bounds[k - 1])) for k, b in enumerate(bounds)]
@@ -74,11 +77,11 @@ def pack(docs: DataFrame, max_words: int = MAX_WORDS, buckets: int = BUCKETS, bu
         bucket = F.when(F.col("n_words") <= bounds[k], k).otherwise(bucket)
     look = lambda values: F.element_at(F.array(*[F.lit(int(v)).cast("long") for v in values]), F.col("bucket") + 1)
     placed = pieces.withColumn("bucket", bucket.cast("int")).withColumn("padded_words", look(bounds))
-    placed = placed.withColumn("shard", F.pmod(F.xxhash64("doc_id", "piece"), look(shards)))
+    placed = placed.withColumn("shard", F.pmod(F.xxhash64("doc_id", "piece", "_text"), look(shards)))
     held_by = placed.groupBy("bucket", "shard").agg(F.count("*").alias("rows"))
     before = F.coalesce(F.sum("rows").over(Window.partitionBy("bucket").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     offsets = held_by.select("bucket", "shard", before.alias("offset"))
-    at = F.row_number().over(Window.partitionBy("bucket", "shard").orderBy("doc_id", "piece")) - 1
+    at = F.row_number().over(Window.partitionBy("bucket", "shard").orderBy("doc_id", "piece", "_text")) - 1
     ranked = placed.withColumn("_at", at).join(offsets, ["bucket", "shard"])
     rank, fits = F.col("offset") + F.col("_at"), F.greatest(F.lit(1).cast("long"), F.floor(F.lit(budget) / F.greatest(F.col("padded_words"), F.lit(1))))
     return ranked.select("doc_id", "piece", "first_word", "n_words", "bucket", "padded_words", F.floor(rank / fits).alias("batch"), (rank % fits).alias("slot"))

@@ -102,7 +102,7 @@ SELECT d.doc_id, len(w)::BIGINT AS n_words, (len(w) - coalesce(n, 0))::BIGINT AS
 FROM d LEFT JOIN kept USING (doc_id)
 """,
     "op3_mixing": r"""
-WITH s AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size FROM documents),
+WITH s AS (SELECT doc_id, source, md5('7:' || coalesce(doc_id::VARCHAR, '') || ':' || coalesce(text, '')) AS h, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size FROM documents),
 b AS (SELECT source, sum(size)::BIGINT AS source_size, (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS weight FROM s GROUP BY source),
 l AS (SELECT *, (sum(source_size) OVER ()
         - 3 * coalesce(sum(source_size) OVER (ORDER BY source_size / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::DOUBLE
@@ -110,7 +110,7 @@ l AS (SELECT *, (sum(source_size) OVER ()
 w AS (SELECT arg_min(level, (source_size / weight, source)) AS water FROM l WHERE level * weight < 3 * source_size),
 t AS (SELECT source, source_size, CASE WHEN water IS NULL OR water * weight > 3 * source_size THEN (3 * source_size)::DOUBLE ELSE water * weight END AS target FROM b, w),
 r AS (SELECT s.doc_id, size, source_size, target, CASE WHEN source_size > 0 THEN target / source_size ELSE 0.0::DOUBLE END AS rate,
-        ('0x' || substr(md5('7:' || coalesce(s.doc_id::VARCHAR, '')), 1, 12))::BIGINT::DOUBLE / 281474976710656.0::DOUBLE AS draw
+        ('0x' || substr(h, 1, 12))::BIGINT::DOUBLE / 281474976710656.0::DOUBLE AS draw
       FROM s JOIN t ON s.source IS NOT DISTINCT FROM t.source)
 SELECT doc_id, size, source_size, target, (size * (floor(rate) + CASE WHEN draw < rate - floor(rate) THEN 1 ELSE 0 END))::BIGINT AS taken FROM r
 """,

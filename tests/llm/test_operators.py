@@ -222,6 +222,36 @@ def test_mixing_comes_near_its_targets(spark):
     assert all(abs(r.n / r.t - 1) < 0.05 for r in by)
 
 
+def test_mixing_of_nameless_and_reused_ids(spark):
+    """Rows without doc_id, or with one doc_id, come near their targets too; every source its own."""
+    rows = spark.range(30_000).select(
+        F.expr("case when id % 3 = 0 then null when id % 3 = 1 then 5 else id end").cast("long").alias("doc_id"),
+        F.expr("concat('d', id, repeat(' w', cast(id % 20 as int)))").alias("text"),
+        F.expr("case when id % 2 = 0 then 'even' else 'odd' end").alias("source"),
+    )
+    by = mixing.mix(rows).groupBy("source", F.col("doc_id").isNull().alias("nameless")).agg(F.first("target").alias("t"), F.first("source_size").alias("s"), F.sum("size").alias("own"), F.sum(F.col("copies") * F.col("size")).alias("n")).collect()
+    assert len(by) == 4 and all(abs(r.n / (r.t * r.own / r.s) - 1) < 0.05 for r in by)
+    many = mixing.mix(rows.withColumn("source", F.concat(F.lit("s"), F.col("doc_id"))))  # nearly a source per document
+    total = many.select(F.sum("size")).first()[0]
+    assert abs(many.groupBy("source").agg(F.first("target").alias("t")).select(F.sum("t")).first()[0] / total - 1) < 1e-9
+
+
+def test_packing_of_nameless_and_reused_ids(spark, monkeypatch):
+    """One doc_id, or none, on all rows: pieces are numbered in several shards all the same."""
+    monkeypatch.setattr(packing, "SHARD_ROWS", 100)
+    rows = spark.range(3_000).select(F.expr("case when id % 2 = 0 then 7 end").cast("long").alias("doc_id"), F.expr("concat('d', id, repeat(' w', cast(id % 50 as int)))").alias("text"))
+    found = packing.pack(rows, buckets=3, budget=300).collect()
+    batches = defaultdict(list)
+    for r in found:
+        batches[r.bucket, r.batch].append(r)
+    assert len(found) == 3_000 and sum(r.n_words for r in found) == 3_000 * 25 + 1_500
+    for (b, k), held in batches.items():
+        fits = max(1, 300 // held[0].padded_words)
+        assert sorted(r.slot for r in held) == list(range(len(held))) and (len(held) == fits or (b, k + 1) not in batches)
+    key = rows.select(F.xxhash64("text").alias("t"), "doc_id")
+    assert key.groupBy(F.pmod(F.xxhash64("doc_id", F.lit(0).cast("long"), "t"), F.lit(30))).count().agg(F.max("count")).first()[0] < 200
+
+
 def test_packing(docs, none):
     found = packing.pack(docs, max_words=500, buckets=4, budget=1000).collect()
     want = Counter()
