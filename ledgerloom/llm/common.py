@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -41,12 +43,14 @@ def cut(df: DataFrame) -> DataFrame:
 def join_by_size(left: DataFrame, right: DataFrame, key: str, size: str, total: int, how: str = "inner") -> DataFrame:
     """Join rows with one row per key, whatever share of the rows one key holds.
 
-    ``right`` has a row per ``key`` with the number of ``left`` rows of it in ``size``. Keys above
-    1/HOT_SHARE of ``total`` are fewer than HOT_SHARE, a proven bound, and are broadcast; the rest
+    ``right`` has a row per ``key`` with the number of ``left`` rows of it in ``size``, and should be cheap to
+    read. Keys above 1/HOT_SHARE of ``total`` are fewer than HOT_SHARE, a proven bound, and are broadcast; the rest
     are shuffled. ``how`` is inner or left.
     """
     limit = max(HOT_LEAST, total // HOT_SHARE)
     hot, cold = right.where(F.col(size) > limit), right.where(F.col(size) <= limit)
+    if hot.isEmpty():
+        return left.join(right, key, how)
     first = left.join(F.broadcast(hot), key, "inner")
     rest = left.join(F.broadcast(hot.select(key)), key, "left_anti").join(cold, key, how)
     return first.unionByName(rest)
@@ -74,30 +78,41 @@ def spread(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return nodes[own], nodes[label[own]]
 
 
+#: Links of a graph that one task finishes.
+SMALL_GRAPH = 1 << 19
+
+
+def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """All links (a, b) of a small graph at once: (node, to) for every node of a link."""
+    ends = [[c.to_numpy(zero_copy_only=False) for c in batch.columns] for batch in batches]
+    a, b = (np.concatenate([e[k] for e in ends] or [np.zeros(0, np.int64)]) for k in (0, 1))
+    node, root = spread(a, b)
+    alone = np.setdiff1d(root, node)
+    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([node, alone])), pa.array(np.concatenate([root, alone]))], ["node", "to"])
+
+
 def components(edges: DataFrame) -> DataFrame:
-    """Connected components of the links (a, b): one row (node, root) per node of any link.
+    """Connected components of the links (a, b) between longs: one row (node, root) per node of any link.
 
     Every round maps each node to the neighbour of lowest random rank and contracts the graph;
-    the expected number of rounds grows with the logarithm of the longest path. All state stays
-    in DataFrames, and each round is checkpointed.
+    the expected number of rounds grows with the logarithm of the longest path. What is left once
+    SMALL_GRAPH links bound it is finished by one task. Roots then go back down round by round. All state stays
+    in DataFrames, each round is checkpointed, and nodes with a large share of the links are joined by size.
     """
-    e = cut(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct())
-    label, seed = None, 0
-    while not e.isEmpty():
-        rank = lambda c, s=seed: F.struct(F.xxhash64(F.col(c), F.lit(s)).alias("h"), F.col(c).alias("n"))
+    e = cut(edges.select(F.least("a", "b").cast("long").alias("a"), F.greatest("a", "b").cast("long").alias("b")).where("a <> b").distinct())
+    levels: list[DataFrame] = []
+    while (n := e.count()) > SMALL_GRAPH:
+        rank = lambda c, s=len(levels): F.struct(F.xxhash64(F.col(c), F.lit(s)).alias("h"), F.col(c).alias("n"))
         both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        to = cut(both.groupBy("a").agg(F.min(rank("b")).alias("m")).select(F.col("a").alias("node"), F.least(rank("a"), F.col("m"))["n"].alias("to")))
-        e = (
-            e.join(to.select(F.col("node").alias("a"), F.col("to").alias("ta")), "a")
-            .join(to.select(F.col("node").alias("b"), F.col("to").alias("tb")), "b")
-            .select(F.least("ta", "tb").alias("a"), F.greatest("ta", "tb").alias("b"))
-            .where("a <> b")
-            .distinct()
-        )
-        e = cut(e)
-        if label is None:
-            label = to.select("node", F.col("to").alias("root"))
-        else:
-            label = label.join(to.select(F.col("node").alias("root"), "to"), "root", "left").select("node", F.coalesce("to", "root").alias("root"))
-        seed += 1
-    return label if label is not None else e.select(F.col("a").alias("node"), F.col("b").alias("root"))
+        near = both.groupBy("a").agg(F.min(rank("b")).alias("m"), F.count("*").alias("size"))
+        to = cut(near.select(F.col("a").alias("node"), F.least(rank("a"), F.col("m"))["n"].alias("to"), "size"))
+        for end in ("a", "b"):
+            e = join_by_size(e, to.select(F.col("node").alias(end), F.col("to").alias(f"t{end}"), "size"), end, "size", n).drop("size")
+        e = cut(e.select(F.least("ta", "tb").alias("a"), F.greatest("ta", "tb").alias("b")).where("a <> b").distinct())
+        levels.append(to.select("node", "to"))
+    roots = e.coalesce(1).mapInArrow(_stars, "node long, to long").select("node", F.col("to").alias("root"))
+    for to in reversed(levels):
+        size = to.groupBy("to").agg(F.count("*").alias("size"))
+        up = cut(size.join(roots.withColumnRenamed("node", "to"), "to", "left").select("to", F.coalesce("root", "to").alias("root"), "size"))
+        roots = join_by_size(to, up, "to", "size", to.count()).select("node", "root")
+    return roots

@@ -586,7 +586,10 @@ def test_crowded_subtries_lose_no_pair(spark):
     assert len(set(zip(want, got))) == len(set(want)) == len(set(got))
 
 
-def test_components_of_long_paths(spark):
+@pytest.mark.parametrize("small", [0, 30, 1 << 19])
+def test_components_of_long_paths(spark, monkeypatch, small):
+    monkeypatch.setattr(common, "SMALL_GRAPH", small)
+    monkeypatch.setattr(common, "HOT_LEAST", 20)  # the star's centre is hot
     edges = [(k, k + 1) for k in range(300)] + [(1000, 1001), (1001, 1000), (7, 7)] + [(2000, 2000 + k) for k in range(200)]
     got = {r.node: r.root for r in common.components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert len({got[k] for k in range(301)}) == 1 and got[1000] == got[1001] and len({got[2000 + k] for k in range(1, 200)}) == 1
@@ -604,7 +607,7 @@ def test_embeddings(spark):
     for k in range(600, 660):
         rows.append((k, (np.array(rows[k - 500][1]) * 3 + 0.2 * r.standard_normal(16)).tolist(), rows[k - 500][2]))
     rows += [(k, rows[0][1], 0) for k in range(660, 690)] + [(k, rows[7][1], 1) for k in range(690, 693)]  # equal vectors
-    odd = [(700, None, 1), (701, [0.0] * 16, 1), (702, [float("nan")] + [1.0] * 15, 1), (703, [float("inf")] + [1.0] * 15, 1), (704, [None] + [1.0] * 15, 1), (705, rows[0][1], None), (706, rows[0][1][:8], 0), (707, [], 0), (None, rows[0][1], 0)]
+    odd = [(700, None, 1), (701, [0.0] * 16, 1), (702, [float("nan")] + [1.0] * 15, 1), (703, [float("inf")] + [1.0] * 15, 1), (704, [None] + [1.0] * 15, 1), (705, rows[0][1], None), (706, rows[0][1][:8], 0), (707, [], 0), (None, [0.0], 0)]
     df = spark.createDataFrame([(i, v, x, 9) for i, v, x in rows + odd], T.StructType.fromDDL("vec_id long, embedding array<double>, label int, size int"))
     v = np.array([x / np.linalg.norm(x) for x in (np.array(e) for _, e, _ in rows)])
     label = np.array([x for _, _, x in rows])
@@ -624,6 +627,14 @@ def test_embeddings(spark):
     assert embedding_dedup.embedding_dedup(df.limit(0)).count() == 0
 
 
+def test_embeddings_compare_every_row(spark):
+    """Rows that share a vec_id, or have none, are vectors of their own."""
+    rows = [(1, [1.0, 0.0]), (1, [0.0, 1.0]), (2, [1.0, 0.01]), (3, [0.01, 1.0]), (3, [0.0, 1.0]), (None, [1.0, 0.0]), (None, [-1.0, 0.0]), (None, [-1.0, 0.01]), (7, [0.6, -0.8])]
+    got = embedding_dedup.embedding_dedup(spark.createDataFrame([(i, v, 0) for i, v in rows], "vec_id long, embedding array<double>, label int").repartition(3))
+    want = [(1, 2, 1, True), (1, 2, 1, True), (2, 2, 1, False), (3, 2, 1, False), (3, 2, 1, False), (None, 2, 1, False), (None, 1, None, True), (None, 1, None, True), (7, 0, 7, True)]
+    assert rows_of(got.select("vec_id", "n_links", "component_id", "kept")) == sorted(want, key=repr)
+
+
 def test_embeddings_of_a_dense_label_lose_no_link(spark):
     """Vectors of mutual cosine 0.8 with isolated pairs just above the limit, in blocks of several sizes."""
     r = np.random.default_rng(5)
