@@ -20,12 +20,22 @@ RAW = schema("address string, topics array<string>, data string, blockNumber str
 EVENT = schema("kind string, job_id long, block long, log_index long, ts long, client string, provider string, evaluator string, funder string, payee string, rejector string, recipient string, amount long, expired_at long")
 
 
+def bare(text: Column) -> Column:
+    """Hex digits without 0x."""
+    return F.when(F.substring(text, 1, 2).isin("0x", "0X"), F.substring(text, 3, 1 << 30)).otherwise(text)
+
+
 def hex_to_long(text: Column) -> Column:
     """A hex number with or without 0x; null if it isn't one or doesn't fit 63 bits."""
-    digits = F.regexp_replace(F.lower(text), "^0x", "")
-    digits = F.regexp_replace(digits, "^0+(?=.)", "")
-    fits = digits.rlike("^[0-9a-f]{1,15}$") | digits.rlike("^[0-7][0-9a-f]{15}$")
-    return F.when(fits, F.conv(F.when(fits, digits), 16, 10).cast("long"))
+    return digits_to_long(bare(text))
+
+
+def digits_to_long(digits: Column) -> Column:
+    """As hex_to_long, without 0x. No regular expressions: unhex tells whether all are digits."""
+    least = F.ltrim(digits, F.lit("0"))
+    wide = F.lpad(least, 16, "0")
+    fits = (digits != "") & (F.length(least) <= 16) & (F.substring(wide, 1, 1) <= "7") & F.unhex(wide).isNotNull()
+    return F.when(fits, F.conv(F.when(fits, wide), 16, 10).cast("long"))
 
 
 def hex_to_decimal(text: Column) -> Column:
@@ -39,13 +49,12 @@ def hex_to_decimal(text: Column) -> Column:
 
 def word(data: Column, i: int) -> Column:
     """Word i of 32 bytes of the data; null where the data ends before it."""
-    return F.nullif(F.substring(F.regexp_replace(data, "^0x", ""), 64 * i + 1, 64), F.lit(""))
+    return F.nullif(F.substring(bare(data), 64 * i + 1, 64), F.lit(""))
 
 
 def address(word: Column) -> Column:
     """The last 20 bytes, in lower case, with 0x."""
-    digits = F.lower(F.regexp_replace(word, "^0x", ""))
-    return F.when(F.length(digits) >= 40, F.concat(F.lit("0x"), F.right(digits, F.lit(40))))
+    return F.when(F.length(bare(word)) >= 40, F.concat(F.lit("0x"), F.lower(F.substring(word, -40, 40))))
 
 
 def to_usdc(raw: Column) -> Column:
@@ -72,34 +81,35 @@ def decode(logs: DataFrame, contract: str | None = None) -> DataFrame:
     kinds = F.create_map(*[F.lit(x) for kind, sig in params.SIGNATURES.items() for x in (sig, kind)])
     topic = lambda i: F.get("topics", F.lit(i))
     rows = logs.where(~F.coalesce("removed", F.lit(False)) & (F.size("topics") >= 2))
-    rows = rows.select("*", F.try_element_at(kinds, F.lower(topic(0))).alias("kind")).where("kind is not null")
+    # words are split once, in a projection of their own
+    split = {"_first": word(F.col("data"), 0), "_second": word(F.col("data"), 1), "_who": topic(2)}
+    rows = rows.select("*", F.try_element_at(kinds, F.lower(topic(0))).alias("kind")).where("kind is not null").withColumns(split)
     at = lambda kind, value: F.when(F.col("kind") == kind, value)
-    first, second = word(F.col("data"), 0), word(F.col("data"), 1)
-    evaluator = address(first)
-    named = F.when(~first.rlike("^0*$"), evaluator)  # at creation the zero address means none
-    amount = F.when(F.col("kind").isin("BudgetSet", "JobFunded", "PaymentReleased", "Refunded", "EvaluatorFeePaid"), F.when(first.isNull(), F.lit(0).cast("long")).otherwise(hex_to_long(first)))
+    first, who = F.col("_first"), address(F.col("_who"))
+    named = F.when(F.ltrim(first, F.lit("0")) != "", address(first))  # at creation the zero address means none
+    amount = F.when(F.col("kind").isin("BudgetSet", "JobFunded", "PaymentReleased", "Refunded", "EvaluatorFeePaid"), F.when(first.isNull(), F.lit(0).cast("long")).otherwise(digits_to_long(first)))
     return rows.select(
         "kind",
         hex_to_long(topic(1)).alias("job_id"),
         hex_to_long(F.col("blockNumber")).alias("block"),
         hex_to_long(F.col("logIndex")).alias("log_index"),
         hex_to_long(F.col("blockTimestamp")).alias("ts"),
-        at("JobCreated", address(topic(2))).alias("client"),
+        at("JobCreated", who).alias("client"),
         at("JobCreated", address(topic(3))).alias("provider"),
-        F.when(F.col("kind") == "JobCreated", named).when(F.col("kind") == "JobCompleted", address(topic(2))).alias("evaluator"),
-        at("JobFunded", address(topic(2))).alias("funder"),
-        at("PaymentReleased", address(topic(2))).alias("payee"),
-        at("JobRejected", address(topic(2))).alias("rejector"),
-        F.when(F.col("kind").isin("Refunded", "EvaluatorFeePaid"), address(topic(2))).alias("recipient"),
+        F.when(F.col("kind") == "JobCreated", named).when(F.col("kind") == "JobCompleted", who).alias("evaluator"),
+        at("JobFunded", who).alias("funder"),
+        at("PaymentReleased", who).alias("payee"),
+        at("JobRejected", who).alias("rejector"),
+        F.when(F.col("kind").isin("Refunded", "EvaluatorFeePaid"), who).alias("recipient"),
         amount.alias("amount"),
-        at("JobCreated", hex_to_long(second)).alias("expired_at"),
+        at("JobCreated", digits_to_long(F.col("_second"))).alias("expired_at"),
     )
 
 
 def encode(events: DataFrame, contract: str = "0x" + "11" * 20) -> DataFrame:
     """Raw logs (RAW) of events whose parties are 0x addresses; decode() gives the events back."""
     pad = lambda c: F.lpad(F.lower(F.hex(c.cast("long"))), 64, "0")
-    party = lambda c: F.lpad(F.regexp_replace(F.coalesce(c, F.lit("0x0")), "^0x", ""), 64, "0")
+    party = lambda c: F.lpad(bare(F.coalesce(c, F.lit("0x0"))), 64, "0")
     topic = lambda c: F.concat(F.lit("0x"), c)
     signatures = F.create_map(*[F.lit(x) for kind, sig in params.SIGNATURES.items() for x in (kind, sig)])
     who = F.coalesce("client", "funder", "payee", "rejector", "recipient", "evaluator")

@@ -6,10 +6,10 @@ view counts attributes of blocks up to its own and outcomes of blocks before it.
 
 from __future__ import annotations
 
-from bisect import insort
 from collections.abc import Iterator
+from heapq import heappop, heappush, heappushpop
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -19,29 +19,40 @@ from ..sources.staging import staged
 from .asof import Running, running
 
 
-def with_job_state(events: DataFrame) -> DataFrame:
+#: What a job carries from one batch of events to the next.
+JOB = ["made", "budget_set_count", "last_budget", "was_funded", "was_open"]
+
+
+def with_job_state(events: DataFrame, opening: DataFrame | None = None) -> DataFrame:
     """Events with what their own job looked like just then; the one shuffle by job_id.
 
     Adds phase, parties and creation as known at the event, budgets so far, the last budget, whether
     the job was funded before the event, and how the event changes the set of open jobs. A creation
-    or budget of block 0 counts like any other; events of unknown jobs have null parties.
+    or budget of block 0 counts like any other; events of unknown jobs have null parties. opening is what
+    jobs_after() left of the batches before, if events are one batch of many.
     """
     e = events.withColumn("phase", F.when(F.col("kind").isin("JobCreated", "BudgetSet"), 0).otherwise(1))
+    if opening is None:
+        held = {c: F.lit(None) for c in JOB}
+    else:
+        e = e.join(opening.select("job_id", F.struct(*JOB).alias("_open")), "job_id", "left")
+        held = {c: F.col(f"_open.{c}") for c in JOB}
     by = Window.partitionBy("job_id").orderBy("block", "phase", "log_index")
     upto, before = by.rowsBetween(Window.unboundedPreceding, 0), by.rowsBetween(Window.unboundedPreceding, -1)
     created = F.last(F.when(F.col("kind") == "JobCreated", F.struct("block", "client", "provider", "expired_at")), ignorenulls=True).over(upto)
     funded, ended = F.col("kind") == "JobFunded", F.col("kind").isin(*params.TERMINAL)
     state = F.last(F.when(funded, 1).when(ended, 0), ignorenulls=True).over(before)
+    paid = F.last(F.when(F.col("kind").isin("BudgetSet", "JobFunded"), F.coalesce("amount", F.lit(0))), ignorenulls=True).over(before)
     e = e.select(
         "kind", "job_id", "block", "log_index", "ts", "amount", "rejector", "phase",
-        created.alias("made"),
-        F.count_if(F.col("kind") == "BudgetSet").over(upto).alias("budget_set_count"),
-        F.last(F.when(F.col("kind").isin("BudgetSet", "JobFunded"), F.coalesce("amount", F.lit(0))), ignorenulls=True).over(before).alias("last_budget"),
-        F.coalesce(F.max(F.when(funded, 1)).over(before), F.lit(0)).alias("was_funded"),
-        F.coalesce(state, F.lit(0)).alias("was_open"),
+        F.coalesce(created, held["made"]).alias("made"),
+        (F.count_if(F.col("kind") == "BudgetSet").over(upto) + F.coalesce(held["budget_set_count"], F.lit(0))).alias("budget_set_count"),
+        F.coalesce(paid, held["last_budget"]).alias("last_budget"),
+        F.coalesce(F.max(F.when(funded, 1)).over(before), held["was_funded"], F.lit(0)).alias("was_funded"),
+        F.coalesce(state, held["was_open"], F.lit(0)).alias("was_open"),
     )
     known = F.col("client").isNotNull() & F.col("provider").isNotNull()
-    e = e.select("*", F.col("made.client").alias("client"), F.col("made.provider").alias("provider"), F.col("made.expired_at").alias("expired_at"), F.col("made.block").alias("created_block")).drop("made")
+    e = e.select("*", F.col("made.client").alias("client"), F.col("made.provider").alias("provider"), F.col("made.expired_at").alias("expired_at"), F.col("made.block").alias("created_block"))
     counts = known & (F.col("was_funded") == 1)
     one = lambda c: F.when(c, 1).otherwise(0)
     return e.select(
@@ -56,15 +67,28 @@ def with_job_state(events: DataFrame) -> DataFrame:
     )
 
 
+def jobs_after(state: DataFrame, opening: DataFrame | None = None) -> DataFrame:
+    """What each job carries on (JOB), after the events of state; jobs without events there keep their opening."""
+    ended = F.col("kind").isin(*params.TERMINAL)
+    after = F.struct(
+        "made", "budget_set_count",
+        F.when(F.col("kind").isin("BudgetSet", "JobFunded"), F.coalesce("amount", F.lit(0))).otherwise(F.col("last_budget")).alias("last_budget"),
+        F.when(F.col("kind") == "JobFunded", 1).otherwise(F.col("was_funded")).alias("was_funded"),
+        F.when(F.col("kind") == "JobFunded", 1).when(ended, 0).otherwise(F.col("was_open")).alias("was_open"),
+    )
+    new = state.groupBy("job_id").agg(F.max_by(after, F.struct("block", "phase", "log_index")).alias("_s")).select("job_id", "_s.*")
+    return new if opening is None else new.unionByName(opening.join(new, "job_id", "left_anti").select(new.columns))
+
+
 VIEW = ["job_id", "funding_block", "log_index"]
+_STATE = ["job_id", "block", "log_index", "ts", "kind", "client", "provider", "amount", "budget_set_count", "expired_at", "created_block", "d_created", "d_funded", "d_completed", "d_expired", "d_self", "d_open", "acted_at"]
 
 
-def provider_asof(state: DataFrame) -> DataFrame:
-    """VIEW and the provider's history at each funding."""
+def with_provider(rows: DataFrame) -> DataFrame:
+    """Rows of with_job_state that have a provider, with its history at each; _first, _made and _acted are the blocks behind the ages."""
     made = F.when(F.col("d_created") == 1, F.nullif("block", F.lit(0)))
-    rows = state.where("provider is not null").select("job_id", "block", "log_index", "kind", "client", "provider", "d_created", "d_funded", "d_completed", "d_expired", "d_self", "d_open", "acted_at")
-    rows = running(
-        rows, ["provider"], "block",
+    return running(
+        rows.where("provider is not null"), ["provider"], "block",
         [
             Running("provider_prior_funded", F.col("d_funded")),
             Running("provider_prior_completed", F.col("d_completed")),
@@ -76,65 +100,125 @@ def provider_asof(state: DataFrame) -> DataFrame:
             Running("_acted", F.col("acted_at"), "max"),
         ],
     )
-    return rows.where("kind = 'JobFunded' and client is not null").select(
-        "job_id", F.col("block").alias("funding_block"), "log_index",
-        *[c for c in rows.columns if c.startswith("provider_")],
-        (F.col("block") - F.col("_first")).alias("provider_blocks_since_first_seen"),
-        (F.col("block") - F.greatest("_made", "_acted")).alias("provider_blocks_since_last_activity"),
-    )
+
+
+def with_client(rows: DataFrame) -> DataFrame:
+    rows = rows.where("client is not null and (d_created = 1 or kind = 'JobFunded' or d_completed = 1)")
+    return running(rows, ["client"], "block", [Running("client_prior_created", F.col("d_created"), same_block=True), Running("client_prior_funded", F.col("d_funded"))])
+
+
+def with_pair(rows: DataFrame) -> DataFrame:
+    rows = rows.where("client is not null and provider is not null and (kind = 'JobFunded' or d_completed = 1)")
+    return running(rows, ["client", "provider"], "block", [Running("pair_prior_jobs", F.col("d_funded")), Running("pair_prior_completed", F.col("d_completed"))])
+
+
+AGES = {"provider_blocks_since_first_seen": "block - _first", "provider_blocks_since_last_activity": "block - greatest(_made, _acted)"}
+RATE = "case when client_prior_created > 0 then client_prior_funded / client_prior_created end"
+
+
+def provider_asof(state: DataFrame) -> DataFrame:
+    """VIEW and the provider's history at each funding."""
+    rows = with_provider(state.select(_STATE)).where("kind = 'JobFunded' and client is not null")
+    return rows.select("job_id", F.col("block").alias("funding_block"), "log_index", *[c for c in rows.columns if c.startswith("provider_")], *[F.expr(x).alias(c) for c, x in AGES.items()])
 
 
 def client_asof(state: DataFrame) -> DataFrame:
-    rows = state.where("client is not null and (d_created = 1 or kind = 'JobFunded')").select("job_id", "block", "log_index", "kind", "client", "provider", "d_created", "d_funded")
-    rows = running(rows, ["client"], "block", [Running("client_prior_created", F.col("d_created"), same_block=True), Running("client_prior_funded", F.col("d_funded"))])
-    rate = F.when(F.col("client_prior_created") > 0, F.col("client_prior_funded") / F.col("client_prior_created"))
-    return rows.where("kind = 'JobFunded' and provider is not null").select("job_id", F.col("block").alias("funding_block"), "log_index", "client_prior_created", "client_prior_funded", rate.alias("client_prior_funding_rate"))
+    rows = with_client(state.select(_STATE)).where("kind = 'JobFunded' and provider is not null")
+    return rows.select("job_id", F.col("block").alias("funding_block"), "log_index", "client_prior_created", "client_prior_funded", F.expr(RATE).alias("client_prior_funding_rate"))
 
 
 def pair_asof(state: DataFrame) -> DataFrame:
-    rows = state.where("client is not null and provider is not null and (kind = 'JobFunded' or d_completed = 1)").select("job_id", "block", "log_index", "kind", "client", "provider", "d_funded", "d_completed")
-    rows = running(rows, ["client", "provider"], "block", [Running("pair_prior_jobs", F.col("d_funded")), Running("pair_prior_completed", F.col("d_completed"))])
-    return rows.where("kind = 'JobFunded'").select("job_id", F.col("block").alias("funding_block"), "log_index", (F.col("pair_prior_jobs") > 0).alias("repeat_pair"), "pair_prior_jobs", "pair_prior_completed")
+    rows = with_pair(state.select(_STATE)).where("kind = 'JobFunded'")
+    return rows.select("job_id", F.col("block").alias("funding_block"), "log_index", F.expr("pair_prior_jobs > 0").alias("repeat_pair"), "pair_prior_jobs", "pair_prior_completed")
+
 
+class Median:
+    """The median of all that was added: the lower half as a heap of negatives, the upper half as a heap."""
 
-def median_completed_amount(state: DataFrame) -> DataFrame:
+    def __init__(self) -> None:
+        self.low: list[int] = []
+        self.high: list[int] = []
+
+    def add(self, x: int) -> None:
+        if self.high and x > self.high[0]:
+            x = heappushpop(self.high, x)
+        heappush(self.low, -x)
+        if len(self.low) > len(self.high) + 1:
+            heappush(self.high, -heappop(self.low))
+
+    def value(self) -> float | None:
+        if not self.low:
+            return None
+        return float(-self.low[0]) if len(self.low) > len(self.high) else (self.high[0] - self.low[0]) / 2
+
+
+def median_completed_amount(state: DataFrame, opening: DataFrame | None = None) -> DataFrame:
     """VIEW and the exact median of the budgets a provider completed before each funding.
 
     A running median can't be put together from buckets, so each provider's completions and fundings
-    pass through one task in order, batch by batch; only the sorted amounts are held.
+    pass through one task in order, batch by batch; the amounts are held in two heaps, so a row costs the logarithm of
+    what the provider completed. opening is amounts_after() of the batches before.
     """
     rows = state.where("client is not null and provider is not null and (kind = 'JobFunded' or (d_completed = 1 and last_budget <> 0))")
-    rows = rows.select("provider", "block", F.when(F.col("kind") == "JobFunded", 0).otherwise(1).alias("late"), "job_id", "log_index", F.col("last_budget").alias("budget"))
+    rows = rows.select("provider", "block", F.when(F.col("kind") == "JobFunded", 0).otherwise(1).alias("late"), "job_id", "log_index", F.when(F.col("kind") != "JobFunded", F.col("last_budget")).cast("long").alias("budget"), F.lit(1).cast("long").alias("n"))
+    if opening is not None:
+        asked = opening.join(rows.where("late = 0").select("provider").distinct(), "provider", "left_semi")
+        rows = rows.unionByName(asked.select("provider", F.lit(-1).cast("long").alias("block"), F.lit(1).alias("late"), F.lit(-1).cast("long").alias("job_id"), F.lit(-1).cast("long").alias("log_index"), F.col("amount").alias("budget"), "n"))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        provider, amounts = None, []
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        provider, held = None, Median()
         for batch in batches:
-            out = []
-            for p, block, late, job, log, budget in batch.itertuples(index=False):
+            out: list[tuple] = []
+            for p, block, late, job, log, budget, n in zip(*(c.to_pylist() for c in batch.columns)):
                 if p != provider:
-                    provider, amounts = p, []
+                    provider, held = p, Median()
                 if late:
-                    insort(amounts, int(budget))
+                    for _ in range(n):
+                        held.add(budget)
                 else:
-                    n = len(amounts)
-                    out.append((job, block, log, (amounts[(n - 1) // 2] + amounts[n // 2]) / 2 if n else None))
-            yield pd.DataFrame(out, columns=["job_id", "funding_block", "log_index", "provider_median_completed_amount"]).astype({"provider_median_completed_amount": "float64"})
+                    out.append((job, block, log, held.value()))
+            columns = list(zip(*out)) or [(), (), (), ()]
+            yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in columns[:3]), pa.array(columns[3], pa.float64())], [*VIEW, "provider_median_completed_amount"])
 
     dealt = rows.repartition("provider").sortWithinPartitions("provider", "block", "late", "log_index")
-    found = dealt.mapInPandas(run, "job_id long, funding_block long, log_index long, provider_median_completed_amount double")
-    return found.withColumn("provider_median_completed_amount", F.nanvl("provider_median_completed_amount", F.lit(None).cast("double")))
+    return dealt.mapInArrow(run, "job_id long, funding_block long, log_index long, provider_median_completed_amount double")
 
 
-def decision_views(events: DataFrame) -> DataFrame:
-    """One row per funding whose job and both parties are known by then."""
-    state = staged(with_job_state(events))
-    own = state.where("kind = 'JobFunded' and client is not null and provider is not null").select(
+def amounts_after(state: DataFrame, opening: DataFrame | None = None) -> DataFrame:
+    """(provider, amount, n): the budgets that each provider completed."""
+    new = state.where("client is not null and d_completed = 1 and last_budget <> 0").select("provider", F.col("last_budget").cast("long").alias("amount"), F.lit(1).cast("long").alias("n"))
+    rows = new if opening is None else opening.unionByName(new)
+    return rows.groupBy("provider", "amount").agg(F.sum("n").alias("n"))
+
+
+def carried(state: DataFrame) -> DataFrame:
+    """One row per funding whose job and both parties are known by then: its facts and all counts, in one pass by provider, client and pair after the other.
+
+    Rows carry their columns along, so nothing is joined back. The median and what follows from all counts are still missing.
+    """
+    rows = with_provider(state.select(_STATE)).where("client is not null")
+    rows = rows.drop("d_expired", "d_self", "d_open", "acted_at")
+    # a client's jobs without provider count for the client as well
+    lone = state.select(_STATE).where("provider is null and client is not null").drop("d_expired", "d_self", "d_open", "acted_at")
+    rows = with_client(rows.unionByName(lone, allowMissingColumns=True)).drop("d_created")
+    return with_pair(rows).where("kind = 'JobFunded'")
+
+
+def finished(rows: DataFrame, medians: DataFrame) -> DataFrame:
+    """The views of carried rows."""
+    rows = rows.select(
         "job_id", "provider", "client", F.col("block").alias("funding_block"), "log_index", F.col("ts").alias("funding_timestamp"), F.coalesce("amount", F.lit(0)).alias("amount"),
         "budget_set_count", (F.col("expired_at") - F.col("ts")).alias("expiry_window"), (F.col("block") - F.col("created_block")).alias("funding_delay"),
+        "provider_prior_funded", "provider_prior_completed", "provider_prior_rejected_by_self", "provider_prior_expired", "provider_concurrent_open", *[F.expr(x).alias(c) for c, x in AGES.items()],
+        "client_prior_created", "client_prior_funded", F.expr(RATE).alias("client_prior_funding_rate"), F.expr("pair_prior_jobs > 0").alias("repeat_pair"), "pair_prior_jobs", "pair_prior_completed",
     )
-    for part in (provider_asof(state), client_asof(state), pair_asof(state), median_completed_amount(state)):
-        own = own.join(part, VIEW)
-    return staged(own)
+    return rows.join(medians, VIEW)
+
+
+def decision_views(events: DataFrame) -> DataFrame:
+    """One row per funding whose job and both parties are known by then."""
+    state = staged(with_job_state(events))
+    return staged(finished(carried(state), median_completed_amount(state)))
 
 
 def with_base_prediction(views: DataFrame) -> DataFrame:

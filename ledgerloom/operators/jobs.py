@@ -71,18 +71,22 @@ def rejector_roles(matrix: DataFrame) -> DataFrame:
 
 
 def evaluator_independence(matrix: DataFrame) -> DataFrame:
-    who = F.when(F.col("evaluator").isNull(), "absent").when(F.col("evaluator") == F.col("client"), "client").when(F.col("evaluator") == F.col("provider"), "provider").otherwise("third_party")
+    """Who evaluated the completion of each created job; no address, or the zero address, is no one."""
+    by = F.col("completed_by")
+    who = F.when(by.isNull() | by.rlike("^(0x)?0*$"), "absent").when(by == F.col("client"), "client").when(by == F.col("provider"), "provider").otherwise("third_party")
     return matrix.where("completed and created").groupBy(who.alias("evaluator_role")).agg(F.count("*").alias("jobs"))
 
 
 def fee_to_creator(events: DataFrame, matrix: DataFrame) -> DataFrame:
+    """Evaluator fees of created jobs, and those that went to the creator; fees of unknown jobs don't count."""
     fees = events.where("kind = 'EvaluatorFeePaid'").select("job_id", "recipient")
-    joined = fees.join(matrix.select("job_id", "client"), "job_id", "left")
+    joined = fees.join(matrix.where("created").select("job_id", "client"), "job_id")
     return joined.agg(F.count("*").alias("fees"), F.count_if(F.col("recipient") == F.col("client")).alias("to_creator"))
 
 
 def agent_activity(matrix: DataFrame) -> DataFrame:
-    agents = matrix.where("created").select(F.explode(F.array_distinct(F.array("client", "provider"))).alias("agent")).where("agent is not null")
+    """A job counts for its client and for its provider, so twice for one who is both."""
+    agents = matrix.where("created").select(F.explode(F.array("client", "provider")).alias("agent")).where("agent is not null")
     return agents.groupBy("agent").agg(F.count("*").alias("jobs")).agg(F.count("*").alias("agents"), F.count_if(F.col("jobs") >= 5).alias("five_or_more"), F.count_if(F.col("jobs") >= 20).alias("twenty_or_more"))
 
 
@@ -99,21 +103,47 @@ def response_funnel(matrix: DataFrame) -> DataFrame:
     return made.agg(F.count("*").alias("created"), n(answered, "reached_budget"), n(~answered, "never_answered"), n(~answered & ~F.col("completed"), "died_unanswered"), n(answered & ~F.col("funded") & ~F.col("completed"), "answered_not_funded"), n(~answered & F.col("expired"), "unanswered_expired"))
 
 
-def funding_gaps(events: DataFrame, matrix: DataFrame) -> DataFrame:
-    """The median gap in blocks between a provider's consecutive fundings, and seconds per block."""
+def funding_gaps(events: DataFrame, matrix: DataFrame, width: int = params.BUCKET_BLOCKS) -> DataFrame:
+    """The median gap in blocks between a provider's consecutive fundings, and seconds per block.
+
+    Gaps are taken inside (provider, bucket of blocks); a bucket's first one opens with the last block of the bucket before.
+    """
     funded = events.where("kind = 'JobFunded'").select("job_id", "block", "log_index").join(matrix.select("job_id", "provider").where("provider is not null"), "job_id")
-    gap = funded.select((F.col("block") - F.lag("block").over(Window.partitionBy("provider").orderBy("block", "log_index", "job_id"))).alias("gap")).where("gap is not null")
+    funded = funded.withColumn("_bucket", F.floor(F.col("block") / width))
+    last = funded.groupBy("provider", "_bucket").agg(F.max("block").alias("_last"))
+    opening = last.select("provider", "_bucket", F.lag("_last").over(Window.partitionBy("provider").orderBy("_bucket")).alias("_from"))
+    inside = F.lag("block").over(Window.partitionBy("provider", "_bucket").orderBy("block", "log_index", "job_id"))
+    gap = funded.join(opening, ["provider", "_bucket"]).select((F.col("block") - F.coalesce(inside, F.col("_from"))).alias("gap")).where("gap is not null")
     ends = events.where("ts is not null").agg(F.max(F.struct("block", "ts")).alias("b"), F.min(F.struct("block", "ts")).alias("a")).select(share(F.col("b.ts") - F.col("a.ts"), F.col("b.block") - F.col("a.block")).alias("seconds_per_block"))
     return gap.agg(F.count("*").alias("gaps"), F.expr("percentile(gap, 0.5)").alias("median_gap")).crossJoin(ends)
 
 
-def dataset_report(events: DataFrame) -> DataFrame:
-    """All counts as labelled rows: section, name, value."""
+def dataset_report(events: DataFrame, support: int = params.TABLE_SUPPORT) -> DataFrame:
+    """All statistics as labelled rows (section, name, value): counts, rates, roles, concentration, gaps and the provider table."""
     m = job_matrix(events)
-    parts = []
-    for section, df in (("funnel", funnel(m)), ("failures", failure_modes(m)), ("agents", agent_activity(m)), ("responses", response_funnel(m)), ("fees", fee_to_creator(events, m))):
-        pairs = ", ".join(f"'{c}', cast({c} as bigint)" for c in df.columns)
-        parts.append(df.select(F.lit(section).alias("section"), F.expr(f"stack({len(df.columns)}, {pairs}) as (name, value)")))
+
+    def wide(section: str, df: DataFrame) -> DataFrame:
+        pairs = ", ".join(f"'{c}', cast({c} as double)" for c in df.columns)
+        return df.select(F.lit(section).alias("section"), F.expr(f"stack({len(df.columns)}, {pairs}) as (name, value)"))
+
+    def long(section: str, df: DataFrame, name: str, value: str) -> DataFrame:
+        return df.select(F.lit(section).alias("section"), F.col(name).alias("name"), F.col(value).cast("double").alias("value"))
+
+    table = provider_table(m, support)
+    parts = [
+        wide("funnel", funnel(m)),
+        wide("base_rate", base_rate(m).select("base_rate")),
+        wide("failures", failure_modes(m)),
+        long("rejections", rejector_roles(m), "role", "rejections"),
+        wide("agents", agent_activity(m)),
+        wide("concentration", top_clients(m)),
+        long("provider_funded", table, "provider", "funded"),
+        long("provider_rate", table, "provider", "rate"),
+        long("evaluators", evaluator_independence(m), "evaluator_role", "jobs"),
+        wide("fees", fee_to_creator(events, m)),
+        wide("responses", response_funnel(m)),
+        wide("gaps", funding_gaps(events, m)),
+    ]
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)

@@ -33,7 +33,7 @@ def jobs_of_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
         .withColumn("outcome", F.when((F.col("k") * 7 + F.col("sup") * 13) % 100 < bar, "C").otherwise(F.expr("element_at(array('RR', 'E', 'F', 'O'), cast(k % 4 + 1 as int))")))
         .withColumn("tb", F.col("fb") + F.col("k") % 6)
         .withColumn("provider", F.expr("concat('p', sup)"))
-        .withColumn("client", F.expr("concat('c', cl)"))
+        .withColumn("client", F.expr("case when k % 19 = 0 then provider else concat('c', cl) end"))
         .withColumn("evaluator", F.expr("case when k % 5 = 0 then null when k % 5 = 1 then concat('e', k % 7) else client end"))
         .withColumn("rejector", F.expr("case k % 3 when 0 then provider when 1 then client else concat('x', k % 3) end"))
         .withColumn("expired_at", F.expr("2 * b0 + element_at(array(1800, 10000, 50000, 100000), cast((k div 4) % 4 + 1 as int))"))
@@ -47,21 +47,25 @@ def _event(kind: str, slot: int, when: str, block: str, **payload: str) -> Colum
 
 
 def marketplace(spark: SparkSession, sf_dir: str, reversed_slots: bool = False) -> DataFrame:
-    """The events (EVENT) of all jobs; reversed_slots turns the order inside each job around."""
+    """The events (EVENT) of all jobs; reversed_slots turns the order inside each job around.
+
+    Some jobs have no creation, some are their provider's own, and some are completed by another than their evaluator.
+    """
     c = "funded and outcome = 'C'"
+    by = f"case k % 13 when 0 then concat('e', k % 7) when 1 then provider else coalesce(evaluator, '0x{'0' * 40}') end"
     slots = [
-        _event("JobCreated", 0, "true", "b0", client="client", provider="provider", evaluator="evaluator", expired_at="expired_at"),
+        _event("JobCreated", 0, "k % 29 <> 0", "b0", client="client", provider="provider", evaluator="evaluator", expired_at="expired_at"),
         _event("BudgetSet", 1, "pr <> 5", "b0 + k % 2", amount="amount"),
         _event("BudgetSet", 2, "pr <> 5 and n >= 5", "b0 + k % 3", amount="amount + 1"),
         _event("JobFunded", 3, "funded", "fb", funder="client", amount="amount"),
         _event("JobSubmitted", 4, c, "tb"),
-        _event("JobCompleted", 5, c, "tb", evaluator=f"coalesce(evaluator, '0x{'0' * 40}')"),
+        _event("JobCompleted", 5, c, "tb", evaluator=by),
         _event("JobRejected", 5, "funded and outcome = 'RR'", "tb", rejector="rejector"),
         _event("JobExpired", 5, "funded and outcome = 'E'", "tb"),
         _event("Refunded", 6, "funded and outcome in ('RR', 'F')", "tb", recipient="client", amount="amount"),
         _event("PaymentReleased", 7, c, "tb", payee="provider", amount="amount * 9 div 10"),
         _event("EvaluatorFeePaid", 8, f"{c} and k % 2 = 0", "tb", recipient="coalesce(evaluator, client)", amount="amount div 20"),
-        _event("JobCompleted", 5, "not funded and k % 10 = 0", "b0 + 3", evaluator=f"coalesce(evaluator, '0x{'0' * 40}')"),
+        _event("JobCompleted", 5, "not funded and k % 10 = 0", "b0 + 3", evaluator=by),
         _event("JobExpired", 5, "pr = 5 and k % 10 in (1, 6)", "b0 + 5"),
     ]
     rows = jobs_of_orders(spark, sf_dir).select("k", F.explode(F.filter(F.array(*slots), lambda e: e.isNotNull())).alias("e"))
@@ -75,25 +79,26 @@ MARKET_SQL = f"""
 o AS (SELECT o_orderkey AS k, o_custkey % 97 AS cl, floor(o_totalprice)::BIGINT AS amount,
         (1000 + date_diff('day', DATE '1995-01-01', o_orderdate::DATE))::BIGINT AS b0, substr(o_orderpriority, 1, 1)::INT AS pr FROM orders),
 li AS (SELECT l_orderkey AS k, count(*) AS n, min(l_suppkey) AS sup FROM lineitem GROUP BY 1),
-j0 AS (SELECT *, pr <= 3 AS funded, b0 + k % 4 AS fb, 'p' || sup AS provider, 'c' || cl AS client,
+j0 AS (SELECT *, pr <= 3 AS funded, b0 + k % 4 AS fb, 'p' || sup AS provider, CASE WHEN k % 19 = 0 THEN 'p' || sup ELSE 'c' || cl END AS client,
         CASE WHEN (k * 7 + sup * 13) % 100 < (CASE WHEN sup % 3 = 0 AND amount > 100000 THEN 20 WHEN sup % 3 = 1 AND cl % 4 = 0 THEN 30 ELSE 85 END)
              THEN 'C' ELSE (['RR', 'E', 'F', 'O'])[k % 4 + 1] END AS outcome FROM o JOIN li USING (k)),
 j AS (SELECT *, fb + k % 6 AS tb, CASE WHEN k % 5 = 0 THEN NULL WHEN k % 5 = 1 THEN 'e' || (k % 7) ELSE client END AS evaluator,
         CASE k % 3 WHEN 0 THEN provider WHEN 1 THEN client ELSE 'x' || (k % 3) END AS rejector,
         2 * b0 + ([1800, 10000, 50000, 100000])[(k // 4) % 4 + 1] AS expired_at FROM j0),
+jb AS (SELECT *, CASE k % 13 WHEN 0 THEN 'e' || (k % 7) WHEN 1 THEN provider ELSE coalesce(evaluator, '0x{"0" * 40}') END AS done_by FROM j),
 ev0 AS (
-  SELECT 'JobCreated' AS kind, k, 0 AS slot, b0 AS block, client, provider, evaluator, NULL AS funder, NULL AS payee, NULL AS rejector, NULL AS recipient, NULL::BIGINT AS amount, expired_at FROM j
+  SELECT 'JobCreated' AS kind, k, 0 AS slot, b0 AS block, client, provider, evaluator, NULL AS funder, NULL AS payee, NULL AS rejector, NULL AS recipient, NULL::BIGINT AS amount, expired_at FROM j WHERE k % 29 <> 0
   UNION ALL SELECT 'BudgetSet', k, 1, b0 + k % 2, NULL, NULL, NULL, NULL, NULL, NULL, NULL, amount, NULL FROM j WHERE pr <> 5
   UNION ALL SELECT 'BudgetSet', k, 2, b0 + k % 3, NULL, NULL, NULL, NULL, NULL, NULL, NULL, amount + 1, NULL FROM j WHERE pr <> 5 AND n >= 5
   UNION ALL SELECT 'JobFunded', k, 3, fb, NULL, NULL, NULL, client, NULL, NULL, NULL, amount, NULL FROM j WHERE funded
   UNION ALL SELECT 'JobSubmitted', k, 4, tb, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL FROM j WHERE funded AND outcome = 'C'
-  UNION ALL SELECT 'JobCompleted', k, 5, tb, NULL, NULL, coalesce(evaluator, '0x{"0" * 40}'), NULL, NULL, NULL, NULL, NULL, NULL FROM j WHERE funded AND outcome = 'C'
+  UNION ALL SELECT 'JobCompleted', k, 5, tb, NULL, NULL, done_by, NULL, NULL, NULL, NULL, NULL, NULL FROM jb WHERE funded AND outcome = 'C'
   UNION ALL SELECT 'JobRejected', k, 5, tb, NULL, NULL, NULL, NULL, NULL, rejector, NULL, NULL, NULL FROM j WHERE funded AND outcome = 'RR'
   UNION ALL SELECT 'JobExpired', k, 5, tb, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL FROM j WHERE funded AND outcome = 'E'
   UNION ALL SELECT 'Refunded', k, 6, tb, NULL, NULL, NULL, NULL, NULL, NULL, client, amount, NULL FROM j WHERE funded AND outcome IN ('RR', 'F')
   UNION ALL SELECT 'PaymentReleased', k, 7, tb, NULL, NULL, NULL, NULL, provider, NULL, NULL, amount * 9 // 10, NULL FROM j WHERE funded AND outcome = 'C'
   UNION ALL SELECT 'EvaluatorFeePaid', k, 8, tb, NULL, NULL, NULL, NULL, NULL, NULL, coalesce(evaluator, client), amount // 20, NULL FROM j WHERE funded AND outcome = 'C' AND k % 2 = 0
-  UNION ALL SELECT 'JobCompleted', k, 5, b0 + 3, NULL, NULL, coalesce(evaluator, '0x{"0" * 40}'), NULL, NULL, NULL, NULL, NULL, NULL FROM j WHERE NOT funded AND k % 10 = 0
+  UNION ALL SELECT 'JobCompleted', k, 5, b0 + 3, NULL, NULL, done_by, NULL, NULL, NULL, NULL, NULL, NULL FROM jb WHERE NOT funded AND k % 10 = 0
   UNION ALL SELECT 'JobExpired', k, 5, b0 + 5, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL FROM j WHERE pr = 5 AND k % 10 IN (1, 6)),
 ev AS (SELECT kind, k AS job_id, block, 10 * k + slot AS log_index, 2 * block AS ts, client, provider, evaluator, funder, payee, rejector, recipient, amount, expired_at FROM ev0)"""
 

@@ -86,7 +86,7 @@ def failure_modes(spark, sf_dir):
     return jobs.failure_modes(matrix(spark, sf_dir))
 
 
-@query(MATRIX_SQL + "SELECT provider, count(*) AS funded, count(*) FILTER (completed) AS completed, round(count(*) FILTER (completed) / count(*), 9) AS rate FROM jm WHERE funded GROUP BY provider HAVING count(*) >= 50")
+@query(MATRIX_SQL + "SELECT provider, count(*) AS funded, count(*) FILTER (completed) AS completed, round(count(*) FILTER (completed) / count(*), 9) AS rate FROM jm WHERE funded AND provider IS NOT NULL GROUP BY provider HAVING count(*) >= 50")
 def provider_table(spark, sf_dir):
     return places(jobs.provider_table(matrix(spark, sf_dir), support=50), "rate")
 
@@ -98,13 +98,13 @@ def rejector_roles(spark, sf_dir):
 
 @query(
     MATRIX_SQL
-    + "SELECT CASE WHEN evaluator IS NULL THEN 'absent' WHEN evaluator = client THEN 'client' WHEN evaluator = provider THEN 'provider' ELSE 'third_party' END AS evaluator_role, count(*) AS jobs FROM jm WHERE completed AND created GROUP BY 1"
+    + "SELECT CASE WHEN completed_by IS NULL OR ltrim(replace(completed_by, '0x', ''), '0') = '' THEN 'absent' WHEN completed_by = client THEN 'client' WHEN completed_by = provider THEN 'provider' ELSE 'third_party' END AS evaluator_role, count(*) AS jobs FROM jm WHERE completed AND created GROUP BY 1"
 )
 def evaluator_independence(spark, sf_dir):
     return jobs.evaluator_independence(matrix(spark, sf_dir))
 
 
-@query(MATRIX_SQL + "SELECT count(*) AS fees, count(*) FILTER (e.recipient = jm.client) AS to_creator FROM ev e LEFT JOIN jm USING (job_id) WHERE e.kind = 'EvaluatorFeePaid'")
+@query(MATRIX_SQL + "SELECT count(*) AS fees, count(*) FILTER (e.recipient = jm.client) AS to_creator FROM ev e JOIN jm USING (job_id) WHERE e.kind = 'EvaluatorFeePaid' AND created")
 def fee_to_creator(spark, sf_dir):
     events = market(spark, sf_dir)
     return jobs.fee_to_creator(events, jobs.job_matrix(events))
@@ -134,7 +134,7 @@ def response_funnel(spark, sf_dir):
 
 @query(
     MATRIX_SQL
-    + """, g AS (SELECT e.block - lag(e.block) OVER (PARTITION BY jm.provider ORDER BY e.block, e.log_index) AS gap FROM ev e JOIN jm USING (job_id) WHERE e.kind = 'JobFunded')
+    + """, g AS (SELECT e.block - lag(e.block) OVER (PARTITION BY jm.provider ORDER BY e.block, e.log_index) AS gap FROM ev e JOIN jm USING (job_id) WHERE e.kind = 'JobFunded' AND jm.provider IS NOT NULL)
 SELECT count(gap) AS gaps, quantile_cont(gap, 0.5)::DOUBLE AS median_gap, 2.0::DOUBLE AS seconds_per_block FROM g"""
 )
 def funding_gap_median(spark, sf_dir):
@@ -157,16 +157,24 @@ def over_budget(spark, sf_dir):
     return jobs.over_budget(events, events.where("kind = 'JobFunded'").select("job_id", F.col("amount").alias("approved")))
 
 
-_REPORT = {"funnel": "funnel", "failures": "failure_modes", "agents": "agent_activity", "responses": "response_funnel", "fees": "fee_to_creator"}
+_REPORT = {"funnel": "funnel", "failures": "failure_modes", "agents": "agent_activity", "responses": "response_funnel", "fees": "fee_to_creator", "concentration": "top_clients", "gaps": "funding_gap_median"}
+_ROLES = {"rejections": ("rejector_roles", "role", "rejections"), "evaluators": ("evaluator_independence", "evaluator_role", "jobs"), "provider_funded": ("provider_table", "provider", "funded"), "provider_rate": ("provider_table", "provider", "rate")}
+
+
+def _plain_sql(name: str) -> str:
+    """The SQL of a statistic without the events and the matrix."""
+    return ORACLE_SQL[name].removeprefix(MATRIX_SQL).removeprefix(MATRIX_SQL.rstrip()).strip().replace(", g AS", "WITH g AS", 1)
 
 
 @query(
     MATRIX_SQL.rstrip()
-    + "".join(f", {section} AS (SELECT COLUMNS(*)::BIGINT FROM ({ORACLE_SQL[name].removeprefix(MATRIX_SQL)}))" for section, name in _REPORT.items())
-    + " UNION ALL ".join(f" SELECT '{section}' AS section, name, value FROM {section} UNPIVOT INCLUDE NULLS (value FOR name IN (COLUMNS(*)))" for section in _REPORT)
+    + "".join(f", w_{section} AS (SELECT COLUMNS(*)::DOUBLE FROM ({_plain_sql(name)}))" for section, name in _REPORT.items())
+    + f", w_base_rate AS (SELECT base_rate::DOUBLE AS base_rate FROM ({_plain_sql('base_rate')}))"
+    + " UNION ALL ".join(f" SELECT '{section}' AS section, name, value FROM w_{section} UNPIVOT INCLUDE NULLS (value FOR name IN (COLUMNS(*)))" for section in [*_REPORT, "base_rate"])
+    + "".join(f" UNION ALL SELECT '{section}', {name}, {value}::DOUBLE FROM ({_plain_sql(q)})" for section, (q, name, value) in _ROLES.items())
 )
 def dataset_report(spark, sf_dir):
-    return jobs.dataset_report(market(spark, sf_dir))
+    return places(jobs.dataset_report(market(spark, sf_dir), support=50), "value")
 
 
 def _addressed(events: DataFrame) -> DataFrame:
@@ -639,7 +647,7 @@ def reliability_curve(spark, sf_dir):
 
 
 @query(
-    f"""WITH {MARKET_SQL}, hd AS (SELECT max(block) AS hb, max(ts) AS ht FROM ev), g AS (SELECT job_id, min(block) FILTER (kind = 'BudgetSet') AS a, min(block) FILTER (kind IN ('JobExpired', 'JobRejected')) AS d, max(provider) AS provider, max(expired_at) AS x FROM ev GROUP BY 1)
+    f"""WITH {MARKET_SQL}, hd AS (SELECT max(block) AS hb, max(ts) AS ht FROM ev), g AS (SELECT job_id, min(block) FILTER (kind = 'BudgetSet') AS a, min(block) FILTER (kind IN ('JobExpired', 'JobRejected')) AS d, max(provider) AS provider, max(expired_at) AS x FROM ev GROUP BY 1 HAVING bool_or(kind = 'JobCreated'))
 SELECT job_id, provider, CASE WHEN a IS NOT NULL THEN 'responded' WHEN d IS NOT NULL THEN 'died unanswered' WHEN x > 0 AND ht > x THEN 'deadline passed unanswered' ELSE 'pending' END AS state,
 CASE WHEN a IS NOT NULL THEN a WHEN d IS NOT NULL THEN d WHEN x > 0 AND ht > x THEN hb END AS block, CASE WHEN a IS NOT NULL THEN true WHEN d IS NOT NULL OR (x > 0 AND ht > x) THEN false END AS confirmed FROM g, hd"""
 )

@@ -21,15 +21,20 @@ def read_cursor(spark: SparkSession, path: str) -> int | None:
 
 
 def land(events: DataFrame, path: str, partitions: int, span: int = 100_000) -> None:
-    """Write events in chain order, range-partitioned by block and split into folders of ``span`` blocks."""
-    ranged = events.withColumn("block_range", F.floor(F.col("block") / span) * span).repartitionByRange(partitions, "block")
-    ranged.sortWithinPartitions("block", "log_index", "job_id").write.partitionBy("block_range").mode("append").parquet(path)
+    """Write events in chain order, range-partitioned by block and split into folders of ``span`` blocks.
+
+    The folder names hold span and first block, so that a reader needs to know neither.
+    """
+    ranged = events.withColumns({"block_span": F.lit(span).cast("long"), "block_range": F.floor(F.col("block") / span) * span}).repartitionByRange(partitions, "block")
+    ranged.sortWithinPartitions("block", "log_index", "job_id").write.partitionBy("block_span", "block_range").mode("append").parquet(path)
 
 
 def read_events(spark: SparkSession, path: str, after: int | None = None) -> DataFrame:
-    """Landed events, only those after a block if given; the folder pruning and the pushed filter read no more."""
+    """Landed events, only those after a block if given; folders that end before it are pruned, and the pushed filter reads no more of the rest."""
     rows = spark.read.parquet(path)
-    return rows if after is None else rows.where((F.col("block") > after) & (F.col("block_range") + 0 >= after - after % 100_000))
+    if after is not None:
+        rows = rows.where((F.col("block") > after) & (F.col("block_range") + F.col("block_span") > after))
+    return rows.drop("block_span", "block_range")
 
 
 def settled(logs: DataFrame, cursor: int, head: int, confirmations: int = params.CONFIRMATIONS) -> DataFrame:

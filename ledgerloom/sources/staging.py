@@ -3,14 +3,16 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame
 
 
 def staged(df: DataFrame) -> DataFrame:
-    """df computed once and kept in the session's checkpoint folder, which all executors share.
+    """df computed once and kept as Parquet in the session's checkpoint folder, which all executors share.
 
-    Only a local session without such a folder gets one of its own.
+    So lineage is cut and later steps read only the columns they need. Only a local session without such a folder gets
+    one of its own. Folders stay until the checkpoint folder is cleared, as those of checkpoints do.
     """
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
@@ -18,4 +20,6 @@ def staged(df: DataFrame) -> DataFrame:
         if named is None and sc.master.split("[")[0] != "local":
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoint-"))
-    return df.checkpoint(eager=True)
+    path = f"{sc.getCheckpointDir()}/staged-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
