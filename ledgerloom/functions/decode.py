@@ -26,16 +26,16 @@ def bare(text: Column) -> Column:
 
 
 def hex_to_long(text: Column) -> Column:
-    """A hex number with or without 0x; null if it isn't one or doesn't fit 63 bits."""
+    """A hex number of at most 64 digits, with or without 0x; null if it isn't one or doesn't fit 63 bits."""
     return digits_to_long(bare(text))
 
 
 def digits_to_long(digits: Column) -> Column:
-    """As hex_to_long, without 0x. No regular expressions: unhex tells whether all are digits."""
-    least = F.ltrim(digits, F.lit("0"))
-    wide = F.lpad(least, 16, "0")
-    fits = (digits != "") & (F.length(least) <= 16) & (F.substring(wide, 1, 1) <= "7") & F.unhex(wide).isNotNull()
-    return F.when(fits, F.conv(F.when(fits, wide), 16, 10).cast("long"))
+    """As hex_to_long, without 0x. No regular expressions and no trimming: the leading 48 digits are compared, unhex checks the rest."""
+    wide = F.lpad(digits, 64, "0")
+    low = F.substring(wide, 49, 16)
+    fits = (digits != "") & (F.length(digits) <= 64) & wide.startswith("0" * 48) & (F.substring(low, 1, 1) <= "7") & F.unhex(low).isNotNull()
+    return F.when(fits, F.conv(low, 16, 10).cast("long"))
 
 
 def hex_to_decimal(text: Column) -> Column:
@@ -86,7 +86,7 @@ def decode(logs: DataFrame, contract: str | None = None) -> DataFrame:
     rows = rows.select("*", F.try_element_at(kinds, F.lower(topic(0))).alias("kind")).where("kind is not null").withColumns(split)
     at = lambda kind, value: F.when(F.col("kind") == kind, value)
     first, who = F.col("_first"), address(F.col("_who"))
-    named = F.when(F.ltrim(first, F.lit("0")) != "", address(first))  # at creation the zero address means none
+    named = F.when(~F.lit("0" * 64).startswith(first), address(first))  # at creation the zero address means none
     amount = F.when(F.col("kind").isin("BudgetSet", "JobFunded", "PaymentReleased", "Refunded", "EvaluatorFeePaid"), F.when(first.isNull(), F.lit(0).cast("long")).otherwise(digits_to_long(first)))
     return rows.select(
         "kind",

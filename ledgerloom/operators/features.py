@@ -81,6 +81,8 @@ def jobs_after(state: DataFrame, opening: DataFrame | None = None) -> DataFrame:
 
 
 VIEW = ["job_id", "funding_block", "log_index"]
+#: Events of other kinds change no count.
+COUNTED = ("JobCreated", "JobFunded", *params.TERMINAL)
 _STATE = ["job_id", "block", "log_index", "ts", "kind", "client", "provider", "amount", "budget_set_count", "expired_at", "created_block", "d_created", "d_funded", "d_completed", "d_expired", "d_self", "d_open", "acted_at"]
 
 
@@ -88,7 +90,7 @@ def with_provider(rows: DataFrame) -> DataFrame:
     """Rows of with_job_state that have a provider, with its history at each; _first, _made and _acted are the blocks behind the ages."""
     made = F.when(F.col("d_created") == 1, F.nullif("block", F.lit(0)))
     return running(
-        rows.where("provider is not null"), ["provider"], "block",
+        rows.where(F.col("provider").isNotNull() & F.col("kind").isin(*COUNTED)), ["provider"], "block",
         [
             Running("provider_prior_funded", F.col("d_funded")),
             Running("provider_prior_completed", F.col("d_completed")),
@@ -217,7 +219,7 @@ def finished(rows: DataFrame, medians: DataFrame) -> DataFrame:
 
 def decision_views(events: DataFrame) -> DataFrame:
     """One row per funding whose job and both parties are known by then."""
-    state = staged(with_job_state(events))
+    state = staged(with_job_state(events).where(F.col("kind").isin(*COUNTED)).select(*_STATE, "last_budget"))
     return staged(finished(carried(state), median_completed_amount(state)))
 
 
