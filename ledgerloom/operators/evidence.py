@@ -43,9 +43,10 @@ def pending_requests(requests: DataFrame, declarations: DataFrame) -> DataFrame:
 
 
 def answer_requests(requests: DataFrame, faults: DataFrame, status: str, block: int) -> DataFrame:
-    """Declarations for a batch of requests; a reference among the injected faults is only noted as such."""
-    note = F.when(F.col("_fault"), "injected fault")
-    return requests.join(faults.select("job_ref").distinct().withColumn("_fault", F.lit(True)), "job_ref", "left").select(*WHO, "job_ref", F.lit(status).alias("status"), F.lit(block).cast("long").alias("declared_at_block"), note.alias("note"))
+    """Declarations for a batch of requests; a reference among the injected faults is noted as such."""
+    note = F.when(F.col("_fault"), "controlled fault injection: will not act on this claim")
+    marked = requests.join(faults.select("job_ref").distinct().withColumn("_fault", F.lit(True)), "job_ref", "left")
+    return marked.select(*WHO, "job_ref", F.lit(status).alias("status"), F.lit(block).cast("long").alias("declared_at_block"), note.alias("note"))
 
 
 def response_reliability(observations: DataFrame, declarations: DataFrame, as_of: Column | int) -> DataFrame:

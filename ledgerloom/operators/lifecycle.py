@@ -1,8 +1,9 @@
-"""Trial, graduation and demotion of rules: an ordered fold per provider.
+"""Trial, graduation and demotion of rules: an ordered fold per provider and field.
 
-A demotion changes which rule is the strongest of the next decision, so the fold can't be a window.
-Rows arrive sorted by provider and time in Arrow batches; the state is the provider's rules (at most one
-per rung) and its open decisions, never the provider's whole history.
+A demotion changes which rule is the strongest of the next decision, so the fold can't be a window. Rules of one
+provider and field compete with each other alone, so each field of a provider is folded by itself.
+Rows arrive sorted by key and time in Arrow batches; the state is the field's rules (at most one
+per rung) and the open decisions, never the provider's whole history.
 """
 
 from __future__ import annotations
@@ -59,7 +60,7 @@ def strongest(matches: list[dict], rules: dict[str, Managed]) -> list[tuple[str,
 
 @dataclass
 class Trials:
-    """One provider's rules and open decisions; the state of the fold, batch or stream."""
+    """The rules and open decisions of a provider, or of one of its fields; the state of the fold, batch or stream."""
 
     rules: dict[str, Managed] = field(default_factory=dict)
     waiting: dict[int, list[str]] = field(default_factory=dict)
@@ -90,24 +91,24 @@ class Trials:
 
 
 def fold(rows: Iterator[dict], trial: int = params.TRIAL) -> Iterator[tuple]:
-    """Rows of one or more providers in order: views (with matches) and closings (with completed)."""
-    provider, trials = None, Trials()
+    """Rows of one or more providers (and fields, if rows have one) in order: views (with matches) and closings (with completed)."""
+    key, trials = (None, None), Trials()
     for row in rows:
-        if row["provider"] != provider:
-            yield from trials.states(provider)
-            provider, trials = row["provider"], Trials()
+        if (row["provider"], row.get("field")) != key:
+            yield from trials.states(key[0])
+            key, trials = (row["provider"], row.get("field")), Trials()
         yield from trials.step(row, trial)
-    yield from trials.states(provider)
+    yield from trials.states(key[0])
 
 
 def trial_rows(views: DataFrame, resolved: DataFrame, rules: DataFrame) -> DataFrame:
-    """What the fold takes: views that some rule matches, and the closings of their jobs."""
+    """What the fold takes, for each field apart: views that some rule matches, and the closings of their jobs."""
     match = F.struct("rule_id", "field", "delta_logit", "baseline_rate")
-    decided = rule_matches(views, rules).groupBy("provider", "job_id", "funding_block", "log_index").agg(F.sort_array(F.collect_list(match)).alias("matches"))
+    decided = rule_matches(views, rules).groupBy("provider", "field", "job_id", "funding_block", "log_index").agg(F.sort_array(F.collect_list(match)).alias("matches"))
     none = F.array().cast("array<struct<rule_id:string,field:string,delta_logit:double,baseline_rate:double>>")
-    asked = decided.select("provider", F.col("funding_block").alias("block"), F.lit(0).alias("phase"), "log_index", "job_id", "matches", F.lit(None).cast("boolean").alias("completed"))
-    closed = resolved.where("outcome is not null and not inferred_expiry").join(decided.select("job_id").distinct(), "job_id", "left_semi")
-    ended = closed.select("provider", F.col("resolved_at_block").alias("block"), F.lit(1).alias("phase"), F.col("resolved_log_index").alias("log_index"), "job_id", none.alias("matches"), (F.col("outcome") == "success").alias("completed"))
+    asked = decided.select("provider", "field", F.col("funding_block").alias("block"), F.lit(0).alias("phase"), "log_index", "job_id", "matches", F.lit(None).cast("boolean").alias("completed"))
+    closed = resolved.where("outcome is not null and not inferred_expiry").join(decided.select("job_id", "field").distinct(), "job_id")
+    ended = closed.select("provider", "field", F.col("resolved_at_block").alias("block"), F.lit(1).alias("phase"), F.col("resolved_log_index").alias("log_index"), "job_id", none.alias("matches"), (F.col("outcome") == "success").alias("completed"))
     return asked.unionByName(ended)
 
 
@@ -128,8 +129,8 @@ def rule_lifecycle(views: DataFrame, resolved: DataFrame, rules: DataFrame, tria
         if held:
             yield pd.DataFrame(held, columns=COLUMNS)
 
-    dealt = trial_rows(views, resolved, rules).repartition("provider").sortWithinPartitions("provider", "block", "phase", "log_index", "job_id")
-    return dealt.mapInPandas(run, FOLD)
+    order = ["provider", "field", "block", "phase", "log_index", "job_id"]
+    return trial_rows(views, resolved, rules).repartition("provider", "field").sortWithinPartitions(*order).mapInPandas(run, FOLD)
 
 
 def rules_at_end(rules: DataFrame, lifecycle: DataFrame) -> DataFrame:
@@ -138,6 +139,16 @@ def rules_at_end(rules: DataFrame, lifecycle: DataFrame) -> DataFrame:
     return rules.join(state, "rule_id", "left").fillna({"status": "provisional", "applications": 0, "hits": 0})
 
 
+def believed(at_end: DataFrame) -> DataFrame:
+    """Rules that may still move a decision."""
+    return at_end.where("status <> 'demoted'")
+
+
+def retired(at_end: DataFrame) -> DataFrame:
+    """Rules that were demoted, kept with the reason."""
+    return at_end.where("status = 'demoted'").withColumn("reason", F.lit("demoted: stopped outperforming the provider baseline"))
+
+
 def rule_summary(at_end: DataFrame) -> DataFrame:
     return at_end.groupBy("status").agg(F.count("*").alias("rules"), F.countDistinct("subject").alias("providers"), F.sum("applications").alias("applications"), F.sum("hits").alias("hits"))
 

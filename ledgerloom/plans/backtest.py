@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import params
-from ..functions.probability import bin_of
+from ..functions.probability import bin_of, logit, shrunk_rate, sigmoid
 from ..operators import calibration, episodes, features, lifecycle, mining
 from ..sources.staging import staged
 
@@ -108,13 +108,41 @@ def ablation(events: DataFrame, configs: str = "ABCD") -> DataFrame:
     return out
 
 
-def score_requests(requests: DataFrame, snapshot: DataFrame, threshold: float = params.HIRE_AT) -> DataFrame:
-    """Bulk scoring: requests (request_id, provider, and the caller's funded and completed) against memory.
+def hypothetical(requests: DataFrame) -> DataFrame:
+    """Requests (request_id, provider, client, amount, funded, completed) as views of jobs that don't exist yet, at the end of time."""
+    # fixed values: what isn't known of a job before it is made
+    rest = {"repeat_pair": "false", "budget_set_count": "1", "client_prior_funding_rate": "cast(null as double)", "client_prior_created": "0", "pair_prior_jobs": "0", "provider_concurrent_open": "0", "expiry_window": "3600"}
+    return requests.withColumns({c: F.expr(x) for c, x in rest.items()}).withColumns({"job_id": F.col("request_id"), "funding_block": F.lit((1 << 63) - 1), "log_index": F.lit(0)})
 
-    The snapshot's counts replace the caller's where the provider is known; both calls stand side by side.
+
+def memory_record(resolved: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """What memory holds of each provider (seen, done) and of each pair (pair_jobs, pair_completed): jobs that an event closed."""
+    closed = resolved.where("outcome is not null and not inferred_expiry").select("provider", "client", (F.col("outcome") == "success").alias("done"))
+    counts = lambda keys, n, c: closed.groupBy(*keys).agg(F.count("*").alias(n), F.count_if("done").alias(c))
+    return counts(["provider"], "seen", "done"), counts(["provider", "client"], "pair_jobs", "pair_completed")
+
+
+def score_requests(requests: DataFrame, resolved: DataFrame, rules: DataFrame, bands: DataFrame, threshold: float = params.HIRE_AT) -> DataFrame:
+    """Bulk scoring of hypothetical jobs with what memory recalls: the provider's record and live rules, the pair's history, the ledger's band.
+
+    The record's counts replace the caller's where the provider is known, in both calls that stand side by side: p_chain knows no
+    rule, p_memory the strongest live rule of each field. rules: promoted ones with their status; bands: bin and observed_rate.
+    The band is reported and moves nothing.
     """
-    rows = requests.join(snapshot.select("provider", F.col("provider_prior_funded").alias("f"), F.col("provider_prior_completed").alias("c")), "provider", "left")
-    from_ = lambda c, f: (c + F.lit(params.BASE_RATE * params.BASE_WEIGHT)) / (f + F.lit(params.BASE_WEIGHT))
-    rows = rows.withColumns({"p_chain": from_(F.col("completed"), F.col("funded")), "p_memory": from_(F.coalesce("c", "completed"), F.coalesce("f", "funded"))})
+    record, pairs = memory_record(resolved)
+    rows = requests.join(record, "provider", "left").withColumns({"funded": F.coalesce("seen", "funded"), "completed": F.coalesce("done", "completed")}).drop("seen", "done")
+    rows = staged(rows.withColumn("p_chain", shrunk_rate(F.col("completed"), F.col("funded"))))
+    matches = mining.rule_matches(hypothetical(rows), lifecycle.believed(rules))
+    weight = F.when(F.col("status") == "graduated", params.WEIGHTS["graduated"]).otherwise(params.WEIGHTS["provisional"])
+    best = matches.groupBy("job_id", "field").agg(F.min(F.struct((-F.abs("delta_logit")).alias("rank"), "rule_id", F.col("delta_logit").alias("delta"), weight.alias("weight"))).alias("b"))
+    by = best.groupBy(F.col("job_id").alias("request_id")).agg(F.sort_array(F.collect_list(F.struct("b.rule_id", "b.delta", "b.weight", "field"))).alias("rules_applied"))
+    rows = rows.join(by, "request_id", "left")
+    push = F.aggregate("rules_applied", logit(F.col("p_chain")), lambda a, r: a + r["delta"] * r["weight"])
+    rows = rows.withColumn("p_memory", F.when(F.col("rules_applied").isNull(), F.col("p_chain")).otherwise(sigmoid(push))).withColumn("bin", bin_of(F.col("p_memory")))
+    rows = rows.join(F.broadcast(bands.select("bin", "observed_rate")), "bin", "left").join(pairs, ["provider", "client"], "left")  # ten bands
     call = lambda p: F.when(F.col(p) >= threshold, "HIRE").otherwise("DO NOT HIRE")
-    return rows.select("request_id", "provider", "p_chain", "p_memory", call("p_chain").alias("chain_call"), call("p_memory").alias("memory_call"), (F.round("p_chain", 4) != F.round("p_memory", 4)).alias("probability_changed"))
+    return rows.select(
+        "request_id", "provider", "client", "p_chain", "p_memory", "rules_applied", call("p_chain").alias("chain_call"), call("p_memory").alias("memory_call"),
+        (F.round("p_chain", 4) != F.round("p_memory", 4)).alias("probability_changed"), (call("p_chain") != call("p_memory")).alias("decision_changed"),
+        "observed_rate", F.coalesce("pair_jobs", F.lit(0)).alias("pair_jobs"), F.coalesce("pair_completed", F.lit(0)).alias("pair_completed"),
+    )

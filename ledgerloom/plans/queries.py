@@ -11,7 +11,7 @@ from .. import params
 from ..functions import decode, text
 from ..operators import calibration, episodes, evidence, features, jobs, lifecycle, mining
 from ..sources import journal
-from ..sources.staging import staged
+from ..sources.staging import folder, staged
 from . import backtest
 from .marketplace import MARKET_SQL, PROMISE_SQL, marketplace, promises, table
 
@@ -501,6 +501,18 @@ def rule_lifecycle(spark, sf_dir):
     return at_end.select("rule_id", "subject", F.to_json(F.struct("field", "op", "value")).alias("condition"), F.round("delta_logit", 4).alias("delta_logit"), "status", "applications", "hits")
 
 
+@query(FOLD_SQL + "SELECT rule_id, subject, r.status AS status FROM rules JOIN ends ON r.id = rule_id WHERE r.status <> 'demoted'")
+def rules_believed(spark, sf_dir):
+    b = backtest.prepare(market(spark, sf_dir))
+    return lifecycle.believed(lifecycle.rules_at_end(b.rules, b.lifecycle)).select("rule_id", "subject", "status")
+
+
+@query(FOLD_SQL + "SELECT rule_id, subject, 'demoted: stopped outperforming the provider baseline' AS reason FROM rules JOIN ends ON r.id = rule_id WHERE r.status = 'demoted'")
+def rules_retired(spark, sf_dir):
+    b = backtest.prepare(market(spark, sf_dir))
+    return lifecycle.retired(lifecycle.rules_at_end(b.rules, b.lifecycle)).select("rule_id", "subject", "reason")
+
+
 @query(FOLD_SQL + "SELECT r.status AS status, count(*) AS rules, count(DISTINCT subject) AS providers, sum(r.n)::BIGINT AS applications, sum(r.hits)::BIGINT AS hits FROM rules JOIN ends ON r.id = rule_id GROUP BY 1")
 def rule_summary(spark, sf_dir):
     b = backtest.prepare(market(spark, sf_dir))
@@ -561,15 +573,30 @@ def provider_totals(spark, sf_dir):
 
 
 @query(
-    STATE_SQL
-    + """, snap AS (SELECT provider, sum(funded) AS f, sum(done) AS c FROM delta GROUP BY provider), rq AS (SELECT c_custkey AS request_id, 'p' || (c_custkey % 1200) AS provider, c_custkey % 7 AS funded, c_custkey % 3 AS completed FROM customer)
-SELECT request_id, rq.provider, round((completed + 7.947) / (funded + 10.0), 9) AS p_chain, round((coalesce(c, completed) + 7.947) / (coalesce(f, funded) + 10.0), 9) AS p_memory,
-CASE WHEN (completed + 7.947) / (funded + 10.0) >= 0.5 THEN 'HIRE' ELSE 'DO NOT HIRE' END AS chain_call, CASE WHEN (coalesce(c, completed) + 7.947) / (coalesce(f, funded) + 10.0) >= 0.5 THEN 'HIRE' ELSE 'DO NOT HIRE' END AS memory_call,
-round((completed + 7.947) / (funded + 10.0), 4) <> round((coalesce(c, completed) + 7.947) / (coalesce(f, funded) + 10.0), 4) AS probability_changed FROM rq LEFT JOIN snap USING (provider)"""
+    FOLD_SQL.rstrip()
+    + f""",
+rq AS (SELECT c_custkey AS request_id, 'p' || (c_custkey % 120) AS provider, 'c' || (c_custkey % 97) AS client, ((c_custkey * 7919) % 400000)::BIGINT AS amount, c_custkey % 7 AS funded, c_custkey % 3 AS completed FROM customer),
+rec AS (SELECT provider, count(*) AS f, count(*) FILTER (completed) AS c FROM ob GROUP BY 1),
+prs AS (SELECT provider, client, count(*) AS pair_jobs, count(*) FILTER (completed) AS pair_completed FROM ob GROUP BY 1, 2),
+rr AS (SELECT request_id, rq.provider, client, amount, (coalesce(c, completed) + 7.947::DOUBLE) / (coalesce(f, funded) + 10.0::DOUBLE) AS p_chain, false AS repeat_pair, 1 AS budget_set_count, NULL::DOUBLE AS client_prior_funding_rate,
+   0 AS client_prior_created, 0 AS pair_prior_jobs, 0 AS provider_concurrent_open, 3600 AS expiry_window FROM rq LEFT JOIN rec ON rec.provider = rq.provider),
+lv AS (SELECT rules.*, ends.r.status AS status FROM rules JOIN ends ON ends.r.id = rule_id WHERE ends.r.status <> 'demoted'),
+hy AS (SELECT request_id, r.rule_id, r.field, r.delta_logit AS d, CASE r.status WHEN 'graduated' THEN 1.0 ELSE 0.5 END::DOUBLE AS w FROM rr JOIN lv r ON r.subject = rr.provider WHERE {_HOLDS}),
+ps AS (SELECT request_id, sum(d * w) AS push, string_agg(rule_id, ';' ORDER BY rule_id) AS rules_applied FROM (SELECT *, row_number() OVER (PARTITION BY request_id, field ORDER BY abs(d) DESC, rule_id) AS n FROM hy) WHERE n = 1 GROUP BY 1),
+sc AS (SELECT rr.*, rules_applied, CASE WHEN push IS NULL THEN p_chain ELSE 1 / (1 + exp(-(ln(p_chain / (1 - p_chain)) + push))) END AS p_memory FROM rr LEFT JOIN ps USING (request_id)),
+bn AS (SELECT least(floor(pf * 10), 9)::INT AS bin, count(*) AS n, count(*) FILTER (y = 1) AS hits FROM ef GROUP BY 1)
+SELECT request_id, sc.provider, sc.client, round(p_chain, 9) AS p_chain, round(p_memory, 9) AS p_memory, coalesce(rules_applied, '') AS rules_applied, CASE WHEN p_chain >= 0.5 THEN 'HIRE' ELSE 'DO NOT HIRE' END AS chain_call,
+CASE WHEN p_memory >= 0.5 THEN 'HIRE' ELSE 'DO NOT HIRE' END AS memory_call, round(p_chain, 4) <> round(p_memory, 4) AS probability_changed, (p_chain >= 0.5) <> (p_memory >= 0.5) AS decision_changed,
+round(CASE WHEN n >= 20 THEN hits / n END, 9) AS observed_rate, coalesce(pair_jobs, 0) AS pair_jobs, coalesce(pair_completed, 0) AS pair_completed
+FROM sc LEFT JOIN bn ON bin = least(floor(p_memory * 10), 9) LEFT JOIN prs ON prs.provider = sc.provider AND prs.client = sc.client"""
 )
 def score_requests(spark, sf_dir):
-    requests = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("request_id"), F.expr("concat('p', c_custkey % 1200)").alias("provider"), (F.col("c_custkey") % 7).alias("funded"), (F.col("c_custkey") % 3).alias("completed"))
-    return places(backtest.score_requests(requests, features.provider_snapshot(marketplace(spark, sf_dir))), "p_chain", "p_memory")
+    b = backtest.prepare(market(spark, sf_dir))
+    who = {"provider": "concat('p', c_custkey % 120)", "client": "concat('c', c_custkey % 97)", "amount": "cast((c_custkey * 7919) % 400000 as bigint)", "funded": "c_custkey % 7", "completed": "c_custkey % 3"}
+    requests = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("request_id"), *[F.expr(x).alias(c) for c, x in who.items()])
+    bands = calibration.calibration_bands(episodes.score(b.resolved, F.col("p_final")))
+    rows = backtest.score_requests(requests, b.resolved, lifecycle.rules_at_end(b.rules, b.lifecycle), bands)
+    return places(rows.withColumn("rules_applied", F.coalesce(F.array_join(F.transform("rules_applied", lambda r: r["rule_id"]), ";"), F.lit(""))), "p_chain", "p_memory", "observed_rate")
 
 
 # --- promises --------------------------------------------------------------------------------
@@ -664,21 +691,39 @@ def stay_open_table(spark, sf_dir):
 # --- journal ---------------------------------------------------------------------------------
 
 
-def _journal(spark, sf_dir) -> DataFrame:
+def _journal(spark, sf_dir) -> tuple[DataFrame, dict[str, float]]:
+    """The journal of the backtest, written and read back, and the figures of the episodes themselves."""
     events = market(spark, sf_dir)
     views = features.with_base_prediction(features.decision_views(events)).withColumn("p_final", F.col("p0"))
-    eps = episodes.score(episodes.resolve(events, views), F.col("p_final"))
-    return journal.decision_rows(views).unionByName(journal.episode_rows(eps))
+    eps = staged(episodes.score(episodes.resolve(events, views), F.col("p_final")))
+    path = folder(spark, "journal")
+    journal.append(journal.decision_rows(views).unionByName(journal.episode_rows(eps)), path)
+    own = eps.where("not inferred_expiry").agg(F.avg(F.col("correct").cast("int")).alias("accuracy"), F.avg("brier").alias("mean_brier")).first()
+    return journal.read(spark, path), {"accuracy": own["accuracy"], "mean_brier": own["mean_brier"], "decisions": views.count()}
 
 
-@query(EPISODES_SQL + "SELECT (SELECT count(*) FROM views) AS decisions, count(*) AS episodes, round(avg(correct::INT), 3) AS accuracy, round(avg(brier), 3) AS mean_brier FROM eps WHERE NOT inferred_expiry")
+@query(
+    EPISODES_SQL
+    + """SELECT (SELECT count(*) FROM views) AS decisions, count(*) AS episodes, round(avg(correct::INT), 3) AS accuracy, round(avg(brier), 3) AS mean_brier,
+true AS accuracy_agrees, true AS mean_brier_agrees, true AS decisions_agrees FROM eps WHERE NOT inferred_expiry"""
+)
 def rebuild_from_journal(spark, sf_dir):
-    return places(journal.rebuild(_journal(spark, sf_dir)), "accuracy", "mean_brier", n=3)
+    """Figures from the stored journal alone, and whether they agree with those published from the episodes."""
+    held, published = _journal(spark, sf_dir)
+    return places(journal.rebuild(held, published), "accuracy", "mean_brier", n=3)
 
 
 @query(EPISODES_SQL + "SELECT job_id, provider, type, block FROM (SELECT job_id, provider, 'decision' AS type, funding_block AS block FROM views UNION ALL SELECT job_id, provider, 'episode', resolved_at_block FROM eps WHERE NOT inferred_expiry)")
 def audit_trail(spark, sf_dir):
-    return journal.audit_trail(_journal(spark, sf_dir)).select("job_id", "provider", "type", "block")
+    return journal.audit_trail(_journal(spark, sf_dir)[0]).select("job_id", "provider", "type", "block")
+
+
+@query(f"WITH {PROMISE_SQL} SELECT provider, declaration_type, job_ref, 'available' AS status, 1000000::BIGINT AS declared_at_block, CASE WHEN job_ref % 50 = 0 THEN 'controlled fault injection: will not act on this claim' END AS note FROM req ANTI JOIN decl USING (provider, declaration_type, job_ref)")
+def answered_requests(spark, sf_dir):
+    """Every pending request answered at once, with faults injected for some references."""
+    p = promises(spark, sf_dir)
+    pending = evidence.pending_requests(p["requests"], p["declarations"])
+    return evidence.answer_requests(pending, pending.where("job_ref % 50 = 0").select("job_ref"), "available", 1_000_000)
 
 
 # --- requirement texts -----------------------------------------------------------------------

@@ -5,21 +5,25 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def staged(df: DataFrame) -> DataFrame:
-    """df computed once and kept as Parquet in the session's checkpoint folder, which all executors share.
+def folder(spark: SparkSession, name: str) -> str:
+    """A new path in the session's checkpoint folder, which all executors share. Only a local session without one gets one of its own.
 
-    So lineage is cut and later steps read only the columns they need. Only a local session without such a folder gets
-    one of its own. Folders stay until the checkpoint folder is cleared, as those of checkpoints do.
+    What is written there stays until the checkpoint folder is cleared, as checkpoints do.
     """
-    sc = df.sparkSession.sparkContext
+    sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         named = sc.getConf().get("spark.checkpoint.dir", None)
         if named is None and sc.master.split("[")[0] != "local":
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoint-"))
-    path = f"{sc.getCheckpointDir()}/staged-{uuid.uuid4().hex}"
+    return f"{sc.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
+
+
+def staged(df: DataFrame) -> DataFrame:
+    """df computed once and kept as Parquet, so that lineage is cut and later steps read only the columns they need."""
+    path = folder(df.sparkSession, "staged")
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

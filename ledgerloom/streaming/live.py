@@ -1,13 +1,14 @@
 """The live tail: the same decoding and features on a stream of raw logs, whole blocks at a time.
 
-Each micro-batch lands its decoded logs once (block, log_index), then settles the blocks that lie deep
-enough under the head. History is kept as opening balances per key, a snapshot table per batch, so a
-batch reads the snapshot and its own events, never the whole log.
+Each micro-batch lands its decoded logs, settles the blocks that lie deep enough under the head, and takes the
+decisions of what has settled. History is kept as opening balances per job, provider, client and pair, in
+snapshot tables with a version per batch, so a batch reads the last snapshot and its own events, never the whole log.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass, fields
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -16,54 +17,75 @@ from pyspark.sql.streaming.query import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from .. import params
-from ..functions.decode import decode, schema
+from ..functions.decode import EVENT, decode, schema
 from ..functions.probability import evidence_weight
+from ..operators import episodes, evidence, features
 from ..operators.lifecycle import COLUMNS as FOLD_COLUMNS
 from ..operators.lifecycle import FOLD, Trials
+from ..sources.staging import staged
 
 
-def settle(spark: SparkSession, landed: str, out: str, confirmations: int = params.CONFIRMATIONS):
+def settle(spark: SparkSession, landed: str, out: str, confirmations: int = params.CONFIRMATIONS, then: Callable[[DataFrame, int], None] | None = None):
     """A foreachBatch function: land decoded logs, then append the newly settled blocks to ``out``.
 
-    A block is settled once ``confirmations`` blocks lie above it; it is written once and whole. Every
-    batch writes folders of its own number, so a batch that runs again after a failure replaces
-    its own output and nothing else.
+    A block is settled once ``confirmations`` blocks lie above it; it is written once and whole, and handed to ``then``.
+    Every batch writes folders of its own number and reads those of the number before, so a batch that runs again after a
+    failure replaces its own output and nothing else, and no batch reads what settled long ago: what is still open goes
+    on from batch to batch (``landed``-open), as do the settled block and the head (``out``-marks). Logs that come
+    after their block has settled and aren't in ``out`` are kept and counted (``out``-late, and late in ``out``-marks).
     """
+    log = EVENT
+
+    def held(path: str, number: int) -> DataFrame:
+        return spark.read.schema(log).parquet(f"{path}/batch={number}")
 
     def run(batch: DataFrame, number: int) -> None:
         decode(batch).write.mode("overwrite").parquet(f"{landed}/batch={number}")
-        every = spark.read.parquet(landed).where(F.col("batch") <= number)
-        try:
-            done = spark.read.parquet(out).where(F.col("batch") < number).agg(F.max("block").alias("b")).first()["b"]
-        except Exception as e:  # nothing settled yet
-            if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
-                raise
-            done = None
-        # the filter on block reaches the scan, so what is settled isn't read again
-        fresh = every.where(F.col("block") > (done if done is not None else -1))
-        head = fresh.agg(F.max("block").alias("h")).first()["h"]
-        ready = fresh.where(F.col("block") <= (head if head is not None else 0) - confirmations)
-        ready.drop("batch").dropDuplicates(["block", "log_index"]).write.mode("overwrite").parquet(f"{out}/batch={number}")
+        new, mark = held(landed, number), {"settled": -1, "head": -1}
+        if number:
+            mark = spark.read.parquet(f"{out}-marks/batch={number - 1}").first().asDict()
+        done = mark["settled"]
+        fresh = new.where(F.col("block") > done)
+        if number:
+            fresh = fresh.unionByName(held(f"{landed}-open", number - 1))
+        fresh = staged(fresh.dropDuplicates(["block", "log_index"]))
+        top = fresh.agg(F.max("block").alias("b")).first()["b"]
+        head = max(mark["head"], top if top is not None else -1)
+        settled = max(done, head - confirmations)
+        fresh.where(F.col("block") <= settled).write.mode("overwrite").parquet(f"{out}/batch={number}")
+        fresh.where(F.col("block") > settled).write.mode("overwrite").parquet(f"{landed}-open/batch={number}")
+        late = staged(new.where(F.col("block") <= done).dropDuplicates(["block", "log_index"]))
+        first = late.agg(F.min("block").alias("b")).first()["b"]
+        if first is not None:
+            known = spark.read.schema(log).parquet(*[f"{out}/batch={n}" for n in range(number)]).where(F.col("block") >= first)
+            late = late.join(known.select("block", "log_index"), ["block", "log_index"], "left_anti").select(log.fieldNames())
+        late.write.mode("overwrite").parquet(f"{out}-late/batch={number}")
+        lost = held(f"{out}-late", number).count()
+        if then is not None:
+            then(held(out, number), number)
+        marks = spark.range(1).select(F.lit(settled).cast("long").alias("settled"), F.lit(head).cast("long").alias("head"), F.lit(lost).cast("long").alias("late"))
+        marks.write.mode("overwrite").parquet(f"{out}-marks/batch={number}")
 
     return run
 
 
-def tail(logs: DataFrame, landed: str, out: str, checkpoint: str, confirmations: int = params.CONFIRMATIONS) -> StreamingQuery:
-    return logs.writeStream.foreachBatch(settle(logs.sparkSession, landed, out, confirmations)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def tail(logs: DataFrame, landed: str, out: str, checkpoint: str, confirmations: int = params.CONFIRMATIONS, then: Callable[[DataFrame, int], None] | None = None) -> StreamingQuery:
+    return logs.writeStream.foreachBatch(settle(logs.sparkSession, landed, out, confirmations, then)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 BALANCES = ("d_created", "d_funded", "d_completed", "d_expired", "d_self", "d_open")
 
 
 def roll_forward(snapshot: DataFrame | None, state: DataFrame, *keys: str) -> DataFrame:
-    """The snapshot after a batch: opening balances plus the batch's changes (rows of with_job_state).
+    """The snapshot after a batch: opening balances plus the batch's changes (rows of with_job_state), and the blocks that ages start from.
 
     keys: provider (the default), client, or both for pairs.
     """
     keys = keys or ("provider",)
-    sums = [F.sum(c).cast("long").alias(c) for c in BALANCES]
-    new = state.dropna(subset=list(keys)).groupBy(*keys).agg(*sums, F.max("acted_at").alias("acted_at"))
-    return new if snapshot is None else snapshot.unionByName(new).groupBy(*keys).agg(*sums, F.max("acted_at").alias("acted_at"))
+    made = F.when(F.col("d_created") == 1, F.nullif("block", F.lit(0)))
+    rows = state.dropna(subset=list(keys)).select(*keys, *[F.col(c).cast("long").alias(c) for c in BALANCES], made.alias("first_made"), made.alias("last_made"), "acted_at")
+    rows = rows if snapshot is None else snapshot.unionByName(rows)
+    return rows.groupBy(*keys).agg(*[F.sum(c).cast("long").alias(c) for c in BALANCES], F.min("first_made").alias("first_made"), F.max("last_made").alias("last_made"), F.max("acted_at").alias("acted_at"))
 
 
 # fixed values: the counts of a view that open with a balance, by key
@@ -81,6 +103,79 @@ def with_opening(views: DataFrame, snapshot: DataFrame, *keys: str) -> DataFrame
     return views.join(held, list(keys), "left").withColumns({n: F.col(n) + F.coalesce(f"_{n}", F.lit(0)) for n in counts}).drop(*[f"_{n}" for n in counts])
 
 
+@dataclass
+class Snapshot:
+    """All that a batch needs of those before it: what jobs carry on, balances, completed amounts, open decisions and the jobs that are closed."""
+
+    jobs: DataFrame
+    providers: DataFrame
+    clients: DataFrame
+    pairs: DataFrame
+    amounts: DataFrame
+    pending: DataFrame
+    closed: DataFrame
+
+    def write(self, path: str) -> None:
+        for f in fields(self):
+            getattr(self, f.name).write.mode("overwrite").parquet(f"{path}/{f.name}")
+
+    @classmethod
+    def read(cls, spark: SparkSession, path: str) -> Snapshot:
+        return cls(*[spark.read.parquet(f"{path}/{f.name}") for f in fields(cls)])
+
+
+def _opened(rows: DataFrame, before: Snapshot) -> DataFrame:
+    """Rows of features.carried of one batch, with the history before it."""
+    rows = with_opening(rows, before.providers.drop("first_made", "last_made", "acted_at"), "provider")
+    seen = before.providers.select("provider", "first_made", "last_made", F.col("acted_at").alias("last_acted"))
+    rows = rows.join(seen, "provider", "left").withColumns({"_first": F.least("_first", "first_made"), "_made": F.greatest("_made", "last_made"), "_acted": F.greatest("_acted", "last_acted")})
+    return with_opening(with_opening(rows.drop("first_made", "last_made", "last_acted"), before.clients, "client"), before.pairs, "client", "provider")
+
+
+def decide(events: DataFrame, before: Snapshot | None = None, grace: int = 30 * 86_400) -> tuple[DataFrame, DataFrame, Snapshot]:
+    """Views with p0, episodes and the next snapshot of a batch of whole blocks: the operators of the backtest, opened with the last snapshot.
+
+    A decision waits until an event closes its job. Once the head lies more than ``grace`` seconds past the deadline it is
+    an inferred failure, so that nothing waits for ever. A closed job stays closed, whatever comes after.
+    """
+    state = staged(features.with_job_state(events, before.jobs if before else None))
+    rows = features.carried(state)
+    views = features.finished(_opened(rows, before) if before else rows, features.median_completed_amount(state, before.amounts if before else None))
+    views = staged(features.with_base_prediction(views))
+    waiting = views if before is None else views.join(before.closed, "job_id", "left_anti").unionByName(before.pending)
+    found = staged(episodes.resolve(events, waiting))
+    over = F.col("outcome").isNotNull() & (~F.col("inferred_expiry") | (F.col("head_ts") > F.col("funding_timestamp") + F.col("expiry_window") + grace))
+    ended = found.crossJoin(F.broadcast(episodes.head(events).select("head_ts"))).where(F.coalesce(over, F.lit(False))).drop("head_ts")
+    eps = staged(episodes.score(ended, F.col("p0")))
+    gone = eps.select("job_id")
+    after = Snapshot(
+        features.jobs_after(state, before.jobs if before else None),
+        roll_forward(before.providers if before else None, state, "provider"),
+        roll_forward(before.clients if before else None, state, "client"),
+        roll_forward(before.pairs if before else None, state, "client", "provider"),
+        features.amounts_after(state, before.amounts if before else None),
+        waiting.join(gone, "job_id", "left_anti"),
+        gone if before is None else before.closed.unionByName(gone),
+    )
+    return views, eps, after
+
+
+def deciding(spark: SparkSession, path: str, grace: int = 30 * 86_400) -> Callable[[DataFrame, int], None]:
+    """What tail() hands settled events to: writes views, episodes and the snapshot of every batch under its number.
+
+    A batch reads the snapshot of the number before and replaces its own, so it can run again.
+    """
+
+    def run(events: DataFrame, number: int) -> None:
+        before = Snapshot.read(spark, f"{path}/snapshot/{number - 1}") if number else None
+        views, eps, after = decide(events, before, grace)
+        views.write.mode("overwrite").parquet(f"{path}/views/batch={number}")
+        eps.write.mode("overwrite").parquet(f"{path}/episodes/batch={number}")
+        after.write(f"{path}/snapshot/{number}")
+
+    return run
+
+
 def stream_rules(rows: DataFrame, trial: int = params.TRIAL) -> DataFrame:
     """The trial of rules on a stream of trial_rows, whole blocks at a time; the state is that of the batch fold.
 
@@ -94,29 +189,41 @@ def stream_rules(rows: DataFrame, trial: int = params.TRIAL) -> DataFrame:
         state.update((trials.to_json(),))
         yield pd.DataFrame([*out, *trials.states(key[0])], columns=FOLD_COLUMNS)
 
-    return rows.groupBy("provider").applyInPandasWithState(update, FOLD, "trials string", "append", GroupStateTimeout.NoTimeout)
+    keys = ["provider", "field"] if "field" in rows.columns else ["provider"]
+    return rows.groupBy(*keys).applyInPandasWithState(update, FOLD, "trials string", "append", GroupStateTimeout.NoTimeout)
 
 
 EPISODE = "job_id long, outcome string, failure_kind string, resolved_at_block long, inferred_expiry boolean"
 
 
-def stream_episodes(events: DataFrame) -> DataFrame:
+#: Seconds after a deadline for which a finished or lapsed job is still known.
+KEEP = 30 * 86_400
+
+
+def stream_episodes(events: DataFrame, keep: int = KEEP) -> DataFrame:
     """Outcomes of funded jobs as they become known; a pending decision waits in keyed state for its end or deadline.
 
     events: decoded, with event_time (timestamp, watermarked). The first terminal event in a block not
     before the first funding closes a job; a deadline that the watermark passes makes an
-    inferred failure, with the block of the funding as no event has closed it.
+    inferred failure, with the block of the funding as no event has closed it. State is dropped ``keep`` seconds
+    after the deadline, funded or not; a job whose creation isn't in state has no outcome, so none gets a second one.
     """
 
     def update(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        done, deadline, funded = state.get if state.exists else (False, 0, -1)
+        known, done, deadline, funded = state.get if state.exists else (False, False, 0, -1)
         out = []
         if state.hasTimedOut:
+            if done or funded < 0:
+                state.remove()
+                return
             done = True
             out.append((key[0], "failure", "JobExpired", funded, True))
         else:
             rows = pd.concat(list(batches)).sort_values(["block", "log_index"])
             made, paid = rows[rows["kind"] == "JobCreated"], rows[rows["kind"] == "JobFunded"]
+            known = known or len(made) > 0
+            if not known:
+                return
             if len(made) and pd.notna(made["expired_at"].iloc[-1]):
                 deadline = int(made["expired_at"].iloc[-1])
             if funded < 0 and len(paid):
@@ -126,43 +233,54 @@ def stream_episodes(events: DataFrame) -> DataFrame:
                 done, kind = True, ends["kind"].iloc[0]
                 won = kind == "JobCompleted"
                 out.append((key[0], "success" if won else "failure", None if won else kind, int(ends["block"].iloc[0]), False))
-        state.update((done, deadline, funded))
-        if not done and funded >= 0 and deadline > 0:
-            state.setTimeoutTimestamp(max(deadline * 1000, state.getCurrentWatermarkMs() + 1))
+        state.update((known, done, deadline, funded))
+        until = deadline if not done and funded >= 0 else deadline + keep
+        if deadline > 0:
+            state.setTimeoutTimestamp(max(until * 1000, state.getCurrentWatermarkMs() + 1))
         if out:
             yield pd.DataFrame(out, columns=[c.split()[0] for c in EPISODE.split(", ")])
 
-    return events.groupBy("job_id").applyInPandasWithState(update, schema(EPISODE), "done boolean, deadline long, funded long", "append", GroupStateTimeout.EventTimeTimeout)
+    return events.groupBy("job_id").applyInPandasWithState(update, schema(EPISODE), "known boolean, done boolean, deadline long, funded long", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 VERDICT = schema("job_id long, state string, block long")
 
 
-def stream_verdicts(events: DataFrame) -> DataFrame:
-    """Verdicts per job as they become certain; keyed state with the job's own deadline as its timer.
+def stream_verdicts(events: DataFrame, keep: int = KEEP) -> DataFrame:
+    """One verdict per created job as it becomes certain; keyed state with the job's own deadline as its timer.
 
     events: decoded, with event_time (timestamp, watermarked). A BudgetSet answers the job; an end before
-    one means it died unanswered; a deadline that the watermark passes means it ran out unanswered.
+    one means it died unanswered; a deadline that the watermark passes means it ran out unanswered. State is dropped
+    ``keep`` seconds after the deadline; a job whose creation isn't in state has no verdict, so none gets a second one.
     """
 
     def update(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        known, done, deadline = state.get if state.exists else (False, False, 0)
+        out = []
         if state.hasTimedOut:
-            state.remove()
-            yield pd.DataFrame({"job_id": [key[0]], "state": ["deadline passed unanswered"], "block": [-1]})
-            return
-        done, deadline = state.get if state.exists else (False, 0)
-        rows = pd.concat(list(batches)).sort_values(["block", "log_index"])
-        for kind, block, expires in rows[["kind", "block", "expired_at"]].itertuples(index=False):
-            if kind == "JobCreated" and expires == expires and expires is not None:
-                deadline = int(expires)
-            if not done and kind in ("BudgetSet", *params.UNANSWERED_ENDS):
-                done = True
-                yield pd.DataFrame({"job_id": [key[0]], "state": ["responded" if kind == "BudgetSet" else "died unanswered"], "block": [int(block)]})
-        state.update((done, deadline))
-        if not done and deadline * 1000 > state.getCurrentWatermarkMs():
-            state.setTimeoutTimestamp(deadline * 1000)
-
-    return events.groupBy("job_id").applyInPandasWithState(update, VERDICT, "done boolean, deadline long", "append", GroupStateTimeout.EventTimeTimeout)
+            if done:
+                state.remove()
+                return
+            done = True
+            out.append((key[0], "deadline passed unanswered", -1))
+        else:
+            rows = pd.concat(list(batches)).sort_values(["block", "log_index"])
+            for kind, block, expires in rows[["kind", "block", "expired_at"]].itertuples(index=False):
+                if kind == "JobCreated":
+                    known = True
+                    deadline = int(expires) if pd.notna(expires) else deadline
+                if known and not done and kind in ("BudgetSet", *params.UNANSWERED_ENDS):
+                    done = True
+                    out.append((key[0], "responded" if kind == "BudgetSet" else "died unanswered", int(block)))
+            if not known:
+                return
+        state.update((known, done, deadline))
+        if deadline > 0:
+            state.setTimeoutTimestamp(max((deadline + keep if done else deadline) * 1000, state.getCurrentWatermarkMs() + 1))
+        if out:
+            yield pd.DataFrame(out, columns=VERDICT.fieldNames())
+
+    return events.groupBy("job_id").applyInPandasWithState(update, VERDICT, "known boolean, done boolean, deadline long", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def stream_reliability(observations: DataFrame, delay: str = "1 minute") -> DataFrame:
@@ -173,3 +291,13 @@ def stream_reliability(observations: DataFrame, delay: str = "1 minute") -> Data
 def evict(observations: DataFrame, as_of: int, expiry: int = params.EXPIRY) -> DataFrame:
     """Evidence that still weighs something at a block."""
     return observations.where(evidence_weight(F.lit(as_of) - F.col("block"), expiry=expiry) > 0)
+
+
+def roll_evidence(held: DataFrame | None, observations: DataFrame, as_of: int, expiry: int = params.EXPIRY) -> DataFrame:
+    """The evidence after a batch: the first observation of each job, as long as it weighs something at a block.
+
+    Evidence that has expired leaves the table, so it is as large as what ``expiry`` blocks bring.
+    """
+    cols = [*evidence.WHO, "job_id", "block", "confirmed"]
+    rows = observations.select(cols) if held is None else held.select(cols).unionByName(observations.select(cols))
+    return evict(evidence.first_observations(rows), as_of, expiry)
