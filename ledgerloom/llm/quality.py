@@ -149,7 +149,7 @@ def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Trees | None:
-    """Learn from at most ``rows`` labelled documents that aren't held out.
+    """Learn from the documents of at most ``rows`` labelled doc_ids that aren't held out; where doc_ids repeat, from at most 4 * ``rows`` documents.
 
     Labels that are null are ignored; of several labels for one doc_id the largest counts. The
     sample takes the lowest hashes of doc_id, so it is the same in every run. None if no

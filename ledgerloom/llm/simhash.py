@@ -21,6 +21,8 @@ from pyspark.sql import types as T
 from .common import components, cut, join_by_size, spread
 
 ERRORS, SHINGLE, SEED = 3, 3, 42
+#: Shingles of a text that are hashed at once.
+SLAB = 1 << 16
 #: Distinct fingerprints of a subtrie above which it is dealt again.
 SUBTRIE = 20_000
 #: Node pairs that are walked at once.
@@ -39,10 +41,10 @@ def fingerprint(text: str | None) -> int:
     n = max(1, len(words) - SHINGLE + 1)
     last = ends[SHINGLE - 1 :] if len(words) >= SHINGLE else ends[-1:]
     digest = xxhash.xxh64_intdigest
-    hashes = np.array([digest(line[a:b], SEED) for a, b in zip(starts[:n].tolist(), last.tolist())], np.uint64)
     ones = np.zeros(64, np.int64)
-    for at in range(0, n, 1 << 16):
-        part = hashes[at : at + (1 << 16)].astype("<u8").view(np.uint8).reshape(-1, 8)
+    for at in range(0, n, SLAB):
+        spans = zip(starts[at : min(n, at + SLAB)].tolist(), last[at : at + SLAB].tolist())
+        part = np.array([digest(line[a:b], SEED) for a, b in spans], "<u8").view(np.uint8).reshape(-1, 8)
         ones += np.unpackbits(part, axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
     return int(((2 * ones > n).astype(np.uint64) << np.arange(64, dtype=np.uint64)).sum(dtype=np.uint64))
 

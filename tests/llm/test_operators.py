@@ -572,6 +572,41 @@ def test_simhash(docs, none):
     assert simhash.near_duplicates(none).count() == 0
 
 
+def test_fingerprints_of_long_texts():
+    r = random.Random(9)
+    text = " ".join(f"W{r.randrange(9999)}" for _ in range(simhash.SLAB + 4_000))
+    assert simhash.fingerprint(text) == plain_simhash(text)
+    assert [simhash.fingerprint(t) for t in ("a", "A b", "a B c", "é É x")] == [plain_simhash(t) for t in ("a", "A b", "a B c", "é É x")]
+
+
+def test_quality_statistics_of_plain_words():
+    """The statistics of a text, counted one by one."""
+    text = "Ab cd, EF #x\n\nab cd! 1 23\tab"
+    got = dict(zip(quality.FEATURES, quality.statistics(text)))
+    words, n = text.split(), len(text)
+    share = lambda chars: sum(c in chars for c in text) / n
+    want = {
+        "log_bytes": math.log1p(n), "log_words": math.log1p(9), "word_bytes": n / 9, "longest_word": 3, "upper_share": share("AEF"), "digit_share": share("123"), "space_share": share(" \n\t"),
+        "comma_share": share(","), "exclaim_share": share("!"), "pipe_share": 0, "symbol_share": share("#"), "distinct_words": len(set(words)) / 9, "distinct_lines": 1, "line_words": 9 / 2,
+        "top_word": 2 / 9 if Counter(words).most_common(1)[0][1] == 2 else 1 / 9, "short_words": 1, "upper_words": 1 / 9, "sentence_words": 9, "entropy": -sum(c / n * math.log2(c / n) for c in Counter(text).values()),
+    }
+    assert all(math.isclose(got[k], v, rel_tol=1e-12, abs_tol=1e-12) for k, v in want.items()), {k: (got[k], v) for k, v in want.items() if not math.isclose(got[k], v)}
+
+
+def test_growing_splits_where_the_gain_is(spark):
+    """One round on one feature: the first split is the one that brute force finds."""
+    r = np.random.default_rng(4)
+    x = np.zeros((300, len(quality.FEATURES)))
+    x[:, 3] = r.integers(0, 12, 300)
+    y = (x[:, 3] > 7).astype(float)
+    y[:9] = 1 - y[:9]
+    trees = quality.fit(x, y)
+    p = (y.sum() + 0.5) / 301
+    score = lambda m: (y[m] - p).sum() ** 2 / (m.sum() * p * (1 - p) + quality.RIDGE)
+    best = max(np.unique(x[:, 3])[:-1], key=lambda c: score(x[:, 3] <= c) + score(x[:, 3] > c))
+    assert trees.feature[0, 0] == 3 and best <= trees.cut[0, 0] < best + 1
+
+
 def test_crowded_subtries_lose_no_pair(spark):
     r = random.Random(4)
     fps = set()
