@@ -691,15 +691,15 @@ def stay_open_table(spark, sf_dir):
 # --- journal ---------------------------------------------------------------------------------
 
 
-def _journal(spark, sf_dir) -> tuple[DataFrame, dict[str, float]]:
-    """The journal of the backtest, written and read back, and the figures of the episodes themselves."""
+def write_journal(spark, sf_dir) -> tuple[str, dict[str, float]]:
+    """The journal of the backtest, written to a folder, and the figures of the episodes themselves."""
     events = market(spark, sf_dir)
     views = features.with_base_prediction(features.decision_views(events)).withColumn("p_final", F.col("p0"))
     eps = staged(episodes.score(episodes.resolve(events, views), F.col("p_final")))
     path = folder(spark, "journal")
     journal.append(journal.decision_rows(views).unionByName(journal.episode_rows(eps)), path)
     own = eps.where("not inferred_expiry").agg(F.avg(F.col("correct").cast("int")).alias("accuracy"), F.avg("brier").alias("mean_brier")).first()
-    return journal.read(spark, path), {"accuracy": own["accuracy"], "mean_brier": own["mean_brier"], "decisions": views.count()}
+    return path, {"accuracy": own["accuracy"], "mean_brier": own["mean_brier"], "decisions": views.count()}
 
 
 @query(
@@ -709,13 +709,13 @@ true AS accuracy_agrees, true AS mean_brier_agrees, true AS decisions_agrees FRO
 )
 def rebuild_from_journal(spark, sf_dir):
     """Figures from the stored journal alone, and whether they agree with those published from the episodes."""
-    held, published = _journal(spark, sf_dir)
-    return places(journal.rebuild(held, published), "accuracy", "mean_brier", n=3)
+    path, published = write_journal(spark, sf_dir)
+    return places(journal.rebuild(journal.read(spark, path), published), "accuracy", "mean_brier", n=3)
 
 
 @query(EPISODES_SQL + "SELECT job_id, provider, type, block FROM (SELECT job_id, provider, 'decision' AS type, funding_block AS block FROM views UNION ALL SELECT job_id, provider, 'episode', resolved_at_block FROM eps WHERE NOT inferred_expiry)")
 def audit_trail(spark, sf_dir):
-    return journal.audit_trail(_journal(spark, sf_dir)[0]).select("job_id", "provider", "type", "block")
+    return journal.audit_trail(journal.read(spark, write_journal(spark, sf_dir)[0])).select("job_id", "provider", "type", "block")
 
 
 @query(f"WITH {PROMISE_SQL} SELECT provider, declaration_type, job_ref, 'available' AS status, 1000000::BIGINT AS declared_at_block, CASE WHEN job_ref % 50 = 0 THEN 'controlled fault injection: will not act on this claim' END AS note FROM req ANTI JOIN decl USING (provider, declaration_type, job_ref)")
