@@ -7,7 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: A key above 1/HOT_SHARE of all rows is hot, so there are fewer than HOT_SHARE hot keys.
@@ -56,6 +56,26 @@ def join_by_size(left: DataFrame, right: DataFrame, key: str, size: str, total:
     return first.unionByName(rest)
 
 
+#: Bits of the largest sieve; what is broadcast has a row for each 64 of them, at most 1,048,576 rows of two longs.
+SIEVE_BITS = 1 << 26
+
+
+def sieve(rows: DataFrame, keys: DataFrame, by: Column) -> tuple[DataFrame, DataFrame]:
+    """(rows that may have a key among ``keys``, rows that surely have none), told apart without a shuffle of rows.
+
+    ``by`` is a hash of the key as a long, readable in both. Hashes of the keys set the bits of a map, 16 or
+    more bits a key up to SIEVE_BITS. Beyond 67 million keys it fills up and more and more rows pass for nothing, so
+    the first part always needs the exact join behind it. ``keys`` should be cheap to read.
+    """
+    bits = min(SIEVE_BITS, 1 << max(10, (16 * keys.count()).bit_length()))
+    at = F.pmod(by, F.lit(bits).cast("long"))
+    word, bit = F.shiftright(at, 6), F.call_function("shiftleft", F.lit(1).cast("long"), at.bitwiseAND(F.lit(63).cast("long")).cast("int"))
+    words = keys.select(word.alias("_word"), bit.alias("_bit")).groupBy("_word").agg(F.bit_or("_bit").alias("_bits"))
+    marked = rows.withColumns({"_word": word, "_bit": bit}).join(F.broadcast(words), "_word", "left")
+    hit = F.coalesce(F.col("_bits").bitwiseAND(F.col("_bit")) != 0, F.lit(False))
+    return marked.where(hit).select(*rows.columns), marked.where(~hit).select(*rows.columns)
+
+
 def spread(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Links of one task reduced to a spanning star per component: (node, root), node != root."""
     if not len(a):

@@ -2,7 +2,8 @@
 
 A 64-bit fingerprint splits into region, quotient and remainder, and a filter keeps all three, so it
 loses nothing: two filters of a region merge by merging their sorted remainders and adding counts.
-Only fingerprints counted more than once send their texts on to a comparison of the bytes.
+Only fingerprints counted more than once send their texts on to a comparison of the bytes; a sieve
+keeps most other texts from being shuffled.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, join_by_size
+from .common import cut, join_by_size, sieve
 
 #: Bits of a quotient inside a region.
 QUOTIENT_BITS = 10
@@ -118,7 +119,8 @@ def exact_dedup(docs: DataFrame) -> DataFrame:
     light = cut(texts.select("doc_id", F.xxhash64("text").alias("fp"), F.sha2("text", 256).alias("text_sha256")))
     rows = light.count()
     repeated = cut(repeated_fingerprints(light, rows))
-    suspects = join_by_size(texts.select("doc_id", F.xxhash64("text").alias("fp"), "text"), repeated, "fp", "n_rows", rows)
+    maybe, _ = sieve(texts.select("doc_id", F.xxhash64("text").alias("fp"), "text"), repeated, F.col("fp"))
+    suspects = join_by_size(maybe, repeated, "fp", "n_rows", rows)
     same = suspects.groupBy("fp", "text").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
     groups = cut(same.where("group_size > 1").select(F.sha2("text", 256).alias("text_sha256"), "keep_id", "group_size"))
     joined = join_by_size(light.drop("fp"), groups, "text_sha256", "group_size", rows, "left")

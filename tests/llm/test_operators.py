@@ -294,6 +294,20 @@ def test_exact_dedup(docs, none):
     assert exact_dedup.exact_dedup(none).count() == 0
 
 
+def test_sieve_parts_rows_and_loses_no_key(spark, monkeypatch):
+    rows = spark.range(3000).select("id", F.xxhash64("id").alias("h"), F.lit(1).alias("_word_of"))
+    keys = rows.where("id % 50 = 0").select("h")
+    for bits in (common.SIEVE_BITS, 256):  # the second is far too small: it lets most rows through
+        monkeypatch.setattr(common, "SIEVE_BITS", bits)
+        maybe, clear = common.sieve(rows, keys, F.col("h"))
+        assert maybe.columns == rows.columns == clear.columns
+        a, b = [r.id for r in maybe.collect()], [r.id for r in clear.collect()]
+        assert sorted(a + b) == list(range(3000)) and set(range(0, 3000, 50)) <= set(a)
+        assert (len(a) < 400) if bits > 256 else (len(a) > 400)
+    maybe, clear = common.sieve(rows, keys.limit(0), F.col("h"))
+    assert maybe.count() == 0 and clear.count() == 3000
+
+
 def test_quotient_filters_merge_without_loss():
     r = np.random.default_rng(3)
     bits = 40
