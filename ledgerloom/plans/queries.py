@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 from .. import params
 from ..functions import decode, text
 from ..operators import calibration, episodes, evidence, features, jobs, lifecycle, mining
-from ..sources import journal
+from ..sources import journal, logs
 from ..sources.staging import folder, staged
+from ..streaming import live
 from . import backtest
 from .marketplace import MARKET_SQL, PROMISE_SQL, marketplace, promises, table
 
@@ -726,6 +727,87 @@ def answered_requests(spark, sf_dir):
     return evidence.answer_requests(pending, pending.where("job_ref % 50 = 0").select("job_ref"), "available", 1_000_000)
 
 
+# --- landed logs, journal policies, live batches ----------------------------------------------
+
+_LOG = ("kind", "job_id", "block", "log_index")
+_CONTRACTS = ("0x" + "11" * 20, "0x" + "aB" * 20)
+
+
+@query(f"WITH {MARKET_SQL} SELECT {', '.join(_LOG)} FROM ev WHERE block > 1500 AND block <= 2500 - {params.CONFIRMATIONS} AND job_id % 7 <> 0 AND job_id % 11 <> 0")
+def settled_events(spark, sf_dir):
+    """Events of one contract in settled blocks above a cursor, from raw logs of two contracts, some of them removed."""
+    events = _addressed(marketplace(spark, sf_dir))
+    other = F.col("job_id") % 11 == 0
+    raw = decode.encode(events.where(~other), _CONTRACTS[0].upper().replace("X", "x")).unionByName(decode.encode(events.where(other), _CONTRACTS[1]))
+    job = F.floor(decode.hex_to_long(F.col("logIndex")) / 10)
+    return logs.settled(raw.withColumn("removed", job % 7 == 0), cursor=1500, head=2500, contract=_CONTRACTS[0]).select(*_LOG)
+
+
+@query(f"WITH {MARKET_SQL} SELECT {', '.join(_LOG)}, client, provider, amount, expired_at FROM ev WHERE block > 2000")
+def landed_events(spark, sf_dir):
+    """Events landed in folders of 100 blocks and read from a block on: never before the start, never behind what was saved."""
+    path = folder(spark, "landed")
+    logs.land(marketplace(spark, sf_dir), path, int(spark.conf.get("spark.sql.shuffle.partitions")), span=100)
+    return logs.read_events(spark, path, after=logs.resume_from(1200, 2000)).select(*_LOG, "client", "provider", "amount", "expired_at")
+
+
+@query(f"WITH {MARKET_SQL} SELECT {', '.join(_LOG)}, amount FROM ev")
+def history_and_live(spark, sf_dir):
+    """A history up to one block and live events from an earlier block on, each event once."""
+    events = marketplace(spark, sf_dir)
+    return logs.with_history(events.where("block <= 2000"), events.where("block > 1900")).select(*_LOG, "amount")
+
+
+@query(f"WITH {MARKET_SQL} SELECT job_id, '0x' || substr(lpad(lower(hex(client)), 40, '0'), 1, 4) || '…' || right(lower(hex(client)), 4) AS client FROM ev WHERE kind = 'JobCreated'")
+def short_addresses(spark, sf_dir):
+    events = _addressed(marketplace(spark, sf_dir)).where("kind = 'JobCreated'")
+    return events.select("job_id", decode.short_address(F.col("client")).alias("client"))
+
+
+@query(f"WITH {MARKET_SQL} SELECT job_id, log_index, round(amount / 1000000.0::DOUBLE, 6) AS usdc, amount AS raw FROM ev WHERE kind IN ('BudgetSet', 'JobFunded')")
+def usdc_amounts(spark, sf_dir):
+    """Amounts in USDC, and raw again."""
+    amounts = marketplace(spark, sf_dir).where("kind in ('BudgetSet', 'JobFunded')").withColumn("usdc", decode.to_usdc(F.col("amount")))
+    return places(amounts.select("job_id", "log_index", "usdc", decode.from_usdc(F.col("usdc")).alias("raw")), "usdc", n=6)
+
+
+@query(RULES_SQL + "SELECT job_id, provider, funding_block, log_index FROM views WHERE provider IN (SELECT subject FROM rules)")
+def journal_under_rules(spark, sf_dir):
+    """The decisions that are journalled when only those about providers with rules are."""
+    resolved = _resolved(spark, sf_dir)
+    rules = mining.promoted_rules(mining.rule_candidates(mining.rule_observations(resolved)))
+    return journal.under_policy(resolved, "rules_only", rules).select("job_id", "provider", "funding_block", "log_index")
+
+
+@query(STATE_SQL + "SELECT 'decision:' || job_id || ':' || funding_block || ':' || log_index AS id, funding_block AS predicted_at_block, amount FROM views")
+def journal_appended(spark, sf_dir):
+    """Decisions up to a block, then all of them appended above the high water, twice."""
+    rows, path = staged(journal.decision_rows(_views(spark, sf_dir).withColumn("p_final", F.col("p0")))), folder(spark, "journal")
+    journal.append(rows.where("predicted_at_block <= 2000"), path)
+    for _ in range(2):
+        journal.append_above(spark, rows, path)
+    return spark.read.parquet(path).select("id", "predicted_at_block", "amount")
+
+
+@query(STATE_SQL + f"SELECT * REPLACE ({_R}) FROM views")
+def live_decisions(spark, sf_dir):
+    """The views of two live batches, the second decided from the snapshot of the first; the same as those of all events at once."""
+    events = staged(marketplace(spark, sf_dir))
+    first, _, snapshot = live.decide(events.where("block <= 2000"))
+    path = folder(spark, "snapshot")
+    snapshot.write(path)
+    second, _, _ = live.decide(events.where("block > 2000"), live.Snapshot.read(spark, path))
+    return places(first.unionByName(second).drop("provider_prior_rate"), "client_prior_funding_rate", "p0")
+
+
+@query(f"WITH {PROMISE_SQL} SELECT provider, declaration_type, job_id, block, confirmed FROM obs WHERE block <= 600000 AND 600000 - block < {params.EXPIRY}")
+def live_evidence(spark, sf_dir):
+    """The evidence after two live batches: what still weighs something."""
+    seen = promises(spark, sf_dir)["observations"]
+    held = live.roll_evidence(None, seen.where("block <= 400000"), as_of=400_000)
+    return live.roll_evidence(held, seen.where("block > 400000 and block <= 600000"), as_of=600_000)
+
+
 # --- requirement texts -----------------------------------------------------------------------
 
 

@@ -37,9 +37,9 @@ def read_events(spark: SparkSession, path: str, after: int | None = None) -> Dat
     return rows.drop("block_span", "block_range")
 
 
-def settled(logs: DataFrame, cursor: int, head: int, confirmations: int = params.CONFIRMATIONS) -> DataFrame:
-    """Decoded events of whole blocks in (cursor, head - confirmations]."""
-    return decode(logs).where((F.col("block") > cursor) & (F.col("block") <= head - confirmations))
+def settled(logs: DataFrame, cursor: int, head: int, confirmations: int = params.CONFIRMATIONS, contract: str | None = None) -> DataFrame:
+    """Decoded events of whole blocks in (cursor, head - confirmations], of one contract if given."""
+    return decode(logs, contract).where((F.col("block") > cursor) & (F.col("block") <= head - confirmations))
 
 
 def resume_from(start: int, saved: int | None) -> int:
