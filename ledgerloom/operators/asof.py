@@ -29,11 +29,16 @@ class Running:
     by_row: bool = False
 
 
-def running(df: DataFrame, keys: list[str], block: str, measures: list[Running], order: list[str] | None = None, width: int = params.BUCKET_BLOCKS) -> DataFrame:
-    """df with a column per measure; sums of nothing are 0, other aggregates null. Keys must not be null."""
+def running(df: DataFrame, keys: list[str], block: str, measures: list[Running], order: list[str] | None = None, width: int = params.BUCKET_BLOCKS, rows: DataFrame | None = None) -> DataFrame:
+    """df with a column per measure; sums of nothing are 0, other aggregates null. Keys must not be null.
+
+    rows: the same rows as df at less cost, such as the stored table that a chain of passes began with; bucket totals come from
+    them, so that what made df isn't computed a second time.
+    """
     agg = {"sum": F.sum, "min": F.min, "max": F.max}
-    df = df.withColumn("_bucket", F.floor(F.col(block) / width)).withColumns({f"_v_{m.name}": m.value for m in measures})
-    by = df.groupBy(*keys, "_bucket").agg(*[agg[m.how](f"_v_{m.name}").alias(f"_b_{m.name}") for m in measures])
+    valued = lambda d: d.withColumn("_bucket", F.floor(F.col(block) / width)).withColumns({f"_v_{m.name}": m.value for m in measures})
+    df, total = valued(df), valued(df if rows is None else rows)
+    by = total.groupBy(*keys, "_bucket").agg(*[agg[m.how](f"_v_{m.name}").alias(f"_b_{m.name}") for m in measures])
     before = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     opening = by.select(*keys, "_bucket", *[agg[m.how](f"_b_{m.name}").over(before).alias(f"_o_{m.name}") for m in measures])
     joined = df.join(opening, [*keys, "_bucket"])

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .. import params
 from ..functions.probability import logit
+from ..sources.staging import staged
 from .asof import Running, running
 
 SEQ = ["block", "log_index", "job_id"]
@@ -30,39 +31,51 @@ def rule_candidates(observations: DataFrame, ladder: tuple = params.LADDER) -> D
     measures = [Running("observed", F.lit(1), by_row=True), Running("done", done, by_row=True)]
     for k, (f, op, v) in enumerate(ladder):
         hit = holds(F.col(f), op, v)
-        measures += [Running(f"m{k}", hit.cast("int"), by_row=True), Running(f"c{k}", hit.cast("int") * done, by_row=True), Running(f"f{k}", F.when(hit, F.struct(*SEQ)), "min", by_row=True)]
+        measures += [Running(f"m{k}", hit.cast("int"), by_row=True), Running(f"c{k}", hit.cast("int") * done, by_row=True)]
     return running(observations, ["provider"], "block", measures, order=SEQ)
 
 
-def promoted_rules(candidates: DataFrame, ladder: tuple = params.LADDER, min_support: int = params.MIN_SUPPORT, min_delta: float = params.MIN_DELTA) -> DataFrame:
+def promoted_rules(observations: DataFrame, ladder: tuple = params.LADDER, min_support: int = params.MIN_SUPPORT, min_delta: float = params.MIN_DELTA) -> DataFrame:
     """Each rung's first promotion per provider, numbered R-1, R-2, … in order of creation.
 
-    Only rungs that pass both gates are unpivoted. The numbering is global by definition and runs over
-    the promoted rules alone, at most one per provider and rung.
+    Only rungs that pass both gates are unpivoted, and first matches, which only order the rules of one observation, are
+    looked up for promoted rungs alone. The numbering is global by definition and runs over
+    the promoted rules, at most one per provider and rung. observations are read twice.
     """
+    candidates = rule_candidates(observations, ladder)
     base = F.col("done") / F.col("observed")
     rungs = [
-        F.struct(F.lit(k).alias("rung"), F.lit(f).alias("field"), F.lit(op).alias("op"), F.lit(v).alias("value"), F.col(f"m{k}").alias("support"), (F.col(f"c{k}") / F.nullif(F.col(f"m{k}"), F.lit(0))).alias("rate"), F.col(f"f{k}").alias("first_match"))
+        F.struct(F.lit(k).alias("rung"), F.lit(f).alias("field"), F.lit(op).alias("op"), F.lit(v).alias("value"), F.col(f"m{k}").alias("support"), (F.col(f"c{k}") / F.nullif(F.col(f"m{k}"), F.lit(0))).alias("rate"))
         for k, (f, op, v) in enumerate(ladder)
     ]
     passing = F.filter(F.array(*rungs), lambda r: (r["support"] >= min_support) & (F.abs(r["rate"] - base) >= min_delta))
     rows = candidates.select("provider", F.struct(*SEQ).alias("seq"), base.alias("baseline"), F.explode(passing).alias("r"))
     first = rows.groupBy("provider", F.col("r.rung").alias("rung")).agg(F.min_by(F.struct("seq", "baseline", "r"), "seq").alias("x"))
+    first = staged(first.select("provider", "rung", F.col("x.r.field").alias("field"), F.col("x.r.op").alias("op"), F.col("x.r.value").alias("value"), "x"))
+    seen = with_actual(observations.select("provider", *SEQ, *params.FIELDS)).join(first.select("provider", "rung", "field", "op", "value"), "provider").where(HOLDS)
+    first = first.join(seen.groupBy("provider", "rung").agg(F.min(F.struct(*SEQ)).alias("first_match")), ["provider", "rung"])
     delta = F.least(F.lit(params.MAX_DELTA), F.greatest(F.lit(-params.MAX_DELTA), logit(F.col("x.r.rate")) - logit(F.col("x.baseline"))))
-    number = F.row_number().over(Window.orderBy("x.seq", "x.r.first_match", "rung"))
+    number = F.row_number().over(Window.orderBy("x.seq", "first_match", "rung"))
     return first.select(
-        F.concat(F.lit("R-"), number.cast("string")).alias("rule_id"), F.col("provider").alias("subject"), "rung", F.col("x.r.field").alias("field"), F.col("x.r.op").alias("op"), F.col("x.r.value").alias("value"),
+        F.concat(F.lit("R-"), number.cast("string")).alias("rule_id"), F.col("provider").alias("subject"), "rung", "field", "op", "value",
         delta.alias("delta_logit"), F.col("x.baseline").alias("baseline_rate"), F.col("x.r.rate").alias("conditional_rate"), F.col("x.r.support").alias("support"), F.col("x.seq.block").alias("created_at_block"),
     )
 
 
+#: Whether the condition (field, op, value) holds of the fields in actual; null where the field is.
+HOLDS = "case op " + " ".join(f"when '{op}' then actual[field] {op} value" for op in (">", ">=", "<", "<=", "==", "!=")) + " end"
+
+
+def with_actual(rows: DataFrame) -> DataFrame:
+    """Rows with actual, their FIELDS by name in place of columns."""
+    fields = F.create_map(*[x for f in params.FIELDS for x in (F.lit(f), F.col(f).cast("double"))])
+    return rows.withColumn("actual", fields).drop(*params.FIELDS)
+
+
 def rule_matches(views: DataFrame, rules: DataFrame) -> DataFrame:
     """Views with each rule of their provider that exists by then and whose condition holds."""
-    fields = F.create_map(*[x for f in params.FIELDS for x in (F.lit(f), F.col(f).cast("double"))])
-    rows = views.select("job_id", "provider", "funding_block", "log_index", fields.alias("actual")).join(rules.withColumnRenamed("subject", "provider"), "provider")
-    a, v, op = F.element_at("actual", F.col("field")), F.col("value"), F.col("op")
-    hit = F.when(op == ">", a > v).when(op == ">=", a >= v).when(op == "<", a < v).when(op == "<=", a <= v).when(op == "==", a == v).when(op == "!=", a != v)
-    return rows.where((F.col("created_at_block") < F.col("funding_block")) & F.coalesce(hit, F.lit(False))).drop("actual")
+    rows = with_actual(views.select("job_id", "provider", "funding_block", "log_index", *params.FIELDS)).join(rules.withColumnRenamed("subject", "provider"), "provider")
+    return rows.where((F.col("created_at_block") < F.col("funding_block")) & F.expr(HOLDS)).drop("actual")
 
 
 def provider_totals(observations: DataFrame, recent: int = 5) -> DataFrame:

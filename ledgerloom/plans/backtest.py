@@ -28,7 +28,7 @@ def prepare(events: DataFrame, with_rules: bool = True) -> Backtest:
     if not with_rules:
         none = {"p_final": F.col("p0"), "rules_applied": F.lit(None).cast("array<string>")}
         return Backtest(views.withColumns(none), resolved.withColumns(none), None, None)
-    rules = staged(mining.promoted_rules(mining.rule_candidates(mining.rule_observations(resolved))))
+    rules = staged(mining.promoted_rules(mining.rule_observations(resolved)))
     life = staged(lifecycle.rule_lifecycle(views, resolved, rules))
     return Backtest(staged(lifecycle.with_rules(views, life)), staged(lifecycle.with_rules(resolved, life)), rules, life)
 

@@ -441,7 +441,7 @@ def rule_candidates(spark, sf_dir):
 
 
 def _rules(spark, sf_dir) -> DataFrame:
-    return mining.promoted_rules(mining.rule_candidates(_observations(spark, sf_dir)))
+    return mining.promoted_rules(_observations(spark, sf_dir))
 
 
 _RULE_ROUND = "round(delta_logit, 9) AS delta_logit, round(baseline_rate, 9) AS baseline_rate, round(conditional_rate, 9) AS conditional_rate"
@@ -463,7 +463,7 @@ WHERE """
 )
 def rule_matches(spark, sf_dir):
     resolved = _resolved(spark, sf_dir)
-    return mining.rule_matches(resolved, mining.promoted_rules(mining.rule_candidates(mining.rule_observations(resolved)))).select("job_id", "rule_id", "field")
+    return mining.rule_matches(resolved, mining.promoted_rules(mining.rule_observations(resolved))).select("job_id", "rule_id", "field")
 
 
 _RULE = "{{'id': r.id, 'delta': r.delta, 'chance': r.chance, 'status': {status}, 'n': {n}, 'hits': {hits}, 'recent': {recent}}}"
@@ -775,7 +775,7 @@ def usdc_amounts(spark, sf_dir):
 def journal_under_rules(spark, sf_dir):
     """The decisions that are journalled when only those about providers with rules are."""
     resolved = _resolved(spark, sf_dir)
-    rules = mining.promoted_rules(mining.rule_candidates(mining.rule_observations(resolved)))
+    rules = mining.promoted_rules(mining.rule_observations(resolved))
     return journal.under_policy(resolved, "rules_only", rules).select("job_id", "provider", "funding_block", "log_index")
 
 

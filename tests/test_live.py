@@ -90,6 +90,34 @@ def test_medians_in_two_heaps():
             assert held.value() == statistics.median(seen)
 
 
+def test_medians_of_a_hot_provider(spark):
+    """A provider with most of all rows is cut into chunks; each median is that of all amounts completed before."""
+    import random
+    import statistics
+
+    r = random.Random(5)
+    amounts = {"hot": lambda b: r.choice([7, 7, 9, r.randrange(1, 10**6), b]), "tied": lambda b: 5, "rising": lambda b: b, "falling": lambda b: 10**6 - b, "small": lambda b: r.randrange(1, 50)}
+    rows, n = [], 0
+    for p, among in amounts.items():
+        for _ in range({"hot": 1500, "small": 40}.get(p, 300)):
+            n, block = n + 1, r.randrange(60) * 1024 + r.randrange(3)
+            done = r.random() < 0.5
+            rows.append((n, block, n, p, "c", "JobCompleted" if done else "JobFunded", int(done), among(block + 1) if done else None))
+    state = spark.createDataFrame(rows, "job_id long, block long, log_index long, provider string, client string, kind string, d_completed int, last_budget long")
+    held = [("hot", 8, 70), ("hot", 500_000, 40), ("tied", 5, 9), ("unseen", 1, 1)]
+    for opening in (None, spark.createDataFrame(held, "provider string, amount long, n long")):
+        want = {}
+        for job, block, log, p, _, kind, _, _ in rows:
+            if kind == "JobFunded":
+                seen = [x[7] for x in rows if x[3] == p and x[5] == "JobCompleted" and x[1] < block] + [a for q, a, k in held if q == p and opening is not None for _ in range(k)]
+                want[job, block, log] = statistics.median(seen) if seen else None
+        for size in (20, 200, 10_000):
+            got = features.median_completed_amount(state, opening, size)
+            assert {tuple(x[:3]): x[3] for x in got.collect()} == want
+    chunks = features.in_chunks(state, 100).groupBy("provider", "chunk").count().collect()
+    assert max(x["count"] for x in chunks) < 200 and len([x for x in chunks if x.provider == "hot"]) > 10
+
+
 def test_batches_decide_as_the_whole_does(spark):
     """The live path, batch after batch from snapshots, against the batch operators over all events."""
     for seed in (11, 12):
