@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import embedding_dedup, exact_dedup, mixing, packing, pii, quality, secrets, simhash, substring_dedup, urls
+from . import decontamination, embedding_dedup, exact_dedup, hard_negatives, mixing, packing, pii, quality, secrets, simhash, substring_dedup, urls, vector_codes
 from .common import table
 
 
@@ -67,10 +67,29 @@ def op10_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.embedding_dedup(table(spark, sf_dir, "embeddings"))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every seventh vec_id has the next label, as the contract of this query has it."""
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.hard_negatives(table(spark, sf_dir, "embeddings").withColumn("label", moved))
+
+
+def op12_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontamination.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    codes, books = vector_codes.compress(table(spark, sf_dir, "embeddings"))
+    return codes.select("vec_id", "code", "error", "label_error", F.lit(vector_codes.digest(books)).alias("codebooks_sha256"))
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_substring_dedup, op2_quality, op3_mixing, op4_packing, op5_exact_dedup, op6_secrets, op7_pii, op8_urls, op9_simhash, op10_embeddings)
-}
+    for f in (
+        op1_substring_dedup, op2_quality, op3_mixing, op4_packing, op5_exact_dedup, op6_secrets, op7_pii, op8_urls, op9_simhash, op10_embeddings,
+        op11_hard_negatives, op12_decontamination, op13_vector_codes,
+    )
+}
 
 _GLOBS = " OR ".join(f"(host || path) LIKE '{g.replace('*', '%')}'" for g in urls.BLOCKED)
 _RULES = ", ".join(f"('{h}', '{p}', '{v}')" for h, p, v in urls.RULES)
@@ -86,6 +105,23 @@ FROM (SELECT *, unnest(range(1, len(hit) + 1)) AS i FROM (SELECT doc_id, regexp_
     return " UNION ALL ".join(kinds)
 
 
+def _codes_sql() -> str:
+    """The rounds one after the other, each as a table of assignments and one of entries."""
+    v, n = vector_codes, f"(len(embedding) // {vector_codes.PARTS})"
+    steps = [f"""e AS (SELECT vec_id, label, embedding FROM embeddings WHERE embedding IS NOT NULL AND len([x for x in embedding if x IS NULL OR NOT isfinite(x)]) = 0),
+x AS MATERIALIZED (SELECT vec_id, label, p, [floor({v.SCALE} * y::DOUBLE)::BIGINT for y in embedding[p * {n} + 1:(p + 1) * {n}]] AS v FROM e, range({v.PARTS}) r(p)),
+b0 AS MATERIALIZED (SELECT p, row_number() OVER (PARTITION BY p ORDER BY vec_id) - 1 AS k, v AS b FROM x QUALIFY k < {v.ENTRIES})"""]
+    for r in range(v.ROUNDS + 1):
+        steps.append(f"a{r} AS MATERIALIZED (SELECT vec_id, label, p, v, min((list_sum([(y[1] - y[2]) * (y[1] - y[2]) for y in list_zip(v, b)])::BIGINT, k)) AS m FROM x JOIN b{r} USING (p) GROUP BY ALL)")
+        if r < v.ROUNDS:
+            steps.append(f"""s{r} AS (SELECT p, k, list(floor(s / n)::BIGINT ORDER BY i) AS b FROM (SELECT p, m[2] AS k, i, sum(v[i])::BIGINT AS s, count(*) AS n FROM a{r}, unnest(range(1, len(v) + 1)) u(i) GROUP BY ALL) GROUP BY p, k),
+b{r + 1} AS MATERIALIZED (SELECT p, k, coalesce(s{r}.b, b{r}.b) AS b FROM b{r} LEFT JOIN s{r} USING (p, k))""")
+    return "WITH " + ",\n".join(steps) + f"""
+, c AS (SELECT vec_id, label, string_agg(printf('%02x', m[2]), '' ORDER BY p) AS code, sum(m[1])::BIGINT AS error FROM a{v.ROUNDS} GROUP BY vec_id, label)
+SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error, (SELECT sha256(string_agg(array_to_string(b, ','), ',' ORDER BY p, k)) FROM b{v.ROUNDS}) AS codebooks_sha256 FROM c
+"""
+
+
 _BASE_KINDS = ", ".join(f"'{k}'" for k in secrets.BASE)
 _SPAN_COUNTS = ", ".join(f"(count(*) FILTER (kind = '{k}'))::BIGINT AS n_{k}" for k in secrets.BASE)
 
@@ -143,4 +179,25 @@ c AS (SELECT a AS vec_id, min(b) AS least FROM reach GROUP BY a),
 n AS (SELECT a AS vec_id, count(*) AS n FROM l GROUP BY a)
 SELECT vec_id, coalesce(n, 0)::BIGINT AS n_links, least(vec_id, coalesce(least, vec_id)) AS component_id, vec_id <= coalesce(least, vec_id) AS kept FROM embeddings LEFT JOIN c USING (vec_id) LEFT JOIN n USING (vec_id)
 """,
+    "op11_hard_negatives": f"""
+WITH r AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, [floor({hard_negatives.SCALE} * x::DOUBLE)::BIGINT for x in embedding] AS v FROM embeddings
+        WHERE label IS NOT NULL AND len(embedding) > 0 AND len([x for x in embedding if x IS NULL OR NOT isfinite(x)]) = 0),
+s AS MATERIALIZED (SELECT a.vec_id AS a, b.vec_id AS b, a.label = b.label AS same, list_sum([y[1] * y[2] for y in list_zip(a.v, b.v)])::BIGINT AS score FROM r a JOIN r b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id AND len(a.v) = len(b.v)),
+p AS (SELECT a, b, score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY a ORDER BY score DESC, b) <= {hard_negatives.POSITIVES})
+SELECT a AS anchor_id, p.b AS positive_id, (row_number() OVER (PARTITION BY a, p.b ORDER BY s.score DESC, s.b))::INT AS rank, s.b AS negative_id, p.score AS positive_score, s.score AS negative_score
+FROM p JOIN s USING (a) WHERE NOT same AND {hard_negatives.FAR} * p.score <= 100 * s.score AND 100 * s.score <= {hard_negatives.NEAR} * p.score QUALIFY rank <= {hard_negatives.NEGATIVES}
+""",
+    "op12_decontamination": r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+i AS (SELECT coalesce(item_id::VARCHAR, '') AS item, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+g AS (SELECT item, least(len(w), 10) AS n, unnest(range(1, greatest(len(w) - 9, 1) + 1)) AS pos, w FROM i WHERE len(w) > 0),
+windows AS (SELECT DISTINCT item, n, array_to_string(w[pos:pos + n - 1], ' ') AS t FROM g),
+starts AS (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS pos FROM d, (SELECT DISTINCT n FROM windows)),
+hits AS (SELECT doc_id, pos, windows.n, item FROM starts JOIN windows ON windows.n = starts.n AND array_to_string(w[pos:pos + starts.n - 1], ' ') = t),
+words AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(pos, pos + n)) AS p FROM hits) GROUP BY doc_id),
+items AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS ids FROM (SELECT DISTINCT doc_id, item FROM hits) GROUP BY doc_id)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)
+""",
+    "op13_vector_codes": _codes_sql(),
 }
