@@ -22,10 +22,8 @@ _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 def words(text: Column) -> Column:
     r"""Runs of [^\x00-\x2F\x3A-\x60\x7B-\x7F] after A-Z are lowered; null has none."""
-    # lower() does the same, and faster, unless a letter beyond A-Z is upper case
-    other = text.rlike("[\\p{Lu}\\p{Lt}\\p{IsUppercase}&&[^A-Z]]")
-    lowered = F.when(other, F.translate(text, _UPPER, _LOWER)).otherwise(F.lower(text))
-    return F.array_remove(F.split(F.coalesce(lowered, F.lit("")), "[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"), "")
+    lowered = F.translate(F.coalesce(text, F.lit("")), _UPPER, _LOWER)
+    return F.array_remove(F.split(lowered, "[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"), "")
 
 
 def _shingle(ws: Column, at: Column, n: Column | int) -> Column:
