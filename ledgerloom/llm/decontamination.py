@@ -79,13 +79,13 @@ def decontaminate(docs: DataFrame, items: DataFrame, window: int = WINDOW, shing
     doc_id, or have none, are documents each by itself. Other columns are ignored; an empty table gives no rows, and
     without items nothing is hit.
     """
-    windows = cut(benchmark_windows(items, window, shingle))
+    windows = benchmark_windows(items, window, shingle)
     lengths = sorted(r.k for r in windows.select(F.least(F.size("words"), F.lit(shingle)).alias("k")).distinct().collect())  # at most ``shingle`` numbers
     each = windows.select("words", "items", F.explode("shingles").alias("s"))
-    shingles = cut(each.select("s.h").distinct())
+    shingles = each.select("s.h").distinct()
     found = cut(places(docs, shingles, lengths or [shingle], window))
     rows = found.where("h is not null")
-    counts = cut(rows.groupBy("h").agg(F.count("*").alias("size")).join(shingles, "h", "left_semi"))
+    counts = rows.groupBy("h").agg(F.count("*").alias("size"))
     # the rarest shingle of each window; a window with one that no document has can't occur
     ranked = each.join(counts, each["s.h"] == counts["h"], "left").groupBy("words").agg(F.first("items").alias("items"), F.min(F.struct(F.coalesce("size", F.lit(0)).alias("size"), F.col("s.h").alias("h"), F.col("s.offset").alias("offset"))).alias("rare"))
     prefix = ranked.where("rare.size > 0").select(F.col("rare.h").alias("h"), F.col("rare.size").alias("size"), F.struct(F.col("rare.offset").alias("offset"), "words", "items").alias("x"))
