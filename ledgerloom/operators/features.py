@@ -6,16 +6,13 @@ view counts attributes of blocks up to its own and outcomes of blocks before it.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from heapq import heappop, heappush, heappushpop
-
-import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import params
 from ..functions.probability import shrunk_rate
 from ..sources.staging import staged
+from . import ranks
 from .asof import Running, running
 
 
@@ -139,106 +136,23 @@ def pair_asof(state: DataFrame) -> DataFrame:
     return rows.select("job_id", F.col("block").alias("funding_block"), "log_index", F.expr("pair_prior_jobs > 0").alias("repeat_pair"), "pair_prior_jobs", "pair_prior_completed")
 
 
-class Median:
-    """The median of all that was added: the lower half as a heap of negatives, the upper half as a heap."""
-
-    def __init__(self) -> None:
-        self.low: list[int] = []
-        self.high: list[int] = []
-
-    def add(self, x: int) -> None:
-        if self.high and x > self.high[0]:
-            x = heappushpop(self.high, x)
-        heappush(self.low, -x)
-        if len(self.low) > len(self.high) + 1:
-            heappush(self.high, -heappop(self.low))
-
-    def value(self) -> float | None:
-        if not self.low:
-            return None
-        return float(-self.low[0]) if len(self.low) > len(self.high) else (self.high[0] - self.low[0]) / 2
-
-
-#: Rows of a provider that pass through one task of the running median; a bucket of blocks is never split.
+#: Rows of a provider that pass through one task of the running median.
 MEDIAN_ROWS = 1_000_000
 
 
-def in_chunks(rows: DataFrame, size: int) -> DataFrame:
-    """Rows with chunk: a provider's rows in order, cut at buckets of blocks into runs of about ``size``; opening rows (block -1) come first."""
-    rows = rows.withColumn("_bucket", F.floor(F.col("block") / params.BUCKET_BLOCKS))
-    before = F.sum("n_rows").over(Window.partitionBy("provider").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1))
-    chunks = rows.groupBy("provider", "_bucket").agg(F.count("*").alias("n_rows"))
-    return rows.join(chunks.select("provider", "_bucket", F.floor(F.coalesce(before, F.lit(0)) / size).alias("chunk")), ["provider", "_bucket"]).drop("_bucket")
-
-
-def median_seeds(rows: DataFrame, classes: int) -> DataFrame:
-    """(provider, chunk, budget, n): of all budgets completed before a chunk, those around their median that can still become one.
-
-    A chunk that completes c budgets moves the median by at most c places, so c on each side (or all) are as good as the whole:
-    equally many are left out below and above. Budgets of a provider fall into classes between approximate quantiles; counts by chunk and
-    class, summed over earlier chunks and then over lower classes, tell which few classes hold those places, and only their budgets are shipped.
-    """
-    late = rows.where("late = 1")
-    share = [k / classes for k in range(1, classes)]
-    bounds = late.groupBy("provider").agg(F.percentile_approx("budget", share, max(10_000, 10 * classes)).alias("bounds"))
-    classed = late.join(bounds, "provider").withColumn("class", F.expr("size(filter(bounds, x -> x < budget))"))
-    held = staged(classed.groupBy("provider", "chunk", "class", "budget").agg(F.sum("n").alias("n")))
-    earlier = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
-    own = rows.groupBy("provider", "chunk").agg(F.sum(F.when(F.col("late") == 1, F.col("n")).otherwise(0)).alias("c"))
-    asked = own.withColumn("before", F.sum("c").over(earlier(Window.partitionBy("provider").orderBy("chunk")))).where("before > 0")
-    # places a to b, counted from 1, of the budgets before the chunk
-    asked = asked.withColumn("k", F.least(F.col("c") + 1, F.expr("before div 2"))).withColumns({"a": F.expr("before div 2 - k + 1"), "b": F.expr("(before + 1) div 2 + k")})
-    counts = held.groupBy("provider", "chunk", "class").agg(F.sum("n").alias("m"))
-    grid = own.select("provider", "chunk").join(counts.select("provider", "class").distinct(), "provider").join(counts, ["provider", "chunk", "class"], "left")
-    grid = grid.withColumn("m", F.coalesce(F.sum("m").over(earlier(Window.partitionBy("provider", "class").orderBy("chunk"))), F.lit(0)))
-    grid = grid.withColumn("below", F.coalesce(F.sum("m").over(earlier(Window.partitionBy("provider", "chunk").orderBy("class"))), F.lit(0)))
-    needed = grid.join(asked.select("provider", "chunk", "a", "b"), ["provider", "chunk"]).where("m > 0 and below < b and below + m >= a").drop("m")
-    shipped = needed.join(held.select("provider", F.col("chunk").alias("_of"), "class", "budget", "n"), ["provider", "class"]).where("_of < chunk")
-    shipped = shipped.groupBy("provider", "chunk", "class", "budget", "below", "a", "b").agg(F.sum("n").alias("n"))
-    upto = F.col("below") + F.sum("n").over(Window.partitionBy("provider", "chunk", "class").orderBy("budget").rowsBetween(Window.unboundedPreceding, 0))
-    kept = shipped.withColumn("upto", upto).withColumn("n", F.least("upto", "b") - F.greatest(F.col("upto") - F.col("n"), F.col("a") - 1))
-    return kept.where("n > 0").select("provider", "chunk", "budget", "n")
-
-
 def median_completed_amount(state: DataFrame, opening: DataFrame | None = None, size: int = MEDIAN_ROWS) -> DataFrame:
     """VIEW and the exact median of the budgets a provider completed before each funding.
 
-    A provider's completions and fundings are cut in order into chunks of about ``size`` rows, and each chunk passes through a task by itself, batch
-    by batch; its amounts are held in two heaps that begin with the chunk's median_seeds, so a row costs their logarithm. opening is
-    amounts_after() of the batches before.
+    Medians are looked up by weighted ranks (ranks.running_medians), so that an amount costs the same however often it was completed. opening is
+    amounts_after() of the batches before; providers with more than ``size`` rows are split by amount.
     """
     rows = state.where("client is not null and provider is not null and (kind = 'JobFunded' or (d_completed = 1 and last_budget <> 0))")
-    rows = rows.select("provider", "block", F.when(F.col("kind") == "JobFunded", 0).otherwise(1).alias("late"), "job_id", "log_index", F.when(F.col("kind") != "JobFunded", F.col("last_budget")).cast("long").alias("budget"), F.lit(1).cast("long").alias("n"))
+    rows = rows.select(F.col("provider").alias("key"), "block", F.when(F.col("kind") == "JobFunded", 0).otherwise(1).alias("late"), "job_id", "log_index", F.when(F.col("kind") != "JobFunded", F.col("last_budget")).cast("long").alias("budget"), F.lit(1).cast("long").alias("n"))
     if opening is not None:
-        asked = opening.join(rows.where("late = 0").select("provider").distinct(), "provider", "left_semi")
-        rows = rows.unionByName(asked.select("provider", F.lit(-1).cast("long").alias("block"), F.lit(1).alias("late"), F.lit(-1).cast("long").alias("job_id"), F.lit(-1).cast("long").alias("log_index"), F.col("amount").alias("budget"), "n"))
-    rows = staged(rows)
-    most = rows.groupBy("provider").count().agg(F.max("count")).first()[0] or 0
-    if most > size:
-        rows = staged(in_chunks(rows, size))
-        several = rows.groupBy("provider").agg(F.max("chunk").alias("last")).where("last > 0").select("provider")
-        seeds = median_seeds(rows.join(several, "provider"), -(-most // size))
-        rows = rows.unionByName(seeds.withColumns({"block": F.lit(-2).cast("long"), "late": F.lit(1), "job_id": F.lit(-1).cast("long"), "log_index": F.lit(-1).cast("long")}))
-    else:
-        rows = rows.withColumn("chunk", F.lit(0).cast("long"))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, held = None, Median()
-        for batch in batches:
-            out: list[tuple] = []
-            for p, chunk, block, late, job, log, budget, n in zip(*(c.to_pylist() for c in batch.columns)):
-                if (p, chunk) != key:
-                    key, held = (p, chunk), Median()
-                if late:
-                    for _ in range(n):
-                        held.add(budget)
-                else:
-                    out.append((job, block, log, held.value()))
-            columns = list(zip(*out)) or [(), (), (), ()]
-            yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in columns[:3]), pa.array(columns[3], pa.float64())], [*VIEW, "provider_median_completed_amount"])
-
-    dealt = rows.select("provider", "chunk", "block", "late", "job_id", "log_index", "budget", "n").repartition("provider", "chunk").sortWithinPartitions("provider", "chunk", "block", "late", "log_index")
-    return dealt.mapInArrow(run, "job_id long, funding_block long, log_index long, provider_median_completed_amount double")
+        none = F.lit(-1).cast("long")
+        asked = opening.join(rows.where("late = 0").select(F.col("key").alias("provider")).distinct(), "provider", "left_semi")
+        rows = rows.unionByName(asked.select(F.col("provider").alias("key"), none.alias("block"), F.lit(1).alias("late"), none.alias("job_id"), none.alias("log_index"), F.col("amount").alias("budget"), "n"))
+    return ranks.running_medians(staged(rows), size).withColumnRenamed("median", "provider_median_completed_amount")
 
 
 def amounts_after(state: DataFrame, opening: DataFrame | None = None) -> DataFrame:

@@ -3,11 +3,12 @@
 import gzip
 import json
 
+import numpy as np
 from pyspark.sql import functions as F
 from test_library import random_events
 
 from ledgerloom.functions import decode
-from ledgerloom.operators import episodes, evidence, features, jobs, lifecycle
+from ledgerloom.operators import episodes, evidence, features, jobs, lifecycle, ranks
 from ledgerloom.plans import queries
 from ledgerloom.sources import logs
 from ledgerloom.streaming import live
@@ -77,17 +78,29 @@ def test_gaps_cross_buckets(spark):
     assert (got.gaps, got.median_gap, got.seconds_per_block) == (4, 22.0, 2.0)
 
 
-def test_medians_in_two_heaps():
+def test_medians_by_weighted_ranks():
+    """Against lists that hold every amount as often as it was added; a weight of a thousand million costs no more than one."""
     import random
     import statistics
+    import time
 
     r = random.Random(1)
     for _ in range(20):
-        held, seen = features.Median(), []
-        for _ in range(60):
-            seen.append(r.randrange(12))
-            held.add(seen[-1])
-            assert held.value() == statistics.median(seen)
+        key = sorted(r.randrange(4) for _ in range(80))
+        asks = [r.random() < 0.4 for _ in key]
+        value, weight = [r.randrange(12) - 3 for _ in key], [r.randrange(1, 4) for _ in key]
+        low, high, some = ranks.medians(*map(np.array, (key, value, weight, asks)))
+        for n, k in enumerate(i for i, a in enumerate(asks) if a):
+            seen = [v for i in range(k) if key[i] == key[k] and not asks[i] for v in [value[i]] * weight[i]]
+            assert some[n] == bool(seen) and (not seen or (low[n] + high[n]) / 2 == statistics.median(seen))
+    key, asks = np.zeros(400_000, np.int64), np.arange(400_000) % 2 == 1
+    value, took = np.random.default_rng(2).integers(0, 1 << 40, len(key)), []
+    for n in (1, 10**9):
+        began = time.time()
+        low, high, _ = ranks.medians(key, value, np.full(len(key), n), asks)
+        took.append(time.time() - began)
+        assert [low[-1], high[-1]] == np.sort(value[~asks])[[99_999, 100_000]].tolist()
+    assert took[1] < 3 * took[0] + 0.5
 
 
 def test_medians_of_a_hot_provider(spark):
@@ -114,8 +127,13 @@ def test_medians_of_a_hot_provider(spark):
         for size in (20, 200, 10_000):
             got = features.median_completed_amount(state, opening, size)
             assert {tuple(x[:3]): x[3] for x in got.collect()} == want
-    chunks = features.in_chunks(state, 100).groupBy("provider", "chunk").count().collect()
-    assert max(x["count"] for x in chunks) < 200 and len([x for x in chunks if x.provider == "hot"]) > 10
+    heavy = spark.createDataFrame([("hot", 7, 10**9), ("hot", 9, 10**9)], "provider string, amount long, n long")
+    got = {x[3] for x in features.median_completed_amount(state.where("provider = 'hot'"), heavy, 200).collect()}
+    assert got <= {7.0, 8.0, 9.0} and len(got) > 1
+    # parts of a hot key: a frequent amount alone, the others about a sixteenth each
+    adds = spark.createDataFrame([("k", b, 1, b, b, 5 if b % 2 else 10 * b, 1, None) for b in range(4000)], "key string, block long, late int, job_id long, log_index long, budget long, n long, k long")
+    parts = ranks.split(adds).groupBy("key").agg(F.count("*").alias("n"), F.countDistinct("budget").alias("values")).collect()
+    assert max(x.n for x in parts if x["values"] > 1) < 4000 / 8 and max(x.n for x in parts if x["values"] == 1) == 2000
 
 
 def test_batches_decide_as_the_whole_does(spark):
