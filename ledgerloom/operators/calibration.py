@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from .. import params
 from ..functions.probability import bin_of, logit
+from ..sources.staging import staged
 from .asof import Running, running
+from .order import numbered
 
 
 def bins(episodes: DataFrame, p: str = "predicted") -> DataFrame:
@@ -53,10 +55,9 @@ def thresholds(ledger: DataFrame, target: float = params.LEDGER_TARGET, support:
 
 
 def threshold_trajectory(by_block: DataFrame, default: float = params.HIRE_AT) -> DataFrame:
-    """Blocks at which the threshold moved. The rows are one per block with a decision, so one task orders them by bucket."""
-    width = params.BUCKET_BLOCKS
-    rows = by_block.withColumn("_bucket", F.floor(F.col("block") / width))
-    last = rows.groupBy("_bucket").agg(F.max_by("hire_threshold", "block").alias("_end"))
-    carried = last.select("_bucket", F.lag("_end", 1, default).over(Window.orderBy("_bucket")).alias("_from"))
+    """Blocks at which the threshold moved. Buckets of blocks are numbered, so that each finds the end of the one before by a join."""
+    rows = by_block.withColumn("_bucket", F.floor(F.col("block") / params.BUCKET_BLOCKS))
+    last = staged(numbered(rows.groupBy("_bucket").agg(F.max_by("hire_threshold", "block").alias("_end")), "_n", "_bucket"))
+    carried = last.select("_bucket", "_n").join(last.select((F.col("_n") + 1).alias("_n"), F.col("_end").alias("_from")), "_n", "left").drop("_n")
     own = F.lag("hire_threshold").over(Window.partitionBy("_bucket").orderBy("block"))
-    return rows.join(carried, "_bucket").withColumn("_was", F.coalesce(own, F.col("_from"))).where("hire_threshold <> _was").select("block", "hire_threshold")
+    return rows.join(carried, "_bucket").withColumn("_was", F.coalesce(own, F.col("_from"), F.lit(default))).where("hire_threshold <> _was").select("block", "hire_threshold")

@@ -4,6 +4,10 @@ A demotion changes which rule is the strongest of the next decision, so the fold
 provider and field compete with each other alone, so each field of a provider is folded by itself.
 Rows arrive sorted by key and time in Arrow batches; the state is the field's rules (at most one
 per rung) and the open decisions, never the provider's whole history.
+
+A provider's field with more than SEGMENT rows is cut into segments that fold at once, each from a guess of what the
+one before leaves. What a segment leaves depends little on where it began: a rule's last few outcomes are its own, and counts add up. So
+most guesses prove right once they are replaced by what the segment before left, and only the others fold again.
 """
 
 from __future__ import annotations
@@ -13,11 +17,13 @@ from collections.abc import Iterator
 from dataclasses import asdict, dataclass, field
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import params
 from ..functions.probability import logit, sigmoid
+from ..sources.staging import staged
+from .asof import Running, running
 from .mining import rule_matches
 
 FOLD = "kind string, job_id long, provider string, funding_block long, log_index long, rule_id string, field string, delta double, weight double, status string, applications long, hits long"
@@ -112,25 +118,98 @@ def trial_rows(views: DataFrame, resolved: DataFrame, rules: DataFrame) -> DataF
     return asked.unionByName(ended)
 
 
-def rule_lifecycle(views: DataFrame, resolved: DataFrame, rules: DataFrame, trial: int = params.TRIAL) -> DataFrame:
+#: Rows of a provider's field that one task folds.
+SEGMENT = 200_000
+ORDER = ["block", "phase", "log_index", "job_id"]
+
+
+def _in_frames(rows: Iterator[tuple], columns: list[str]) -> Iterator[pd.DataFrame]:
+    held = []
+    for out in rows:
+        held.append(out)
+        if len(held) >= 10_000:
+            yield pd.DataFrame(held, columns=columns)
+            held = []
+    if held:
+        yield pd.DataFrame(held, columns=columns)
+
+
+def rule_lifecycle(views: DataFrame, resolved: DataFrame, rules: DataFrame, trial: int = params.TRIAL, segment: int = SEGMENT) -> DataFrame:
     """FOLD rows: kind applied (a rule that moved a decision) and kind rule (a matched rule's end state)."""
+    return folded(trial_rows(views, resolved, rules), trial, segment)
+
+
+def folded(rows: DataFrame, trial: int = params.TRIAL, segment: int = SEGMENT) -> DataFrame:
+    """The fold of trial_rows; fields of more than ``segment`` rows in segments."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        def rows() -> Iterator[dict]:
-            for batch in batches:
-                yield from batch.to_dict("records")
-
-        held = []
-        for out in fold(rows(), trial):
-            held.append(out)
-            if len(held) >= 10_000:
-                yield pd.DataFrame(held, columns=COLUMNS)
-                held = []
-        if held:
-            yield pd.DataFrame(held, columns=COLUMNS)
-
-    order = ["provider", "field", "block", "phase", "log_index", "job_id"]
-    return trial_rows(views, resolved, rules).repartition("provider", "field").sortWithinPartitions(*order).mapInPandas(run, FOLD)
+        yield from _in_frames(fold((row for batch in batches for row in batch.to_dict("records")), trial), COLUMNS)
+
+    rows = staged(rows)
+    large = staged(rows.groupBy("provider", "field").agg(F.count("*").alias("n")).where(F.col("n") > segment).select("provider", "field"))
+    whole = lambda d: d.repartition("provider", "field").sortWithinPartitions("provider", "field", *ORDER).mapInPandas(run, FOLD)
+    if large.isEmpty():
+        return whole(rows)
+    keys = ["provider", "field"]
+    return whole(rows.join(large, keys, "left_anti")).unionByName(segmented(rows.join(large, keys), trial, segment))
+
+
+def _guess(end: str | None, trial: int) -> str:
+    """The state that a segment begins with, from what the one before left: counts only as far as they matter, the rest adds up."""
+    trials = Trials.from_json(end) if end else Trials()
+    for r in trials.rules.values():
+        r.applications, r.hits = min(r.applications, trial), 0
+    trials.rules = dict(sorted(trials.rules.items()))
+    trials.waiting = dict(sorted(trials.waiting.items()))
+    return trials.to_json()
+
+
+def segmented(rows: DataFrame, trial: int = params.TRIAL, segment: int = SEGMENT) -> DataFrame:
+    """The fold of rows of large fields. A round folds the segments whose guess was wrong, until none is; each round makes one more of them right at least.
+
+    A segment has rows of whole blocks, about ``segment`` of them; where it begins follows from the counts per bucket of blocks.
+    """
+    keys, at = ["provider", "field"], ["provider", "field", "segment"]
+    rows = rows.withColumn("_block", F.col("block"))
+    per = rows.groupBy(*keys, "_block").agg(F.count("*").alias("n"))
+    before = running(per, keys, "_block", [Running("_before", F.col("n"))])
+    rows = staged(rows.join(before.select(*keys, "_block", F.floor(F.col("_before") / segment).alias("segment")), [*keys, "_block"]).drop("_block"))
+    first = _guess(None, trial)
+
+    def run(key: tuple, found: pd.DataFrame, starts: pd.DataFrame) -> pd.DataFrame:
+        start = starts["start"].iloc[0]
+        trials, out = Trials.from_json(start), []
+        had = {k: r.applications for k, r in trials.rules.items()}
+        for row in found.sort_values(ORDER).to_dict("records"):
+            out += trials.step(row, trial)
+        end = trials.to_json()
+        out += [x[:10] + (x[10] - had.get(x[5], 0), x[11]) for x in trials.states(key[0])]
+        out = [(*x, key[1], key[2], start, None) for x in out]
+        out.append(("end", None, key[0], *[None] * 9, key[1], key[2], start, end))
+        return pd.DataFrame(out, columns=[*COLUMNS, "of", "segment", "start", "end"])
+
+    schema = f"{FOLD}, of string, segment long, start string, end string"
+    segments = staged(rows.select(*at).distinct())
+    open_, done, turn = segments.withColumn("start", F.lit(first)), None, 0
+    guess = F.udf(lambda end: _guess(end, trial), "string")
+    while True:
+        part = rows.join(open_.select(*at), at, "left_semi").groupBy(*at).cogroup(open_.groupBy(*at)).applyInPandas(run, schema)
+        part = staged(part.withColumn("turn", F.lit(turn)))
+        done = part if done is None else done.unionByName(part)
+        # of each segment the last fold counts
+        ends = done.where("kind = 'end'").groupBy("provider", "of", "segment").agg(F.max_by(F.struct("start", "end", "turn"), "turn").alias("x"))
+        ends = staged(ends.select("provider", F.col("of").alias("field"), "segment", "x.*"))
+        follows = Window.partitionBy(*keys).orderBy("segment")
+        next_ = ends.withColumn("should", F.coalesce(guess(F.lag("end").over(follows)), F.lit(first)))
+        open_ = staged(next_.where("start <> should").select(*at, F.col("should").alias("start")))
+        turn += 1
+        if open_.isEmpty():
+            break
+    last = ends.select("provider", F.col("field").alias("of"), "segment", "turn")
+    out = done.join(last, ["provider", "of", "segment", "turn"])
+    rule = out.where("kind = 'rule'").groupBy("provider", "of", "rule_id").agg(F.max_by(F.struct("kind", "job_id", "funding_block", "log_index", "field", "delta", "weight", "status"), "segment").alias("x"), F.sum("applications").alias("applications"), F.sum("hits").alias("hits"))
+    rule = rule.select("x.kind", "x.job_id", "provider", "x.funding_block", "x.log_index", "rule_id", "x.field", "x.delta", "x.weight", "x.status", "applications", "hits")
+    return out.where("kind = 'applied'").select(COLUMNS).unionByName(rule.select(COLUMNS))
 
 
 def rules_at_end(rules: DataFrame, lifecycle: DataFrame) -> DataFrame:

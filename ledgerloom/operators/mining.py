@@ -9,6 +9,7 @@ from .. import params
 from ..functions.probability import logit
 from ..sources.staging import staged
 from .asof import Running, running
+from .order import numbered
 
 SEQ = ["block", "log_index", "job_id"]
 
@@ -39,8 +40,7 @@ def promoted_rules(observations: DataFrame, ladder: tuple = params.LADDER, min_s
     """Each rung's first promotion per provider, numbered R-1, R-2, … in order of creation.
 
     Only rungs that pass both gates are unpivoted, and first matches, which only order the rules of one observation, are
-    looked up for promoted rungs alone. The numbering is global by definition and runs over
-    the promoted rules, at most one per provider and rung. observations are read twice.
+    looked up for promoted rungs alone. The numbering is global by definition; ranges of rules number themselves. observations are read twice.
     """
     candidates = rule_candidates(observations, ladder)
     base = F.col("done") / F.col("observed")
@@ -55,9 +55,9 @@ def promoted_rules(observations: DataFrame, ladder: tuple = params.LADDER, min_s
     seen = with_actual(observations.select("provider", *SEQ, *params.FIELDS)).join(first.select("provider", "rung", "field", "op", "value"), "provider").where(HOLDS)
     first = first.join(seen.groupBy("provider", "rung").agg(F.min(F.struct(*SEQ)).alias("first_match")), ["provider", "rung"])
     delta = F.least(F.lit(params.MAX_DELTA), F.greatest(F.lit(-params.MAX_DELTA), logit(F.col("x.r.rate")) - logit(F.col("x.baseline"))))
-    number = F.row_number().over(Window.orderBy("x.seq", "first_match", "rung"))
+    first = numbered(first.withColumn("seq", F.col("x.seq")), "number", "seq", "first_match", "rung")
     return first.select(
-        F.concat(F.lit("R-"), number.cast("string")).alias("rule_id"), F.col("provider").alias("subject"), "rung", "field", "op", "value",
+        F.concat(F.lit("R-"), F.col("number").cast("string")).alias("rule_id"), F.col("provider").alias("subject"), "rung", "field", "op", "value",
         delta.alias("delta_logit"), F.col("x.baseline").alias("baseline_rate"), F.col("x.r.rate").alias("conditional_rate"), F.col("x.r.support").alias("support"), F.col("x.seq.block").alias("created_at_block"),
     )
 

@@ -1,14 +1,15 @@
 """The live tail: the same decoding and features on a stream of raw logs, whole blocks at a time.
 
 Each micro-batch lands its decoded logs, settles the blocks that lie deep enough under the head, and takes the
-decisions of what has settled. History is kept as opening balances per job, provider, client and pair, in
-snapshot tables with a version per batch, so a batch reads the last snapshot and its own events, never the whole log.
+decisions of what has settled. History is kept as opening balances per job, provider, client and pair, in keyed
+tables to which a batch writes its changes alone, so it reads the last state and its own events, never the whole log. Every earlier state
+stays readable: when a reorganisation reaches below settled blocks, decisions go on from the state before it.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass, fields
+from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -22,10 +23,27 @@ from ..functions.probability import evidence_weight
 from ..operators import episodes, evidence, features
 from ..operators.lifecycle import COLUMNS as FOLD_COLUMNS
 from ..operators.lifecycle import FOLD, Trials
+from ..sources.keyed import Keyed
 from ..sources.staging import staged
 
 
-def settle(spark: SparkSession, landed: str, out: str, confirmations: int = params.CONFIRMATIONS, then: Callable[[DataFrame, int], None] | None = None):
+def replaced(repairs: list[tuple[int, int]]) -> dict[int, int]:
+    """{batch: the batch that replaced it} of repairs (batch, the last batch that stays)."""
+    out: dict[int, int] = {}
+    for number, since in sorted(repairs):
+        out |= {b: number for b in range(since + 1, number) if b not in out}
+    return out
+
+
+def superseded(spark: SparkSession, out: str, number: int) -> dict[int, int]:
+    """replaced() of the batches before ``number``."""
+    if not number:
+        return {}
+    marks = spark.read.parquet(*[f"{out}-marks/batch={n}" for n in range(number)]).where("since is not null").select("number", "since")
+    return replaced([tuple(r) for r in marks.collect()])  # a row a repair
+
+
+def settle(spark: SparkSession, landed: str, out: str, confirmations: int = params.CONFIRMATIONS, then: Callable[..., None] | None = None, repair: bool = False):
     """A foreachBatch function: land decoded logs, then append the newly settled blocks to ``out``.
 
     A block is settled once ``confirmations`` blocks lie above it; it is written once and whole, and handed to ``then``.
@@ -33,44 +51,77 @@ def settle(spark: SparkSession, landed: str, out: str, confirmations: int = para
     failure replaces its own output and nothing else, and no batch reads what settled long ago: what is still open goes
     on from batch to batch (``landed``-open), as do the settled block and the head (``out``-marks). Logs that come
     after their block has settled and aren't in ``out`` are kept and counted (``out``-late, and late in ``out``-marks).
+
+    repair: logs that the node removed leave the open blocks, and a late or removed log of a settled block settles anew all blocks behind the
+    last batch before it: its batch holds them corrected, and ``then`` also gets the number of that last batch (-1: none). The batches
+    between are superseded. A log that comes and is removed in one batch counts as removed.
     """
     log = EVENT
 
     def held(path: str, number: int) -> DataFrame:
         return spark.read.schema(log).parquet(f"{path}/batch={number}")
 
+    def without(rows: DataFrame, gone: DataFrame | None) -> DataFrame:
+        return rows if gone is None else rows.subtract(gone)
+
     def run(batch: DataFrame, number: int) -> None:
         decode(batch).write.mode("overwrite").parquet(f"{landed}/batch={number}")
-        new, mark = held(landed, number), {"settled": -1, "head": -1}
+        new, mark, gone = held(landed, number), {"settled": -1, "head": -1}, None
+        if repair:
+            decode(batch.where("removed").withColumn("removed", F.lit(False))).write.mode("overwrite").parquet(f"{landed}-removed/batch={number}")
+            gone = held(f"{landed}-removed", number)
+            new = without(new, gone)
         if number:
             mark = spark.read.parquet(f"{out}-marks/batch={number - 1}").first().asDict()
         done = mark["settled"]
         fresh = new.where(F.col("block") > done)
         if number:
-            fresh = fresh.unionByName(held(f"{landed}-open", number - 1))
+            fresh = fresh.unionByName(without(held(f"{landed}-open", number - 1), gone))
         fresh = staged(fresh.dropDuplicates(["block", "log_index"]))
         top = fresh.agg(F.max("block").alias("b")).first()["b"]
         head = max(mark["head"], top if top is not None else -1)
         settled = max(done, head - confirmations)
-        fresh.where(F.col("block") <= settled).write.mode("overwrite").parquet(f"{out}/batch={number}")
-        fresh.where(F.col("block") > settled).write.mode("overwrite").parquet(f"{landed}-open/batch={number}")
         late = staged(new.where(F.col("block") <= done).dropDuplicates(["block", "log_index"]))
-        first = late.agg(F.min("block").alias("b")).first()["b"]
+        firsts = [late.agg(F.min("block").alias("b")).first()["b"], gone.where(F.col("block") <= done).agg(F.min("block").alias("b")).first()["b"] if repair else None]
+        first = min((b for b in firsts if b is not None), default=None)
+        since = None
         if first is not None:
-            known = spark.read.schema(log).parquet(*[f"{out}/batch={n}" for n in range(number)]).where(F.col("block") >= first)
-            late = late.join(known.select("block", "log_index"), ["block", "log_index"], "left_anti").select(log.fieldNames())
+            current = [n for n in range(number) if n not in superseded(spark, out, number)]
+            known = spark.read.schema(log).parquet(*[f"{out}/batch={n}" for n in current]).where(F.col("block") >= first)
+            if repair:
+                late = staged(late.subtract(known))
+                first = late.unionByName(known.intersect(gone)).agg(F.min("block").alias("b")).first()["b"]
+                if first is not None:
+                    before = spark.read.parquet(*[f"{out}-marks/batch={n}" for n in current]).where(F.col("settled") < first)
+                    since = before.agg(F.coalesce(F.max("number"), F.lit(-1)).alias("n")).first()["n"]
+                    kept = without(spark.read.schema(log).parquet(*[f"{out}/batch={n}" for n in current if n > since]), gone)
+                    # a log that comes anew at its place replaces the one that stood there
+                    kept = kept.join(late.select("block", "log_index"), ["block", "log_index"], "left_anti").select(log.fieldNames())
+                    fresh = staged(fresh.unionByName(kept).unionByName(late))
+            else:
+                late = late.join(known.select("block", "log_index"), ["block", "log_index"], "left_anti").select(log.fieldNames())
+        fresh.where(F.col("block") <= settled).write.mode("overwrite").parquet(f"{out}/batch={number}")
+        fresh.where(F.col("block") > settled).write.mode("overwrite").parquet(f"{landed}-open/batch={number}")
         late.write.mode("overwrite").parquet(f"{out}-late/batch={number}")
-        lost = held(f"{out}-late", number).count()
+        n_late = held(f"{out}-late", number).count()
         if then is not None:
-            then(held(out, number), number)
-        marks = spark.range(1).select(F.lit(settled).cast("long").alias("settled"), F.lit(head).cast("long").alias("head"), F.lit(lost).cast("long").alias("late"))
+            then(held(out, number), number, *([since] if since is not None else []))
+        one = {"number": number, "settled": settled, "head": head, "late": n_late, "since": since}
+        marks = spark.range(1).select(*[F.lit(v).cast("long").alias(c) for c, v in one.items()])
         marks.write.mode("overwrite").parquet(f"{out}-marks/batch={number}")
 
     return run
 
 
-def tail(logs: DataFrame, landed: str, out: str, checkpoint: str, confirmations: int = params.CONFIRMATIONS, then: Callable[[DataFrame, int], None] | None = None) -> StreamingQuery:
-    return logs.writeStream.foreachBatch(settle(logs.sparkSession, landed, out, confirmations, then)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def tail(logs: DataFrame, landed: str, out: str, checkpoint: str, confirmations: int = params.CONFIRMATIONS, then: Callable[..., None] | None = None, repair: bool = False) -> StreamingQuery:
+    return logs.writeStream.foreachBatch(settle(logs.sparkSession, landed, out, confirmations, then, repair)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def current(spark: SparkSession, out: str, path: str) -> DataFrame:
+    """What the batches wrote to ``path``, without those that a repair of ``out`` superseded."""
+    rows = spark.read.option("basePath", path).parquet(f"{path}/batch=*")
+    last = spark.read.parquet(f"{out}-marks/batch=*").agg(F.max("number").alias("n")).first()["n"]
+    return rows.where(~F.col("batch").isin(list(superseded(spark, out, last + 1)))).drop("batch")
 
 
 BALANCES = ("d_created", "d_funded", "d_completed", "d_expired", "d_self", "d_open")
@@ -103,9 +154,25 @@ def with_opening(views: DataFrame, snapshot: DataFrame, *keys: str) -> DataFrame
     return views.join(held, list(keys), "left").withColumns({n: F.col(n) + F.coalesce(f"_{n}", F.lit(0)) for n in counts}).drop(*[f"_{n}" for n in counts])
 
 
+_BALANCE = {c: "sum" for c in BALANCES} | {"first_made": "min", "last_made": "max", "acted_at": "max"}
+#: How the tables of a snapshot change: balances add up, jobs and what is open or closed have a last state. Jobs leave with their deadline and the grace.
+TABLES = {
+    "jobs": Keyed(("job_id",), until="until"),
+    "providers": Keyed(("provider",), _BALANCE),
+    "clients": Keyed(("client",), _BALANCE),
+    "pairs": Keyed(("client", "provider"), _BALANCE),
+    "amounts": Keyed(("provider", "amount"), {"n": "sum"}),
+    "pending": Keyed(("job_id", "funding_block", "log_index")),
+    "closed": Keyed(("job_id",), until="until"),
+}
+
+
 @dataclass
 class Snapshot:
-    """All that a batch needs of those before it: what jobs carry on, balances, completed amounts, open decisions and the jobs that are closed."""
+    """All that a batch needs of those before it: what jobs carry on, balances, completed amounts, open decisions and the jobs that are closed.
+
+    The same tables say what one batch changed (now: its last timestamp); then rows of jobs, pending and closed have _gone.
+    """
 
     jobs: DataFrame
     providers: DataFrame
@@ -114,14 +181,32 @@ class Snapshot:
     amounts: DataFrame
     pending: DataFrame
     closed: DataFrame
+    now: int | None = None
+
+    def after(self, changes: Snapshot) -> Snapshot:
+        return Snapshot(*[t.after(getattr(self, name), getattr(changes, name), changes.now) for name, t in TABLES.items()], changes.now)
+
+    @classmethod
+    def first(cls, changes: Snapshot) -> Snapshot:
+        return cls(*[t.after(None, getattr(changes, name), changes.now) for name, t in TABLES.items()], changes.now)
+
+    def marked(self) -> Snapshot:
+        """A whole state as the changes that make it."""
+        return Snapshot(*[getattr(self, n) if t.how else getattr(self, n).withColumn("_gone", F.lit(False)) for n, t in TABLES.items()], self.now)
 
-    def write(self, path: str) -> None:
-        for f in fields(self):
-            getattr(self, f.name).write.mode("overwrite").parquet(f"{path}/{f.name}")
+    @staticmethod
+    def rows(spark: SparkSession, path: str, number: int) -> int:
+        """Rows of the run of one batch, of all tables."""
+        return sum(spark.read.parquet(f"{path}/{name}/level=0/run={number}").count() for name in TABLES)
+
+    def write(self, path: str, number: int) -> None:
+        """What a batch changed, as the next run of each table; number counts from the beginning of the epoch."""
+        for name, t in TABLES.items():
+            t.write(getattr(self, name), f"{path}/{name}", number, self.now)
 
     @classmethod
-    def read(cls, spark: SparkSession, path: str) -> Snapshot:
-        return cls(*[spark.read.parquet(f"{path}/{f.name}") for f in fields(cls)])
+    def read(cls, spark: SparkSession, path: str, number: int, now: int | None = None) -> Snapshot:
+        return cls(*[t.read(spark, f"{path}/{name}", number, now) for name, t in TABLES.items()], now)
 
 
 def _opened(rows: DataFrame, before: Snapshot) -> DataFrame:
@@ -132,11 +217,12 @@ def _opened(rows: DataFrame, before: Snapshot) -> DataFrame:
     return with_opening(with_opening(rows.drop("first_made", "last_made", "last_acted"), before.clients, "client"), before.pairs, "client", "provider")
 
 
-def decide(events: DataFrame, before: Snapshot | None = None, grace: int = 30 * 86_400) -> tuple[DataFrame, DataFrame, Snapshot]:
-    """Views with p0, episodes and the next snapshot of a batch of whole blocks: the operators of the backtest, opened with the last snapshot.
+def changes(events: DataFrame, before: Snapshot | None = None, grace: int = 30 * 86_400) -> tuple[DataFrame, DataFrame, Snapshot]:
+    """Views with p0, episodes and what changes of a batch of whole blocks: the operators of the backtest, opened with the last snapshot.
 
     A decision waits until an event closes its job. Once the head lies more than ``grace`` seconds past the deadline it is
-    an inferred failure, so that nothing waits for ever. A closed job stays closed, whatever comes after.
+    an inferred failure, so that nothing waits for ever. A closed job stays closed, whatever comes after; a job that its deadline and
+    the grace lie behind is forgotten, and events of it are those of an unknown job.
     """
     state = staged(features.with_job_state(events, before.jobs if before else None))
     rows = features.carried(state)
@@ -145,33 +231,79 @@ def decide(events: DataFrame, before: Snapshot | None = None, grace: int = 30 *
     waiting = views if before is None else views.join(before.closed, "job_id", "left_anti").unionByName(before.pending)
     found = staged(episodes.resolve(events, waiting))
     over = F.col("outcome").isNotNull() & (~F.col("inferred_expiry") | (F.col("head_ts") > F.col("funding_timestamp") + F.col("expiry_window") + grace))
-    ended = found.crossJoin(F.broadcast(episodes.head(events).select("head_ts"))).where(F.coalesce(over, F.lit(False))).drop("head_ts")
+    head = episodes.head(events).select("head_ts")
+    ended = found.crossJoin(F.broadcast(head)).where(F.coalesce(over, F.lit(False))).drop("head_ts")
     eps = staged(episodes.score(ended, F.col("p0")))
-    gone = eps.select("job_id")
-    after = Snapshot(
-        features.jobs_after(state, before.jobs if before else None),
-        roll_forward(before.providers if before else None, state, "provider"),
-        roll_forward(before.clients if before else None, state, "client"),
-        roll_forward(before.pairs if before else None, state, "client", "provider"),
-        features.amounts_after(state, before.amounts if before else None),
-        waiting.join(gone, "job_id", "left_anti"),
-        gone if before is None else before.closed.unionByName(gone),
+    now = head.first()["head_ts"]
+    leaves = lambda deadline: F.greatest(deadline, F.lit(now)) + grace
+    made = F.col("made.expired_at")
+    # a job whose creation is unknown leaves after its last event, one without deadline never
+    until = F.when(F.col("made").isNull(), leaves(F.lit(0).cast("long"))).when(made > 0, leaves(made))
+    ended = eps.select("job_id", leaves(F.col("funding_timestamp") + F.col("expiry_window")).alias("until"))
+    opened, closed = views, ended
+    if before is not None:
+        opened = views.join(before.closed, "job_id", "left_anti").select(views.columns)
+        # a closed job with new events stays known as closed as long as the job does
+        closed = before.closed.join(state.select("job_id").distinct(), "job_id").select("job_id", F.when(F.col("until").isNotNull(), leaves(F.col("until") - grace)).alias("until")).unionByName(ended)
+    mark = lambda d, gone: d.withColumn("_gone", F.lit(gone))
+    gone = waiting.join(ended.select("job_id"), "job_id", "left_semi").select(views.columns)
+    changed = Snapshot(
+        mark(features.jobs_after(state).withColumn("until", until), False),
+        *[roll_forward(None, state, *keys) for keys in (("provider",), ("client",), ("client", "provider"))],
+        features.amounts_after(state),
+        mark(opened.join(ended.select("job_id"), "job_id", "left_anti").select(views.columns), False).unionByName(mark(gone, True)),
+        mark(closed.groupBy("job_id").agg(F.max("until").alias("until")), False),
+        now,
     )
-    return views, eps, after
+    return views, eps, changed
+
+
+def decide(events: DataFrame, before: Snapshot | None = None, grace: int = 30 * 86_400) -> tuple[DataFrame, DataFrame, Snapshot]:
+    """Views, episodes and the next snapshot of a batch."""
+    views, eps, changed = changes(events, before, grace)
+    return views, eps, Snapshot.first(changed) if before is None else before.after(changed)
+
+
+#: Changed rows with which an epoch of the tables ends at the earliest.
+TURN = 100_000
 
 
-def deciding(spark: SparkSession, path: str, grace: int = 30 * 86_400) -> Callable[[DataFrame, int], None]:
-    """What tail() hands settled events to: writes views, episodes and the snapshot of every batch under its number.
+def deciding(spark: SparkSession, path: str, grace: int = 30 * 86_400) -> Callable[..., None]:
+    """What tail() hands settled events to: writes views, episodes and the changes of every batch under its number.
 
-    A batch reads the snapshot of the number before and replaces its own, so it can run again.
+    A batch reads the snapshot of the number before and replaces its own changes, so it can run again. Once an epoch's changes are more than twice the
+    rows that it began with (and TURN), the next one begins with what is left of them, so a change is written a few times and no more. After a repair (since: the last batch that
+    stays) views and episodes go on from the snapshot of that batch, a new epoch of tables begins with the whole state, and the
+    decisions that no longer hold are recorded under ``retracted``.
     """
 
-    def run(events: DataFrame, number: int) -> None:
-        before = Snapshot.read(spark, f"{path}/snapshot/{number - 1}") if number else None
-        views, eps, after = decide(events, before, grace)
+    def run(events: DataFrame, number: int, since: int | None = None) -> None:
+        last, epoch, now, base, written, before = number - 1 if since is None else since, 0, None, 0, 0, None
+        if last >= 0:
+            epoch, now, base, written = spark.read.parquet(f"{path}/epoch/batch={last}").select("epoch", "now", "base", "written").first()
+            before = Snapshot.read(spark, f"{path}/snapshot/{epoch}", last - epoch, now)
+        views, eps, changed = changes(events, before, grace)
+        changed.now = max((t for t in (now, changed.now) if t is not None), default=None)
         views.write.mode("overwrite").parquet(f"{path}/views/batch={number}")
         eps.write.mode("overwrite").parquet(f"{path}/episodes/batch={number}")
-        after.write(f"{path}/snapshot/{number}")
+        if since is not None:
+            again = range(since + 1, number)
+            repairs = spark.read.parquet(*[f"{path}/epoch/batch={n}" for n in again]).where("since is not null").select("number", "since")
+            gone = replaced([tuple(r) for r in repairs.collect()])
+            old = spark.read.option("basePath", f"{path}/views").parquet(*[f"{path}/views/batch={n}" for n in again if n not in gone]).select(*features.VIEW, "batch", "p0")
+            new = views.select(*features.VIEW, F.col("p0").alias("_p0"))
+            old.join(new, features.VIEW, "left").where("_p0 is null or _p0 <> p0").drop("_p0").write.mode("overwrite").parquet(f"{path}/retracted/batch={number}")
+            whole, epoch = Snapshot.first(changed) if before is None else before.after(changed), number
+            changed = whole.marked()
+            base, written = 0, 0
+        at = lambda e: f"{path}/snapshot/{e}"
+        changed.write(at(epoch), number - epoch)
+        written += changed.rows(spark, at(epoch), number - epoch)
+        if written > 2 * base + TURN:
+            Snapshot.read(spark, at(epoch), number - epoch, changed.now).marked().write(at(number), 0)
+            epoch, base, written = number, changed.rows(spark, at(number), 0), 0
+        one = {"number": number, "epoch": epoch, "now": changed.now, "since": since, "base": base, "written": written}
+        spark.range(1).select(*[F.lit(v).cast("long").alias(c) for c, v in one.items()]).write.mode("overwrite").parquet(f"{path}/epoch/batch={number}")
 
     return run
 

@@ -2,8 +2,10 @@
 
 import gzip
 import json
+import random
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 from test_library import random_events
 
@@ -11,6 +13,7 @@ from ledgerloom.functions import decode
 from ledgerloom.operators import episodes, evidence, features, jobs, lifecycle, ranks
 from ledgerloom.plans import queries
 from ledgerloom.sources import logs
+from ledgerloom.sources.keyed import Keyed, runs
 from ledgerloom.streaming import live
 
 
@@ -189,6 +192,87 @@ def test_from_logs_to_decisions(spark, tmp_path):
     assert got.count() and sorted(map(tuple, got.collect()), key=repr) == sorted(map(tuple, views.collect()), key=repr)
 
 
+@pytest.mark.parametrize("fanout", [2, 3])
+def test_keyed_tables_merge_their_deltas(spark, tmp_path, fanout):
+    """Every state of 30 batches against a dict, also after a batch ran again; what a batch writes follows its changes."""
+    r = random.Random(3)
+    last, sums = Keyed(("k",), until="until"), Keyed(("k",), {"n": "sum", "low": "min"})
+    held, total, states, size = {}, {}, [], []
+    for b in range(30):
+        changed = {k: (r.randrange(100), max(b + r.randrange(12), held.get(k, (0, 0))[1]) if k % 2 else None, r.random() < 0.2) for k in r.sample(range(40), 4)}
+        held |= changed
+        for k, (v, _, _) in changed.items():
+            n, low = total.get(k, (0, 10**9))
+            total[k] = (n + v, min(low, v))
+        for turn in range(2 if b in (8, 26) else 1):
+            rows = [(k, -1 if turn == 0 and b in (8, 26) else v, u, g) for k, (v, u, g) in changed.items()]
+            last.write(spark.createDataFrame(rows, "k long, v long, until long, _gone boolean").coalesce(1), f"{tmp_path}/last", b, b, fanout)
+        sums.write(spark.createDataFrame([(k, v, v) for k, (v, _, _) in changed.items()], "k long, n long, low long").coalesce(1), f"{tmp_path}/sums", b, b, fanout)
+        states.append((dict(held), dict(total)))
+        size.append(sum(f.stat().st_size for f in (tmp_path / "sums" / "level=0" / f"run={b}").glob("*.parquet")))
+    for b in (0, 1, 7, 8, 17, 26, 29):
+        want = {k: v for k, (v, u, g) in states[b][0].items() if not g and (u is None or u >= b)}
+        assert {x.k: x.v for x in last.read(spark, f"{tmp_path}/last", b, b, fanout).collect()} == want
+        assert {x.k: (x.n, x.low) for x in sums.read(spark, f"{tmp_path}/sums", b, b, fanout).collect()} == states[b][1]
+    assert max(size[-10:]) < 1.2 * max(size[:10])
+    for n in range(2000):
+        found = runs(n, 8)
+        assert sum(8**k for k, _ in found) == n + 1 and len(found) <= 7 * 4 and found == sorted(found, key=lambda x: x[1] * 8 ** x[0])
+    assert "x/level=0/run=5" in Keyed.superseded("x", 8) and "x/level=0/run=8" not in Keyed.superseded("x", 8)
+
+
+def test_what_is_over_leaves_the_snapshot(spark):
+    """Jobs and closed jobs leave with their deadline and the grace; what comes for them later makes no second decision."""
+    before = None
+    for b in range(7):
+        rows = [event("JobCreated", b, 1000 * b + 1, 10 * b, client="c", provider="p", expired_at=2000 * b + 50), event("JobFunded", b, 1000 * b + 2, 10 * b + 1, amount=5), event("JobCompleted", b, 1000 * b + 3, 10 * b + 2)]
+        rows += [event("JobFunded", b - 4, 1000 * b + 3, 10 * b + 3, amount=5), event("JobCompleted", b - 4, 1000 * b + 4, 10 * b + 4)] if b > 4 else []
+        views, eps, before = live.decide(spark.createDataFrame(rows, decode.EVENT), before, grace=3000)
+        before = live.Snapshot(*[spark.createDataFrame(getattr(before, n).collect(), getattr(before, n).schema) for n in live.TABLES], before.now)
+        assert [x.job_id for x in views.collect()] == [b] and [x.job_id for x in eps.collect()] == [b]
+        assert before.jobs.count() <= 6 and before.closed.count() <= 4 and before.pending.count() == 0
+    assert before.providers.first().d_created == 7
+
+
+@pytest.mark.parametrize("turn", [100_000, 60])
+def test_a_deep_reorganisation_is_repaired(spark, tmp_path, monkeypatch, turn):
+    """Logs of settled blocks are removed and others come: views and episodes are those of the corrected log, twice over."""
+    monkeypatch.setattr(live, "TURN", turn)
+    rows = sorted(random_events(17, n=60), key=lambda x: (x["block"], x["log_index"]))
+    raw = raw_logs(spark, rows)
+    raw = sorted(raw, key=lambda x: int(x["blockNumber"], 16))
+    block = lambda x: int(x["blockNumber"], 16)
+    top = block(raw[-1])
+    third, half = raw[: len(raw) // 3], raw[len(raw) // 3 : 2 * len(raw) // 3]
+    rest = raw[2 * len(raw) // 3 :]
+    lost = [x for k, x in enumerate(half) if k % 3 == 0]  # deep below the head by the time
+    again = [x | {"logIndex": hex(int(x["logIndex"], 16) + 5000)} for x in lost[::2]]
+    deeper = third[-6:-3]
+    parts = [third, half, rest[:-8], [x | {"removed": True} for x in lost] + again + rest[-8:-4], [x | {"removed": True} for x in deeper] + rest[-4:]]
+    corrected = [x for x in raw if x not in lost and x not in deeper] + again
+    assert top - block(lost[0]) > 5
+    at = lambda name: str(tmp_path / name)
+    (tmp_path / "logs").mkdir()
+    for k, part in enumerate(parts):
+        (tmp_path / "logs" / f"{k}.json").write_text("\n".join(map(json.dumps, part)))
+        live.tail(logs.stream_logs(spark, at("logs")), at("landed"), at("out"), at("check"), confirmations=2, then=live.deciding(spark, at("live")), repair=True).awaitTermination()
+    marks = spark.read.parquet(at("out-marks")).orderBy("number").collect()
+    assert [r.since is not None for r in marks] == [False, False, False, True, True] and marks[4].since <= marks[3].since
+    settled = decode.decode(spark.createDataFrame(corrected, decode.RAW)).where(F.col("block") <= marks[-1].settled)
+    order = lambda d: sorted(map(tuple, d.collect()), key=repr)
+    assert order(live.current(spark, at("out"), at("out")).select(decode.EVENT.fieldNames())) == order(settled)
+    views = features.with_base_prediction(features.decision_views(settled))
+    got = live.current(spark, at("out"), at("live/views")).select(views.columns)
+    assert got.count() and order(got) == order(views)
+    names = ["job_id", "outcome", "resolved_at_block", "failure_kind", "predicted"]
+    want = episodes.score(episodes.resolve(settled, views), F.col("p0")).where("not inferred_expiry")
+    assert order(live.current(spark, at("out"), at("live/episodes")).where("not inferred_expiry").select(names)) == order(want.select(names))
+    gone = spark.read.parquet(at("live/retracted"))
+    ever = spark.read.parquet(at("live/views")).where(f"batch < 3 and batch > {marks[3].since}")
+    now = {tuple(x) for x in spark.read.parquet(at("live/views")).where("batch = 3").select(*features.VIEW, "p0").collect()}
+    assert {tuple(x) for x in gone.where("_metadata.file_path like '%batch=3%'").select(*features.VIEW, "p0").collect()} == {tuple(x) for x in ever.select(*features.VIEW, "p0").collect()} - now
+
+
 def test_one_verdict_a_job(spark, tmp_path):
     rows = [event("JobCreated", j, 1, j, client="c", provider="p", expired_at=40) for j in range(4)] + [event("BudgetSet", 0, 2, amount=1)]
     later = [event("BudgetSet", 0, 5, amount=2), event("JobRejected", 1, 6), event("JobCreated", 9, 50, expired_at=5000)]
