@@ -793,13 +793,66 @@ def journal_appended(spark, sf_dir):
 def live_decisions(spark, sf_dir):
     """The views of two live batches, the second decided from the snapshot of the first; the same as those of all events at once."""
     events = staged(marketplace(spark, sf_dir))
-    first, _, snapshot = live.decide(events.where("block <= 2000"))
+    first, _, changed = live.changes(events.where("block <= 2000"))
     path = folder(spark, "snapshot")
-    snapshot.write(path)
-    second, _, _ = live.decide(events.where("block > 2000"), live.Snapshot.read(spark, path))
+    changed.write(path, 0)
+    second, _, _ = live.decide(events.where("block > 2000"), live.Snapshot.read(spark, path, 0, changed.now))
     return places(first.unionByName(second).drop("provider_prior_rate"), "client_prior_funding_rate", "p0")
 
 
+@query(STATE_SQL + f"SELECT * REPLACE ({_R}) FROM views")
+def repaired_decisions(spark, sf_dir):
+    """The views of three live batches, the second made without a seventh of its jobs' events; the third repairs it from the snapshot of the first."""
+    events, path = staged(marketplace(spark, sf_dir)), folder(spark, "live")
+    decide = live.deciding(spark, path)
+    decide(events.where("block <= 1500"), 0)
+    decide(events.where("block > 1500 and block <= 2500 and job_id % 7 <> 0"), 1)
+    decide(events.where("block > 1500"), 2, since=0)
+    views = spark.read.option("basePath", f"{path}/views").parquet(*[f"{path}/views/batch={n}" for n in (0, 2)])
+    return places(views.drop("provider_prior_rate", "batch"), "client_prior_funding_rate", "p0")
+
+
+def _scans(spark, sf_dir) -> str:
+    """Scan files of raw logs, a JSON value for each 100 blocks, with the block up to which the scan went."""
+    raw, path = decode.encode(_addressed(marketplace(spark, sf_dir))), folder(spark, "scans")
+    by = raw.groupBy(F.floor(decode.hex_to_long(F.col("blockNumber")) / 100).alias("_k")).agg(F.collect_list(F.struct(*raw.columns)).alias("logs"))
+    by.select("_k", F.struct((F.col("_k") * 100 + 99).alias("cursor")).alias("state"), "logs").repartitionByRange(8, "_k").drop("_k").write.option("maxRecordsPerFile", 1).option("compression", "gzip").json(path)
+    return path
+
+
+@query(f"WITH {MARKET_SQL} SELECT {', '.join(_LOG)}, amount, expired_at FROM ev")
+def scanned_events(spark, sf_dir):
+    """Events of gzip scan files, read and decoded."""
+    return decode.decode(logs.read_scan(spark, _scans(spark, sf_dir))).select(*_LOG, "amount", "expired_at")
+
+
+@query(f"WITH {MARKET_SQL} SELECT max(block) // 100 * 100 + 99 AS cursor FROM ev")
+def scan_cursor(spark, sf_dir):
+    """The block up to which scans went."""
+    return spark.range(1).select(F.lit(logs.read_cursor(spark, _scans(spark, sf_dir))).cast("long").alias("cursor"))
+
+
+@query(f"WITH {PROMISE_SQL} SELECT provider, declaration_type, job_id, block, confirmed FROM obs")
+def exported_evidence(spark, sf_dir):
+    """Observations written as evidence exports, one a provider, and read back."""
+    seen, path = promises(spark, sf_dir)["observations"], folder(spark, "export")
+    by = seen.groupBy(F.upper("provider").alias("provider")).agg(F.collect_list(F.struct(F.col("job_id").alias("job"), "block", "confirmed")).alias("observations"))
+    by.write.option("maxRecordsPerFile", 1).json(path)
+    return logs.read_evidence(spark, path)
+
+
+@query(f"WITH {MARKET_SQL} SELECT {', '.join(_LOG)} FROM ev WHERE block <= (SELECT max(block) FROM ev) - {params.CONFIRMATIONS}")
+def tailed_events(spark, sf_dir):
+    """Raw logs in files of 500 blocks, followed by a stream that settles whole blocks."""
+    raw, path = decode.encode(_addressed(marketplace(spark, sf_dir))), folder(spark, "tail")
+    files = raw.withColumn("_k", F.floor(decode.hex_to_long(F.col("blockNumber")) / 500))
+    for k in range(files.agg(F.max("_k")).first()[0] + 1):
+        files.where(F.col("_k") == k).drop("_k").coalesce(1).write.mode("append").json(f"{path}/logs")
+    stream = logs.stream_logs(spark, f"{path}/logs", files=2)
+    live.tail(stream, f"{path}/landed", f"{path}/out", f"{path}/check").awaitTermination()
+    return spark.read.option("basePath", f"{path}/out").parquet(f"{path}/out/batch=*").select(*_LOG)
+
+
 @query(f"WITH {PROMISE_SQL} SELECT provider, declaration_type, job_id, block, confirmed FROM obs WHERE block <= 600000 AND 600000 - block < {params.EXPIRY}")
 def live_evidence(spark, sf_dir):
     """The evidence after two live batches: what still weighs something."""
