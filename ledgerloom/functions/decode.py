@@ -19,6 +19,9 @@ def schema(fields: str) -> T.StructType:
 RAW = schema("address string, topics array<string>, data string, blockNumber string, logIndex string, blockTimestamp string, removed boolean")
 EVENT = schema("kind string, job_id long, block long, log_index long, ts long, client string, provider string, evaluator string, funder string, payee string, rejector string, recipient string, amount long, expired_at long")
 
+# fixed values: kinds whose first word is an amount
+PAID = ("BudgetSet", "JobFunded", "PaymentReleased", "Refunded", "EvaluatorFeePaid")
+
 
 def bare(text: Column) -> Column:
     """Hex digits without 0x."""
@@ -70,8 +73,8 @@ def short_address(text: Column) -> Column:
     return F.when(plain, text).otherwise(F.concat(F.left(text, F.lit(6)), F.lit("…"), F.right(text, F.lit(4))))
 
 
-def decode(logs: DataFrame, contract: str | None = None) -> DataFrame:
-    """Typed events (EVENT) of raw logs (RAW).
+def decode(logs: DataFrame, contract: str | None = None, raw_amounts: bool = False) -> DataFrame:
+    """Typed events (EVENT) of raw logs (RAW); raw_amounts: with amount_word, the amount's 64 hex digits, which wide.limbs() reads in full.
 
     Removed logs, other contracts, unknown signatures and logs without a job topic give no row. A
     log with too few topics or too short data keeps null in what is missing.
@@ -87,7 +90,7 @@ def decode(logs: DataFrame, contract: str | None = None) -> DataFrame:
     at = lambda kind, value: F.when(F.col("kind") == kind, value)
     first, who = F.col("_first"), address(F.col("_who"))
     named = F.when(~F.lit("0" * 64).startswith(first), address(first))  # at creation the zero address means none
-    amount = F.when(F.col("kind").isin("BudgetSet", "JobFunded", "PaymentReleased", "Refunded", "EvaluatorFeePaid"), F.when(first.isNull(), F.lit(0).cast("long")).otherwise(digits_to_long(first)))
+    amount = F.when(F.col("kind").isin(*PAID), F.when(first.isNull(), F.lit(0).cast("long")).otherwise(digits_to_long(first)))
     return rows.select(
         "kind",
         hex_to_long(topic(1)).alias("job_id"),
@@ -103,6 +106,7 @@ def decode(logs: DataFrame, contract: str | None = None) -> DataFrame:
         F.when(F.col("kind").isin("Refunded", "EvaluatorFeePaid"), who).alias("recipient"),
         amount.alias("amount"),
         at("JobCreated", digits_to_long(F.col("_second"))).alias("expired_at"),
+        *([F.when(F.col("kind").isin(*PAID), F.coalesce(first, F.lit("0"))).alias("amount_word")] if raw_amounts else []),
     )
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import params
-from ..functions import decode, text
+from ..functions import decode, text, wide
 from ..operators import calibration, episodes, evidence, features, jobs, lifecycle, mining
 from ..sources import journal, logs
 from ..sources.staging import folder, staged
@@ -832,6 +832,18 @@ def scan_cursor(spark, sf_dir):
     return spark.range(1).select(F.lit(logs.read_cursor(spark, _scans(spark, sf_dir))).cast("long").alias("cursor"))
 
 
+@query(f"""WITH {MARKET_SQL}, w AS (SELECT kind, amount::HUGEINT * 18446744073709551616::HUGEINT + job_id AS a FROM ev WHERE amount IS NOT NULL)
+SELECT kind, count(*) AS n, sum(a)::HUGEINT::VARCHAR AS total, min(a)::VARCHAR AS least, max(a)::VARCHAR AS most FROM w GROUP BY kind""")
+def wide_amounts(spark, sf_dir):
+    """Amounts beyond 64 bits in the logs' words, decoded, compared and summed exactly."""
+    raw = decode.encode(_addressed(marketplace(spark, sf_dir).where("amount is not null")))
+    # the word's lower half is the amount; it moves up, and the job stands below
+    word = F.concat(F.lit("0x"), F.lpad(F.right("data", F.lit(16)), 48, "0"), F.right(F.element_at("topics", 2), F.lit(16)))
+    rows = decode.decode(raw.withColumn("data", word), raw_amounts=True).withColumn("a", wide.limbs(F.col("amount_word")))
+    sums = rows.groupBy("kind").agg(F.count("*").alias("n"), wide.total("a").alias("total"), F.min("a").alias("least"), F.max("a").alias("most"))
+    return sums.select("kind", "n", *[wide.decimal(F.col(c)).alias(c) for c in ("total", "least", "most")])
+
+
 @query(f"WITH {PROMISE_SQL} SELECT provider, declaration_type, job_id, block, confirmed FROM obs")
 def exported_evidence(spark, sf_dir):
     """Observations written as evidence exports, one a provider, and read back."""
