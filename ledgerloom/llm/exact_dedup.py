@@ -38,7 +38,7 @@ class QuotientFilter:
     def of(cls, fingerprints: np.ndarray, remainder_bits: int) -> QuotientFilter:
         """From fingerprints without their region bits."""
         values, counts = np.unique(fingerprints, return_counts=True)
-        return cls._from_sorted(values, counts.astype(np.uint32), remainder_bits)
+        return cls._from_sorted(values, counts.astype(np.uint64), remainder_bits)
 
     @classmethod
     def _from_sorted(cls, values: np.ndarray, counts: np.ndarray, remainder_bits: int) -> QuotientFilter:
@@ -60,16 +60,41 @@ class QuotientFilter:
         return QuotientFilter._from_sorted(values[first], np.add.reduceat(counts, first), filters[0].remainder_bits)
 
     def to_bytes(self) -> tuple[bytes, bytes, bytes]:
-        keep = -(-self.remainder_bits // 8)
-        raw = self.remainders.astype(">u8").view(np.uint8).reshape(-1, 8)[:, 8 - keep :]
-        return self.runs.tobytes(), raw.tobytes(), self.counts.astype(np.uint32).tobytes()
+        values = self.values()
+        return tuple(c[0].as_py() for c in stored(values, self.counts, np.array([0, len(values)]), self.remainder_bits))
 
     @classmethod
     def from_bytes(cls, runs: bytes, remainders: bytes, counts: bytes, remainder_bits: int) -> QuotientFilter:
         keep = -(-remainder_bits // 8)
         wide = np.zeros((len(remainders) // keep, 8), np.uint8)
         wide[:, 8 - keep :] = np.frombuffer(remainders, np.uint8).reshape(-1, keep)
-        return cls(remainder_bits, np.frombuffer(runs, np.uint32), wide.view(">u8").reshape(-1).astype(np.uint64), np.frombuffer(counts, np.uint32))
+        found = np.frombuffer(runs, RUN)
+        lengths = np.zeros(1 << QUOTIENT_BITS, np.uint32)
+        lengths[found["quotient"]] = found["length"]
+        return cls(remainder_bits, lengths, wide.view(">u8").reshape(-1).astype(np.uint64), np.frombuffer(counts, np.uint64))
+
+
+#: A run as it is stored; empty ones aren't.
+RUN = np.dtype([("quotient", "<u2"), ("length", "<u4")])
+
+
+def stored(values: np.ndarray, counts: np.ndarray, at: np.ndarray, remainder_bits: int) -> list[pa.Array]:
+    """(runs, remainders, counts) of the filters of regions at once: region i has the sorted distinct fingerprints values[at[i]:at[i + 1]].
+
+    A filter stores its non-empty runs alone, so its bytes follow its fingerprints, however many regions there are.
+    """
+    keep, low = -(-remainder_bits // 8), np.uint64((1 << remainder_bits) - 1)
+    quotient = ((values >> np.uint64(remainder_bits)) & np.uint64((1 << QUOTIENT_BITS) - 1)).astype(np.int64)
+    region = np.repeat(np.arange(len(at) - 1), np.diff(at))
+    first = np.flatnonzero(np.diff((region << QUOTIENT_BITS) | quotient, prepend=-1))
+    runs = np.zeros(len(first), RUN)
+    runs["quotient"], runs["length"] = quotient[first], np.diff(first, append=len(values))
+    raw = (values & low).astype(">u8").view(np.uint8).reshape(-1, 8)[:, 8 - keep :]
+
+    def binary(ends: np.ndarray, data: np.ndarray) -> pa.Array:
+        return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(at) - 1, [None, pa.py_buffer(ends.astype(np.int64).tobytes()), pa.py_buffer(data.tobytes())]).cast(pa.binary())
+
+    return [binary(np.searchsorted(first, at) * RUN.itemsize, runs), binary(at * keep, raw), binary(at * 8, counts.astype(np.uint64))]
 
 
 def repeated_fingerprints(fingerprints: DataFrame, rows: int) -> DataFrame:
@@ -81,12 +106,11 @@ def repeated_fingerprints(fingerprints: DataFrame, rows: int) -> DataFrame:
         held: list[np.ndarray] = []
 
         def flush() -> pa.RecordBatch:
-            values = np.sort(np.concatenate(held))
+            values, counts = np.unique(np.concatenate(held), return_counts=True)
             region = (values >> np.uint64(64 - bits)).astype(np.int64)
             at = np.flatnonzero(np.diff(region, prepend=-1))
-            inner = values & np.uint64((1 << (64 - bits)) - 1)
-            packed = [QuotientFilter.of(inner[a:b], low).to_bytes() for a, b in zip(at, [*at[1:], len(values)])]
-            return pa.RecordBatch.from_arrays([pa.array(region[at]), *(pa.array(c, pa.binary()) for c in zip(*packed))], ["region", "runs", "remainders", "counts"])
+            columns = stored(values, counts, np.append(at, len(values)), low)
+            return pa.RecordBatch.from_arrays([pa.array(region[at]), *columns], ["region", "runs", "remainders", "counts"])
 
         for batch in batches:
             if batch.num_rows:

@@ -320,6 +320,28 @@ def test_quotient_filters_merge_without_loss():
     assert dict(zip(whole.values().tolist(), whole.counts.tolist())) == dict(want)
 
 
+def test_filters_of_many_regions(spark, monkeypatch):
+    """The bytes of filters follow their fingerprints, not the regions that a corpus is told to have; counts go beyond 32 bits."""
+    r = np.random.default_rng(8)
+    values = np.unique(r.integers(0, 1 << 63, 20_000, dtype=np.uint64) * np.uint64(2))
+    size = []
+    for bits in (7, 15, 20):
+        region = (values >> np.uint64(64 - bits)).astype(np.int64)
+        at = np.append(np.flatnonzero(np.diff(region, prepend=-1)), len(values))
+        columns = exact_dedup.stored(values, np.full(len(values), (1 << 33) + 5, np.uint64), at, 64 - bits - exact_dedup.QUOTIENT_BITS)
+        size.append(sum(len(x.as_py()) for c in columns for x in c))
+        for k in (0, len(at) // 2, len(at) - 2):
+            back = exact_dedup.QuotientFilter.from_bytes(*(c[k].as_py() for c in columns), 64 - bits - exact_dedup.QUOTIENT_BITS)
+            inner = values[at[k] : at[k + 1]] & np.uint64((1 << (64 - bits)) - 1)
+            assert back.values().tolist() == inner.tolist() and set(back.counts.tolist()) == {(1 << 33) + 5}
+    assert size[2] < 1.3 * size[0]
+    twice = np.concatenate([values[:9_000], values[5_000:7_000], values[6_000:6_500]]).view(np.int64).tolist()
+    df = spark.createDataFrame([(v,) for v in twice], "fp long").repartition(5)
+    for rows in (100, 1 << 36):
+        got = {x.fp: x.n_rows for x in exact_dedup.repeated_fingerprints(df, rows).collect()}
+        assert got == {v: n for v, n in Counter(twice).items() if n > 1} and len(got) == 2_000
+
+
 SECRET = [
     None,
     "",
