@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from .. import params
 from ..functions.probability import shrunk_rate
-from ..sources.staging import staged
+from ..sources.staging import at_once, staged
 from . import ranks
 from .asof import Running, running
 
@@ -190,7 +190,7 @@ def finished(rows: DataFrame, medians: DataFrame) -> DataFrame:
 def decision_views(events: DataFrame) -> DataFrame:
     """One row per funding whose job and both parties are known by then."""
     state = staged(with_job_state(events).where(F.col("kind").isin(*COUNTED)).select(*_STATE, "last_budget"))
-    return staged(finished(carried(state), median_completed_amount(state)))
+    return staged(finished(*at_once(lambda: staged(carried(state)), lambda: staged(median_completed_amount(state)))))
 
 
 def with_base_prediction(views: DataFrame) -> DataFrame:

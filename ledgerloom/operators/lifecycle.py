@@ -72,7 +72,7 @@ class Trials:
     waiting: dict[int, list[str]] = field(default_factory=dict)
 
     def step(self, row: dict, trial: int = params.TRIAL) -> Iterator[tuple]:
-        """Take one view (phase 0, with matches) or closing (with completed); FOLD rows of kind applied."""
+        """Take one view (phase 0, with matches) or closing (with completed, null if the decision lapsed); FOLD rows of kind applied."""
         if row["phase"] == 0:
             applied = strongest(row["matches"], self.rules)
             self.waiting[row["job_id"]] = [r for r, *_ in applied]
@@ -80,7 +80,8 @@ class Trials:
                 yield ("applied", row["job_id"], row["provider"], row["block"], row["log_index"], rule_id, name, delta, weight, self.rules[rule_id].status, None, None)
         else:
             for rule_id in self.waiting.pop(row["job_id"], []):
-                self.rules[rule_id].apply(row["completed"], trial)
+                if row["completed"] is not None:
+                    self.rules[rule_id].apply(row["completed"], trial)
 
     def states(self, provider: str) -> Iterator[tuple]:
         """FOLD rows of kind rule: where each rule stands."""
@@ -108,13 +109,16 @@ def fold(rows: Iterator[dict], trial: int = params.TRIAL) -> Iterator[tuple]:
 
 
 def trial_rows(views: DataFrame, resolved: DataFrame, rules: DataFrame) -> DataFrame:
-    """What the fold takes, for each field apart: views that some rule matches, and the closings of their jobs."""
+    """What the fold takes, for each field apart: views that some rule matches, and the closings of their jobs.
+
+    A decision that lapsed is closed too, so that nothing waits for it; it teaches nothing.
+    """
     match = F.struct("rule_id", "field", "delta_logit", "baseline_rate")
     decided = rule_matches(views, rules).groupBy("provider", "field", "job_id", "funding_block", "log_index").agg(F.sort_array(F.collect_list(match)).alias("matches"))
     none = F.array().cast("array<struct<rule_id:string,field:string,delta_logit:double,baseline_rate:double>>")
     asked = decided.select("provider", "field", F.col("funding_block").alias("block"), F.lit(0).alias("phase"), "log_index", "job_id", "matches", F.lit(None).cast("boolean").alias("completed"))
-    closed = resolved.where("outcome is not null and not inferred_expiry").join(decided.select("job_id", "field").distinct(), "job_id")
-    ended = closed.select("provider", "field", F.col("resolved_at_block").alias("block"), F.lit(1).alias("phase"), F.col("resolved_log_index").alias("log_index"), "job_id", none.alias("matches"), (F.col("outcome") == "success").alias("completed"))
+    closed = resolved.where("outcome is not null").join(decided.select("job_id", "field").distinct(), "job_id")
+    ended = closed.select("provider", "field", F.col("resolved_at_block").alias("block"), F.lit(1).alias("phase"), F.coalesce("resolved_log_index", F.lit(-1)).alias("log_index"), "job_id", none.alias("matches"), F.when(~F.col("inferred_expiry"), F.col("outcome") == "success").alias("completed"))
     return asked.unionByName(ended)
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from .. import params
 from ..functions.probability import bin_of, logit, shrunk_rate, sigmoid
 from ..operators import calibration, episodes, features, lifecycle, mining
-from ..sources.staging import staged
+from ..sources.staging import at_once, staged
 
 
 @dataclass
@@ -30,7 +30,8 @@ def prepare(events: DataFrame, with_rules: bool = True) -> Backtest:
         return Backtest(views.withColumns(none), resolved.withColumns(none), None, None)
     rules = staged(mining.promoted_rules(mining.rule_observations(resolved)))
     life = staged(lifecycle.rule_lifecycle(views, resolved, rules))
-    return Backtest(staged(lifecycle.with_rules(views, life)), staged(lifecycle.with_rules(resolved, life)), rules, life)
+    ruled = at_once(*[lambda d=d: staged(lifecycle.with_rules(d, life)) for d in (views, resolved)])
+    return Backtest(*ruled, rules, life)
 
 
 @dataclass(frozen=True)
@@ -70,42 +71,75 @@ def scored(b: Backtest, config: Config, held: DataFrame | None = None) -> DataFr
     return episodes.score(with_bar(b.resolved, held if config.threshold else None), F.col(config.p), F.col("_bar")).drop("_bar")
 
 
-def memory_backed(b: Backtest, config: Config, held: DataFrame | None) -> DataFrame:
-    """One row, memory_backed: the decisions, resolved or not, to which a rule, an observed band or a learned bar contributed."""
-    rows = b.views.select("funding_block", F.col(config.p).alias("p"), (F.col("rules_applied").isNotNull() & F.lit(config.rules)).alias("ruled"))
-    rows = with_bar(rows, held if config.threshold else None).withColumn("seen", F.lit(None).cast("long"))
-    if config.ledger:
-        known = held.select(F.col("block").alias("funding_block"), "bin", F.col("n").alias("seen"))
-        rows = rows.drop("seen").withColumn("bin", bin_of(F.col("p"))).join(known, ["funding_block", "bin"])
-    return rows.agg(F.count_if(F.col("ruled") | F.coalesce(F.col("seen") >= params.BIN_SUPPORT, F.lit(False)) | (F.col("_bar") != params.HIRE_AT)).alias("memory_backed"))
+def each_config(rows: DataFrame, chosen: dict[str, Config]) -> DataFrame:
+    """Rows once for every configuration, with config, predicted, p (the name of its probability) and its flags ruled, noted and barred."""
+    of = [
+        F.struct(
+            F.lit(name).alias("config"), F.col(c.p).alias("predicted"), F.lit(c.p).alias("p"), F.lit(c.ledger).alias("noted"), F.lit(c.threshold).alias("barred"),
+            (F.col("rules_applied").isNotNull() & F.lit(c.rules)).alias("ruled"),
+        )
+        for name, c in chosen.items()
+    ]
+    return rows.withColumn("_c", F.explode(F.array(*of))).select("*", "_c.*").drop("_c")
 
 
-def summarise(eps: DataFrame) -> DataFrame:
-    """One configuration's figures. Changed decisions and policy rejections count scored episodes only."""
+def with_each_bar(rows: DataFrame, bars: DataFrame | None) -> DataFrame:
+    """Rows of each_config with hire_threshold: the bar of their ledger at their block if they have one, else the default."""
+    if bars is None:
+        return rows.withColumn("hire_threshold", F.lit(params.HIRE_AT))
+    own = F.when(F.col("barred"), F.col("_bars")[F.col("p")])
+    return rows.join(bars, "funding_block", "left").withColumn("hire_threshold", F.coalesce(own, F.lit(params.HIRE_AT))).drop("_bars")
+
+
+def summarise(eps: DataFrame, *by: str) -> DataFrame:
+    """Figures of episodes. Changed decisions and policy rejections count scored episodes only."""
     y = F.when(F.col("outcome") == "success", 1.0).otherwise(0.0)
     memory, chain, live = F.col("predicted") >= F.col("hire_threshold"), F.col("p0") >= params.HIRE_AT, ~F.col("inferred_expiry")
     naive = F.col("predicted") >= params.HIRE_AT
     changed = live & (memory != chain)
     rejected = live & ~memory & naive
     base = F.lit(params.BASE_RATE)
-    return eps.agg(
+    return eps.groupBy(*by).agg(
         F.count("*").alias("episodes"), F.avg(F.when(F.col("correct"), 1.0).otherwise(0.0)).alias("accuracy"), F.avg("brier").alias("brier"), F.avg((base - y) * (base - y)).alias("base_brier"),
         F.count_if(changed).alias("changed"), F.count_if(changed & (memory == (y == 1.0))).alias("changed_right"), F.countDistinct(F.when(changed, F.col("provider"))).alias("providers"),
         F.count_if(rejected).alias("policy_rejected"), F.count_if(rejected & (y == 0.0)).alias("policy_rejected_failed"),
     )
 
 
+def memory_backed(views: DataFrame, known: DataFrame | None) -> DataFrame:
+    """Per configuration, the decisions, resolved or not, to which a rule, an observed band or a learned bar contributed.
+
+    views: rows with their configuration and bar; known: p, funding_block, bin and seen of the ledgers.
+    """
+    rows = views.withColumn("bin", bin_of(F.col("predicted")))
+    rows = rows.withColumn("seen", F.lit(0)) if known is None else rows.join(known, ["p", "funding_block", "bin"], "left")
+    banded = F.col("noted") & F.coalesce(F.col("seen") >= params.BIN_SUPPORT, F.lit(False))
+    return rows.groupBy("config").agg(F.count_if(F.col("ruled") | banded | (F.col("hire_threshold") != params.HIRE_AT)).alias("memory_backed"))
+
+
 def ablation(events: DataFrame, configs: str = "ABCD") -> DataFrame:
-    """A row per configuration: rules only, threshold only, both, and nothing recalled."""
+    """A row per configuration: rules only, threshold only, both, and nothing recalled.
+
+    All configurations go through the episodes and the views together, and both ledgers are joined once.
+    """
     chosen = {name: CONFIGS[name] for name in configs}
     b = prepare(events, with_rules=any(c.rules for c in chosen.values()))
-    ledgers = {p: staged(ledger(b, p)) for p in sorted({c.p for c in chosen.values() if c.ledger})}
-    out = None
-    for name, c in chosen.items():
-        held = ledgers.get(c.p) if c.ledger else None
-        row = summarise(scored(b, c, held)).crossJoin(memory_backed(b, c, held)).withColumn("config", F.lit(name))  # one row each
-        out = row if out is None else out.unionByName(row)
-    return out
+    names = sorted({c.p for c in chosen.values() if c.ledger})
+    bars = known = None
+    if names:
+        ledgers = dict(zip(names, at_once(*[lambda p=p: staged(ledger(b, p)) for p in names])))
+        for p, held in ledgers.items():
+            seen = held.select(F.lit(p).alias("p"), F.col("block").alias("funding_block"), "bin", F.col("n").alias("seen"))
+            own = calibration.thresholds(held).select(F.col("block").alias("funding_block"), F.lit(p).alias("p"), "hire_threshold")
+            known, bars = (seen, own) if known is None else (known.unionByName(seen), bars.unionByName(own))
+        bars = staged(bars.groupBy("funding_block").agg(F.map_from_entries(F.collect_list(F.struct("p", "hire_threshold"))).alias("_bars")))
+    eps = with_each_bar(each_config(b.resolved.where("outcome is not null"), chosen), bars)
+    eps = eps.withColumn("_bar", F.col("hire_threshold"))
+    eps = episodes.score(eps, F.col("predicted"), F.col("_bar"))
+    views = with_each_bar(each_config(b.views.select("funding_block", "p0", "p_final", "rules_applied"), chosen), bars)
+    every = events.sparkSession.createDataFrame([(c,) for c in chosen], "config string")
+    out = every.join(summarise(eps, "config"), "config", "left").join(memory_backed(views, known), "config", "left")
+    return out.fillna(0, ["episodes", "changed", "changed_right", "providers", "policy_rejected", "policy_rejected_failed", "memory_backed"])
 
 
 def hypothetical(requests: DataFrame) -> DataFrame:

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -27,3 +29,9 @@ def staged(df: DataFrame) -> DataFrame:
     path = folder(df.sparkSession, "staged")
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def at_once(*steps: Callable[[], DataFrame]) -> list[DataFrame]:
+    """The results of steps that don't need each other, such as tables to be staged; their jobs run side by side."""
+    with ThreadPoolExecutor(max_workers=len(steps)) as pool:
+        return [f.result() for f in [pool.submit(s) for s in steps]]

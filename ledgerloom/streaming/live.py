@@ -8,12 +8,14 @@ stays readable: when a reorganisation reaches below settled blocks, decisions go
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.query import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -22,7 +24,7 @@ from ..functions.decode import EVENT, decode, schema
 from ..functions.probability import evidence_weight
 from ..operators import episodes, evidence, features
 from ..operators.lifecycle import COLUMNS as FOLD_COLUMNS
-from ..operators.lifecycle import FOLD, Trials
+from ..operators.lifecycle import FOLD, Managed, Trials
 from ..sources.keyed import Keyed
 from ..sources.staging import staged
 
@@ -325,6 +327,60 @@ def stream_rules(rows: DataFrame, trial: int = params.TRIAL) -> DataFrame:
     return rows.groupBy(*keys).applyInPandasWithState(update, FOLD, "trials string", "append", GroupStateTimeout.NoTimeout)
 
 
+class _Trial(StatefulProcessor):
+    """Rules and open decisions of one provider's field as typed state: a row a rule, a row a decision, and a timer a deadline."""
+
+    def __init__(self, trial: int) -> None:
+        self.trial = trial
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.rules = handle.getMapState("rules", "rule_id string", "delta double, chance double, status string, applications long, hits long, recent string")
+        self.waiting = handle.getMapState("waiting", "job_id long", "rules string, until long")
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        out, trials = [], Trials()
+        for (rule_id,), (delta, chance, status, n, hits, recent) in self.rules.iterator():
+            trials.rules[rule_id] = Managed(delta, chance, status, n, hits, [c == "1" for c in recent])
+        for row in pd.concat(list(rows)).sort_values(["block", "phase", "log_index", "job_id"]).to_dict("records"):
+            job = (int(row["job_id"]),)
+            if row["phase"] == 0:
+                out += trials.step(row, self.trial)
+                applied = trials.waiting.pop(row["job_id"])
+                until = int(row["until"]) if pd.notna(row["until"]) else -1
+                if applied:
+                    self.waiting.updateValue(job, (json.dumps(applied), until))
+                    if until >= 0:
+                        self.handle.registerTimer(until * 1000)
+            elif self.waiting.containsKey(job):
+                trials.waiting[row["job_id"]] = json.loads(self.waiting.getValue(job)[0])
+                self.waiting.removeKey(job)
+                out += trials.step(row, self.trial)
+        for rule_id, r in trials.rules.items():
+            self.rules.updateValue((rule_id,), (r.delta, r.chance, r.status, r.applications, r.hits, "".join("1" if x else "0" for x in r.recent)))
+        yield pd.DataFrame([*out, *trials.states(key[0])], columns=FOLD_COLUMNS)
+
+    def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        now = expiredTimerInfo.getExpiryTimeInMs()
+        for job, (_, until) in list(self.waiting.iterator()):
+            if 0 <= until and until * 1000 <= now:
+                self.waiting.removeKey(job)
+        yield from ()
+
+    def close(self) -> None:
+        pass
+
+
+def stream_trials(rows: DataFrame, trial: int = params.TRIAL) -> DataFrame:
+    """stream_rules() with typed state: a batch reads and writes the rules and decisions that it meets, not one text of all.
+
+    rows also have event_time (watermarked) and until, the second from which on a decision that nothing has closed is forgotten (null:
+    never), so that what waits is bounded by the decisions that may still end. The state store must be RocksDB's.
+    """
+    keys = [c for c in ("provider", "field") if c in rows.columns]
+    return rows.groupBy(*keys).transformWithStateInPandas(_Trial(trial), FOLD, "Append", "EventTime")
+
+
 EPISODE = "job_id long, outcome string, failure_kind string, resolved_at_block long, inferred_expiry boolean"
 
 

@@ -1,9 +1,13 @@
 """Numbers, medians and folds that no single task makes alone, against plain ones."""
 
+import json
 import random
 import statistics
 
+from pyspark.sql import functions as F
+
 from ledgerloom.operators import lifecycle, order
+from ledgerloom.streaming import live
 
 
 def test_numbers_over_ranges(spark):
@@ -48,3 +52,35 @@ def test_hot_fields_fold_in_segments(spark):
     assert {x[9] for x in want if x[0] == "rule"} >= {"demoted", "graduated"}
     for segment in (100_000, 60):
         assert sorted(map(tuple, lifecycle.folded(df, segment=segment).collect()), key=repr) == want
+
+
+def test_typed_trials_forget_what_never_closes(spark, tmp_path):
+    """Rules stand where the batch fold leaves them after restarts; decisions whose time is over leave the state."""
+    r, rows = random.Random(9), []
+    for k in range(60):
+        match = [{"rule_id": f"r{i}", "field": "amount", "delta_logit": [-1.0, 1.5][i], "baseline_rate": 0.5} for i in range(2) if r.random() < 0.8]
+        never = k % 4 == 0
+        one = {"provider": f"p{k % 2}", "field": "amount", "log_index": k, "job_id": k}
+        rows.append(one | {"block": 2 * k, "phase": 0, "matches": match, "completed": None, "until": 4 * k + 1010 if never else None, "ts": 4 * k + 1000})
+        if not never:
+            rows.append(one | {"block": 2 * k + 1, "phase": 1, "matches": [], "completed": r.random() < 0.4, "until": None, "ts": 4 * k + 1002})
+    order_ = lambda x: (x["provider"], x["block"], x["phase"])
+    want = list(lifecycle.fold(iter(sorted(rows, key=order_))))
+    schema = "provider string, field string, block long, phase int, log_index long, job_id long, matches array<struct<rule_id:string,field:string,delta_logit:double,baseline_rate:double>>, completed boolean, until long, ts long"
+    (tmp_path / "in").mkdir()
+    got = []
+    held = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        for k in range(3):
+            part = [x for x in rows if x["block"] // 40 == k]
+            (tmp_path / "in" / f"{k}.json").write_text("\n".join(map(json.dumps, part)))
+            stream = spark.readStream.schema(schema).json(str(tmp_path / "in")).withColumn("event_time", F.timestamp_seconds("ts")).withWatermark("event_time", "1 second")
+            live.stream_trials(stream).writeStream.foreachBatch(lambda b, n: got.append([tuple(x) for x in b.collect()])).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start().awaitTermination()
+        waiting = spark.read.format("statestore").option("path", str(tmp_path / "cp")).option("stateVarName", "waiting").load()
+        assert waiting.count() == 0
+    finally:
+        spark.conf.set("spark.sql.streaming.stateStore.providerClass", held)
+    assert sorted(x for b in got for x in b if x[0] == "applied") == sorted(x for x in want if x[0] == "applied")
+    last = {(x[2], x[5]): x for b in got for x in b if x[0] == "rule"}
+    assert sorted(last.values()) == sorted(x for x in want if x[0] == "rule")
