@@ -217,28 +217,37 @@ def classify(bits: np.ndarray, n: np.ndarray, true: np.ndarray) -> np.ndarray:
     return w
 
 
-def voted(docs: DataFrame) -> DataFrame:
-    """(kind, votes, bits, n): how many candidates of each part of the corpus have each pattern."""
+_SPAN = [("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]
+_FOUND = pa.list_(pa.struct([*_SPAN, ("votes", pa.string()), ("bits", pa.int64()), ("free", pa.bool_())]))
+
+
+def marked(docs: DataFrame) -> DataFrame:
+    """doc_id and spans of each row: base spans, and candidates with their votes, feature bits and whether no base span overlaps. The one scan of the texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found: Counter = Counter()
+            rows = []
             for t in batch.column("text").to_pylist():
                 raw = (t or "").encode("utf-8", "surrogatepass")
-                found.update((kind, "".join(map(str, votes)), bits) for kind, _, _, votes, bits, _ in candidates(raw, base_spans(raw)))
-            keys = list(zip(*found)) or [(), (), ()]
-            yield pa.RecordBatch.from_arrays([pa.array(keys[0], pa.string()), pa.array(keys[1], pa.string()), pa.array(keys[2], pa.int64()), pa.array(list(found.values()), pa.int64())], ["kind", "votes", "bits", "n"])
+                base = base_spans(raw)
+                more = list(candidates(raw, base))
+                at = code_points(raw, base + [c[:3] for c in more])
+                rest = [(None, None, None)] * len(base) + [("".join(map(str, votes)), bits, free) for *_, votes, bits, free in more]
+                rows.append([dict(zip(("kind", "start", "end", "votes", "bits", "free"), x + y)) for x, y in zip(at, rest)])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(rows, _FOUND)], ["doc_id", "spans"])
 
-    return docs.select("text").mapInArrow(run, "kind string, votes string, bits long, n long")
+    fields = "kind:string,start:long,end:long,votes:string,bits:long,free:boolean"
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, f"doc_id long, spans array<struct<{fields}>>")
 
 
-def learn(docs: DataFrame) -> Model:
-    """The span classifier of a corpus.
+def learn(docs: DataFrame, found: DataFrame | None = None) -> Model:
+    """The span classifier of a corpus; found: its marked() rows, if they are at hand.
 
     Patterns of votes reach the driver (at most 3 ** labelers a kind), then patterns of features with the sum of their
     candidates' probabilities (at most 2 ** features a kind); neither grows with the corpus.
     """
-    counts = cut(voted(docs).groupBy("kind", "votes", "bits").agg(F.sum("n").alias("n")))
+    each = (marked(docs) if found is None else found).select(F.explode("spans").alias("s")).select("s.*").where("votes is not null")
+    counts = cut(each.groupBy("kind", "votes", "bits").agg(F.count("*").alias("n")))
     patterns = sorted(map(tuple, counts.groupBy("kind", "votes").agg(F.sum("n")).collect()))
     model, rows = Model({}, {}, {}), []
     for kind in ADDED:
@@ -263,24 +272,22 @@ def pii_spans(docs: DataFrame, model: Model | None = None) -> DataFrame:
     classifier gives it THRESHOLD or more, AGREE labelers at least and more than are against it are for it, and no base
     span overlaps it. Null and empty texts have none. Rows with the same doc_id each give a row. Other columns are
     ignored; an empty table gives no rows, and a corpus without candidates only base spans. Without a model
-    one is learned from the same rows.
+    one is learned from the same rows, so which spans are added to a text depends on the rest of the corpus as well. Texts are scanned
+    once; what is found in them is kept in the shared folder.
     """
-    model = model or learn(docs)
+    found = cut(marked(docs))
+    model = model or learn(docs, found)
     sure = {kind: frozenset(bits for bits in range(1 << len(FEATURES)) if model.probability(kind, bits) >= THRESHOLD) for kind in ADDED}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        spans = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
+        def stays(s: dict) -> bool:
+            if s["votes"] is None:
+                return True
+            agree = s["votes"].count(str(FOR))
+            return s["free"] and s["bits"] in sure[s["kind"]] and agree >= max(AGREE, s["votes"].count(str(AGAINST)) + 1)
+
         for batch in batches:
-            rows = []
-            for t in batch.column("text").to_pylist():
-                raw = (t or "").encode("utf-8", "surrogatepass")
-                base = base_spans(raw)
-                more = [
-                    (kind, a, b)
-                    for kind, a, b, votes, bits, free in candidates(raw, base)
-                    if free and bits in sure[kind] and votes.count(FOR) >= max(AGREE, votes.count(AGAINST) + 1)
-                ]
-                rows.append([{"kind": k, "start": a, "end": b} for k, a, b in code_points(raw, base + more)])
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(rows, spans)], ["doc_id", "spans"])
-
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, spans array<struct<kind:string,start:long,end:long>>")
+            rows = [[{k: s[k] for k, _ in _SPAN} for s in spans if stays(s)] for spans in batch.column("spans").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(rows, pa.list_(pa.struct(_SPAN)))], ["doc_id", "spans"])
+
+    return found.mapInArrow(run, "doc_id long, spans array<struct<kind:string,start:long,end:long>>")
