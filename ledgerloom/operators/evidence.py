@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import params
@@ -86,10 +86,12 @@ def gate_with_without_memory(requests: DataFrame, declarations: DataFrame, recor
 def reliability_curve(observations: DataFrame, step: int = params.HALF_LIFE, expiry: int = params.EXPIRY, half_life: int = params.HALF_LIFE) -> DataFrame:
     """Reliability of each provider at a grid of blocks, from evidence of blocks before.
 
-    Evidence lives for ``expiry`` blocks, so each observation joins the few grid points within its life
-    and nothing else; sums per grid point follow.
+    Evidence lives for ``expiry`` blocks. If that is a few steps, each observation joins the grid points within its life
+    and sums per grid point follow; on a finer grid sums run along the blocks instead (curve_by_sums).
     """
     rows = first_observations(observations)
+    if expiry // step > COPIES:
+        return curve_by_sums(rows, step, expiry, half_life)
     ends = rows.agg(F.min("block").alias("b0"), F.max("block").alias("b1"))
     grid = ends.where("b0 is not null").select(F.explode(F.sequence(F.col("b0"), F.col("b1") + expiry, F.lit(step).cast("long"))).alias("as_of"), "b0")
     first = F.ceil((F.col("block") - F.col("b0") + 1) / step)
@@ -101,6 +103,51 @@ def reliability_curve(observations: DataFrame, step: int = params.HALF_LIFE, exp
     return kept.select(*WHO, "as_of", "acted", reliability(F.col("acted"), F.col("kept")).alias("reliability"))
 
 
+#: Grid points in the life of an observation up to which it is copied to each.
+COPIES = 16
+
+
+def curve_by_sums(rows: DataFrame, step: int, expiry: int, half_life: int) -> DataFrame:
+    """reliability_curve() of first observations without a copy of an observation for each grid point.
+
+    Blocks are cut into buckets of less than ``expiry``, and weights of a bucket are scaled to its start, so that no power grows with the chain. What a
+    grid point sees is the part of its own bucket before it, whole buckets, and the part of the bucket in which the evidence
+    expires: two running sums inside buckets and a few totals. Only sums of what is live are added, so nothing cancels.
+    """
+    width = max(1, min(half_life, expiry // 2))
+    ends = rows.agg(F.min("block").alias("b0"), F.max("block").alias("b1"))
+    of = lambda c: F.floor(F.col(c) / width)
+    scale = lambda far: F.pow(F.lit(2.0), far / F.lit(float(half_life)))
+    own = scale((F.col("block") - of("block") * width).cast("double"))
+    seen = rows.select(*WHO, of("block").alias("bucket"), "block", F.lit(None).cast("long").alias("as_of"), F.lit(1).alias("n"), own.alias("a"), F.when(F.col("confirmed"), own).otherwise(0.0).alias("c"))
+    last = -(-expiry // width) + 1
+    totals = seen.groupBy(*WHO, "bucket").agg(F.sum("n").alias("n"), F.sum("a").alias("a"), F.sum("c").alias("c"))
+    totals = totals.unionByName(totals.select(*WHO, F.explode(F.sequence(F.col("bucket"), F.col("bucket") + last)).alias("bucket"), F.lit(0).alias("n"), F.lit(0.0).alias("a"), F.lit(0.0).alias("c")))
+    totals = totals.groupBy(*WHO, "bucket").agg(F.sum("n").alias("n"), F.sum("a").alias("a"), F.sum("c").alias("c"))
+    before = Window.partitionBy(*WHO).orderBy("bucket").rangeBetween(-last, -1)
+    totals = totals.select(*WHO, "bucket", F.collect_list(F.struct("bucket", "n", "a", "c")).over(before).alias("whole"))
+    # the grid points of the buckets that something live reaches
+    first = F.greatest(F.ceil((F.col("bucket") * width - F.col("b0")) / step), F.lit(0))
+    until = F.floor((F.least((F.col("bucket") + 1) * width - 1, F.col("b1") + expiry) - F.col("b0")) / step)
+    asked = totals.crossJoin(F.broadcast(ends)).where(first <= until).withColumn("as_of", F.explode(F.sequence(first, until))).withColumn("as_of", F.col("b0") + F.col("as_of") * step).drop("b0", "b1")
+    none = [F.lit(0).alias("n"), F.lit(0.0).alias("a"), F.lit(0.0).alias("c")]
+    near = asked.select(*WHO, "bucket", F.col("as_of").alias("block"), "as_of", *none)
+    far = asked.select(*WHO, (F.col("as_of") - expiry).alias("block"), "as_of", *none).select(*WHO, of("block").alias("bucket"), "block", "as_of", "n", "a", "c")
+    inside = Window.partitionBy(*WHO, "bucket", "_far").orderBy("block")
+    both = lambda d, far: seen.withColumn("_far", F.lit(far)).unionByName(d.withColumn("_far", F.lit(far)))
+    upto, after, at = inside.rangeBetween(Window.unboundedPreceding, -1), inside.rangeBetween(1, Window.unboundedFollowing), inside.rangeBetween(0, Window.unboundedFollowing)
+    pick = lambda c, counted=after: F.when(F.col("_far"), F.sum(c).over(counted)).otherwise(F.sum(c).over(upto))
+    parts = both(near, False).unionByName(both(far, True)).withColumns({"_n": pick("n", at), "_a": pick("a"), "_c": pick("c")}).where("as_of is not null")
+    age = scale(-(F.col("as_of") - F.col("bucket") * width).cast("double"))
+    parts = parts.groupBy(*WHO, "as_of").agg(F.sum(F.coalesce("_n", F.lit(0))).alias("n"), *[F.sum(F.coalesce(f"_{c}", F.lit(0.0)) * age).alias(c) for c in ("a", "c")])
+    expired = F.floor((F.col("as_of") - expiry) / width)
+    middle = lambda c, f: F.aggregate(F.filter("whole", lambda w: w["bucket"] > expired), F.lit(0.0), lambda t, w: t + w[c] * f(w))
+    fades = lambda w: scale(-(F.col("as_of") - w["bucket"] * width).cast("double"))
+    whole = asked.select(*WHO, "as_of", middle("n", lambda w: F.lit(1.0)).alias("_n"), middle("a", fades).alias("_a"), middle("c", fades).alias("_c"))
+    out = parts.join(whole, [*WHO, "as_of"]).where(F.col("n") + F.col("_n") > 0)
+    return out.select(*WHO, "as_of", (F.col("a") + F.col("_a")).alias("acted"), reliability(F.col("a") + F.col("_a"), F.col("c") + F.col("_c")).alias("reliability"))
+
+
 def response_verdicts(events: DataFrame) -> DataFrame:
     """Whether each created job was answered: responded, died unanswered, deadline passed unanswered, or pending."""
     of = lambda kinds: F.min(F.when(F.col("kind").isin(*kinds), F.struct("block", "log_index")))["block"]

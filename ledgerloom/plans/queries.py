@@ -664,16 +664,24 @@ def gate_with_without_memory(spark, sf_dir):
     return places(evidence.gate_with_without_memory(p["requests"], p["declarations"], records, _p_complete()), "p_respond")
 
 
-@query(
-    f"""WITH {PROMISE_SQL}, e AS (SELECT min(block) AS b0, max(block) AS b1 FROM obs), grid AS (SELECT b0 + k * 43200 AS as_of FROM e, unnest(range(0, (b1 + 216000 - b0) // 43200 + 1)) u(k)),
+def _curve_sql(step: int) -> str:
+    return f"""WITH {PROMISE_SQL}, e AS (SELECT min(block) AS b0, max(block) AS b1 FROM obs), grid AS (SELECT b0 + k * {step} AS as_of FROM e, unnest(range(0, (b1 + 216000 - b0) // {step} + 1)) u(k)),
 li AS (SELECT provider, declaration_type, as_of, confirmed, CASE WHEN as_of - block >= 216000 THEN 0.0::DOUBLE ELSE pow(0.5, (as_of - block) / 43200.0::DOUBLE) END AS w FROM obs JOIN grid ON block < as_of AND as_of - block <= 216000),
 su AS (SELECT provider, declaration_type, as_of, sum(w) AS acted, sum(CASE WHEN confirmed THEN w ELSE 0 END) AS kept FROM li GROUP BY 1, 2, 3)
 SELECT provider, declaration_type, as_of, round(acted, 9) AS acted, round(CASE WHEN acted = 0 THEN 0.4669 ELSE (kept + 5.0 * 0.4669) / (acted + 5.0) END, 9) AS reliability FROM su"""
-)
+
+
+@query(_curve_sql(43_200))
 def reliability_curve(spark, sf_dir):
     return places(evidence.reliability_curve(promises(spark, sf_dir)["observations"]), "acted", "reliability")
 
 
+@query(_curve_sql(3_600))
+def reliability_by_hours(spark, sf_dir):
+    """The same on a grid twelve times as fine, by running sums."""
+    return places(evidence.reliability_curve(promises(spark, sf_dir)["observations"], step=3_600), "acted", "reliability")
+
+
 @query(
     f"""WITH {MARKET_SQL}, hd AS (SELECT max(block) AS hb, max(ts) AS ht FROM ev), g AS (SELECT job_id, min(block) FILTER (kind = 'BudgetSet') AS a, min(block) FILTER (kind IN ('JobExpired', 'JobRejected')) AS d, max(provider) AS provider, max(expired_at) AS x FROM ev GROUP BY 1 HAVING bool_or(kind = 'JobCreated'))
 SELECT job_id, provider, CASE WHEN a IS NOT NULL THEN 'responded' WHEN d IS NOT NULL THEN 'died unanswered' WHEN x > 0 AND ht > x THEN 'deadline passed unanswered' ELSE 'pending' END AS state,

@@ -97,6 +97,22 @@ def test_promises(spark):
     assert [r.confirmed for r in evidence.first_observations(twice).collect()] == [True]
 
 
+def test_curve_by_sums_equals_the_copies(spark, monkeypatch):
+    """Every block as a grid point, lives that end inside and at the borders of buckets."""
+    from ledgerloom.operators import evidence
+
+    r = random.Random(4)
+    rows = [(f"p{r.randrange(3)}", "availability", k, r.randrange(90) if k % 5 else 1000 + k, r.random() < 0.5) for k in range(60)]
+    df = spark.createDataFrame(rows, "provider string, declaration_type string, job_id long, block long, confirmed boolean")
+    for step, expiry, half in ((1, 40, 9), (3, 50, 100), (1, 17, 2)):
+        found = []
+        for copies in (10_000, 0):
+            monkeypatch.setattr(evidence, "COPIES", copies)
+            found.append({tuple(x[:3]): x[3:] for x in evidence.reliability_curve(df, step, expiry, half).collect()})
+        assert found[0].keys() == found[1].keys() and len(found[0]) > 50
+        assert all(abs(a - b) < 1e-9 for k, x in found[0].items() for a, b in zip(x, found[1][k]))
+
+
 def test_evidence_export(spark, tmp_path):
     (tmp_path / "e.json").write_text(json.dumps({"provider": "0xA", "observations": [{"block": 5, "confirmed": True, "job": 7}]}))
     assert [tuple(r) for r in logs.read_evidence(spark, str(tmp_path / "e.json")).collect()] == [("0xa", "availability", 7, 5, True)]
