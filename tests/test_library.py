@@ -190,6 +190,24 @@ def test_journal(spark, tmp_path):
     assert journal.under_policy(views, "none").count() == 0
 
 
+def test_one_jobs_trail_reads_one_folder(spark, tmp_path):
+    decisions = [(f"decision:{j}", "decision", j, f"p{j % 7}", j) for j in range(400)]
+    episodes_ = [(f"episode:{j}", "episode", j, None, j + 5) for j in range(0, 400, 2)]
+    rows = spark.createDataFrame(decisions + episodes_, "id string, type string, job_id long, provider string, block long").repartition(6)
+    rows = rows.withColumns({"predicted_at_block": F.when(F.col("type") == "decision", F.col("block")), "resolved_at_block": F.when(F.col("type") == "episode", F.col("block"))}).drop("block")
+    path = str(tmp_path / "journal")
+    for _ in range(2):  # the second time every id comes again
+        journal.append(journal._full(rows), path)
+    assert journal.read(spark, path).count() == 600
+    whole = journal.audit_trail(journal.read(spark, path), job_id=42)
+    own = journal.trail_of_job(spark, path, 42)
+    assert [tuple(x) for x in own.collect()] == [tuple(x) for x in whole.select(own.columns).collect()] and own.count() == 2
+    files = list((tmp_path / "journal").rglob("*.parquet"))
+    read = {x[0] for x in journal.stored(spark, path, 42).select(F.input_file_name()).distinct().collect()}
+    plan = journal.stored(spark, path, 42)._jdf.queryExecution().toString()
+    assert 0 < len(read) < 0.08 * len(files) and "Exchange" not in plan and "PartitionFilters: [isnotnull(bucket" in plan
+
+
 def test_live_tail_settles_what_batch_decodes(spark, tmp_path):
     events = spark.createDataFrame(random_events(4), decode.EVENT)
     raw = decode.encode(queries._addressed(events)).select("*", F.col("blockNumber").alias("_b")).collect()
