@@ -44,21 +44,23 @@ def promoted_rules(observations: DataFrame, ladder: tuple = params.LADDER, min_s
     """
     candidates = rule_candidates(observations, ladder)
     base = F.col("done") / F.col("observed")
-    rungs = [
-        F.struct(F.lit(k).alias("rung"), F.lit(f).alias("field"), F.lit(op).alias("op"), F.lit(v).alias("value"), F.col(f"m{k}").alias("support"), (F.col(f"c{k}") / F.nullif(F.col(f"m{k}"), F.lit(0))).alias("rate"))
-        for k, (f, op, v) in enumerate(ladder)
-    ]
-    passing = F.filter(F.array(*rungs), lambda r: (r["support"] >= min_support) & (F.abs(r["rate"] - base) >= min_delta))
-    rows = candidates.select("provider", F.struct(*SEQ).alias("seq"), base.alias("baseline"), F.explode(passing).alias("r"))
-    first = rows.groupBy("provider", F.col("r.rung").alias("rung")).agg(F.min_by(F.struct("seq", "baseline", "r"), "seq").alias("x"))
-    first = staged(first.select("provider", "rung", F.col("x.r.field").alias("field"), F.col("x.r.op").alias("op"), F.col("x.r.value").alias("value"), "x"))
+    rate = lambda k: F.col(f"c{k}") / F.nullif(F.col(f"m{k}"), F.lit(0))
+    rungs = range(len(ladder))
+    # rungs are numbers until the first promotions are known: lambdas over arrays of structs run outside of generated code
+    passes = [F.when((F.col(f"m{k}") >= min_support) & (F.abs(rate(k) - base) >= min_delta), F.lit(k)) for k in rungs]
+    rows = candidates.select("provider", F.struct(*SEQ).alias("seq"), base.alias("baseline"), F.array(*passes).alias("_passes"), F.array(*[F.col(f"m{k}") for k in rungs]).alias("_m"), F.array(*[F.col(f"c{k}") for k in rungs]).alias("_c"))
+    rows = rows.withColumn("rung", F.explode_outer("_passes")).where("rung is not null")
+    rows = rows.select("provider", "rung", "seq", "baseline", F.col("_m")[F.col("rung")].alias("support"), (F.col("_c")[F.col("rung")] / F.col("_m")[F.col("rung")]).alias("rate"))
+    first = rows.groupBy("provider", "rung").agg(F.min_by(F.struct("seq", "baseline", "support", "rate"), "seq").alias("x"))
+    named = {name: F.array(*[F.lit(rung[i]) for rung in ladder])[F.col("rung")].alias(name) for i, name in enumerate(("field", "op", "value"))}
+    first = staged(first.select("provider", "rung", *named.values(), "x"))
     seen = with_actual(observations.select("provider", *SEQ, *params.FIELDS)).join(first.select("provider", "rung", "field", "op", "value"), "provider").where(HOLDS)
     first = first.join(seen.groupBy("provider", "rung").agg(F.min(F.struct(*SEQ)).alias("first_match")), ["provider", "rung"])
-    delta = F.least(F.lit(params.MAX_DELTA), F.greatest(F.lit(-params.MAX_DELTA), logit(F.col("x.r.rate")) - logit(F.col("x.baseline"))))
+    delta = F.least(F.lit(params.MAX_DELTA), F.greatest(F.lit(-params.MAX_DELTA), logit(F.col("x.rate")) - logit(F.col("x.baseline"))))
     first = numbered(first.withColumn("seq", F.col("x.seq")), "number", "seq", "first_match", "rung")
     return first.select(
         F.concat(F.lit("R-"), F.col("number").cast("string")).alias("rule_id"), F.col("provider").alias("subject"), "rung", "field", "op", "value",
-        delta.alias("delta_logit"), F.col("x.baseline").alias("baseline_rate"), F.col("x.r.rate").alias("conditional_rate"), F.col("x.r.support").alias("support"), F.col("x.seq.block").alias("created_at_block"),
+        delta.alias("delta_logit"), F.col("x.baseline").alias("baseline_rate"), F.col("x.rate").alias("conditional_rate"), F.col("x.support").alias("support"), F.col("x.seq.block").alias("created_at_block"),
     )
 
 
