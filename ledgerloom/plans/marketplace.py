@@ -6,8 +6,6 @@ promise event per row of ``events``.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -42,18 +40,10 @@ def jobs_of_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@dataclass(frozen=True)
-class Slot:
-    """An event that jobs may have: its kind and place, whether a job has it, and SQL for its columns."""
-
-    kind: str
-    slot: int
-    when: str
-    payload: dict[str, str]
-
-
-def _event(kind: str, slot: int, when: str, block: str, **payload: str) -> Slot:
-    return Slot(kind, slot, when, {"block": block, **payload})
+def _event(kind: str, slot: int, when: str, block: str, **payload: str) -> Column:
+    fields = EVENT.fieldNames()[5:]
+    values = ", ".join(f"'{f}', cast({payload.get(f, 'null')} as {EVENT[f].dataType.simpleString()})" for f in fields)
+    return F.expr(f"case when {when} then named_struct('kind', '{kind}', 'slot', {slot}, 'block', cast({block} as bigint), {values}) end")
 
 
 def marketplace(spark: SparkSession, sf_dir: str, reversed_slots: bool = False) -> DataFrame:
@@ -78,19 +68,11 @@ def marketplace(spark: SparkSession, sf_dir: str, reversed_slots: bool = False)
         _event("JobCompleted", 5, "not funded and k % 10 = 0", "b0 + 3", evaluator=by),
         _event("JobExpired", 5, "pr = 5 and k % 10 in (1, 6)", "b0 + 5"),
     ]
-    # a job's events are numbers first and get their columns one by one, as lambdas over arrays of structs run outside of generated code;
-    # explode() would also filter by the size of the array, below the join and so with every column behind it computed twice
-    jobs = jobs_of_orders(spark, sf_dir).withColumn("_events", F.array(*[F.expr(f"if({s.when}, {i}, null)") for i, s in enumerate(slots)]))
-    rows = jobs.withColumn("_event", F.explode_outer("_events")).where("_event is not null")
-
-    def of(name: str) -> Column:
-        """The column of that name: what the slot of the row says, or null."""
-        cases = "".join(f" when {i} then {s.payload[name]}" for i, s in enumerate(slots) if name in s.payload)
-        return F.expr(f"cast(case _event{cases} end as {EVENT[name].dataType.simpleString()})").alias(name)
-
-    at = F.array(*[F.lit(s.slot) for s in slots])[F.col("_event")]
-    rows = rows.select(F.array(*[F.lit(s.kind) for s in slots])[F.col("_event")].alias("kind"), "k", of("block"), (F.lit(9) - at if reversed_slots else at).alias("slot"), *[of(f) for f in EVENT.fieldNames()[5:]])
-    return rows.select("kind", F.col("k").alias("job_id"), "block", (F.col("k") * 10 + F.col("slot")).cast("long").alias("log_index"), (F.col("block") * 2).alias("ts"), *EVENT.fieldNames()[5:])
+    # a lambda over the array would run outside of generated code, and explode() would also filter by the array's size below the join, computing it twice
+    rows = jobs_of_orders(spark, sf_dir).select("k", F.explode_outer(F.array(*slots)).alias("e")).where("e is not null")
+    slot = F.lit(9) - F.col("e.slot") if reversed_slots else F.col("e.slot")
+    payload = [F.col(f"e.{f}") for f in EVENT.fieldNames()[5:]]
+    return rows.select(F.col("e.kind"), F.col("k").alias("job_id"), F.col("e.block"), (F.col("k") * 10 + slot).cast("long").alias("log_index"), (F.col("e.block") * 2).alias("ts"), *payload)
 
 
 #: The same events in SQL: a list of common table expressions that ends in ``ev``.
