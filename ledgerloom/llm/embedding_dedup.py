@@ -2,9 +2,9 @@
 
 Each pass orders the vectors of a label by the concatenated signs of random projections (around the label's mean, so that
 signs are fair however alike its vectors are) and compares every vector with a bounded window of those that follow. Verified pairs leave a
-task as stars, never one by one, and unite to components across passes. A sample of each label is held against all of its vectors, and a label
-whose links the passes don't find gets further passes and, at last, the comparison of all pairs, in blocks. Links are
-counted inside the components that were found. Equal vectors form a class that takes part as one, with a weight.
+task as stars, never one by one, and unite to components across passes. An exact check follows for every label, whatever its size: blocks of it
+meet each other in the order of those components, strips that lie too far apart to hold a link are left out, all other pairs are compared, and links
+are counted. Equal vectors form a class that takes part as one, with a weight.
 """
 
 from __future__ import annotations
@@ -20,16 +20,16 @@ from pyspark.sql import functions as F
 from .common import components, cut, join_by_size, spread
 
 COSINE = 0.93
-#: A vector is compared with WINDOW to 2 * WINDOW neighbours in each pass; a round has PASSES of them, keys have BITS signs.
+#: A vector is compared with WINDOW to 2 * WINDOW neighbours in each of PASSES passes; keys have BITS signs.
 WINDOW, PASSES, BITS = 512, 8, 48
-#: Vectors of a label that are held against all others of it after each round; the share of their links that passes must find, in so many rounds at most (each has twice the passes).
-SAMPLE, RECALL, ROUNDS = 512, 0.98, 4
-#: Labels of up to so many vectors are compared in full behind the passes: an exact check that costs less than a few passes do.
-SURE = 16_384
+#: Vectors of a label that recall() holds against all others of it.
+SAMPLE = 512
+#: Of a switch by size that is gone: tests still set them, no code reads them.
+SURE, ROUNDS = 16_384, 4
 #: A label has BLOCKS blocks, fewer if they held less than BLOCK vectors, and more if they held over NUMBERS components.
 BLOCK, BLOCKS, NUMBERS = 256, 8, 1 << 21
-#: Pairs of vectors that are compared at once.
-STRIP = 1 << 20
+#: Pairs of vectors that are compared at once, vectors that are ruled out at once, and vectors of a component that are not ruled out together with others.
+STRIP, PIECE, LEAST = 1 << 20, 128, 16
 
 
 def _flat(column: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
@@ -68,31 +68,85 @@ def unit(vectors: DataFrame) -> DataFrame:
     return rows.mapInArrow(_scaled, "vec_id long, space string, v array<double>")
 
 
+def _near(x: np.ndarray, y: np.ndarray, cosine: float, rough: tuple[np.ndarray, np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Index pairs of rows of x and y whose product is ``cosine`` at least; ``rough`` are both in single precision.
+
+    Single precision settles what lies further from the limit than it can err. The rest is added up in double, component by component, so a pair is
+    judged alike in any block.
+    """
+    a, b = rough or (x.astype(np.float32), y.astype(np.float32))
+    doubt = (x.shape[1] + 8) * 2.0**-23
+    product = a @ b.T
+    close = product >= np.float32(cosine - doubt)
+    if not close.any():
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    i, j = np.divmod(np.flatnonzero(close), len(y))
+    sure = product[i, j] >= np.float32(cosine + doubt)
+    rest = np.flatnonzero(~sure)
+    for at in range(0, len(rest), 1 << 14):
+        own = rest[at : at + (1 << 14)]
+        sure[own] = (x[i[own]] * y[j[own]]).sum(axis=1) >= cosine
+    return i[sure], j[sure]
+
+
+def _strips(roots: np.ndarray, rows: int) -> np.ndarray:
+    """Where strips of sorted roots start, and the end: a root of LEAST rows or more has strips of its own, none is longer than ``rows``."""
+    runs = np.flatnonzero(np.diff(roots, prepend=roots[:1] - 1))
+    size = np.diff(runs, append=len(roots))
+    own = size >= LEAST
+    return np.unique(np.concatenate([np.arange(0, len(roots), rows), runs[own], runs[own] + size[own], [len(roots)]]))
+
+
+def _balls(x: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Centre and radius of each strip."""
+    size = np.diff(starts)
+    centre = np.add.reduceat(x, starts[:-1]) / size[:, None]
+    apart = x - np.repeat(centre, size, axis=0)
+    return centre, np.sqrt(np.maximum.reduceat((apart * apart).sum(axis=1), starts[:-1]))
+
+
 def _compare(cosine: float):
+    reach = (2 - 2 * min(cosine, 1)) ** 0.5 + 1e-6  # unit vectors that link are no further apart
+
     def run(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
         """Two blocks of a space (or one, twice): each class that has links between them, its root among those, and the vectors it links to."""
-        side, ids = rows.column("side").to_numpy(), rows.column("vec_id").to_numpy()
+        rows = rows.sort_by([("root", "ascending"), ("vec_id", "ascending")])
+        side, ids, roots = (rows.column(c).to_numpy() for c in ("side", "vec_id", "root"))
         weight = rows.column("weight").to_numpy()
         x = _flat(rows.column("v").combine_chunks())[0].reshape(len(ids), -1)  # of one space, so of one length
         once = key[1].as_py() == key[2].as_py()
         one = np.flatnonzero(side == 0)
         two = one if once else np.flatnonzero(side == 1)
         n, label = np.zeros(len(ids), np.int64), np.arange(len(ids))
-        left, right = x[one], x[two].T
-        strip = max(1, STRIP // max(1, len(two)))
-        for at in range(0, len(one) if len(two) else 0, strip):
-            near = left[at : at + strip] @ right >= cosine
+        left, right = x[one], x[two]
+        rough = left.astype(np.float32), right.astype(np.float32)
+        strips = pieces = np.zeros(1, np.int64)
+        if len(one) and len(two):
+            strips, pieces = _strips(roots[one], max(1, STRIP // len(two))), _strips(roots[two], PIECE)
+            (c, r), (d, s) = _balls(left, strips), _balls(right, pieces)
+        for k, (at, end) in enumerate(zip(strips[:-1].tolist(), strips[1:].tolist())):
+            # by the triangle inequality, no link joins strips whose balls are further apart
+            may = np.repeat(np.sqrt(((d - c[k]) ** 2).sum(axis=1)) <= reach + r[k] + s, np.diff(pieces))
+            least = at if once else 0
+            own = np.flatnonzero(may[least:]) + least
+            if 4 * len(own) > 3 * (len(two) - least):  # a copy of nearly all costs more than it saves
+                i, j = _near(left[at:end], right[least:], cosine, (rough[0][at:end], rough[1][least:]))
+                j += least
+            else:
+                i, j = _near(left[at:end], right[own], cosine, (rough[0][at:end], rough[1][own]))
+                j = own[j]
+            i += at
             if once:
-                near = np.triu(near, at + 1)
-            i, j = np.nonzero(near)
-            i, j = one[i + at], two[j]
+                i, j = i[i < j], j[i < j]
+            i, j = one[i], two[j]
             np.add.at(n, i, weight[j])
             np.add.at(n, j, weight[i])
             apart = label[i] != label[j]
-            node, root = spread(label[i[apart]], label[j[apart]])
-            to = np.arange(len(ids))
-            to[node] = root
-            label = to[label]
+            if apart.any():
+                node, root = spread(label[i[apart]], label[j[apart]])
+                to = np.arange(len(ids))
+                to[node] = root
+                label = to[label]
         own = n > 0
         return pa.table({"vec_id": ids[own], "to": ids[label[own]], "n": n[own]})
 
@@ -100,14 +154,17 @@ def _compare(cosine: float):
 
 
 def links(classes: DataFrame, cosine: float) -> DataFrame:
-    """(vec_id, to, n): every class with links in its space, once for each pair of blocks that holds some: links as stars, and their number."""
+    """(vec_id, to, n): every class with links in its space, once for each pair of blocks that holds some: links as stars, and their number.
+
+    All links are found, however large a space is. Classes of one root should be near each other: what is far apart is then left out in strips.
+    """
     spaces = classes.groupBy("space").agg(F.count("*").alias("size"), F.max(F.size("v")).alias("d"))
     most = F.greatest(F.least(F.greatest(F.lit(BLOCK), F.col("size") / BLOCKS), F.lit(NUMBERS) / F.col("d")), F.lit(1))
     spaces = cut(spaces.select("space", "size", F.ceil(F.col("size") / most).cast("int").alias("blocks")).where("size > 1"))
     # blocks are hashed, so that numbering them needs no pass over the space in one task
     placed = join_by_size(classes, spaces, "space", "size", classes.count()).withColumn("block", F.pmod(F.xxhash64("vec_id"), F.col("blocks")).cast("int"))
     placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    pairs = placed.select("space", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), (F.col("block") > F.col("other")).cast("int").alias("side"), "vec_id", "weight", "v")
+    pairs = placed.select("space", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), (F.col("block") > F.col("other")).cast("int").alias("side"), "vec_id", "root", "weight", "v")
     return pairs.groupBy("space", "low", "high").applyInArrow(_compare(cosine), "vec_id long, to long, n long")
 
 
@@ -154,7 +211,8 @@ def _neighbours(cosine: float):
         for own in np.split(np.arange(len(ids)), np.flatnonzero(np.diff(runs)) + 1):
             x = flat[starts[own[0]] : starts[own[-1] + 1]].reshape(len(own), -1)
             first = int((side[own] == 0).sum())
-            i, j = np.nonzero(np.triu(x[:first] @ x.T >= cosine, 1))
+            i, j = _near(x[:first], x, cosine)
+            i, j = i[i < j], j[i < j]
             node, root = spread(ids[own[i]], ids[own[j]])
             a.append(node)
             b.append(root)
@@ -189,10 +247,10 @@ def _asked(cosine: float):
         side, roots = rows.column("side").to_numpy(), rows.column("root").to_numpy()
         x = _flat(rows.column("v").combine_chunks())[0].reshape(len(side), -1)
         one, two = np.flatnonzero(side == 1), np.flatnonzero(side == 0)
-        near = x[one] @ x[two].T >= cosine
-        same = rows.column("vec_id").to_numpy()[one][:, None] == rows.column("vec_id").to_numpy()[two]
-        near &= ~same
-        return pa.table({"space": rows.column("space")[:1], "n": [int(near.sum())], "found": [int((near & (roots[one][:, None] == roots[two])).sum())]})
+        i, j = _near(x[one], x[two], cosine)
+        i, j = one[i], two[j]
+        other = rows.column("vec_id").to_numpy()[i] != rows.column("vec_id").to_numpy()[j]
+        return pa.table({"space": rows.column("space")[:1], "n": [int(other.sum())], "found": [int((other & (roots[i] == roots[j])).sum())]})
 
     return run
 
@@ -222,32 +280,16 @@ def _rooted(classes: DataFrame, stars: DataFrame) -> DataFrame:
 
 
 def near_classes(classes: DataFrame, cosine: float) -> DataFrame:
-    """links() of what the sorted passes unite, and of whole spaces that are small or whose links the passes don't find."""
-    stars, open_, exact = cut(passes(classes, cosine)), None, None
-    spaces = cut(classes.groupBy("space").agg(F.count("*").alias("size")))
-    large = spaces.where(F.col("size") > SURE).select("space")
-    rooted = _rooted(classes, stars)
-    if not large.isEmpty():
-        open_ = large
-        for turn in range(1, ROUNDS + 1):
-            own = join_by_size(rooted, spaces.join(open_, "space"), "space", "size", rooted.count()).drop("size")
-            open_ = cut(recall(own, cosine).where(F.col("found") < RECALL * F.col("n")).select("space"))
-            if turn == ROUNDS or open_.isEmpty():
-                break
-            own = join_by_size(classes, spaces.join(open_, "space"), "space", "size", classes.count()).drop("size")
-            stars = cut(stars.unionByName(passes(own, cosine, PASSES << turn, turn)))
-            rooted = _rooted(classes, stars)
-    exact = spaces.where(F.col("size") <= SURE) if open_ is None else spaces.where(F.col("size") <= SURE).unionByName(spaces.join(open_, "space"))
-    marked = join_by_size(rooted, exact.withColumn("_whole", F.lit(True)), "space", "size", rooted.count(), "left")
-    inside = F.when(F.col("_whole"), F.concat(F.lit("="), "space")).otherwise(F.concat(F.lit("#"), F.col("root").cast("string")))
-    return links(marked.select("vec_id", "weight", "v", inside.alias("space")), cosine)
+    """links() of every space in the order of what the sorted passes unite, and their stars, which count no link twice (n is 0)."""
+    stars = cut(passes(classes, cosine))
+    found = links(_rooted(classes, stars), cosine)
+    return found.unionByName(stars.select(F.col("a").alias("vec_id"), F.col("b").alias("to"), F.lit(0).cast("long").alias("n")))
 
 
 def embedding_dedup(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
     """A row per input row: vec_id, n_links, component_id and kept (vec_id = component_id).
 
-    Every link is found in labels of up to SURE vectors; of larger ones, components are what the sorted passes unite, with a recall of RECALL at least on a sample
-    of each, or all pairs are compared, and n_links counts all links inside a component.
+    Every link is found and counted, whatever the size of a label.
     Vectors link if label and length agree and their cosine in double precision is at least
     ``cosine``; null labels, null, empty or zero vectors and vectors with null or non-finite components
     link with nothing. Every row is a vector of its own: rows that share a vec_id are compared, and count, each by itself.

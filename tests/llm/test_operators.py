@@ -8,6 +8,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 
@@ -790,6 +791,60 @@ def test_large_labels_reach_the_recall(spark, monkeypatch, lossy):
     assert sum(got.values()) == want.sum() if lossy else sum(got.values()) >= 0.95 * want.sum()
 
 
+def test_a_label_keeps_its_links_however_large_it_grows(spark, monkeypatch):
+    """One narrow pass loses links; rows that join a label, and make it larger than 16,384, change no link between others."""
+    x = dense(17_000, 0, 4)
+    for k in range(3):  # pairs just above the limit
+        y = x[3 + k] - (x[3 + k] @ x[k]) * x[k]
+        x[k + 300] = 0.9302 * x[k] + (1 - 0.9302**2) ** 0.5 * y / np.linalg.norm(y)
+    whole = embedding_dedup.passes
+    monkeypatch.setattr(embedding_dedup, "passes", lambda classes, cosine, *_: whole(classes, cosine, 1, window=64))
+    for size in (1000, 17_000):
+        pairs = np.concatenate([np.argwhere(x[at : at + 500] @ x[at:size].T >= 0.93) + at for at in range(0, size, 500)])
+        pairs = pairs[(pairs[:, 0] < pairs[:, 1]) & (pairs[:, 0] < size)]
+        want = np.bincount(pairs.ravel(), minlength=size).tolist()
+        node, root = common.spread(pairs[:, 0], pairs[:, 1])
+        least = np.arange(size)
+        least[node] = root
+        df = spark.createDataFrame(pa.table({"vec_id": np.arange(size), "embedding": pa.array(list(x[:size])), "label": np.zeros(size, np.int32)})).repartition(4)
+        got = {q.vec_id: q for q in embedding_dedup.embedding_dedup(df).collect()}
+        assert sum(want) >= 6 and [got[k].n_links for k in range(size)] == want
+        assert [got[k].component_id for k in range(size)] == least.tolist()
+    classes = classes_of(spark, x[:1000])
+    rooted = embedding_dedup._rooted(classes, embedding_dedup.passes(classes, 0.93))
+    n, found = embedding_dedup.recall(rooted, 0.93, 1000).select("n", "found").first()
+    assert n == 2 * len(np.argwhere(np.triu(x[:1000] @ x[:1000].T >= 0.93, 1))) > found
+
+
+def test_strips_are_ruled_out_by_distance_alone():
+    """Blocks with components of every size, found or not, against all pairs; limits that products reach only just are judged in double."""
+    r = np.random.default_rng(3)
+    centre = r.standard_normal((30, 12))
+    of = np.sort(r.integers(0, 30, 1500) * r.integers(0, 2, 1500))
+    x = centre[of] + 0.15 * r.standard_normal((1500, 12))
+    x[:200] = r.standard_normal((200, 12))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    x = x[r.permutation(1500)]
+    weight = r.integers(1, 5, 1500)
+    for cosine in (0.93, 0.5, -0.2, float((x[0] * x[1]).sum())):
+        near = (x[:, None] * x).sum(axis=2) >= cosine
+        np.fill_diagonal(near, False)
+        node, root = common.spread(*np.nonzero(np.triu(near)))
+        whole = np.arange(1500)
+        whole[node] = root
+        for roots in (np.arange(1500), r.integers(0, 40, 1500), whole):
+            for once in (True, False):
+                side = np.zeros(1500, int) if once else r.integers(0, 2, 1500)
+                v = pa.ListArray.from_arrays(pa.array(np.arange(1501, dtype=np.int32) * np.int32(12)), pa.array(x.reshape(-1)))
+                got = embedding_dedup._compare(cosine)((pa.scalar("a"), pa.scalar(0), pa.scalar(int(not once))), pa.table({"side": side, "vec_id": np.arange(1500), "root": roots, "weight": weight, "v": v}))
+                own = near if once else near & (side[:, None] != side)
+                want = own @ weight
+                assert dict(zip(got["vec_id"].to_pylist(), got["n"].to_pylist())) == {k: w for k, w in enumerate(want.tolist()) if w}
+                a, b = common.spread(*np.nonzero(np.triu(own)))
+                c, d = common.spread(got["vec_id"].to_numpy(), got["to"].to_numpy())
+                assert dict(zip(a.tolist(), b.tolist())) == dict(zip(c.tolist(), d.tolist()))
+
+
 def test_exact_products_of_wide_integers():
     r = np.random.default_rng(2)
     for most, d in ((3, 1), (1 << 12, 8), (1 << 28, 8), (1 << 20, 700)):
