@@ -306,7 +306,7 @@ def embedding_dedup(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
     roots = cut(components(found.select(F.col("vec_id").alias("a"), F.col("to").alias("b"))))
     members = roots.withColumnRenamed("node", "vec_id").join(classes.select("vec_id", "least"), "vec_id")
     least = cut(members.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("size")))
-    n = found.groupBy("vec_id").agg(F.sum("n").alias("n"))
+    n = found.where("n > 0").groupBy("vec_id").agg(F.sum("n").alias("n"))
     linked = join_by_size(roots.withColumnRenamed("node", "vec_id"), least, "root", "size", roots.count()).select("vec_id", "component_id", F.lit(True).alias("in")).join(n, "vec_id")
     found = classes.select("key", "vec_id", "least", "weight").join(linked, "vec_id", "left")
     found = cut(found.select("key", "weight", F.when(F.col("in"), F.col("component_id")).otherwise(F.col("least")).alias("component_id"), (F.coalesce("n", F.lit(0)) + F.col("weight") - 1).alias("n")))
