@@ -2,19 +2,34 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .. import params
 
 
+# Logarithms and exponentials are those of the C library, as in the SQL. The JVM's differ from them in the last bit now and then, and rules whose
+# adjustments are the same number from other counts rank by that bit.
+@F.udf(T.DoubleType(), useArrow=True)
+def _ln(x: float | None) -> float | None:
+    return None if x is None else math.log(x)
+
+
+@F.udf(T.DoubleType(), useArrow=True)
+def _exp(x: float | None) -> float | None:
+    return None if x is None else math.inf if x > 709 else math.exp(x)
+
+
 def logit(p: Column) -> Column:
     inside = F.greatest(F.lit(1e-6), F.least(F.lit(1 - 1e-6), p))
-    return F.when(p.isNotNull(), F.log(inside / (1 - inside)))
+    return _ln(F.when(p.isNotNull(), inside / (1 - inside)))
 
 
 def sigmoid(x: Column) -> Column:
-    return F.when(x >= 0, 1 / (1 + F.exp(-x))).otherwise(F.exp(x) / (1 + F.exp(x)))
+    return 1 / (1 + _exp(-x))
 
 
 def shrunk_rate(completed: Column, funded: Column, base: float = params.BASE_RATE, weight: float = params.BASE_WEIGHT) -> Column:

@@ -36,6 +36,11 @@ def rule_candidates(observations: DataFrame, ladder: tuple = params.LADDER) -> D
     return running(observations, ["provider"], "block", measures, order=SEQ)
 
 
+def adjustment(rate: Column, baseline: Column) -> Column:
+    """What a rule adds to the log odds, within bounds."""
+    return F.least(F.lit(params.MAX_DELTA), F.greatest(F.lit(-params.MAX_DELTA), logit(rate) - logit(baseline)))
+
+
 def promoted_rules(observations: DataFrame, ladder: tuple = params.LADDER, min_support: int = params.MIN_SUPPORT, min_delta: float = params.MIN_DELTA) -> DataFrame:
     """Each rung's first promotion per provider, numbered R-1, R-2, … in order of creation.
 
@@ -54,7 +59,7 @@ def promoted_rules(observations: DataFrame, ladder: tuple = params.LADDER, min_s
     first = staged(first.select("provider", "rung", F.col("x.r.field").alias("field"), F.col("x.r.op").alias("op"), F.col("x.r.value").alias("value"), "x"))
     seen = with_actual(observations.select("provider", *SEQ, *params.FIELDS)).join(first.select("provider", "rung", "field", "op", "value"), "provider").where(HOLDS)
     first = first.join(seen.groupBy("provider", "rung").agg(F.min(F.struct(*SEQ)).alias("first_match")), ["provider", "rung"])
-    delta = F.least(F.lit(params.MAX_DELTA), F.greatest(F.lit(-params.MAX_DELTA), logit(F.col("x.r.rate")) - logit(F.col("x.baseline"))))
+    delta = adjustment(F.col("x.r.rate"), F.col("x.baseline"))
     first = numbered(first.withColumn("seq", F.col("x.seq")), "number", "seq", "first_match", "rung")
     return first.select(
         F.concat(F.lit("R-"), F.col("number").cast("string")).alias("rule_id"), F.col("provider").alias("subject"), "rung", "field", "op", "value",

@@ -1,8 +1,13 @@
 """Figures bit for bit as the SQL has them."""
 
 import duckdb
+import pytest
+from pyspark.sql import functions as F
 
-from ledgerloom.plans import queries
+from ledgerloom.functions import probability
+from ledgerloom.plans import backtest, queries
+
+SF = "/root/testdata/sf0.1"
 
 
 def test_halves_round_as_in_sql(spark):
@@ -11,3 +16,37 @@ def test_halves_round_as_in_sql(spark):
     want = duckdb.connect().execute(f"SELECT n, d, round(n / d, 9), round(n / d, 4) FROM (VALUES {', '.join(map(str, pairs))}) v(n, d)").fetchall()
     df = spark.createDataFrame(pairs, "n long, d long").selectExpr("n", "d", "n / d as a", "n / d as b")
     assert sorted(tuple(r) for r in queries.places(queries.places(df, "a"), "b", n=4).collect()) == sorted(want)
+
+
+def test_logarithms_are_those_of_the_sql(spark):
+    """Adjustments of rules such as logit(0.2) - logit(3 / 7) and logit(4 / 23) - logit(12 / 31) are one number, and rank by its last bit."""
+    pairs = [(c, m) for m in range(2, 120) for c in range(1, m)]
+    con = duckdb.connect()
+    con.execute(f"CREATE TABLE v AS SELECT c, m, c / m AS p, ln((c / m) / (1 - c / m)) AS l FROM (VALUES {', '.join(map(str, pairs))}) v(c, m)")
+    want = con.execute("SELECT c, m, l, 1 / (1 + exp(-l)) FROM v").fetchall()
+    df = spark.createDataFrame(pairs, "c long, m long").select("c", "m", probability.logit(F.expr("c / m")).alias("l"))
+    assert sorted(tuple(r) for r in df.withColumn("p", probability.sigmoid(F.col("l"))).collect()) == sorted(want)
+    odd = spark.createDataFrame([(-1000.0,), (1000.0,), (None,)], "x double").select(probability.sigmoid(F.col("x")).alias("p"))
+    assert sorted((r.p for r in odd.collect()), key=str) == [0.0, 1.0, None]
+
+
+@pytest.fixture(scope="module")
+def tied(spark, tmp_path_factory):
+    """The jobs of one provider two of whose rules on the amount are equally strong but for the last bit, and their backtest."""
+    path = tmp_path_factory.mktemp("tied")
+    con = duckdb.connect()
+    con.execute(f"CREATE TABLE one AS SELECT l_orderkey AS k FROM '{SF}/lineitem.parquet' GROUP BY 1 HAVING min(l_suppkey) = 60")
+    for name, key in (("orders", "o_orderkey"), ("lineitem", "l_orderkey")):
+        con.execute(f"COPY (SELECT * FROM '{SF}/{name}.parquet' WHERE {key} IN (FROM one)) TO '{path}/{name}.parquet' (FORMAT parquet)")
+        con.execute(f"CREATE VIEW {name} AS FROM '{path}/{name}.parquet'")
+    return con, str(path), backtest.prepare(queries.market(spark, str(path)))
+
+
+@pytest.mark.parametrize("name", ["rule_lifecycle"])
+def test_tied_rules_rank_as_in_sql(spark, tied, name, monkeypatch):
+    con, path, prepared = tied
+    monkeypatch.setattr(backtest, "prepare", lambda events, with_rules=True: prepared)
+    found = con.execute(queries.ORACLE_SQL[name])
+    columns = [c[0] for c in found.description]
+    want = sorted(map(str, found.fetchall()))
+    assert sorted(str(tuple(r)) for r in queries.QUERIES[name](spark, path).select(columns).collect()) == want
