@@ -17,7 +17,7 @@ from collections.abc import Iterator
 from dataclasses import asdict, dataclass, field
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import params
@@ -236,12 +236,17 @@ def rule_summary(at_end: DataFrame) -> DataFrame:
     return at_end.groupBy("status").agg(F.count("*").alias("rules"), F.countDistinct("subject").alias("providers"), F.sum("applications").alias("applications"), F.sum("hits").alias("hits"))
 
 
+def pushed(p: Column, applied: Column) -> Column:
+    """p moved by the rules applied (delta and weight), whose sum comes first; exactly p without any."""
+    push = F.aggregate(applied, F.lit(0.0), lambda a, r: a + r["delta"] * r["weight"])
+    return F.coalesce(sigmoid(logit(F.when(applied.isNotNull(), p)) + push), p)
+
+
 def with_rules(views: DataFrame, lifecycle: DataFrame) -> DataFrame:
     """Views (with p0) and p_final with the rules that made it; exactly p0 where no rule matched."""
     key = ["job_id", "funding_block", "log_index"]
     item = F.struct("rule_id", "delta", "weight", "field")
     by = lifecycle.where("kind = 'applied'").groupBy(*key).agg(F.sort_array(F.collect_list(item)).alias("rules_applied"))
-    push = F.aggregate("rules_applied", logit(F.col("p0")), lambda a, r: a + r["delta"] * r["weight"])
-    return views.join(by, key, "left").withColumn("p_final", F.when(F.col("rules_applied").isNull(), F.col("p0")).otherwise(sigmoid(push)))
+    return views.join(by, key, "left").withColumn("p_final", pushed(F.col("p0"), F.col("rules_applied")))
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import params
-from ..functions.probability import bin_of, logit, shrunk_rate, sigmoid
+from ..functions.probability import bin_of, shrunk_rate
 from ..operators import calibration, episodes, features, lifecycle, mining
 from ..sources.staging import at_once, staged
 
@@ -171,8 +171,7 @@ def score_requests(requests: DataFrame, resolved: DataFrame, rules: DataFrame, b
     best = matches.groupBy("job_id", "field").agg(F.min(F.struct((-F.abs("delta_logit")).alias("rank"), "rule_id", F.col("delta_logit").alias("delta"), weight.alias("weight"))).alias("b"))
     by = best.groupBy(F.col("job_id").alias("request_id")).agg(F.sort_array(F.collect_list(F.struct("b.rule_id", "b.delta", "b.weight", "field"))).alias("rules_applied"))
     rows = rows.join(by, "request_id", "left")
-    push = F.aggregate("rules_applied", logit(F.col("p_chain")), lambda a, r: a + r["delta"] * r["weight"])
-    rows = rows.withColumn("p_memory", F.when(F.col("rules_applied").isNull(), F.col("p_chain")).otherwise(sigmoid(push))).withColumn("bin", bin_of(F.col("p_memory")))
+    rows = rows.withColumn("p_memory", lifecycle.pushed(F.col("p_chain"), F.col("rules_applied"))).withColumn("bin", bin_of(F.col("p_memory")))
     rows = rows.join(F.broadcast(bands.select("bin", "observed_rate")), "bin", "left").join(pairs, ["provider", "client"], "left")  # ten bands
     call = lambda p: F.when(F.col(p) >= threshold, "HIRE").otherwise("DO NOT HIRE")
     return rows.select(
