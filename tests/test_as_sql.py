@@ -42,7 +42,7 @@ def tied(spark, tmp_path_factory):
     return con, str(path), backtest.prepare(queries.market(spark, str(path)))
 
 
-@pytest.mark.parametrize("name", ["rule_lifecycle", "predict_with_rules", "reversals", "rule_summary"])
+@pytest.mark.parametrize("name", ["rule_lifecycle", "predict_with_rules", "reversals", "rule_summary", "ablation"])
 def test_tied_rules_rank_as_in_sql(spark, tied, name, monkeypatch):
     con, path, prepared = tied
     monkeypatch.setattr(backtest, "prepare", lambda events, with_rules=True: prepared)
