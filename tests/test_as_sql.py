@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from ledgerloom.functions import probability
+from ledgerloom.operators import lifecycle, mining
 from ledgerloom.plans import backtest, queries
 
 SF = "/root/testdata/sf0.1"
@@ -50,3 +51,23 @@ def test_tied_rules_rank_as_in_sql(spark, tied, name, monkeypatch):
     columns = [c[0] for c in found.description]
     want = sorted(map(str, found.fetchall()))
     assert sorted(str(tuple(r)) for r in queries.QUERIES[name](spark, path).select(columns).collect()) == want
+
+
+def worn(spark):
+    """(the rules at their end, the one that the SQL ranks first): two tied rules meet the same twelve jobs, which all prove them wrong, and ten tell."""
+    counts = [("R-1", 1, 5, 3, 7), ("R-2", 4, 23, 12, 31)]
+    log = "ln(({0} / {1}) / (1 - {0} / {1}))"
+    first = duckdb.connect().execute(f"SELECT id FROM (VALUES {', '.join(map(str, counts))}) v(id, c, m, d, n) ORDER BY abs({log.format('c', 'm')} - {log.format('d', 'n')}) DESC, id").fetchall()[0][0]
+    rules = spark.createDataFrame(counts, "rule_id string, c long, m long, d long, n long").withColumns({"subject": F.lit("p"), "field": F.lit("amount"), "baseline_rate": F.expr("d / n")})
+    rules = rules.withColumn("delta_logit", mining.adjustment(F.expr("c / m"), F.col("baseline_rate")))
+    match = F.sort_array(F.collect_list(F.struct("rule_id", "field", "delta_logit", "baseline_rate"))).alias("matches")
+    views = rules.groupBy(F.col("subject").alias("provider"), "field").agg(match).withColumn("job_id", F.explode(F.sequence(F.lit(1), F.lit(12)).cast("array<long>")))
+    row = lambda phase, matches, completed: ["provider", "field", (F.col("job_id") * 2 + phase).alias("block"), F.lit(phase).alias("phase"), F.col("job_id").alias("log_index"), "job_id", matches, completed.cast("boolean").alias("completed")]
+    none = F.filter("matches", lambda m: F.lit(False)).alias("matches")
+    fold = lifecycle.folded(views.select(row(0, "matches", F.lit(None))).unionByName(views.select(row(1, none, F.lit(True)))))
+    return lifecycle.rules_at_end(rules, fold), first
+
+
+def test_the_first_of_tied_rules_is_retired(spark):
+    at_end, first = worn(spark)
+    assert [r.rule_id for r in lifecycle.retired(at_end).collect()] == [first]
