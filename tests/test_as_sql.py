@@ -71,3 +71,8 @@ def worn(spark):
 def test_the_first_of_tied_rules_is_retired(spark):
     at_end, first = worn(spark)
     assert [r.rule_id for r in lifecycle.retired(at_end).collect()] == [first]
+
+
+def test_the_other_of_tied_rules_is_still_believed(spark):
+    at_end, first = worn(spark)
+    assert [(r.rule_id, r.status, r.applications) for r in lifecycle.believed(at_end).collect()] == [({"R-1": "R-2", "R-2": "R-1"}[first], "provisional", 2)]
