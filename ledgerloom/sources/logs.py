@@ -61,3 +61,16 @@ def read_evidence(spark: SparkSession, path: str) -> DataFrame:
     rows = spark.read.json(path, multiLine=True)
     job = "job_id" if "job_id" in rows.select(F.explode("observations").alias("o")).select("o.*").columns else "job"
     return rows.select(F.lower("provider").alias("provider"), F.lit("availability").alias("declaration_type"), F.explode("observations").alias("o")).select("provider", "declaration_type", F.col(f"o.{job}").alias("job_id"), "o.block", "o.confirmed")
+EXPORT = "provider string, observations array<struct<job: long, job_id: long, block: long, confirmed: boolean>>"
+#: Observations of a file of exports, about.
+EXPORT_ROWS = 20_000
+
+
+def write_evidence(observations: DataFrame, path: str, size: int = EXPORT_ROWS) -> None:
+    """Write observations as evidence exports, one a provider; a file is a JSON array of the exports that share it."""
+    files = -(-observations.count() // size)
+    one = observations.groupBy(F.upper("provider").alias("provider")).agg(F.collect_list(F.struct(F.col("job_id").alias("job"), "block", "confirmed")).alias("observations"))
+    shared = one.groupBy(F.pmod(F.xxhash64("provider"), F.lit(max(1, files)))).agg(F.collect_list(F.to_json(F.struct("provider", "observations"))).alias("exports"))
+    shared.select(F.concat(F.lit("["), F.array_join("exports", ","), F.lit("]")).alias("value")).write.option("maxRecordsPerFile", 1).text(path)
+
+

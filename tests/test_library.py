@@ -118,6 +118,19 @@ def test_evidence_export(spark, tmp_path):
     assert [tuple(r) for r in logs.read_evidence(spark, str(tmp_path / "e.json")).collect()] == [("0xa", "availability", 7, 5, True)]
 
 
+def test_exports_share_files(spark, tmp_path):
+    """300 providers in a few files, each export whole and the providers' names as written."""
+    rows = [(f"0xa{k % 300}", "availability", k, k + 5, k % 3 == 0) for k in range(900)]
+    df = spark.createDataFrame(rows, "provider string, declaration_type string, job_id long, block long, confirmed boolean")
+    logs.write_evidence(df, str(tmp_path / "e"), size=200)
+    found = [json.loads(f.read_text()) for f in (tmp_path / "e").glob("part-*")]
+    exports = [x for held in found for x in held]
+    assert len(found) <= 5 and len(exports) == 300 and all(len(x["observations"]) == 3 and x["provider"].startswith("0XA") for x in exports)
+    assert sorted(tuple(r) for r in logs.read_evidence(spark, str(tmp_path / "e")).collect()) == sorted(rows)
+    logs.write_evidence(df.limit(0), str(tmp_path / "none"))
+    assert logs.read_evidence(spark, str(tmp_path / "none")).count() == 0
+
+
 @pytest.mark.parametrize("seed", [1, 2, 3])
 def test_views_match_the_plain_model(spark, seed):
     rows = random_events(seed)
