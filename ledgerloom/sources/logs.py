@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .. import params
-from ..functions.decode import RAW, decode
+from ..functions.decode import RAW, decode, hex_to_long
 
 SCAN = f"state struct<cursor: long>, logs array<{RAW.simpleString()}>"
 
@@ -16,6 +16,25 @@ def read_scan(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(SCAN).json(path, multiLine=True).select(F.inline("logs"))
 
 
+#: Logs of a scan file that write_scans() makes, about.
+SCAN_LOGS = 20_000
+
+
+def write_scans(logs: DataFrame, path: str, span: int = 100, size: int = SCAN_LOGS) -> None:
+    """Write raw logs as gzip scan files of ``span`` blocks whose last block is the cursor; a span of more than ``size`` logs is dealt over several files.
+
+    Logs are sorted into their files and written as text that opens where a file begins and closes where it ends, so no task holds
+    the logs of a scan, and a reader holds about ``size``.
+    """
+    rows = logs.select(F.to_json(F.struct(*RAW.fieldNames())).alias("log"), hex_to_long(F.col("blockNumber")).alias("block"), hex_to_long(F.col("logIndex")).alias("index")).withColumn("span", F.floor(F.col("block") / span))
+    parts = logs.groupBy(F.floor(hex_to_long(F.col("blockNumber")) / span).alias("span")).agg(F.ceil(F.count("*") / size).alias("parts"))
+    rows = rows.join(F.broadcast(parts), "span").withColumn("part", F.pmod(F.xxhash64("block", "index"), "parts"))  # a row a span
+    by = Window.partitionBy("span", "part").orderBy("block", "index")
+    opening = F.concat(F.lit('{"state":{"cursor":'), (F.col("span") * span + (span - 1)).cast("string"), F.lit('},"logs":['))
+    value = F.concat(F.when(F.row_number().over(by) == 1, opening).otherwise(","), "log", F.when(F.lead(F.lit(1)).over(by).isNull(), "]}").otherwise(""))
+    rows.select("span", "part", value.alias("value")).write.partitionBy("span", "part").option("compression", "gzip").text(path)
+
+
 def read_cursor(spark: SparkSession, path: str) -> int | None:
     return spark.read.schema(SCAN).json(path, multiLine=True).select(F.max("state.cursor").alias("c")).first()["c"]
 
@@ -56,11 +75,6 @@ def stream_logs(spark: SparkSession, path: str, files: int = 1) -> DataFrame:
     return spark.readStream.schema(RAW).option("maxFilesPerTrigger", files).json(path)
 
 
-def read_evidence(spark: SparkSession, path: str) -> DataFrame:
-    """Observations of an evidence export; the job column may be named job or job_id."""
-    rows = spark.read.json(path, multiLine=True)
-    job = "job_id" if "job_id" in rows.select(F.explode("observations").alias("o")).select("o.*").columns else "job"
-    return rows.select(F.lower("provider").alias("provider"), F.lit("availability").alias("declaration_type"), F.explode("observations").alias("o")).select("provider", "declaration_type", F.col(f"o.{job}").alias("job_id"), "o.block", "o.confirmed")
 EXPORT = "provider string, observations array<struct<job: long, job_id: long, block: long, confirmed: boolean>>"
 #: Observations of a file of exports, about.
 EXPORT_ROWS = 20_000
@@ -74,3 +88,8 @@ def write_evidence(observations: DataFrame, path: str, size: int = EXPORT_ROWS)
     shared.select(F.concat(F.lit("["), F.array_join("exports", ","), F.lit("]")).alias("value")).write.option("maxRecordsPerFile", 1).text(path)
 
 
+def read_evidence(spark: SparkSession, path: str) -> DataFrame:
+    """Observations of evidence exports, one a file or several as an array; the job column may be named job or job_id."""
+    rows = spark.read.schema(EXPORT).json(path, multiLine=True)
+    rows = rows.select(F.lower("provider").alias("provider"), F.lit("availability").alias("declaration_type"), F.explode("observations").alias("o"))
+    return rows.select("provider", "declaration_type", F.coalesce("o.job_id", "o.job").alias("job_id"), "o.block", "o.confirmed")

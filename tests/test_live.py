@@ -3,11 +3,12 @@
 import gzip
 import json
 import random
+from pathlib import Path
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
-from test_library import random_events
+from test_library import SF, random_events
 
 from ledgerloom.functions import decode
 from ledgerloom.operators import episodes, evidence, features, jobs, lifecycle, ranks
@@ -40,6 +41,27 @@ def test_scan_files(spark, tmp_path):
     assert logs.resume_from(10, None) == 10 and logs.resume_from(10, 5) == 10 and logs.resume_from(10, 50) == 50
 
 
+def test_scans_of_many_logs_are_dealt_over_files(spark, tmp_path):
+    """40 logs a block in spans of 2 blocks: no file holds much more than asked, each is one JSON value, and nothing is lost."""
+    raw = raw_logs(spark, [event("BudgetSet", k, k // 40, k, amount=k) for k in range(400)])
+    logs.write_scans(spark.createDataFrame(raw, decode.RAW).repartition(3), str(tmp_path / "s"), span=2, size=20)
+    found = [json.loads(gzip.open(f).read()) for f in (tmp_path / "s").rglob("*.gz")]
+    assert {x["state"]["cursor"] for x in found} == {1, 3, 5, 7, 9} and len(found) == 20
+    assert max(len(x["logs"]) for x in found) <= 40 and sum(len(x["logs"]) for x in found) == 400
+    assert all([int(y["logIndex"], 16) for y in x["logs"]] == sorted(int(y["logIndex"], 16) for y in x["logs"]) for x in found)
+    assert logs.read_cursor(spark, str(tmp_path / "s")) == 9
+    assert sorted(map(str, logs.read_scan(spark, str(tmp_path / "s")).collect())) == sorted(map(str, spark.createDataFrame(raw, decode.RAW).collect()))
+
+
+def test_the_cursor_comes_of_scans_of_bounded_size(spark, monkeypatch):
+    written = []
+    real = logs.write_scans
+    monkeypatch.setattr(logs, "write_scans", lambda rows, path: (written.append(path), real(rows, path, size=100)))
+    assert queries.scan_cursor(spark, SF).first()["cursor"] % 100 == 99
+    sizes = [len(json.loads(gzip.open(f).read())["logs"]) for f in Path(written[0].removeprefix("file:")).rglob("*.gz")]
+    assert max(sizes) <= 200 and sum(sizes) == queries.market(spark, SF).count()
+
+
 def test_settled_and_history(spark):
     raw = spark.createDataFrame(raw_logs(spark, random_events(3)), decode.RAW)
     events = random_events(3)
