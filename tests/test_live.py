@@ -59,7 +59,7 @@ def test_the_cursor_comes_of_scans_of_bounded_size(spark, monkeypatch):
     monkeypatch.setattr(logs, "write_scans", lambda rows, path: (written.append(path), real(rows, path, size=100)))
     assert queries.scan_cursor(spark, SF).first()["cursor"] % 100 == 99
     sizes = [len(json.loads(gzip.open(f).read())["logs"]) for f in Path(written[0].removeprefix("file:")).rglob("*.gz")]
-    assert max(sizes) <= 200 and sum(sizes) == queries.market(spark, SF).count()
+    assert len(sizes) > 25 and max(sizes) <= 200 and sum(sizes) == queries.market(spark, SF).count()
 
 
 def test_settled_and_history(spark):
